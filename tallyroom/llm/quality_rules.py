@@ -10,45 +10,56 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyroom.llm.common import SPACE, let, space_words, without, written
+from tallyroom.llm.common import let, space_words, without, written
 
-SYMBOLS = "#*$%&|<>"
-BLANKS = "\x20\x09\x0a\x0b\x0c\x0d"
+SYMBOLS = "[#*$%&|<>]"
 NAMES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "host_rate", "host_failed", "kept"]
 
 
 def repeated_window_words(words: Column, width: int = 3) -> Column:
-    """How many words lie in windows of ``width`` words that occur twice or more; first occurrences count."""
+    """How many words lie in windows of ``width`` words that occur twice or more; first occurrences count.
 
-    def covered(sorted_windows: Column) -> Column:
-        same = lambda x, y: F.coalesce(x["w"] == y["w"], F.lit(False))
-        again = F.filter(sorted_windows, lambda x, i: same(x, F.get(sorted_windows, i - 1)) | same(x, F.get(sorted_windows, i + 1)))
+    Windows of one text are told apart by a 64-bit hash of their words.
+    """
+
+    def covered(windows: Column) -> Column:
+        same = lambda x, y: F.coalesce(x["h"] == y["h"], F.lit(False))
+        again = F.filter(windows, lambda x, i: same(x, F.get(windows, i - 1)) | same(x, F.get(windows, i + 1)))
         starts = F.sort_array(F.transform(again, lambda x: x["at"]))
         # each window adds the words that the one before it hasn't covered
         first = F.struct(F.lit(-width).alias("last"), F.lit(0).alias("n"))
         return F.aggregate(starts, first, lambda acc, s: F.struct(s.alias("last"), (acc["n"] + F.least(F.lit(width), s - acc["last"])).alias("n")), lambda acc: acc["n"].cast("long"))
 
+    def of_hashes(hashes: Column) -> Column:
+        placed = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("at"))))
+        return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0).cast("long")).otherwise(let(placed, covered))
+
     def of(w: Column) -> Column:
-        windows = F.transform(F.sequence(F.lit(0), F.size(w) - width), lambda i: F.struct(F.struct(*[F.get(w, i + k).alias(f"w{k}") for k in range(width)]).alias("w"), i.alias("at")))
-        return F.when(F.size(w) > width, let(F.sort_array(windows), covered)).otherwise(F.lit(0).cast("long"))
+        hashes = F.transform(F.sequence(F.lit(0), F.size(w) - width), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(width)]))
+        return F.when(F.size(w) > width, let(hashes, of_hashes)).otherwise(F.lit(0).cast("long"))
 
-    return let(words, of)
+    return of(words)
 
 
 def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     """The columns, then n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long); of null and empty texts 0."""
     body = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(body, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
-    out = without(docs, [n for n in NAMES if n != text])
+    # the words are split off once for all that is counted of them
+    of_words = let(
+        space_words(F.col(text)),
+        lambda w: F.struct(F.size(w).cast("long").alias("n"), F.length(F.array_join(w, "")).cast("long").alias("chars"), repeated_window_words(w).alias("again")),
+    )
+    out = without(docs, [n for n in NAMES if n != text]).withColumn("__w", of_words)
     return out.withColumns(
         {
-            "n_words": F.size(F.filter(F.split(body, SPACE), lambda w: w != "")).cast("long"),
-            "word_chars": F.length(F.translate(body, BLANKS, "")).cast("long"),
-            "n_symbols": (F.length(body) - F.length(F.translate(body, SYMBOLS, ""))).cast("long"),
+            "n_words": F.col("__w.n"),
+            "word_chars": F.col("__w.chars"),
+            "n_symbols": F.regexp_count(body, F.lit(SYMBOLS)).cast("long"),
             "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
-            "n_repeat_words": repeated_window_words(space_words(F.col(text))),
+            "n_repeat_words": F.col("__w.again"),
         }
-    )
+    ).drop("__w")
 
 
 def host_rates(base: DataFrame, host: str, failed: str) -> DataFrame:

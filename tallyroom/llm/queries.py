@@ -103,7 +103,7 @@ WITH c AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversat
 SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
   CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  CAST(sum(length(role) + 14 + length(replace(replace(replace(replace(text, '\', '\m'), '[', '\b'), ']', '\c'), '</s>', '\e'))) AS BIGINT) AS formatted_chars
+  CAST(sum(length(role) + 13 + length(replace(replace(replace(replace(text, '\', '\m'), '[', '\b'), ']', '\c'), '</s>', '\e'))) AS BIGINT) AS formatted_chars
 FROM c GROUP BY conv_id
 """
 
