@@ -69,7 +69,7 @@ def sainte_lague(rows: DataFrame, seats: Column, votes: str, key: list[str], wit
     return out.drop("__seats", "__n", "__votes", "__hi", "__lo", "__sure", "__last", "__given")
 
 
-def mix(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str = "source", keep: list[str] | None = None, share: float = 1.5, most: float = 2.0, weights: tuple = WEIGHTS, block: int = 16, shard_docs: int = 20_000, seed: int = 1) -> DataFrame:
+def mix(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str = "source", keep: list[str] | None = None, share: float = 1.5, most: float = 2.0, weights: tuple = WEIGHTS, block: int = 16, shard_docs: int = 4_000, seed: int = 1) -> DataFrame:
     """The columns (or ``keep``), then size, source_size, target, taken, first_word, once_more.
 
     size: words of the text, of a null 0.  taken: words the mix takes, repeats counted; each source's sum is within a
