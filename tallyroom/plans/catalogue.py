@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from tallyroom.plans import events, graphs, intervals, learning, matching, ranking, registry, scoring, texts  # noqa: F401
+
 FLAGSHIP = "lexeme_log_odds"
 
 
 def queries() -> dict:
-    return {}
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(registry.SQL)
