@@ -193,14 +193,16 @@ def jaccard_components(
     sets = table.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first(F.size("lead")).alias("n_lead"), F.first("lead").alias("lead"))
     clusters = written(prefix_clusters(sets, percent))
     rows = table.where("n > 0").select(F.col(key).alias("__key"), "node", "n")
-    holders = written(rows.join(clusters, "node").groupBy("node", "cluster").agg(F.min("__key").alias("__key")))
+    holders = rows.join(clusters, "node").groupBy("node", "cluster").agg(F.min("__key").alias("__key"), F.first("n").alias("n"))
+    # sizes are joined to ids alone: no set is dealt by cluster before it is known that a task can hold the cluster
+    holders = written(_sized(written(holders), block_sets, block_shingles))
     held = holders.select("__key").distinct()
     if holders.count() <= broadcast_rows:
         held = F.broadcast(held)
     texts = docs.select(F.col(key).alias("__id"), F.col(text).alias("__text"))
     texts = texts.join(held, texts["__id"].eqNullSafe(held["__key"]), "left_semi")
     whole = map_texts(texts, "__text", [field("n", "long"), field("node", "long"), longs("tokens")], _make_sets(size, percent, 1), keep=[])
-    members = whole.join(holders.select("node", "cluster"), "node").groupBy("node", "cluster").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
+    members = whole.join(holders.select("node", "cluster", "blocks", "n_cluster"), "node").groupBy("node", "cluster", "blocks", "n_cluster").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
     members = written(members)
     edges = _cluster_links(members, percent, block_sets, block_shingles)
     components = written(connected_components(written(edges)))
@@ -211,25 +213,27 @@ def jaccard_components(
     return linked.unionByName(alone)
 
 
-def _cluster_links(members: DataFrame, percent: int, block_sets: int, block_shingles: int) -> DataFrame:
-    """Links within clusters of sets (node, cluster, n, tokens); large clusters are cut by a second order first."""
+def _sized(of: DataFrame, block_sets: int, block_shingles: int) -> DataFrame:
+    """Rows (node, cluster, n) with n_cluster, the sets of the cluster, and blocks, the tasks that it takes to hold them."""
+    sizes = of.groupBy("cluster").agg(F.count("*").alias("n_cluster"), F.sum("n").alias("n_tokens"))
+    blocks = F.greatest(F.ceil(F.col("n_cluster") / block_sets), F.ceil(F.col("n_tokens") / block_shingles)).cast("long")
+    return of.join(sizes.select("cluster", "n_cluster", blocks.alias("blocks")), "cluster")
+
 
-    def sized(of: DataFrame) -> DataFrame:
-        sizes = of.groupBy("cluster").agg(F.count("*").alias("n_cluster"), F.sum("n").alias("n_tokens"))
-        sizes = sizes.withColumn("blocks", F.greatest(F.ceil(F.col("n_cluster") / block_sets), F.ceil(F.col("n_tokens") / block_shingles)).cast("long"))
-        return of.join(sizes, "cluster")
+def _cluster_links(members: DataFrame, percent: int, block_sets: int, block_shingles: int) -> DataFrame:
+    """Links within clusters of sets (node, cluster, blocks, n_cluster, n, tokens); large clusters are cut by a second order first."""
 
     def direct(of: DataFrame) -> DataFrame:
         return block_links(of.where("blocks = 1").withColumn("label", F.col("node")).withColumn("active", F.lit(True)), ["cluster"], percent)
 
-    all_sized = sized(members)
-    edges = direct(all_sized)
-    large = all_sized.where("blocks > 1").drop("n_cluster", "n_tokens", "blocks")
+    edges = direct(members)
+    large = members.where("blocks > 1").select("node", "n", "tokens")
     if large.isEmpty():
         return edges
     large = written(large)
     again = prefix_clusters(large.select("node", "n", F.col("n").alias("n_lead"), F.col("tokens").alias("lead")), percent)
-    cut = written(sized(large.drop("cluster").join(again, "node")))
+    again = written(_sized(written(again.join(large.select("node", "n"), "node")), block_sets, block_shingles))
+    cut = written(large.join(again.drop("n"), "node"))
     edges = edges.union(direct(cut))
     still = cut.where("blocks > 1")
     return edges if still.isEmpty() else edges.union(large_links(still, percent, block_sets))
