@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from tallyroom.llm.common import let, space_words, without, written
 
 SYMBOLS = "[#*$%&|<>]"
+#: Hosts whose rates may be sent to all executors, some 40 bytes each.
+BROADCAST_HOSTS = 250_000
 NAMES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "host_rate", "host_failed", "kept"]
 
 
@@ -80,7 +82,7 @@ def host_rates(base: DataFrame, host: str, failed: str) -> DataFrame:
     return by_host.select(host, "n_docs", "n_failed", ((F.col("n_failed") + m * strength) / (F.col("n_docs") + strength)).alias("host_rate"))
 
 
-def quality_rules(docs: DataFrame, *, text: str = "text", host: str = "source", keep: list[str] | None = None, min_words: int = 50, max_repeat_percent: int = 50, max_host_rate: float = 0.5) -> DataFrame:
+def quality_rules(docs: DataFrame, *, text: str = "text", host: str = "source", keep: list[str] | None = None, min_words: int = 50, max_repeat_percent: int = 50, max_host_rate: float = 0.5, broadcast_hosts: int = BROADCAST_HOSTS) -> DataFrame:
     """The columns (or ``keep``), then the measures, base_failed, host_rate, host_failed and kept.
 
     base_failed: n_words < min_words, or 100 * n_repeat_words > max_repeat_percent * n_words.  host_failed: the host's
@@ -90,6 +92,8 @@ def quality_rules(docs: DataFrame, *, text: str = "text", host: str = "source",
     kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in NAMES]
     base = measured(docs, text).withColumn("base_failed", (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words")))
     base = written(base.select(*dict.fromkeys([*[f"`{c}`" for c in kept], f"`{host}`", *NAMES[:6]])))
-    rates = host_rates(base, host, "base_failed").select(F.col(host).alias("__host"), "host_rate")
+    rates = written(host_rates(base, host, "base_failed").select(F.col(host).alias("__host"), "host_rate"))
+    if rates.count() <= broadcast_hosts:  # else shuffled, where a hot host's partition is split
+        rates = F.broadcast(rates)
     out = base.join(rates, base[host] == F.col("__host"), "left").withColumn("host_failed", F.coalesce(F.col("host_rate") > max_host_rate, F.lit(False)))
     return out.withColumn("kept", ~F.col("base_failed") & ~F.col("host_failed")).select(*[f"`{c}`" for c in kept], *NAMES)

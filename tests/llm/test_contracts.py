@@ -154,6 +154,7 @@ def test_quality_hosts(spark):
     good, bad = " ".join(f"w{i}" for i in range(60)), "short"
     rows = [(i, bad, "poor") for i in range(40)] + [(40, good, "poor")] + [(100 + i, good, "fine") for i in range(40)] + [(200, good, None), (201, bad, None), (202, good, "rare")]
     got = {r.doc_id: r for r in quality_rules.quality_rules(docs(spark, rows)).collect()}
+    assert got == {r.doc_id: r for r in quality_rules.quality_rules(docs(spark, rows), broadcast_hosts=0).collect()}
     assert not got[40].kept and not got[40].base_failed and got[40].host_failed
     assert got[100].kept and got[200].kept and got[200].host_rate is None and not got[201].kept
     assert 0 < got[100].host_rate < 0.5 < got[40].host_rate < 1
