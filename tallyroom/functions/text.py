@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -71,14 +72,24 @@ def plain_tokens(text: Column, least: int = 1) -> Column:
     return F.filter(F.split(F.coalesce(fold(text), F.lit("")), "[^a-z0-9]+"), lambda t: F.length(t) >= least)
 
 
-def token_ngrams(tokens: Column, most: int = 3) -> Column:
-    """The distinct runs of 1 to ``most`` tokens, joined by spaces."""
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often, and in whatever loop, ``body`` names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def token_runs(tokens: Column, n: int) -> Column:
+    """struct(phrase, n, start) of each run of n tokens, joined by spaces; start counts from 1."""
 
-    def runs(n: int) -> Column:
-        starts = F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(tokens) - n + 1)), lambda i: i + n - 1 <= F.size(tokens))
-        return F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, n), " "))
+    def of(w: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - n + 1)), lambda i: i + n - 1 <= F.size(w))
+        return F.transform(starts, lambda i: F.struct(F.array_join(F.slice(w, i, n), " ").alias("phrase"), F.lit(n).alias("n"), i.alias("start")))
 
-    return F.array_distinct(F.concat(*[runs(n) for n in range(1, most + 1)]))
+    return let(tokens, of)
+
+
+def token_ngrams(tokens: Column, most: int = 3) -> Column:
+    """The distinct runs of 1 to ``most`` tokens."""
+    return let(tokens, lambda w: F.array_distinct(F.transform(F.concat(*[token_runs(w, n) for n in range(1, most + 1)]), lambda r: r["phrase"])))
 
 
 def trigrams(text: Column) -> Column:
