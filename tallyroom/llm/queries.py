@@ -81,7 +81,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": OP1_SQL, "op5_chat_format": OP5_SQL, "op10_jaccard_join": OP10_SQL}
+    return {"op1_decontamination": OP1_SQL, "op3_quality_rules": OP3_SQL, "op5_chat_format": OP5_SQL, "op10_jaccard_join": OP10_SQL}
 
 
 OP1_SQL = r"""
@@ -98,6 +98,21 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
+OP3_SQL = r"""
+WITH w AS (SELECT doc_id, source, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
+p AS (SELECT doc_id, generate_subscripts(w, 1) AS i, unnest(w) AS x FROM w),
+g AS (SELECT doc_id, i, x || ' ' || lead(x, 1) OVER o || ' ' || lead(x, 2) OVER o AS g FROM p WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM g WHERE g IS NOT NULL) WHERE n > 1),
+h AS (SELECT doc_id, count(DISTINCT j) AS again FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM r) GROUP BY 1),
+m AS (SELECT doc_id, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+  CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(again, 0) AS BIGINT) AS n_repeat_words FROM w LEFT JOIN h USING (doc_id)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
+k AS (SELECT source, count(*) AS n, sum(base_failed::INT)::DOUBLE AS f FROM b WHERE source IS NOT NULL GROUP BY 1),
+a AS (SELECT sum(n) AS n, count(*) AS k, sum(f) / sum(n) AS m, sum(n * (f / n) * (f / n)) / sum(n) AS s FROM k),
+q AS (SELECT m, least(1000, greatest(1, m * (1 - m) / greatest(1e-12, greatest(0, s - m * m) - m * (1 - m) * k / n) - 1)) AS strength FROM a)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce((f + m * strength) / (k.n + strength) > 0.5, false) AS kept FROM b LEFT JOIN k USING (source) CROSS JOIN q
+"""
+
 OP5_SQL = r"""
 WITH c AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -7, t.turn, t.role, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) t(turn, role))
 SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
