@@ -11,11 +11,13 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyroom.llm.common import ascii_lower, without
+from tallyroom.llm.common import ascii_lower, without, written
 
 #: (action, host, path): a rule fits its host and all subdomains where the url's path starts with the rule's.
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 BAD = "label=bad"
+#: Token sets with a mined rule that may be sent to all executors, some 100 bytes each.
+BROADCAST_SETS = 100_000
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -75,7 +77,7 @@ def best_rule(rows: DataFrame, key: str, tokens: str, rules: DataFrame) -> DataF
     return best.select(key, "best.confidence", "best.mined")
 
 
-def url_filter(pages: DataFrame, labelled: DataFrame, *, url: str = "url", keep: list[str] | None = None, rules: list[tuple[str, str, str]] = RULES, min_support: float = 0.005, min_confidence: float = 0.5) -> DataFrame:
+def url_filter(pages: DataFrame, labelled: DataFrame, *, url: str = "url", keep: list[str] | None = None, rules: list[tuple[str, str, str]] = RULES, min_support: float = 0.005, min_confidence: float = 0.5, broadcast_sets: int = BROADCAST_SETS) -> DataFrame:
     """The columns (or ``keep``), then host, path, rule, mined, confidence and verdict (block or allow).
 
     labelled: (url, bad boolean).  The verdict is that of the longest stated rule that fits; where none does, block if
@@ -88,6 +90,9 @@ def url_filter(pages: DataFrame, labelled: DataFrame, *, url: str = "url", keep:
     mined = mined_rules(learned, min_support=min_support, min_confidence=min_confidence)
     sets = pages.select(F.array_sort(url_tokens(F.col(url))).alias("__set")).where(F.size("__set") > 0).distinct()
     best = best_rule(sets.select(F.col("__set").alias("__key"), F.col("__set")), "__key", "__set", mined).withColumnRenamed("__key", "__set")
+    best = written(best)
+    if best.count() <= broadcast_sets:  # else shuffled, where a common set's partition is split
+        best = F.broadcast(best)
     host, path = host_and_path(F.col(url))
     rule, action = stated_rule(F.col("host"), F.col("path"), rules)
     base = without(pages, [n for n in made if n != url]).withColumns({"host": host, "path": path, "__set": F.array_sort(url_tokens(F.col(url)))})

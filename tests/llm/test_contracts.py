@@ -234,6 +234,7 @@ def test_url_rules(spark):
     more = spark.createDataFrame([(1, "http://r.fr/bad/7"), (2, "http://r.fr/good/7"), (3, "http://r.fr/bad/8")], "page_id int, url string")
     out = {r.page_id: r.verdict for r in url_filters.url_filter(more, learn, min_support=0.1, min_confidence=0.8).collect()}
     assert out == {1: "block", 2: "allow", 3: "block"}
+    assert out == {r.page_id: r.verdict for r in url_filters.url_filter(more, learn, min_support=0.1, min_confidence=0.8, broadcast_sets=0).collect()}
     assert {r.verdict for r in url_filters.url_filter(more, learn.limit(0)).collect()} == {"allow"}
 
 
