@@ -11,6 +11,8 @@ from tallyroom.llm import decontamination, jaccard_join, line_dedup, mixing, tox
 from tallyroom.llm.common import written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Near copies share 80 of 100 shingles of five words; the query op10_jaccard_join has its own contract (4 and 85).
+SHINGLE_WORDS, PERCENT = 5, 80
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,8 +33,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group that links connect, the document with the smallest id stays."""
-    return jaccard_join.one_of_each_group(docs).select(*COLUMNS)
+    """Of each group that links connect, the document with the smallest id stays; links as in SHINGLE_WORDS and PERCENT."""
+    return jaccard_join.one_of_each_group(docs, size=SHINGLE_WORDS, percent=PERCENT).select(*COLUMNS)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

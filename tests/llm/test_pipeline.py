@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
+import re
+
 import pytest
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
@@ -45,3 +48,30 @@ def test_empty_and_null_rows(spark):
         for _, stage in corpus_pipeline.STAGES:
             df = stage(spark, df, FOLDER)
         assert df.count() in (0, 2)
+
+
+def test_near_copies_against_brute_force(spark):
+    """Five words and 0.8, on the documents and on a pair that four words and 0.85 tell apart."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    words = [f"w{i}" for i in range(50)]
+    pair = [(10**6, " ".join(words), "en", "x", 0), (10**6 + 1, " ".join([*words[:25], "other", *words[26:]]), "en", "x", 0)]
+    docs = docs.unionByName(spark.createDataFrame(pair, docs.schema))
+    sets = {}
+    for r in docs.collect():
+        w = [x for x in re.split("[\\x20\\x09-\\x0D]+", re.sub("[A-Z]+", lambda m: m.group().lower(), r.text or "")) if x]
+        n = min(5, len(w))
+        sets[r.doc_id] = {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if w else set()
+    lead = {d: d for d in sets}
+
+    def root(d):
+        while lead[d] != d:
+            d = lead[d]
+        return d
+
+    for a, b in itertools.combinations(sorted(sets), 2):
+        if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+            low, high = sorted((root(a), root(b)))
+            lead[high] = low
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, FOLDER).collect()}
+    assert kept == {d for d in sets if root(d) == d}
+    assert 10**6 in kept and 10**6 + 1 not in kept
