@@ -120,14 +120,19 @@ def longs(name: str) -> T.StructField:
     return T.StructField(name, T.ArrayType(T.LongType(), True))
 
 
+def known_labels(labels: DataFrame, label: str, key: str, modulus: int, left_out: int) -> DataFrame:
+    """(key, __label): ids that may be learned from, each with its largest label."""
+    known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull() & (crc_remainder(F.col(key), modulus) != left_out))
+    return known.groupBy(key).agg(F.max(label).cast("int").alias("__label"))
+
+
 def bounded_labels(docs: DataFrame, labels: DataFrame, label: str, key: str, text: str, modulus: int, left_out: int, per_class: int) -> DataFrame:
     """At most ``per_class`` labelled texts of each class, in the order of a hash of the id: (key, text, label).
 
     Only ids whose crc32 remainder is not ``left_out`` are learned from.  A text with contradicting labels counts as
     its largest.  The bound is on rows; ids are chosen before any text is read.
     """
-    known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull() & (crc_remainder(F.col(key), modulus) != left_out))
-    known = known.groupBy(key).agg(F.max(label).cast("int").alias("__label"))
+    known = known_labels(labels, label, key, modulus, left_out)
     order = [F.xxhash64(F.col(key)), F.col(key)]
     chosen = known.where("__label = 0").orderBy(*order).limit(per_class).unionByName(known.where("__label = 1").orderBy(*order).limit(per_class))
     # at most 2 * per_class ids: a proven bound for the broadcast

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyroom.llm.common import bounded_labels, crc_remainder, map_texts, remainder_of, without
+from tallyroom.llm.common import bounded_labels, crc_remainder, known_labels, map_texts, without, written
 
 BUCKETS, DIM, WIDTHS, FILTERS = 1 << 15, 8, (1, 2, 3), 8
 #: Letters of a word's beginning that are hashed beside the word.
@@ -26,6 +26,8 @@ STARTS = (4, 5, 6)
 PER_CLASS, TRAIN_WORDS = 1_200, 3_000
 #: A word is learned from if so many sampled texts hold it; single steps of training, at least, and passes.
 LEAST_TEXTS, STEPS, PASSES = 2, 6_000, 4
+#: Steps of the scores by which labelled texts are counted for the thresholds.
+BINS = 1_000
 #: Words whose filter values a task keeps; beyond, it begins anew.
 WORDS_KEPT = 250_000
 _WORD = re.compile(r"\w+")
@@ -143,46 +145,46 @@ class TextCNN:
         return score
 
 
-def calibrated(scores: np.ndarray, labels: np.ndarray, langs: list, default: float, least: int = 30) -> dict:
-    """By language the threshold with the best F1 on texts that the filters were not fitted to, halfway between two scores.
+def calibrated(counts: list[tuple], least: int = 30) -> dict:
+    """By language the threshold with the best F1, from (language, bin, texts, texts of label 1); halfway between two bins that hold texts.
 
-    A language with fewer than ``least`` such texts, or with one class alone, keeps the default.
+    A language with fewer than ``least`` such texts, or with one class alone, has none.
     """
     out = {}
-    for lang in {x for x in langs if x is not None}:
-        mine = np.asarray([x == lang for x in langs])
-        s, y = scores[mine], labels[mine]
-        if len(s) < least or len(set(y.tolist())) < 2:
+    for lang in {c[0] for c in counts}:
+        at, n, y = (np.asarray(x, np.int64) for x in zip(*sorted((c[1:] for c in counts if c[0] == lang), reverse=True), strict=True))
+        if n.sum() < least or y.sum() in (0, n.sum()):
             continue
-        order = np.argsort(-s, kind="stable")
-        hits = np.cumsum(y[order])
-        f1 = 2 * hits / (np.arange(1, len(s) + 1) + y.sum())
-        f1[:-1][s[order][:-1] == s[order][1:]] = -1  # equal scores are on one side
-        i = int(f1.argmax())
-        low = s[order][i + 1] if i + 1 < len(s) else 0.0
-        out[lang] = float(np.clip((s[order][i] + low) / 2, 0.05, 0.95))
+        i = int((2 * np.cumsum(y) / (np.cumsum(n) + y.sum())).argmax())
+        low = at[i + 1] + 1 if i + 1 < len(at) else 0
+        out[lang] = float(np.clip((at[i] + low) / 2 / BINS, 0.05, 0.95))
     return out
 
 
-def trained(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", lang: str | None = "lang", modulus: int = 4, left_out: int = 2, per_class: int = PER_CLASS, threshold: float = 0.3) -> tuple[TextCNN, dict]:
-    """The model, and thresholds by language from every fifth sampled id, which the filters are not fitted to.
+def trained(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", modulus: int = 4, left_out: int = 2, per_class: int = PER_CLASS) -> tuple[TextCNN, list]:
+    """The model and the ids that it is fitted on: of the sampled ones all but every fifth.
 
     At most 2 * per_class texts of at most TRAIN_WORDS words each reach the driver.
     """
-    sample = bounded_labels(docs, labels, label, key, text, modulus, left_out, per_class)
+    sample = bounded_labels(docs, labels, label, key, text, modulus, left_out, per_class).where(crc_remainder(F.col(key), 5) != 0)
     sample = sample.where(F.size(F.split(text, "\\s+")) <= TRAIN_WORDS)
-    if lang and lang in docs.columns:
-        langs = bounded_labels(docs.select(key, F.col(lang).alias(text)), labels, label, key, text, modulus, left_out, per_class).dropDuplicates([key])
-        sample = sample.join(langs.select(key, F.col(text).alias("__lang")), key, "left")
-    else:
-        sample = sample.withColumn("__lang", F.lit(None).cast("string"))
-    rows = sample.select(F.col(key).alias("id"), F.col(text).alias("body"), F.col("__label").alias("y"), F.col("__lang").alias("lang")).toPandas().sort_values(["id", "body"], kind="stable")
-    fold = np.asarray([remainder_of(i, 5) == 0 for i in rows["id"]], bool)
-    y = rows["y"].to_numpy(dtype=float)
-    bodies = list(rows["body"])
-    model = TextCNN().fit([words_of(b) for b, f in zip(bodies, fold, strict=True) if not f], y[~fold])
-    scores = np.asarray(model.scorer()([b for b, f in zip(bodies, fold, strict=True) if f]))
-    return model, calibrated(scores, y[fold], [x for x, f in zip(rows["lang"], fold, strict=True) if f], threshold)
+    rows = sample.select(F.col(key).alias("id"), F.col(text).alias("body"), F.col("__label").alias("y")).toPandas().sort_values(["id", "body"], kind="stable")
+    return TextCNN().fit([words_of(b) for b in rows["body"]], rows["y"].to_numpy(dtype=float)), list(dict.fromkeys(rows["id"].tolist()))
+
+
+def score_counts(scored: DataFrame, labels: DataFrame, fitted: list, *, key: str, label: str, lang: str, modulus: int, left_out: int) -> list[tuple]:
+    """(language, bin of the score, texts, texts of label 1) over all labelled texts, but for held-out and fitted ids.
+
+    scored: key, lang and score.  Rows are counted by id before labels are joined, so no id gathers its rows; what is
+    collected is at most BINS + 1 rows a language.
+    """
+    ids = scored.sparkSession.createDataFrame([(i,) for i in fitted], T.StructType([T.StructField(key, scored.schema[key].dataType)]))
+    rows = scored.where(F.col(key).isNotNull() & F.col(lang).isNotNull()).select(key, F.col(lang).alias("__lang"), F.floor(F.col("score") * BINS).alias("__bin"))
+    rows = rows.groupBy(key, "__lang", "__bin").agg(F.count("*").alias("__n"))
+    # at most 2 * per_class ids: a proven bound for the broadcast
+    rows = rows.join(known_labels(labels, label, key, modulus, left_out), key).join(F.broadcast(ids), key, "left_anti")
+    rows = rows.groupBy("__lang", "__bin").agg(F.sum("__n").alias("n"), F.sum(F.col("__n") * F.col("__label")).alias("y"))
+    return [tuple(r) for r in rows.collect()]
 
 
 def classify_toxicity(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", lang: str | None = "lang", keep: list[str] | None = None, modulus: int = 4, left_out: int = 2, per_class: int = PER_CLASS, threshold: float = 0.3) -> DataFrame:
@@ -190,10 +192,11 @@ def classify_toxicity(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id"
 
     score: 0 to 1, higher: label 1 likelier; rejected: score >= the language's calibrated threshold (the default for
     a null, unknown or rare language).  Learns from labelled ids whose crc32 modulo ``modulus`` is not ``left_out``
-    alone.  Null and empty texts score as texts of no words.  A null id is not held out.  No labels: no text is
+    alone; thresholds come from all such texts, of any length, whose ids the model was not fitted on.  With a language
+    the scored rows are written once, as thresholds and result both read them.  Null and empty texts score as texts of no words.  A null id is not held out.  No labels: no text is
     rejected.  Repeated rows give repeated rows; clashing columns are replaced.
     """
-    model, levels = trained(docs, labels, key=key, text=text, label=label, lang=lang, modulus=modulus, left_out=left_out, per_class=per_class, threshold=threshold)
+    model, fitted = trained(docs, labels, key=key, text=text, label=label, modulus=modulus, left_out=left_out, per_class=per_class)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # a fixed size: BUCKETS and DIM
     made = ["held_out", "score", "predicted", "lang_threshold", "rejected"]
     kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in made]
@@ -205,8 +208,11 @@ def classify_toxicity(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id"
     source = without(docs, [n for n in made if n not in (key, text)])
     use = [lang] if lang and lang in docs.columns else []
     out = map_texts(source, text, [T.StructField("score", T.DoubleType())], make, keep=[*dict.fromkeys([*kept, key, *use])])
-    level = F.lit(threshold)
-    for name, value in sorted(levels.items()) if use else ():
+    level, levels = F.lit(threshold), {}
+    if use:
+        out = written(out)
+        levels = calibrated(score_counts(out, labels, fitted, key=key, label=label, lang=lang, modulus=modulus, left_out=left_out))
+    for name, value in sorted(levels.items()):
         level = F.when(F.col(lang) == name, F.lit(value)).otherwise(level)
     out = out.withColumns({"held_out": F.coalesce(crc_remainder(F.col(key), modulus) == left_out, F.lit(False)), "predicted": (F.col("score") >= threshold).cast("int"), "lang_threshold": level})
     return out.withColumn("rejected", F.col("score") >= F.col("lang_threshold")).select(*[f"`{c}`" for c in kept], *made)

@@ -271,6 +271,32 @@ def test_classifiers_defined_cases(spark, classify, label):
     assert classify(rows.limit(0), odd).count() == 0
 
 
+def test_toxicity_thresholds_cover_all_labelled_texts(spark):
+    """A small sample to fit on: languages that it hardly holds, and one of long texts alone, have thresholds from all their texts."""
+    rng = random.Random(5)
+    rows, marks = [], []
+    for i in range(900):
+        lang, bad = ("aa", "aa", "aa", "bb", "cc")[i % 5], rng.random() < 0.3
+        words = [f"w{rng.randrange(40)}" for _ in range(toxicity.TRAIN_WORDS + 1 if lang == "cc" else 20)]
+        for _ in range(rng.randrange(2) + 2 * bad):
+            words[rng.randrange(len(words))] = rng.choice(["vile", "nasty", "odd"])
+        rows.append((i, " ".join(words), lang))
+        marks.append((i, int(bad)))
+    texts, labels = spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(marks, "doc_id long, toxic int")
+    got = toxicity.classify_toxicity(texts, labels, keep=["doc_id", "lang"], per_class=30).collect()
+    fitted = set(toxicity.trained(texts, labels, per_class=30)[1])
+    assert 0 < len(fitted) <= 60
+    levels = {r.lang: r.lang_threshold for r in got}
+    for lang in ("aa", "bb", "cc"):
+        mine = [(r.score, marks[r.doc_id][1]) for r in got if r.lang == lang and not r.held_out and r.doc_id not in fitted]
+        assert len(mine) > 90
+
+        def f1(level, mine=mine):
+            return 2 * sum(y for s, y in mine if s >= level) / (sum(s >= level for s, _ in mine) + sum(y for _, y in mine))
+
+        assert levels[lang] != 0.3 and f1(levels[lang]) >= max(f1(k / 1000) for k in range(50, 951)) - 1e-9
+
+
 def test_factorisation_machine_identity():
     import numpy as np
 
