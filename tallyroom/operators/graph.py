@@ -81,11 +81,13 @@ def audit(vertices: DataFrame, edges: DataFrame, node_floor: float = 0.4, edge_f
     return weak_v.union(weak_e).union(names).union(orphans).union(dangling)
 
 
-def tiered_search(queries: DataFrame, names: DataFrame, similarity: Callable[[Column, Column], Column], block: Callable[[Column], Column], least: float = 0.52) -> DataFrame:
+def tiered_search(queries: DataFrame, names: DataFrame, similarity: Callable[[Column, Column], Column], block: Callable[[Column], Column] | None = None, least: float = 0.52) -> DataFrame:
     """(query, id, score, tier): exact names 1, aliases 0.96, tags 0.82, else alike ones by 0.75 * likeness + 0.25 * confidence.
 
-    names: id, name, confidence, aliases, tags (arrays).  Each tier but the last is an equi-join; likeness is only
-    computed for pairs that share a block (an array of strings from a text).  A pair counts by its first tier.
+    names: id, name, confidence, aliases, tags (arrays).  Each tier but the last is an equi-join; the last takes the
+    likest of name and aliases, and the list of queries is sent to all names, so every pair is compared.  With ``block``
+    (an array of strings from a text) only pairs that share a block are, which loses alike ones that share none.  A
+    pair counts by its first tier.
     """
     q = queries.select("query", F.lower("query").alias("q"))
 
@@ -95,9 +97,14 @@ def tiered_search(queries: DataFrame, names: DataFrame, similarity: Callable[[Co
     tiers = F.concat(tier(F.array("name"), 1.0, "exact"), tier(F.col("aliases"), 0.96, "alias"), tier(F.col("tags"), 0.82, "tag"))
     terms = names.select("id", F.explode(tiers).alias("x")).select("id", "x.*")
     sure = q.join(terms, q["q"] == terms["t"]).select("query", "id", "s", "tier")
-    keys = lambda df, c: df.withColumn("__k", F.explode(block(F.col(c))))
-    pairs = keys(q, "q").join(keys(names.select("id", F.lower("name").alias("n"), "confidence"), "n"), "__k").select("query", "q", "id", "n", "confidence").distinct()
-    like = pairs.withColumn("l", similarity(F.col("q"), F.col("n"))).where(F.col("l") >= least).select("query", "id", (0.75 * F.col("l") + 0.25 * F.col("confidence")).alias("s"), F.lit("fuzzy").alias("tier"))
+    texts = F.concat(F.array("name"), F.coalesce(F.col("aliases"), F.expr("CAST(array() AS array<string>)")))
+    alike = names.select("id", "confidence", F.explode(texts).alias("n")).withColumn("n", F.lower("n"))
+    if block is None:
+        pairs = alike.crossJoin(F.broadcast(q))
+    else:
+        keys = lambda df, c: df.withColumn("__k", F.explode(block(F.col(c))))
+        pairs = keys(q, "q").join(keys(alike, "n"), "__k").select("query", "q", "id", "n", "confidence").distinct()
+    like = pairs.withColumn("l", similarity(F.col("q"), F.col("n"))).where(F.col("l") >= least).groupBy("query", "id").agg(F.max(0.75 * F.col("l") + 0.25 * F.col("confidence")).alias("s")).withColumn("tier", F.lit("fuzzy"))
     ranked = sure.unionByName(like).withColumn("o", F.array_position(F.array(F.lit("exact"), F.lit("alias"), F.lit("tag"), F.lit("fuzzy")), F.col("tier")))
     best = ranked.groupBy("query", "id").agg(F.min_by(F.struct("s", "tier"), "o").alias("b"))
     return best.select("query", "id", F.col("b.s").alias("score"), F.col("b.tier").alias("tier"))

@@ -220,3 +220,13 @@ def test_lexicon_rank(spark, tmp_path):
 def test_validate(spark):
     good, bad = tables.validate(spark.createDataFrame([(1,), (None,), (-1,)], "x int"), {"positive": "x > 0", "small": "x < 9"})
     assert [r.x for r in good.collect()] == [1] and sorted(map(len, (r.broken_rules for r in bad.collect()))) == [1, 2]
+
+
+def test_tiered_search_compares_every_pair(spark):
+    from tallyroom.functions.text import edit_similarity
+    from tallyroom.operators import graph
+
+    names = spark.createDataFrame([(1, "new widget", 0.8, [], []), (2, "large gizmo", 0.8, None, []), (3, "plain", 0.8, ["red widgte"], []), (4, "red wigdet", 0.8, [], []), (5, "far off", 0.8, [], [])], "id int, name string, confidence double, aliases array<string>, tags array<string>")
+    queries = spark.createDataFrame([("red wigdet",), ("larg gear",), ("plian",)], "query string")
+    got = {(r["query"], r.id): (round(r.score, 6), r.tier) for r in graph.tiered_search(queries, names, edit_similarity).collect()}
+    assert got == {("red wigdet", 1): (0.65, "fuzzy"), ("red wigdet", 3): (0.725, "fuzzy"), ("red wigdet", 4): (1.0, "exact"), ("larg gear", 2): (0.609091, "fuzzy"), ("plian", 3): (0.65, "fuzzy")}
