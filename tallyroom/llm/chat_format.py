@@ -35,9 +35,9 @@ def folded(events: DataFrame, *, conversation: str = "conv_id", sequence: str =
 
     Events of equal sequence come in the order of kind (open, regenerate, edit, delta), then text.  A message's role is
     that of its first event that has one, a null role otherwise empty; its text is what the last open, edit or
-    regenerate set, and the deltas since.  Null texts are empty.  Unknown kinds count as delta.  Null conversations are
-    one conversation.  Messages come by the sequence of their first event, then role, text and id.  One conversation is
-    one row, so its log is in one task.
+    regenerate set, and the deltas since.  Null texts are empty.  Unknown kinds count as delta.  Messages of no (a null)
+    conversation are a conversation each, so they gather nowhere.  Messages come by the sequence of their first event,
+    then role, text and id.  One conversation is one row, so its log is in one task.
     """
     rank = F.coalesce(F.when(F.col(kind) == "open", 0).when(F.col(kind) == "regenerate", 1).when(F.col(kind) == "edit", 2), F.lit(3))
     log = events.select(
@@ -45,7 +45,8 @@ def folded(events: DataFrame, *, conversation: str = "conv_id", sequence: str =
         F.struct(F.col(sequence).alias("seq"), rank.alias("rank"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(role).alias("role")).alias("event"),
     )
     # dealt once by conversation: messages and conversations are then grouped where they lie
-    by_message = log.repartition("conv").groupBy("conv", "msg").agg(F.sort_array(F.collect_list("event")).alias("log"))
+    alone = F.when(F.col("conv").isNull(), F.xxhash64("msg"))
+    by_message = log.withColumn("alone", alone).repartition("conv", "alone").groupBy("conv", "alone", "msg").agg(F.sort_array(F.collect_list("event")).alias("log"))
 
     def state(log: Column) -> Column:
         resets = F.transform(log, lambda e, i: F.when(e["rank"] < 3, i))
@@ -53,8 +54,8 @@ def folded(events: DataFrame, *, conversation: str = "conv_id", sequence: str =
         return F.array_join(F.transform(F.slice(log, since + 1, F.size(log)), lambda e: F.when(e["rank"] == 1, "").otherwise(e["text"])), "")
 
     first_role = F.coalesce(F.get(F.filter(F.transform(F.col("log"), lambda e: e["role"]), lambda r: r.isNotNull()), F.lit(0)), F.lit(""))
-    messages = by_message.select("conv", F.struct(F.col("log")[0]["seq"].alias("seq"), first_role.alias("role"), state(F.col("log")).alias("text"), "msg").alias("message"))
-    whole = messages.groupBy("conv").agg(F.sort_array(F.collect_list("message")).alias("messages"))
+    messages = by_message.select("conv", "alone", F.struct(F.col("log")[0]["seq"].alias("seq"), first_role.alias("role"), state(F.col("log")).alias("text"), "msg").alias("message"))
+    whole = messages.groupBy("conv", "alone").agg(F.sort_array(F.collect_list("message")).alias("messages"))
     return whole.select(F.col("conv").alias(conversation), F.transform("messages", lambda m: F.struct(m["msg"].alias("msg"), m["role"].alias("role"), m["text"].alias("text"))).alias("messages"))
 
 

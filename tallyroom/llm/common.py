@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-import zlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -16,8 +15,8 @@ from pyspark.sql import types as T
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: A run of what is not ASCII white space, and of what is neither ASCII punctuation, space nor control.
 SPACE = "[\\x20\\x09-\\x0D]+"
-WORD_BYTES = re.compile(rb"[^ \t-\r]+")
 PLAIN_BYTES = re.compile(rb"[0-9a-z\x80-\xff]+")
+_TO_SPACE = bytes(b if PLAIN_BYTES.fullmatch(bytes([b])) else 32 for b in range(256))
 #: Rows of an Arrow batch that are Python objects at the same time.
 SLICE = 256
 
@@ -36,17 +35,28 @@ def space_words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
 
 
+def split_bytes(text: str | None) -> list[bytes]:
+    """The same words in Python, as UTF-8: bytes are split at ASCII white space."""
+    return text.encode("utf-8", "surrogatepass").split() if text else []
+
+
+def plain_words(text: str | None) -> list[bytes]:
+    """A-Z lower-cased, then the runs of digits, a-z and what is not ASCII; null has none."""
+    return text.encode("utf-8", "surrogatepass").lower().translate(_TO_SPACE).split() if text else []
+
+
 def crc_remainder(ident: Column, modulus: int) -> Column:
     """crc32 of an id written as text, modulo; null for a null id."""
     return F.crc32(ident.cast("string").cast("binary")) % modulus
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where that is unset."""
+    """The folder that the cluster names in spark.checkpoint.dir; one of our own only in local mode, an error elsewhere."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         named = f"file://{tempfile.gettempdir()}/tallyroom-checkpoints"
-        spark.conf.set("spark.checkpoint.dir", named) if spark.conf.isModifiable("spark.checkpoint.dir") else None
     return named.rstrip("/")
 
 
@@ -58,6 +68,11 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def broadcast_if(df: DataFrame, most: int) -> DataFrame:
+    """A written table, sent to all executors if it has at most ``most`` rows; beyond, its join is shuffled."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def without(df: DataFrame, names: list[str]) -> DataFrame:
     """Without the columns that would clash with a result's, in any case of letters."""
     low = {n.lower() for n in names}
@@ -129,15 +144,13 @@ def known_labels(labels: DataFrame, label: str, key: str, modulus: int, left_out
 def bounded_labels(docs: DataFrame, labels: DataFrame, label: str, key: str, text: str, modulus: int, left_out: int, per_class: int) -> DataFrame:
     """At most ``per_class`` labelled texts of each class, in the order of a hash of the id: (key, text, label).
 
-    Only ids whose crc32 remainder is not ``left_out`` are learned from.  A text with contradicting labels counts as
-    its largest.  The bound is on rows; ids are chosen before any text is read.
+    Only ids whose crc32 remainder is not ``left_out`` are learned from.  An id with contradicting labels counts as its
+    largest; of an id's rows one stays, the text with the smallest hash (a null text only if there is no other).  Ids
+    are chosen before any text is read, and rows of one id are combined before the shuffle.
     """
     known = known_labels(labels, label, key, modulus, left_out)
     order = [F.xxhash64(F.col(key)), F.col(key)]
     chosen = known.where("__label = 0").orderBy(*order).limit(per_class).unionByName(known.where("__label = 1").orderBy(*order).limit(per_class))
     # at most 2 * per_class ids: a proven bound for the broadcast
-    return docs.select(key, text).join(F.broadcast(chosen), key)
-
-
-def remainder_of(ident, modulus: int):
-    return None if ident is None else zlib.crc32(str(ident).encode()) % modulus
+    rows = docs.select(key, text).join(F.broadcast(chosen), key)
+    return rows.groupBy(key, "__label").agg(F.min_by(text, F.struct(F.col(text).isNull(), F.xxhash64(text))).alias(text))

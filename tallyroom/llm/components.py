@@ -7,20 +7,26 @@ from pyspark.sql import functions as F
 
 from tallyroom.llm.common import written
 
+#: Nodes that may be hubs at a time: a hub has over 1 / HUBS of all edges' ends, so there are no more.
+HUBS = 10_000
+
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node that each node of the edges reaches.
 
     Alternates two steps until nothing changes: every node's larger neighbours are tied to the smallest node around it
     (so are, in the second step, its smaller neighbours), which halves depths, so rounds grow with the logarithm of the
-    longest path.  Each round is written to the shared folder.  Every step is a minimum by key and a join, so a hub
-    with a third of the edges is combined before the shuffle and its join can be split.  Nulls are ignored.
+    longest path.  Each round is written to the shared folder.  Every step is a minimum by key, combined before the
+    shuffle, and a join.  The minima of hubs are sent to the edges where they lie, so a node with a third of the edges
+    is in no single task.  Nulls are ignored.
     """
     pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct()
     pairs = written(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     while True:
-        large = _tied(pairs.union(pairs.select("v", "u")), larger=True)
-        small = written(_tied(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), larger=False))
+        # ends: two an edge, and at most one more a node in the second step
+        degree = max(64, 4 * pairs.count() // HUBS)
+        large = _tied(pairs.union(pairs.select("v", "u")), degree, larger=True)
+        small = written(_tied(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), degree, larger=False))
         # a forest of stars: no node is both a centre and a member, none has two centres
         centres = small.select(F.col("v").alias("u")).distinct()
         if small.join(centres, "u", "left_semi").isEmpty() and small.groupBy("u").count().where("count > 1").isEmpty():
@@ -29,10 +35,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     return small.select(F.col("u").alias("node"), F.col("v").alias("component")).union(small.select(F.col("v"), F.col("v")).distinct())
 
 
-def _tied(directed: DataFrame, larger: bool) -> DataFrame:
+def _tied(directed: DataFrame, degree: int, larger: bool) -> DataFrame:
     """For each u with neighbours v: ties its larger (else its smaller) neighbours and itself to the smallest of all."""
-    least = directed.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-    tied = directed.join(least, "u")
+    least = directed.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("m", "u").alias("m"), "n")
+    hubs = F.broadcast(least.where(F.col("n") > degree).drop("n"))  # at most HUBS rows, by their number of edges
+    tied = directed.join(hubs, "u").unionByName(directed.join(hubs.select("u"), "u", "left_anti").join(least.where(F.col("n") <= degree).drop("n"), "u"))
     if larger:
         tied = tied.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:

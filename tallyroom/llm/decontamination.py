@@ -1,28 +1,28 @@
 """Benchmark decontamination with a generalised suffix automaton of the test items.
 
 The items' normalised words are inserted into one automaton; each document's words stream through it while the length
-of the longest match that ends at the word is kept.  A match of ``window`` words or more marks words as hit; so does
-an occurrence of a whole item that is shorter than the window.  Documents go through in one narrow pass for each block
-of items: no shuffle, and what is sent to the executors is bounded by ``block_words``.
+of the longest match that ends at the word, up to the window, is kept.  A match of ``window`` words marks words as hit;
+so does an occurrence of a whole item that is shorter than the window.  Documents go through in one narrow pass, without
+a shuffle.  Items of more than ``block_words`` words take a pass for each block of them; such a pass writes the marks
+of the texts that are hit alone, so one automaton lives at a time.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tallyroom.llm.common import PLAIN_BYTES, field, longs, map_texts, without
+from tallyroom.llm.common import PLAIN_BYTES, broadcast_if, field, longs, map_texts, plain_words, without, written
 
 WINDOW = 13
 #: Words of test items in one automaton (about 2 states a word, some 100 MB); more items take more passes.
 BLOCK_WORDS = 150_000
-
-
-def plain_words(text: str | None) -> list[bytes]:
-    """A-Z lower-cased, then the runs of digits, a-z and what is not ASCII; null has none."""
-    return PLAIN_BYTES.findall(text.encode("utf-8", "surrogatepass").lower()) if text else []
+#: Marked texts that may be sent to all executors; beyond, they are joined by a shuffle.
+BROADCAST_ROWS = 100_000
 
 
 class SuffixAutomaton:
@@ -44,7 +44,8 @@ class SuffixAutomaton:
             for i, code in enumerate(codes):
                 at = self.step[at][code]
                 if i + 1 >= window:
-                    self.held.setdefault(self._of_length(at, window), set()).add(item)
+                    at = self._of_length(at, window)
+                    self.held.setdefault(at, set()).add(item)
             if len(codes) < window:
                 self.short.setdefault(at, []).append((len(codes), item))
         self.least = min([window, *[n for marks in self.short.values() for n, _ in marks]])
@@ -80,10 +81,8 @@ class SuffixAutomaton:
         return new
 
     def _of_length(self, state: int, n: int) -> int:
-        """The state that holds the last n words of what a state ends with."""
-        while self.length[self.link[state]] >= n:
-            state = self.link[state]
-        return state
+        """The state that holds the last n words of a match of n or n + 1 words: this one or the one above."""
+        return self.link[state] if self.length[self.link[state]] >= n else state
 
     def scan(self, words: list[bytes]) -> tuple[list[list[int]], set]:
         """Word intervals [first, end) of the occurrences, merged, in order; and the items that occur."""
@@ -108,7 +107,9 @@ class SuffixAutomaton:
                 continue
             reach = 0
             if long >= window:
-                found |= self.held[self._of_length(at, window)]
+                # no more words than the window are kept, so each step goes up one link at most
+                at, long = self._of_length(at, window), window
+                found |= self.held[at]
                 reach = window
             mark = self.marked[at]
             while mark > 0:
@@ -132,29 +133,40 @@ def pieces(item: object, words: list[bytes], most: int, window: int) -> list[tup
     return [(item, words[i : i + most]) for i in range(0, len(words) - window + 1, most - window + 1)]
 
 
-def item_blocks(items: DataFrame, item_id: str, text: str, window: int, block_words: int) -> Iterable[list[tuple[object, list[bytes]]]]:
-    """The items' pieces in blocks of about ``block_words`` words; rows come to the driver one partition at a time."""
-    block, n = [], 0
-    for row in items.select(F.col(item_id), F.col(text)).where(F.col(text).isNotNull()).toLocalIterator():
-        for piece in pieces(row[0], plain_words(row[1]), max(block_words, 2 * window), window):
-            block.append(piece)
-            n += len(piece[1])
-            if n >= block_words:
-                yield block
-                block, n = [], 0
-    if block:
-        yield block
+def item_blocks(items: DataFrame, item_id: str, text: str, window: int, block_words: int) -> Iterator[list[tuple[object, list[bytes]]]]:
+    """The items' pieces in blocks of about ``block_words`` words, one block on the driver at a time.
+
+    Pieces are cut and dealt to blocks by Spark; each block is a scan of a written table.
+    """
+
+    def make() -> Callable[[list], list[tuple]]:
+        def cut_up(rows: list) -> list[tuple]:
+            parts = [[(len(p), " ".join(w.decode("utf-8", "surrogatepass") for w in p)) for _, p in pieces(None, plain_words(body), max(block_words, 2 * window), window)] for body in rows]
+            return [(p,) for p in parts]
+
+        return cut_up
+
+    named = items.select(F.col(item_id).cast("string").alias("__item"), F.col(text).alias("__body")).where("__item IS NOT NULL AND __body IS NOT NULL")
+    cut_items = map_texts(named, "__body", [field("__pieces", "array<struct<n:bigint,words:string>>")], make, keep=["__item"])
+    table = written(cut_items.select("__item", F.explode("__pieces").alias("p")).select("__item", "p.n", "p.words"))
+    total = table.agg(F.sum("n")).first()[0] or 0
+    blocks = -(-total // block_words)
+    for b in range(blocks):
+        rows = table.where(F.pmod(F.xxhash64("words"), F.lit(blocks)) == b).collect() if blocks > 1 else table.collect()
+        if rows:
+            yield [(r["__item"], r["words"].encode("utf-8", "surrogatepass").split(b" ")) for r in rows]
 
 
 def _scanner(block: list[tuple[object, list[bytes]]], window: int) -> Callable[[], Callable]:
     def make() -> Callable[[list], list[tuple]]:
         automaton = SuffixAutomaton(block, window)
 
-        def scan(rows: list) -> list[tuple]:
+        def scan(texts: list) -> list[tuple]:
             out = []
-            for text, spans, items in rows:
-                new, found = automaton.scan(plain_words(text))
-                out.append(((spans or []) + [x for s in new for x in s], (items or []) + sorted(map(str, found))))
+            for text in texts:
+                words = plain_words(text)
+                spans, found = automaton.scan(words)
+                out.append((len(words), [x for s in spans for x in s], sorted(found)))
             return out
 
         return scan
@@ -172,37 +184,53 @@ def _merged(flat: list[int]) -> list[int]:
     return out
 
 
+_MARKS = [field("n_words", "long"), longs("hit_spans"), T.StructField("item_ids", T.ArrayType(T.StringType()))]
+
+
+def _over_blocks(base: DataFrame, text: str, kept: list[str], blocks: list, window: int, broadcast_rows: int) -> DataFrame:
+    """Marks of several blocks: of each block those of the texts that it hits, joined back by the text's hashes."""
+    name = ["__h1", "__h2"]
+    hashes = {"__h1": F.xxhash64(text), "__h2": F.xxhash64(F.lit(1), text)}
+    bodies = base.select(F.col(text).alias("__body")).where("__body IS NOT NULL").withColumns({"__h1": F.xxhash64("__body"), "__h2": F.xxhash64(F.lit(1), "__body")})
+    hits = None
+    for n, block in enumerate(blocks):
+        new = written(map_texts(bodies, "__body", _MARKS, _scanner(block, window), keep=name).where("size(hit_spans) > 0").drop("n_words")).withColumn("block", F.lit(n))
+        hits = new if hits is None else hits.union(new)
+    # equal texts have equal marks: one row a text and block, combined before the shuffle
+    one = hits.groupBy(*name, "block").agg(F.first("hit_spans").alias("hit_spans"), F.first("item_ids").alias("item_ids"))
+    hits = written(one.groupBy(*name).agg(F.flatten(F.collect_list("hit_spans")).alias("__spans"), F.flatten(F.collect_list("item_ids")).alias("__items")))
+
+    def make() -> Callable[[list], list[tuple]]:
+        return lambda rows: [(len(plain_words(body)), _merged(spans or []), sorted(set(found or []))) for body, spans, found in rows]
+
+    joined = base.withColumns(hashes).join(broadcast_if(hits, broadcast_rows), name, "left")
+    return map_texts(joined, text, _MARKS, make, keep=kept, also=["__spans", "__items"])
+
+
 def find_contamination(
-    docs: DataFrame, items: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, coverage: float = 0.05, block_words: int = BLOCK_WORDS, keep: list[str] | None = None
+    docs: DataFrame, items: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, coverage: float = 0.05, block_words: int = BLOCK_WORDS, broadcast_rows: int = BROADCAST_ROWS, keep: list[str] | None = None
 ) -> DataFrame:
     """The documents' columns (or ``keep``), then what of each occurs in the items.
 
     n_words, n_hit, n_items: long; hit_spans: array of first, end, first, end ... in words; item_ids: strings, sorted;
     contaminated: n_hit > 0 and n_hit >= coverage * n_words.  A null or empty text has no words and is never
-    contaminated.  Null or empty items match nothing; items with equal texts or ids each count once by id.  Repeated
-    document rows give repeated rows.  A column that has one of these names is replaced.  No items: no hits.
+    contaminated.  Items with a null id or a null or empty text match nothing; items with equal texts or ids each count
+    once by id.  Repeated document rows give repeated rows.  A column that has one of these names is replaced.  No
+    items: no hits.
     """
-    names = ["__spans", "__items"]
-    marks = [longs("__spans"), field("__items", "array<string>")]
-    base = without(docs, ["n_words", "n_hit", "n_items", "hit_spans", "item_ids", "contaminated"])
+    base = without(docs, [n for n in ("n_words", "n_hit", "n_items", "hit_spans", "item_ids", "contaminated") if n != text])
     kept = [c for c in (base.columns if keep is None else keep)]
-    out = base.select(*[f"`{c}`" for c in dict.fromkeys([*kept, text])]).withColumns({"__spans": F.lit(None).cast("array<bigint>"), "__items": F.lit(None).cast("array<string>")})
-    for block in item_blocks(items, item_id, item_text, window, block_words):
-        out = map_texts(out, text, marks, _scanner(block, window), keep=[*dict.fromkeys([*kept, text])], also=names)
-
-    def make() -> Callable[[list], list[tuple]]:
-        def count(rows: list) -> list[tuple]:
-            made = []
-            for body, spans, found in rows:
-                n, merged, ids = len(plain_words(body)), _merged(spans or []), sorted(set(found or []))
-                hit = sum(merged[1::2]) - sum(merged[::2])
-                made.append((n, hit, len(ids), merged, ids, hit > 0 and hit >= coverage * n))
-            return made
-
-        return count
-
-    fields = [field("n_words", "long"), field("n_hit", "long"), field("n_items", "long"), longs("hit_spans"), field("item_ids", "array<string>"), field("contaminated", "boolean")]
-    return map_texts(out, text, fields, make, keep=kept, also=names)
+    base = base.select(*[f"`{c}`" for c in dict.fromkeys([*kept, text])])
+    blocks = item_blocks(items, item_id, item_text, window, block_words)
+    first, second = next(blocks, []), next(blocks, None)
+    if second is None:
+        out = map_texts(base, text, _MARKS, lambda: _scanner(first, window)(), keep=kept)
+    else:
+        out = _over_blocks(base, text, kept, chain([first, second], blocks), window, broadcast_rows)
+    n_hit = F.aggregate(F.transform("hit_spans", lambda x, i: F.when(i % 2 == 0, -x).otherwise(x)), F.lit(0).cast("long"), lambda a, x: a + x)
+    out = out.withColumns({"n_hit": n_hit, "n_items": F.size("item_ids").cast("long")})
+    out = out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") >= F.lit(coverage) * F.col("n_words")))
+    return out.select(*[f"`{c}`" for c in kept], "n_words", "n_hit", "n_items", "hit_spans", "item_ids", "contaminated")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, *, text: str = "text", max_coverage: float = 0.05, max_span: int = WINDOW, **options) -> DataFrame:

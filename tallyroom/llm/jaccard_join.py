@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyroom.llm.common import WORD_BYTES, field, longs, map_texts, without, written
+from tallyroom.llm.common import field, longs, map_texts, without, written
 from tallyroom.llm.components import connected_components
 
 #: Of the first order: one in so many shingles leads.
@@ -49,7 +49,7 @@ def shingler(size: int) -> Callable[[str | None], np.ndarray]:
     known: dict[bytes, int] = {}
 
     def shingles(text: str | None) -> np.ndarray:
-        words = WORD_BYTES.findall(text.encode("utf-8", "surrogatepass").lower()) if text else []
+        words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
         if not words:
             return np.empty(0, np.uint64)
         if len(known) > _WORDS_KEPT:
@@ -221,7 +221,7 @@ def _sized(of: DataFrame, block_sets: int, block_shingles: int) -> DataFrame:
 
 
 def _cluster_links(members: DataFrame, percent: int, block_sets: int, block_shingles: int) -> DataFrame:
-    """Links within clusters of sets (node, cluster, blocks, n_cluster, n, tokens); large clusters are cut by a second order first."""
+    """Links within clusters of sets (node, cluster, blocks, n_cluster, n, tokens); large clusters are cut by further orders first."""
 
     def direct(of: DataFrame) -> DataFrame:
         return block_links(of.where("blocks = 1").withColumn("label", F.col("node")).withColumn("active", F.lit(True)), ["cluster"], percent)
@@ -230,13 +230,21 @@ def _cluster_links(members: DataFrame, percent: int, block_sets: int, block_shin
     large = members.where("blocks > 1").select("node", "n", "tokens")
     if large.isEmpty():
         return edges
-    large = written(large)
-    again = prefix_clusters(large.select("node", "n", F.col("n").alias("n_lead"), F.col("tokens").alias("lead")), percent)
-    again = written(_sized(written(again.join(large.select("node", "n"), "node")), block_sets, block_shingles))
-    cut = written(large.join(again.drop("n"), "node"))
-    edges = edges.union(direct(cut))
-    still = cut.where("blocks > 1")
-    return edges if still.isEmpty() else edges.union(large_links(still, percent, block_sets))
+    large, left = written(large.withColumn("cluster", F.lit(0).cast("long"))), None
+    while True:
+        # counts within a cluster: its sets agree on the order, and links stay within it
+        own = F.transform("tokens", lambda t: F.xxhash64(t, "cluster"))
+        again = prefix_clusters(large.select("node", "n", F.col("n").alias("n_lead"), own.alias("lead")), percent)
+        again = written(_sized(written(again.join(large.select("node", "n"), "node")), block_sets, block_shingles))
+        cut = written(large.drop("cluster", "blocks", "n_cluster").join(again.drop("n"), "node"))
+        edges = edges.union(direct(cut))
+        large = cut.where("blocks > 1")
+        still = large.count()
+        if not still:
+            return edges
+        if left is not None and still > 0.9 * left:
+            return edges.union(large_links(large, percent, block_sets))
+        left = still
 
 
 def _make_sets(size: int, percent: int, lead: int) -> Callable[[], Callable[[list], list[tuple]]]:

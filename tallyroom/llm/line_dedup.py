@@ -1,19 +1,18 @@
 """Line dedup: winnowing over line hashes.
 
-Every run of consecutive lines that has ``min_words`` words is a window; of each window the line with the smallest hash
-is selected (of equal ones the last).  A run of as many words that stands in two places has the same windows in both,
-so they share a selected line: the fingerprint.  Positions are joined by fingerprint; a match is extended to both
-sides, line by line, as far as the same lines stand there at an earlier place; runs of ``min_words`` words or more that
-stood earlier are deleted.
-
-An earlier place is a smaller document key, or an earlier line of the same document.  To find it no pairs of places
-are formed: a fingerprint and the lines up to k places to one side are hashed together, and the first place of each
-such hash is a minimum by key.
+A window is a shortest run of lines with ``min_words`` words: one begins at each line, and one ends there.  Of each
+window the line with the smallest hash is selected (of equal ones the last); these lines are the fingerprints.  A run
+of as many words that stands in two places has the same windows in both, so they share every fingerprint.
+
+Positions are joined by fingerprint; what no other place has drops out there.  A shared position is extended to both
+sides over the windows that selected it, and a window is deleted where the very same lines stand together at one
+earlier place.  Longer runs are unions of their windows, so nothing is deleted that was never repeated in one piece,
+and every line of a repeated run is found.  No pairs of places are formed: the first place of a window is a minimum by
+key.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections import deque
 from collections.abc import Callable
 
@@ -21,122 +20,132 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyroom.llm.common import WORD_BYTES, field, longs, map_texts, without
+from tallyroom.llm.common import broadcast_if, field, longs, map_texts, without, written
 
 MIN_WORDS = 40
+#: Shared fingerprints (8 bytes each) that may be sent to all executors; beyond, the same join is shuffled.
+BROADCAST_ROWS = 1_000_000
+_PRIME, _BASE = (1 << 61) - 1, 0x1F3D5B79_A2C4E6F
+
+
+def windows(words: list[int], min_words: int) -> list[tuple[int, int]]:
+    """(first, last) line of the shortest runs of min_words words that begin, or end, at a line; both ends rise."""
+    out = set()
+    first = held = 0
+    for last, n in enumerate(words):
+        held += n
+        if held >= min_words:
+            while held - words[first] >= min_words:  # lines that are no longer needed begin a run that ended before
+                held -= words[first]
+                first += 1
+            out.add((first, last))
+    last = held = 0
+    for first, n in enumerate(words):
+        while last < len(words) and held < min_words:
+            held += words[last]
+            last += 1
+        if held < min_words:
+            break
+        out.add((first, last - 1))
+        held -= n
+    return sorted(out)
 
 
-def fingerprints(hashes: list[int], words: list[int], min_words: int) -> list[int]:
-    """Positions of the lines that are the smallest of a window; windows are the shortest runs of min_words words."""
-    chosen: list[int] = []
-    low: deque[int] = deque()  # candidates for the minimum, hashes rising
-    end = held = 0
-    for start in range(len(hashes)):
-        while end < len(hashes) and held < min_words:
+def selected(hashes: list[int], runs: list[tuple[int, int]]) -> list[int]:
+    """For each window the line with the smallest hash, of equal ones the last."""
+    low: deque[int] = deque()  # candidates, hashes rising
+    chosen, end = [], 0
+    for first, last in runs:
+        while end <= last:
             while low and hashes[low[-1]] >= hashes[end]:
                 low.pop()
             low.append(end)
-            held += words[end]
             end += 1
-        if held < min_words:
-            break
-        if not chosen or chosen[-1] != low[0]:
-            chosen.append(low[0])
-        held -= words[start]
-        if low and low[0] == start:
+        while low[0] < first:
             low.popleft()
+        chosen.append(low[0])
     return chosen
 
 
-def line_keys(text: str | None, min_words: int) -> list[tuple[int, int, int, int]]:
-    """(hash, hash, position, reach) for each fingerprint: reach 0 for the line itself, -k and k with k lines before or after.
+def _signed(h: int) -> int:
+    return h - (1 << 64) if h >> 63 else h
 
-    To each side as many lines as hold min_words words less the last: what is further off has a fingerprint of its own.
-    """
+
+def fingerprints(text: str | None, min_words: int) -> list[tuple[int, int, list[tuple[int, int, int]]]]:
+    """(hash of the selected line, its position, the windows that selected it: hash, first, last)."""
     if not text:
         return []
     lines = text.encode("utf-8", "surrogatepass").split(b"\n")
-    words = [max(1, len(WORD_BYTES.findall(x))) for x in lines]  # so that a window has at most min_words lines
+    runs = windows([len(x.split()) for x in lines], min_words)
+    if not runs:
+        return []
     hashes = [xxhash.xxh3_64_intdigest(x) for x in lines]
-    out = []
-    for p in fingerprints(hashes, words, min_words):
-        for way in (-1, 1):
-            chain, at, k, held = hashlib.blake2b(lines[p], digest_size=16, salt=b"before" if way < 0 else b"after"), p, 0, 0
-            while True:
-                if k or way > 0:
-                    digest = chain.digest()
-                    out.append((int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True), p, way * k))
-                at, k = at + way, k + 1
-                if not 0 <= at < len(lines) or held >= min_words:
-                    break
-                held += words[at]
-                chain.update(b"\n" + lines[at])
-    return out
-
-
-def repeated_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(__id, __same, reach) of the texts in which a fingerprint stood earlier; reach: array of position, reach pairs.
-
-    __same is a hash of the text, which with the key names a row.
+    # a window's hash from those of the prefixes, whatever its length
+    prefix, power = [0], [1]
+    for h in hashes:
+        prefix.append((prefix[-1] * _BASE + h) % _PRIME)
+        power.append(power[-1] * _BASE % _PRIME)
+    out: dict[int, list] = {}
+    for (first, last), at in zip(runs, selected(hashes, runs), strict=True):
+        out.setdefault(at, []).append(((prefix[last + 1] - prefix[first] * power[last + 1 - first]) % _PRIME, first, last))
+    return [(_signed(hashes[at]), at, runs_of) for at, runs_of in out.items()]
+
+
+def repeated_windows(docs: DataFrame, *, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """(__id, __same, runs: array of first, last) of the texts that hold windows which stood at an earlier place.
+
+    __same is a hash of the text, which with the key names a document.
     """
-    def make() -> Callable[[list], list[tuple]]:
-        def keys(texts: list) -> list[tuple]:
-            return [([x for k in line_keys(t, min_words) for x in k],) for t in texts]
 
-        return keys
+    def make() -> Callable[[list], list[tuple]]:
+        return lambda texts: [(fingerprints(t, min_words),) for t in texts]
 
     base = docs.select(F.col(key).alias("__id"), F.xxhash64(text).alias("__same"), F.col(text).alias("__text"))
-    flat = map_texts(base, "__text", [longs("k")], make, keep=["__id", "__same"]).where("size(k) > 0")
-    quads = F.transform(F.sequence(F.lit(0), F.size("k") - 1, F.lit(4)), lambda i: F.struct(F.get("k", i).alias("h1"), F.get("k", i + 1).alias("h2"), F.get("k", i + 2).cast("int").alias("pos"), F.get("k", i + 3).cast("int").alias("reach")))
-    places = flat.select("__id", "__same", F.explode(quads).alias("q")).select("__id", "__same", "q.*")
+    marks = field("marks", "array<struct<print:bigint,at:int,runs:array<struct<h:bigint,first:int,last:int>>>>")
+    marked = written(map_texts(base, "__text", [marks], make, keep=["__id", "__same"]).where("size(marks) > 0"))
+    places = marked.select("__id", "__same", F.explode("marks").alias("m")).select("__id", "__same", "m.*")
     # combined before the shuffle, so a line that a third of all texts hold is no large group
-    first = places.groupBy("h1", "h2").agg(F.min(F.struct("__id", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = places.join(first, ["h1", "h2"]).where(F.struct("__id", "pos") > F.col("first"))
-    return later.groupBy("__id", "__same").agg(F.sort_array(F.collect_list(F.struct("pos", "reach"))).alias("reach"))
-
-
-def deleted_lines(text: str, reach: list, min_words: int) -> list[int]:
-    """Line numbers of the runs that stood earlier and hold min_words words or more."""
-    lines = text.encode("utf-8", "surrogatepass").split(b"\n")
-    spans: dict[int, list[int]] = {}
-    for pos, far in reach:
-        span = spans.setdefault(pos, [0, 0])
-        span[0], span[1] = min(span[0], far), max(span[1], far)
-    runs: list[list[int]] = []
-    for pos in sorted(spans):
-        a, b = pos + spans[pos][0], pos + spans[pos][1]
-        if runs and a <= runs[-1][1] + 1:
-            runs[-1] = [min(a, runs[-1][0]), max(b, runs[-1][1])]
-        else:
-            runs.append([a, b])
-    words = [len(WORD_BYTES.findall(x)) for x in lines]
-    return [i for a, b in runs if sum(words[a : b + 1]) >= min_words for i in range(a, b + 1)]
-
-
-def dedup_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    spot = F.struct("__id", "__same", "at")
+    shared = written(places.groupBy("print").agg(F.min(spot).alias("a"), F.max(spot).alias("b")).where("a <> b").select("print"))
+    met = places.join(broadcast_if(shared, broadcast_rows), "print", "left_semi")
+    runs = met.select("__id", "__same", "print", F.explode("runs").alias("r")).select("__id", "__same", "print", "r.*")
+    spot = F.struct("__id", "__same", "first", "last")
+    # both written, so that the join has two plain shuffles and a hot window's rows can be split
+    runs = written(runs)
+    earliest = written(runs.groupBy("print", "h").agg(F.min(spot).alias("e"), F.max(spot).alias("b")).where("e <> b").drop("b"))
+    later = runs.join(earliest, ["print", "h"])
+    doc = F.struct("__id", "__same")
+    here = F.struct(F.col("e.__id").alias("__id"), F.col("e.__same").alias("__same"))
+    later = later.where((doc > here) | ((doc == here) & (F.col("first") > F.col("e.last"))))
+    return later.groupBy("__id", "__same").agg(F.collect_set(F.struct("first", "last")).alias("runs"))
+
+
+def dedup_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """The columns, the text without its deleted lines, then n_lines, n_deleted (long) and deleted (line numbers).
 
-    Every run of min_words words or more that stands at an earlier place is deleted; its first place stays.  A deleted
-    line always stood earlier beside the same fingerprint.  A null text stays null and has no lines; an empty one has
-    one.  Null keys come first.  Rows that repeat a key with the same text are one place, so neither deletes the other.
-    Columns with a result's name are replaced.
+    Every run of whole lines with min_words words or more that stands, line by line, at one earlier place is deleted; its
+    first place stays.  Earlier is a smaller key, or a run of the same text that ends before this one begins.  A null
+    text stays null and has no lines; an empty one has one.  Null keys come first.  Rows that repeat a key with the same
+    text are one document, so neither deletes the other; with other texts they are documents in the order of the
+    texts' hashes.  Lines are told apart by the fingerprint's 64 bits and the window's 61.  Columns with a result's
+    name are replaced.
     """
-    found = repeated_lines(docs, key=key, text=text, min_words=min_words)
+    found = repeated_windows(docs, key=key, text=text, min_words=min_words, broadcast_rows=broadcast_rows)
+    found = found.select("__id", "__same", F.flatten(F.transform("runs", lambda x: F.array(x["first"].cast("long"), x["last"].cast("long")))).alias("__runs"))
     base = without(docs, [n for n in ("n_lines", "n_deleted", "deleted") if n not in (key, text)])
     columns = base.columns
     joined = base.withColumn("__h", F.xxhash64(text)).join(found, base[key].eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__same")), "left")
-    flat = joined.withColumn("__reach", F.flatten(F.transform("reach", lambda x: F.array(x["pos"].cast("long"), x["reach"].cast("long")))))
 
     def make() -> Callable[[list], list[tuple]]:
         def clean(rows: list) -> list[tuple]:
             out = []
-            for body, reach in rows:
-                gone = set(deleted_lines(body, list(zip(reach[::2], reach[1::2], strict=True)), min_words)) if reach else set()
+            for body, runs in rows:
+                gone = {i for a, b in zip(runs[::2], runs[1::2], strict=True) for i in range(a, b + 1)} if runs else ()
                 lines = [] if body is None else body.split("\n")
                 out.append((body if not gone else "\n".join(x for i, x in enumerate(lines) if i not in gone), len(lines), len(gone), sorted(gone)))
             return out
 
         return clean
 
-    cleaned = map_texts(flat, text, [field(text, "string"), field("n_lines", "long"), field("n_deleted", "long"), longs("deleted")], make, keep=columns, also=["__reach"])
+    cleaned = map_texts(joined, text, [field(text, "string"), field("n_lines", "long"), field("n_deleted", "long"), longs("deleted")], make, keep=columns, also=["__runs"])
     return cleaned.select(*[f"`{c}`" for c in columns], "n_lines", "n_deleted", "deleted")

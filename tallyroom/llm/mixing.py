@@ -18,7 +18,7 @@ from tallyroom.llm.common import SPACE, without, written
 WEIGHTS = (5, 2, 1)
 #: Primes over any number of blocks in a shard; each gives an order of the blocks.
 STEPS = (2_147_483_647, 2_147_483_629, 2_147_483_587, 2_147_483_579)
-NAMES = ["size", "source_size", "target", "taken"]
+NAMES = ["size", "source_size", "target", "taken", "full", "once_more"]
 
 
 def targets(sizes: DataFrame, source: str = "source", share: float = 1.5, most: float = 2.0, weights: tuple = WEIGHTS) -> DataFrame:
@@ -70,10 +70,11 @@ def sainte_lague(rows: DataFrame, seats: Column, votes: str, key: list[str], wit
 
 
 def mix(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str = "source", keep: list[str] | None = None, share: float = 1.5, most: float = 2.0, weights: tuple = WEIGHTS, block: int = 16, shard_docs: int = 4_000, seed: int = 1) -> DataFrame:
-    """The columns (or ``keep``), then size, source_size, target, taken, first_word, once_more.
+    """The columns (or ``keep``), then size, source_size, target, taken, full and once_more.
 
     size: words of the text, of a null 0.  taken: words the mix takes, repeats counted; each source's sum is within a
-    block of its quota of blocks, and no row's is above twice its size.  Rows are laid in the order of a seeded hash of
+    block of its quota of blocks, and no row's is above twice its size.  What is taken: the text ``full`` times, and the
+    words from a up to b of each span in ``once_more`` (counted from 0 in the text) once more.  Rows are laid in the order of a seeded hash of
     their key and text within shards of about ``shard_docs`` rows, so reruns agree; repeated rows are laid one after the
     other.  A null source is a source, the last.  Columns with a result's name are replaced; no rows give none.
     """
@@ -119,12 +120,12 @@ def mix(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str
 
     spans = F.transform(
         F.filter(F.sequence(F.floor(F.col("first_word") / block).cast("long"), F.floor((end - 1) / block).cast("long")), taken_once_more),
-        lambda j: F.struct(F.greatest(F.col("first_word"), j * block).alias("a"), F.least(end, (j + 1) * block).alias("b")),
+        lambda j: F.struct((F.greatest(F.col("first_word"), j * block) - F.col("first_word")).alias("a"), (F.least(end, (j + 1) * block) - F.col("first_word")).alias("b")),
     )
     laid = laid.withColumn("once_more", F.when(F.col("size") > 0, spans).otherwise(F.expr("CAST(array() AS array<struct<a:bigint,b:bigint>>)")))
     extra = F.aggregate("once_more", F.lit(0).cast("long"), lambda n, s: n + s["b"] - s["a"])
-    laid = laid.withColumn("taken", F.least(F.col("size") * F.col("full") + extra, 2 * F.col("size")))
-    return laid.select(*[f"`{c}`" for c in kept], "size", "source_size", "target", "taken", "full", "first_word", "once_more")
+    laid = laid.withColumn("taken", F.col("size") * F.col("full") + extra)
+    return laid.select(*[f"`{c}`" for c in kept], "size", "source_size", "target", "taken", "full", "once_more")
 
 
 def _with_earlier(shards: DataFrame, rules: Column, before) -> DataFrame:

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyroom.llm.common import WORD_BYTES, bounded_labels, crc_remainder, field, longs, map_texts
+from tallyroom.llm.common import bounded_labels, crc_remainder, field, longs, map_texts
 from tallyroom.llm.common import without as without_columns
 
 BUCKETS, BINS, RANK = 1 << 14, 16, 6
@@ -55,9 +55,9 @@ N_STATS = 12
 def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """(indexes, values); a null or empty text has its statistics alone."""
     body = (text or "").encode("utf-8", "surrogatepass")
-    words = WORD_BYTES.findall(body.lower())
+    words = body.lower().split()
     hashed = np.unique(np.fromiter(map(zlib.crc32, set(words)), np.int64) & (BUCKETS - 1))
-    stats = np.asarray(statistics(body, WORD_BYTES.findall(body)))
+    stats = np.asarray(statistics(body, body.split()))
     bins = BUCKETS + np.arange(N_STATS) * BINS + np.clip((np.sqrt(stats) * BINS).astype(np.int64), 0, BINS - 1)
     return np.concatenate([bins, hashed]), np.concatenate([np.full(N_STATS, 0.5), np.full(len(hashed), 1 / np.sqrt(max(1, len(hashed))))])
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyroom.llm import chat_format, decontamination, jaccard_join, line_dedup, mixing, quality_classifier, quality_rules, token_counts, toxicity, url_filters
@@ -20,7 +20,8 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup_lines(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    clean = line_dedup.dedup_lines(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return clean.withColumn("deleted", F.array_join(F.col("deleted").cast("array<string>"), ","))
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,10 +35,20 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def conversation_events(rows: DataFrame) -> DataFrame:
-    """Each row as two events of its turn: it opens a message, then its text streams in."""
-    event = F.array(F.struct(F.lit("open").alias("kind"), F.lit("").alias("text")), F.struct(F.lit("delta").alias("kind"), F.coalesce("text", F.lit("")).alias("text")))
-    marked = rows.select("conv_id", F.col("turn").alias("seq"), F.monotonically_increasing_id().alias("msg"), "role", event.alias("events"))
-    return marked.select("conv_id", "seq", "msg", "role", F.explode("events").alias("e")).select("conv_id", "seq", "msg", "role", "e.kind", "e.text")
+    """Each row as the events of its turn: a text streams in two parts, after a draft that was edited, or generated again."""
+    copies = Window.partitionBy("conv_id", "turn", "role", "text").orderBy(F.lit(0))
+    # equal rows are turns of their own; ids that follow from the row are the same when a task is run again
+    named = rows.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("copy", F.row_number().over(copies))
+    msg = F.struct("turn", "role", F.xxhash64("text").alias("hash"), "copy")
+    half = F.floor(F.length("text") / 2).cast("int")
+    first, second = F.expr("left(text, length(text) div 2)"), F.substring("text", half + 1, F.length("text"))
+    event = lambda kind, text: F.struct(F.lit(kind).alias("kind"), text.alias("text"))
+    draft = event("delta", F.lit("[INST] a draft"))
+    mended = F.array(event("open", F.lit("")), draft, event("edit", first), event("delta", second))
+    again = F.array(event("open", F.lit("")), draft, event("regenerate", F.lit("")), event("delta", first), event("delta", second))
+    events = F.when(F.col("role") == "assistant", again).otherwise(mended)
+    marked = named.select("conv_id", "turn", "role", msg.alias("msg"), F.posexplode(events).alias("k", "e"))
+    return marked.select("conv_id", (F.col("turn").cast("long") * 8 + F.col("k")).alias("seq"), "msg", "role", "e.kind", "e.text")
 
 
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,7 +92,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": OP1_SQL, "op3_quality_rules": OP3_SQL, "op5_chat_format": OP5_SQL, "op10_jaccard_join": OP10_SQL}
+    return {"op1_decontamination": OP1_SQL, "op2_line_dedup": OP2_SQL, "op3_quality_rules": OP3_SQL, "op5_chat_format": OP5_SQL, "op10_jaccard_join": OP10_SQL}
 
 
 OP1_SQL = r"""
@@ -98,6 +109,20 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
+OP2_SQL = r"""
+WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents),
+p AS (SELECT doc_id, generate_subscripts(l, 1) AS i, unnest(l) AS x FROM d),
+c AS (SELECT doc_id, i, x, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS n, sum(len(regexp_extract_all(x, '[^\x20\x09-\x0D]+'))) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM p),
+w AS (SELECT a.doc_id, a.i AS f, min(b.i) AS t FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.i >= a.i AND b.upto - a.upto + a.n >= 40 GROUP BY 1, 2
+  UNION SELECT b.doc_id, max(a.i), b.i FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.i >= a.i AND b.upto - a.upto + a.n >= 40 GROUP BY b.doc_id, b.i),
+h AS (SELECT w.doc_id, f, t, array_to_string(l[f:t], chr(10)) AS body FROM w JOIN d USING (doc_id)),
+m AS (SELECT DISTINCT a.doc_id, a.f, a.t FROM h a JOIN h b ON a.body = b.body AND (b.doc_id < a.doc_id OR b.doc_id = a.doc_id AND b.t < a.f)),
+g AS (SELECT DISTINCT doc_id, i FROM (SELECT doc_id, unnest(range(f, t + 1)) AS i FROM m)),
+r AS (SELECT p.doc_id, string_agg(x, chr(10) ORDER BY p.i) FILTER (g.i IS NULL) AS kept, string_agg(CAST(p.i - 1 AS VARCHAR), ',' ORDER BY p.i) FILTER (g.i IS NOT NULL) AS deleted, count(g.i) AS n_deleted
+  FROM p LEFT JOIN g ON p.doc_id = g.doc_id AND p.i = g.i GROUP BY p.doc_id)
+SELECT d.doc_id, CASE WHEN text IS NOT NULL THEN coalesce(kept, '') END AS text, CAST(coalesce(len(l), 0) AS BIGINT) AS n_lines, CAST(coalesce(n_deleted, 0) AS BIGINT) AS n_deleted, coalesce(deleted, '') AS deleted FROM d LEFT JOIN r USING (doc_id)
+"""
+
 OP3_SQL = r"""
 WITH w AS (SELECT doc_id, source, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
 p AS (SELECT doc_id, generate_subscripts(w, 1) AS i, unnest(w) AS x FROM w),

@@ -3,7 +3,7 @@
 A pre-token is a word with a mark before it.  Distinct pre-tokens of a batch are inserted in a trie; the best forward
 score of each trie node is computed once, however many pre-tokens run through it, and nodes where a pre-token ends keep
 its token count.  The trie belongs to a task and is begun anew when it has grown to ``NODES`` nodes, so memory is
-bounded, nothing is shuffled and a lost task is simply run again.
+bounded, nothing is shuffled and a lost task is simply run again.  A word of more than ``LONG`` letters adds no nodes.
 
 Pieces come from a public vocabulary file.  It holds ranks, not probabilities: a piece's log-probability is taken from
 Zipf's law, -ln(rank + 1).
@@ -12,16 +12,19 @@ Zipf's law, -ln(rank + 1).
 from __future__ import annotations
 
 import math
-from collections import Counter
+import os
+from collections import deque
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyroom.llm.common import WORD_BYTES, field, map_texts
+from tallyroom.llm.common import field, map_texts, split_bytes
 
 #: The mark before a word, in the vocabulary's pieces.
 MARK = "▁"
 NODES = 400_000
+#: Longer pre-tokens are read with the scores of the last few prefixes alone: they share little and would fill the trie.
+LONG = 200
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 
 
@@ -52,36 +55,37 @@ class TokenTrie:
         # a node: its children, and (score, minus tokens) of the best way to read what leads to it
         self.children: list[dict[str, int]] = [{}]
         self.best: list[tuple[float, int]] = [(0.0, 0)]
-        self.counts: dict[str, int] = {}
 
     def count(self, token: str) -> int:
         """Inserts a pre-token; only the nodes it adds are computed."""
-        known = self.counts.get(token)
-        if known is not None:
-            return known
+        if len(token) > LONG:
+            return self._count_long(token)
         at, path = 0, [0]
         for i, letter in enumerate(token):
             to = self.children[at].get(letter)
             if to is None:
                 to = self.children[at][letter] = len(self.children)
                 self.children.append({})
-                self.best.append(self._forward(token, i + 1, path))
+                self.best.append(self._forward(token, i + 1, [self.best[p] for p in path[-self.longest :]]))
             path.append(at := to)
-        self.counts[token] = n = -self.best[at][1]
-        return n
+        return -self.best[at][1]
 
-    def _forward(self, token: str, end: int, path: list[int]) -> tuple[float, int]:
-        score, tokens = self.best[path[end - 1]]
+    def _count_long(self, token: str) -> int:
+        ways: deque[tuple[float, int]] = deque([(0.0, 0)], maxlen=self.longest)
+        for end in range(1, len(token) + 1):
+            ways.append(self._forward(token, end, ways))
+        return -ways[-1][1]
+
+    def _forward(self, token: str, end: int, ways) -> tuple[float, int]:
+        """The best way to read ``end`` letters from the best ways to read the prefixes before, the nearest last."""
+        score, tokens = ways[-1]
         n = len(token[end - 1].encode("utf-8", "surrogatepass"))
         best = (score + n * self.byte_score, tokens - n)
-        get, ways = self.pieces.get, self.best
-        for begin in range(max(0, end - self.longest), end):
+        get = self.pieces.get
+        for begin, (score, tokens) in enumerate(ways, end - len(ways)):
             p = get(token[begin:end])
-            if p is not None:
-                score, tokens = ways[path[begin]]
-                way = (score + p, tokens - 1)
-                if way > best:
-                    best = way
+            if p is not None and (way := (score + p, tokens - 1)) > best:
+                best = way
         return best
 
     def full(self) -> bool:
@@ -92,22 +96,26 @@ def count_tokens(docs: DataFrame, pieces: dict[str, float], *, text: str = "text
     """The columns (or ``keep``), then n_words, n_tokens and n_bytes (long) of each whole text.
 
     A null or empty text has none of each.  Repeated rows give repeated rows, columns with these names are replaced.
-    The vocabulary, of fixed size, is sent to the executors.  A word as long as its text is read whole; its prefixes
-    count against ``nodes`` like others.
+    The vocabulary, of fixed size, is sent to the executors.  A word as long as its text is read whole, in memory in
+    proportion to the text.
     """
     sent = docs.sparkSession.sparkContext.broadcast(pieces)
 
     def make() -> Callable[[list], list[tuple]]:
         trie = TokenTrie(sent.value, nodes)
+        counts: dict[bytes, int] = {}  # of the pre-tokens that were inserted
 
         def count(texts: list) -> list[tuple]:
-            split = [Counter(WORD_BYTES.findall(t.encode("utf-8", "surrogatepass"))) if t else Counter() for t in texts]
-            counts: dict[bytes, int] = {}
-            for word in sorted({w for ws in split for w in ws}):  # in order: words with one beginning follow each other
-                if trie.full():
-                    trie.clear()
-                counts[word] = trie.count(MARK + word.decode("utf-8", "surrogatepass"))
-            return [(ws.total(), sum(n * counts[w] for w, n in ws.items()), sum(n * len(w) for w, n in ws.items())) for ws in split]
+            out = []
+            for words in map(split_bytes, texts):
+                if trie.full() or len(counts) > nodes:
+                    trie.clear(), counts.clear()
+                for word in sorted(set(words).difference(counts)):  # in order: words with one beginning follow each other
+                    if trie.full():
+                        trie.clear()
+                    counts[word] = trie.count(MARK + word.decode("utf-8", "surrogatepass"))
+                out.append((len(words), sum(map(counts.__getitem__, words)), sum(map(len, words))))
+            return out
 
         return count
 
@@ -115,5 +123,7 @@ def count_tokens(docs: DataFrame, pieces: dict[str, float], *, text: str = "text
 
 
 def read_vocabulary(spark: SparkSession, path: str = VOCABULARY) -> dict[str, float]:
-    """Read where the driver runs: executors need not have the file."""
+    """Read where the driver runs: executors need not have the file.  A missing file is an error that names it."""
+    if not os.path.exists(path):
+        raise FileNotFoundError(f"no vocabulary file at {path}; give its path")
     return pieces_of(path)

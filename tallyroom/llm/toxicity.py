@@ -22,8 +22,8 @@ from tallyroom.llm.common import bounded_labels, crc_remainder, known_labels, ma
 BUCKETS, DIM, WIDTHS, FILTERS = 1 << 15, 8, (1, 2, 3), 8
 #: Letters of a word's beginning that are hashed beside the word.
 STARTS = (4, 5, 6)
-#: Labelled texts of each class that the model is fitted on, at most, and the longest that is, in words.
-PER_CLASS, TRAIN_WORDS = 1_200, 3_000
+#: Labelled texts of each class that the model is fitted on, at most; each is read whole.
+PER_CLASS = 1_200
 #: A word is learned from if so many sampled texts hold it; single steps of training, at least, and passes.
 LEAST_TEXTS, STEPS, PASSES = 2, 6_000, 4
 #: Steps of the scores by which labelled texts are counted for the thresholds.
@@ -164,10 +164,9 @@ def calibrated(counts: list[tuple], least: int = 30) -> dict:
 def trained(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", modulus: int = 4, left_out: int = 2, per_class: int = PER_CLASS) -> tuple[TextCNN, list]:
     """The model and the ids that it is fitted on: of the sampled ones all but every fifth.
 
-    At most 2 * per_class texts of at most TRAIN_WORDS words each reach the driver.
+    At most 2 * per_class whole texts, one an id, reach the driver.
     """
     sample = bounded_labels(docs, labels, label, key, text, modulus, left_out, per_class).where(crc_remainder(F.col(key), 5) != 0)
-    sample = sample.where(F.size(F.split(text, "\\s+")) <= TRAIN_WORDS)
     rows = sample.select(F.col(key).alias("id"), F.col(text).alias("body"), F.col("__label").alias("y")).toPandas().sort_values(["id", "body"], kind="stable")
     return TextCNN().fit([words_of(b) for b in rows["body"]], rows["y"].to_numpy(dtype=float)), list(dict.fromkeys(rows["id"].tolist()))
 

@@ -3,10 +3,15 @@
 FP-growth finds combinations of url tokens that go with a label.  Rules with enough support and confidence are kept,
 and a rule is dropped where a rule on fewer of its tokens is as confident.  An inverted index lists each rule under its
 rarest token; a url's tokens look rules up there, and a rule fits where the url has all its tokens.
+
+Tokens that stand on the very same labelled urls are mined as one, since k of them would make 2^k sets that say the
+same; a url with any of them has that one.  Tokens on nearly all labelled urls tell nothing apart and are left out.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,13 +53,30 @@ def url_tokens(url: Column) -> Column:
     return F.array_distinct(F.concat(parts(host, "\\.", "h:"), parts(path, "[/.]", "p:"), parts(F.regexp_replace(query, "=[^&]*", ""), "&", "q:")))
 
 
+def token_groups(tokens: DataFrame, min_support: float, max_share: float) -> DataFrame:
+    """(token, name): tokens on at least min_support and at most max_share of the rows, by name of those on the same rows.
+
+    Rows are told apart by a hash of their tokens, which equal rows share, and which all tokens of a row then count.
+    At most as many tokens as a row holds over min_support.
+    """
+    total = tokens.count()
+    seen = tokens.select(F.explode("tokens").alias("token"), F.xxhash64("tokens").cast("decimal(20,0)").alias("row"))
+    seen = seen.groupBy("token").agg(F.count("*").alias("n"), F.sum("row").alias("rows"))
+    seen = seen.where((F.col("n") >= math.ceil(total * min_support)) & (F.col("n") <= total * max_share))
+    return seen.groupBy("n", "rows").agg(F.min("token").alias("name"), F.collect_list("token").alias("tokens")).select(F.explode("tokens").alias("token"), "name")
+
+
+def renamed(sets: DataFrame, key: str, tokens: str, groups: DataFrame) -> DataFrame:
+    """(key, names): the names of the groups that a key's tokens belong to, where there is one."""
+    return sets.select(key, F.explode(tokens).alias("token")).join(F.broadcast(groups), "token").groupBy(key).agg(F.collect_set("name").alias("names"))
+
+
 def mined_rules(tokens: DataFrame, bad: str = "bad", min_support: float = 0.005, min_confidence: float = 0.5) -> DataFrame:
     """(rule_tokens, n_tokens, confidence, support, rarest) mined from rows (tokens, bad).
 
-    min_support is a share of the labelled rows, so the number of rules is bounded by what a row holds over the share,
-    however many rows there are.  No labelled rows: no rules.
+    min_support is a share of the labelled rows.  No labelled rows: no rules.
     """
-    marked = tokens.select(F.array_distinct(F.concat("tokens", F.when(F.col(bad), F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>")))).alias("items")).where(F.size("items") > 0)
+    marked = tokens.select(F.array_distinct(F.concat("tokens", F.when(F.col(bad), F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>")))).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(marked)
     found = model.associationRules.where(F.array_contains("consequent", BAD)).select(F.sort_array("antecedent").alias("rule_tokens"), "confidence", "support")
     single = model.freqItemsets.where(F.size("items") == 1).select(F.col("items")[0].alias("token"), "freq")
@@ -77,19 +99,25 @@ def best_rule(rows: DataFrame, key: str, tokens: str, rules: DataFrame) -> DataF
     return best.select(key, "best.confidence", "best.mined")
 
 
-def url_filter(pages: DataFrame, labelled: DataFrame, *, url: str = "url", keep: list[str] | None = None, rules: list[tuple[str, str, str]] = RULES, min_support: float = 0.005, min_confidence: float = 0.5, broadcast_sets: int = BROADCAST_SETS) -> DataFrame:
+def url_filter(pages: DataFrame, labelled: DataFrame, *, url: str = "url", keep: list[str] | None = None, rules: list[tuple[str, str, str]] = RULES, min_support: float = 0.005, min_confidence: float = 0.5, max_share: float = 0.95, broadcast_sets: int = BROADCAST_SETS) -> DataFrame:
     """The columns (or ``keep``), then host, path, rule, mined, confidence and verdict (block or allow).
 
     labelled: (url, bad boolean).  The verdict is that of the longest stated rule that fits; where none does, block if
     a mined rule fits, else allow.  A null url or one without :// has an empty host and path, fits no stated rule and
-    is allowed.  Urls are judged once each, then joined to all their rows; clashing columns are replaced.
+    is allowed.  Tokens on more than ``max_share`` of the labelled urls are not mined.  Sets of tokens are judged once
+    each, then joined to all their rows; clashing columns are replaced.
     """
     made = ["host", "path", "rule", "mined", "confidence", "verdict"]
     kept = [c for c in (pages.columns if keep is None else keep) if c.lower() not in made]
     learned = labelled.where(F.col("url").isNotNull() & F.col("bad").isNotNull()).select(url_tokens(F.col("url")).alias("tokens"), "bad")
+    learned = written(learned)
+    groups = written(token_groups(learned, min_support, max_share))
+    # equal sets of tokens have equal names: named once each
+    names = renamed(learned.select(F.col("tokens").alias("__set")).distinct(), "__set", "__set", groups)
+    learned = learned.join(names, learned["tokens"] == names["__set"], "left").select(F.coalesce("names", F.array().cast("array<string>")).alias("tokens"), "bad")
     mined = mined_rules(learned, min_support=min_support, min_confidence=min_confidence)
     sets = pages.select(F.array_sort(url_tokens(F.col(url))).alias("__set")).where(F.size("__set") > 0).distinct()
-    best = best_rule(sets.select(F.col("__set").alias("__key"), F.col("__set")), "__key", "__set", mined).withColumnRenamed("__key", "__set")
+    best = best_rule(renamed(sets, "__set", "__set", groups), "__set", "names", mined)
     best = written(best)
     if best.count() <= broadcast_sets:  # else shuffled, where a common set's partition is split
         best = F.broadcast(best)
