@@ -44,8 +44,8 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with what the mix takes of them; the last stage's columns are those of documents and mix."""
-    return mixing.mix(docs, keep=COLUMNS).drop("full", "first_word", "once_more")
+    """All documents with what the mix takes of them: the text ``full`` times, and the spans of words in ``once_more``."""
+    return mixing.mix(docs, keep=COLUMNS)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
