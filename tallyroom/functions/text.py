@@ -10,13 +10,25 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Letters with marks and what they fold to; the stroked l has no decomposition.
-MARKED, PLAIN = "ąćęłńóśźżàáâäãåçèéêëìíîïñòôöõùúûüýÿß", "acelnoszzaaaaaaceeeeiiiinoooouuuuyys"
 
 
-def fold(text: Column) -> Column:
-    """Lower case without marks."""
-    return F.translate(F.lower(text), MARKED, PLAIN)
+def _marked() -> dict[str, str]:
+    """Lower-case letters that are a base letter and marks, and the base letter; the stroked l has no such form."""
+    out = {"ł": "l"}
+    for c in map(chr, range(0xC0, 0x2000)):
+        base, *marks = unicodedata.normalize("NFD", c)
+        if marks and c == c.lower() and all(0x300 <= ord(m) <= 0x36F for m in marks):
+            out[c] = base
+    return out
+
+
+LETTERS = _marked()
+MARKS = "".join(map(chr, range(0x300, 0x370)))
+
+
+def fold(text: Column, letters: dict[str, str] = LETTERS) -> Column:
+    """Lower case without marks, of all scripts; marks that stand alone go too."""
+    return F.translate(F.lower(text), "".join(letters) + MARKS, "".join(letters.values()))
 
 
 def normal_term(text: Column) -> Column:
@@ -24,12 +36,20 @@ def normal_term(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(fold(text), "[^a-z0-9 -]", " "), " +", " "))
 
 
+#: What messages are scrubbed of, in this order, since the groups that they form must be the same.
+SCRUBBED = (
+    ("https?://\\S+", "[url]"),
+    ("(?i)\\b[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\\b", "[uuid]"),
+    ("eyJ[A-Za-z0-9_-]+\\.[A-Za-z0-9_-]+\\.[A-Za-z0-9_-]*", "[jwt]"),
+    ("[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}", "[email]"),
+)
+
+
 def scrub(text: Column, most: int = 300) -> Column:
     """Without urls, uuids, tokens, addresses and digits, in this order: a url holds what later patterns look for."""
-    out = F.regexp_replace(text, "https?://[^ \\t\\n\\r\\f]+", "[url]")
-    out = F.regexp_replace(out, "(?i)\\b[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\\b", "[uuid]")
-    out = F.regexp_replace(out, "eyJ[A-Za-z0-9_-]+\\.[A-Za-z0-9_-]+\\.[A-Za-z0-9_-]*", "[jwt]")
-    out = F.regexp_replace(out, "[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}", "[email]")
+    out = text
+    for pattern, name in SCRUBBED:
+        out = F.regexp_replace(out, pattern, name)
     out = F.trim(F.regexp_replace(F.regexp_replace(out, "[0-9]+", "#"), "[ \\t\\n\\r\\f]+", " "))
     return F.substring(out, 1, most)
 
@@ -40,25 +60,27 @@ def redact(text: Column) -> Column:
     return F.regexp_replace(out, "\\+?[0-9](?:[ -]?[0-9]){8,14}", "[phone]")
 
 
-#: Letters of one sound, folded one after the other.
-SOUNDS = (("ch", "h"), ("rz", "z"), ("sz", "s"), ("cz", "c"), ("ph", "f"), ("ck", "k"), ("qu", "k"), ("th", "t"), ("w", "v"), ("y", "i"))
+#: Letters of one sound, folded one after the other.
+SOUNDS = (("rz", "z"), ("sz", "s"), ("cz", "c"), ("ch", "h"))
 
 
-def phonetic(text: Column) -> Column:
+def phonetic(text: Column, sounds: tuple = SOUNDS) -> Column:
+    """Folded, sounds made one, then a-z and 0-9 alone."""
     out = fold(text)
-    for long, short in SOUNDS:
+    for long, short in sounds:
         out = F.replace(out, F.lit(long), F.lit(short))
-    return out
+    return F.regexp_replace(out, "[^a-z0-9]", "")
 
 
 def salary_range(text: Column) -> Column:
-    """struct(low, high): the smallest and, where there are two, the largest number; no number: nulls.
+    """struct(low, high): the smallest and, where there are two, the largest number above 0; no number: nulls.
 
-    Spaces, also unbreakable ones, may part thousands; a comma is the decimal sign.
+    Spaces, also unbreakable and narrow ones, part thousands; a comma or a full stop is the decimal sign.
     """
-    flat = F.regexp_replace(text, "(?<=[0-9])[ \\u00A0](?=[0-9]{3})", "")
-    found = F.transform(F.regexp_extract_all(flat, F.lit("([0-9]+(?:,[0-9]+)?)"), 1), lambda x: F.replace(x, F.lit(","), F.lit(".")).cast("double"))
-    return F.struct(F.array_min(found).alias("low"), F.when(F.size(found) > 1, F.array_max(found)).alias("high"))
+    flat = F.translate(text, "\u00a0\u202f", "  ")
+    found = F.regexp_extract_all(flat, F.lit("([0-9][0-9 ]*(?:[.,][0-9]+)?)"), 1)
+    found = F.transform(found, lambda x: F.translate(x, ", ", ".").try_cast("double"))
+    return let(F.filter(found, lambda x: x > 0), lambda n: F.struct(F.array_min(n).alias("low"), F.when(F.size(n) > 1, F.array_max(n)).alias("high")))
 
 
 def url_domain(url: Column) -> Column:
@@ -68,8 +90,30 @@ def url_domain(url: Column) -> Column:
 
 
 def plain_tokens(text: Column, least: int = 1) -> Column:
-    """Folded runs of letters and digits of ``least`` characters or more, repeats included; null has none."""
-    return F.filter(F.split(F.coalesce(fold(text), F.lit("")), "[^a-z0-9]+"), lambda t: F.length(t) >= least)
+    """Folded runs of letters and digits of any script, of ``least`` characters or more, repeats included; null has none."""
+    return F.filter(F.split(F.coalesce(fold(text), F.lit("")), "[^\\p{L}\\p{N}]+"), lambda t: F.length(t) >= least)
+
+
+def signed_tokens(text: Column) -> Column:
+    """Lower-case runs of letters, digits and the signs + # . / @ _ -, repeats included; null has none."""
+    return F.filter(F.split(F.coalesce(F.lower(text), F.lit("")), "[^\\p{L}\\p{N}+#./@_-]+"), lambda t: t != "")
+
+
+#: Names whose signs would be lost, and what they are called.
+NAMED = (("c\\+\\+", "cpp"), ("c#", "csharp"), ("\\.net", "dotnet"), ("node\\.js", "nodejs"), ("react\\.js", "react"), ("vue\\.js", "vue"))
+
+
+def feature_tokens(text: Column) -> Column:
+    """What a corpus is learned by: lower-case words of 2 to 48 characters with a letter, + . # / and - within; null has none.
+
+    Brackets go with what they hold; addresses, phone numbers, urls and numbers are left out.
+    """
+    out = F.lower(F.coalesce(text, F.lit("")))
+    for pattern, name in NAMED:
+        out = F.regexp_replace(out, f"(?:^|[^\\p{{L}}\\p{{N}}]){pattern}(?=$|[^\\p{{L}}\\p{{N}}])", f" {name} ")
+    out = F.regexp_replace(F.translate(out, "–—", "--"), "\\[[^\\]]+\\]", " ")
+    words = F.transform(F.split(out, "[^\\p{L}\\p{N}+.#/-]+"), lambda t: F.regexp_replace(t, "^[+./-]+|[+./-]+$", ""))
+    return F.filter(words, lambda t: F.length(t).between(2, 48) & t.rlike("\\p{L}") & ~t.rlike("^www\\."))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -104,6 +148,69 @@ def trigram_similarity(a: Column, b: Column) -> Column:
     return F.when(a == b, 1.0).when((F.length(a) < 3) | (F.length(b) < 3), jaro_winkler(a, b)).otherwise(both / all_)
 
 
+#: Endings of inflected words, in the order in which they are looked for.
+ENDINGS = ("owego", "owych", "owym", "owski", "owska", "owek", "ami", "ach", "ego", "ych", "ich", "nym", "nej", "ow", "om", "em", "ie", "iu", "ki", "ka", "ke", "y", "a", "e", "o")
+
+
+def stem_word(word: Column, endings: tuple = ENDINGS) -> Column:
+    """Folded, without its first listed ending that leaves three characters; words of up to three stay as they are.
+
+    Of a folded word a-z, 0-9 and hyphens stay.
+    """
+    # fixed values: one trade's word has three spellings of its stem
+    bare = F.regexp_replace(F.regexp_replace(fold(word), "[^a-z0-9-]", ""), "ciol$", "cotol")
+    bare = F.regexp_replace(bare, "^(.*?)kotl", "$1cotol")
+
+    def cut(w: Column) -> Column:
+        out = w
+        for e in reversed(endings):
+            out = F.when(F.endswith(w, F.lit(e)) & (F.length(w) >= len(e) + 3), F.substring(w, F.lit(1), F.length(w) - len(e))).otherwise(out)
+        return out
+
+    return F.when(F.length(word) <= 3, word).otherwise(let(bare, cut))
+
+
+def stem_phrase(text: Column) -> Column:
+    """The stems of the words between single spaces."""
+    return F.array_join(F.transform(F.split(text, " "), stem_word), " ")
+
+
+#: Endings that are taken off one group after the other, where a word has one.
+LIGHT_ENDINGS = (
+    "nościami|nościach|nością|ności|stwem|stwach|stwu", "eniach|eniom|eniem|enie|enia|eniu", "aniach|aniom|aniem|anie|ania|aniu", "owałem|owałeś|owaliśmy|owali|ować|uję|ujesz|ują",
+    "ałem|ałeś|aliśmy|ałam|ałaś", "owali|owały|owało", "ami|ach|owi|ego|emu|ich|ych|iej|iem|ym", "em|ie|om|ów|ej|ey", "a|e|i|o|u|y|ę|ą",
+)
+
+
+def stem_light(word: Column, groups: tuple = LIGHT_ENDINGS) -> Column:
+    """Lower case without the endings of each group in turn; up to three characters, and terms of up to six of a-z 0-9 # + . -, stay."""
+
+    def cut(w: Column) -> Column:
+        out = w
+        for g in groups:
+            out = F.regexp_replace(out, f"(?:{g})$", "")
+        return F.when((F.length(w) <= 3) | ((F.length(w) <= 6) & w.rlike("^[a-z0-9#+.-]+$")), w).otherwise(out)
+
+    return let(F.trim(F.lower(word)), cut)
+
+
+def hybrid_similarity(query: Column, target: Column) -> Column:
+    """1 equal, 0.95 equal stems, 0.88 and 0.78 one in the other, 0.85 stems so; else a mean of four measures, two decimals.
+
+    All of folded, trimmed texts: 0.35 Jaro and Winkler, 0.35 that of the stems, 0.2 trigrams, 0.1 edits.
+    """
+    q, t = F.trim(fold(query)), F.trim(fold(target))
+    pair = F.struct(q.alias("q"), t.alias("t"), stem_phrase(q).alias("sq"), stem_phrase(t).alias("st"), jaro_winkler(q, t).alias("jw"), jaro_winkler(stem_phrase(q), stem_phrase(t)).alias("sj"), trigram_similarity(q, t).alias("tri"))
+
+    def of(x: Column) -> Column:
+        mix = 0.35 * x["jw"] + 0.35 * x["sj"] + 0.2 * x["tri"] + 0.1 * edit_similarity(x["q"], x["t"])
+        out = F.when(x["q"] == x["t"], 1.0).when(x["t"].contains(x["q"]), 0.88).when(x["q"].contains(x["t"]), 0.78)
+        out = out.when(x["sq"] == x["st"], 0.95).when(x["st"].contains(x["sq"]) | x["sq"].contains(x["st"]), 0.85)
+        return out.otherwise(F.floor(mix * 100 + 0.5) / 100)
+
+    return let(pair, of)
+
+
 def edit_similarity(a: Column, b: Column) -> Column:
     """1 - edits / the longer length."""
     longer = F.greatest(F.length(a), F.length(b))
@@ -159,6 +266,12 @@ def fnv1a(text: str) -> int:
     return h
 
 
+@F.pandas_udf(T.LongType())
+def fnv(texts: pd.Series) -> pd.Series:
+    """32-bit FNV-1a; null of null."""
+    return pd.Series([None if t is None else fnv1a(t) for t in texts], dtype="Int64")
+
+
 @F.pandas_udf(T.StringType())
 def fingerprint(texts: pd.Series) -> pd.Series:
     """8 hex digits of a text in normal form: compatibility letters composed, lower case, digit runs as one sign."""

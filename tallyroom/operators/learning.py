@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyroom.functions.numbers import clamp
-from tallyroom.functions.text import plain_tokens, token_ngrams
+from tallyroom.functions.text import feature_tokens, fnv, let, token_ngrams
 
 
 def dedup_corpus(docs: DataFrame, form: Column, key: str, labels: str, weight: str | None = None) -> DataFrame:
@@ -22,9 +24,36 @@ def dedup_corpus(docs: DataFrame, form: Column, key: str, labels: str, weight: s
     return out.select(F.col(f"__first.{key}").alias(key), *[F.col(f"__first.{c}").alias(c) for c in rest], labels, *([weight] if weight else []))
 
 
-def word_features(docs: DataFrame, text: str, most: int = 1, least_letters: int = 2) -> DataFrame:
-    """The columns without the text, then feature: a row for each distinct n-gram of a text; numbers are no words."""
-    tokens = F.filter(plain_tokens(F.col(text), least_letters), lambda t: ~t.rlike("^[0-9]+$") & (F.length(t) <= 40))
+def meta_features(text: Column) -> Column:
+    """Names of what is odd about a text's form: few letters, many signs, digits in words, tiny lines, repeats, shortness."""
+    body = F.coalesce(text, F.lit(""))
+    count = lambda p: F.regexp_count(body, F.lit(p))
+    visible = count("[^\\s]")
+    lines = F.filter(F.transform(F.split(body, "\r?\n"), F.trim), lambda x: x != "")
+    tokens = feature_tokens(body)
+
+    def repeats(w: Column) -> Column:
+        # of sorted words, those in runs of five or more: a run of n has n - 4 that equal the fourth after them, and one beginning
+        same = F.filter(F.transform(w, lambda x, i: F.struct((x == F.get(w, i + 4)).alias("runs"), (x != F.coalesce(F.get(w, i - 1), F.lit(""))).alias("first"))), lambda s: s["runs"])
+        often = let(same, lambda m: F.size(m) + 4 * F.size(F.filter(m, lambda s: s["first"])))
+        return (F.size(w) >= 8) & (often > 0.22 * F.size(w))
+
+    # fixed values: the limits and what they are called
+    marks = [
+        ("__meta_low_alpha_ratio__", F.when(visible > 0, count("\\p{L}") / visible).otherwise(0.0) < 0.58),
+        ("__meta_weird_symbol_density__", F.when(visible > 0, count("[©®\uFFFD|\\\\_=<>]") / visible).otherwise(0.0) > 0.02),
+        ("__meta_leetspeak_or_ocr_substitution__", count("\\p{L}[0-9]\\p{L}|[0-9]\\p{L}{2,}|\\p{L}{2,}[0-9]") >= 2),
+        ("__meta_tiny_line_burst__", F.size(F.filter(lines, lambda x: F.length(x) <= 3)) > 0.18 * F.size(lines)),
+        ("__meta_repetition_burst__", let(F.array_sort(tokens), repeats)),
+        ("__meta_very_short_document__", F.length(body) < 300),
+        ("__meta_short_document__", F.length(body).between(300, 699)),
+    ]
+    return F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in marks]), lambda x: x.isNotNull())
+
+
+def word_features(docs: DataFrame, text: str, most: int = 1) -> DataFrame:
+    """The columns without the text, then feature: a row for each distinct n-gram of a text's feature tokens."""
+    tokens = feature_tokens(F.col(text))
     grams = token_ngrams(tokens, most) if most > 1 else F.array_distinct(tokens)
     return docs.select(*[c for c in docs.columns if c != text], F.explode(grams).alias("feature"))
 
@@ -90,8 +119,16 @@ def distribution_health(df: DataFrame, value: str, by: list[str], collapsed_sd:
     return out.join(counts, by).withColumn("collapsed", (F.col("n_distinct") == 1) | (F.col("sd") < collapsed_sd))
 
 
-def split(df: DataFrame, ident: Column, holdout: int = 20, discovery: Column | None = None) -> DataFrame:
-    """The columns, then part: HOLDOUT for ``holdout`` of 100 buckets of a hash of the id, DISCOVERY where asked, else TRAIN."""
-    bucket = F.conv(F.substring(F.md5(ident.cast("string")), 1, 6), 16, 10).cast("int") % 100
+def md5_number(ident: Column) -> Column:
+    """A number of 24 bits from an id, in the JVM alone."""
+    return F.conv(F.substring(F.md5(ident), 1, 6), 16, 10).cast("long")
+
+
+def split(df: DataFrame, ident: Column, holdout: int = 20, discovery: Column | None = None, number: Callable[[Column], Column] = fnv) -> DataFrame:
+    """The columns, then part: HOLDOUT for ``holdout`` of 100 buckets of the id's hash, DISCOVERY where asked, else TRAIN.
+
+    number: the hash, 32-bit FNV-1a of the id as text, or one that stays in the JVM.
+    """
+    bucket = number(ident.cast("string")) % 100
     part = F.when(bucket < holdout, "HOLDOUT").otherwise("TRAIN")
     return df.withColumn("part", part if discovery is None else F.when(discovery, "DISCOVERY").otherwise(part))

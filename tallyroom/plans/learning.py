@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyroom.functions.text import MARKED, PLAIN
 from tallyroom.operators import calibration as cal
 from tallyroom.operators import learning as ln
 from tallyroom.plans.registry import query, r6
 from tallyroom.sources.tables import read
 
-TOKENS = f"list_filter(regexp_split_to_array(translate(lower(coalesce(text, '')), '{MARKED}', '{PLAIN}'), '[^a-z0-9]+'), lambda t: len(t) BETWEEN 2 AND 40 AND NOT regexp_matches(t, '^[0-9]+$'))"
+_NAMED = "lower(coalesce(text, ''))"
+for _sign, _name in ((r"c\+\+", "cpp"), ("c#", "csharp"), (r"\.net", "dotnet"), (r"node\.js", "nodejs"), (r"react\.js", "react"), (r"vue\.js", "vue")):
+    _NAMED = f"regexp_replace({_NAMED}, '(^|[^\\p{{L}}\\p{{N}}]){_sign}($|[^\\p{{L}}\\p{{N}}])', ' {_name} \\2', 'g')"
+TOKENS = f"list_filter(list_transform(regexp_split_to_array(regexp_replace(translate({_NAMED}, '–—', '--'), '\\[[^\\]]+\\]', ' ', 'g'), '[^\\p{{L}}\\p{{N}}+.#/-]+'), lambda t: regexp_replace(t, '^[+./-]+|[+./-]+$', '', 'g')), lambda t: len(t) BETWEEN 2 AND 48 AND regexp_matches(t, '\\p{{L}}') AND NOT starts_with(t, 'www.'))"
 UNIQUE = "u AS (SELECT md5(text) AS form, min(doc_id) AS doc_id, max(quality) AS quality, any_value(text) AS text FROM documents JOIN labels USING (doc_id) WHERE text IS NOT NULL GROUP BY 1)"
 FEATURES = f"""{UNIQUE}, w AS (SELECT DISTINCT doc_id, quality, unnest({TOKENS}) AS feature FROM u),
 t AS (SELECT quality, count(*) AS dp FROM u GROUP BY 1), n AS (SELECT feature, count(*) AS n FROM w GROUP BY 1), p AS (SELECT quality, feature, count(*) AS sp FROM w GROUP BY 1, 2),
@@ -61,12 +63,26 @@ def score_distribution(spark, d) -> DataFrame:
 
 
 @query("""
-SELECT doc_id, CASE WHEN source = 'src7' THEN 'DISCOVERY' WHEN CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 6) AS BIGINT) % 100 < 20 THEN 'HOLDOUT' ELSE 'TRAIN' END AS part FROM documents
+WITH x AS (SELECT doc_id, source, list_reduce(list_prepend(2166136261::HUGEINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ascii(c)::HUGEINT)), lambda h, c: (xor(h, c) * 16777619) % 4294967296) AS h FROM documents)
+SELECT doc_id, CASE WHEN source = 'src7' THEN 'DISCOVERY' WHEN h % 100 < 20 THEN 'HOLDOUT' ELSE 'TRAIN' END AS part FROM x
 """)
 def train_holdout_split(spark, d) -> DataFrame:
     return ln.split(read(spark, d, "documents").select("doc_id", "source"), F.col("doc_id"), discovery=F.coalesce(F.col("source") == "src7", F.lit(False))).select("doc_id", "part")
 
 
+@query(r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), x AS (SELECT *, len(regexp_extract_all(t, '[^\s]')) AS v, list_filter(list_transform(regexp_split_to_array(t, '\r?\n'), lambda x: trim(x)), lambda x: x <> '') AS l FROM d),
+k AS (SELECT doc_id, unnest(TOKENS) AS w FROM documents), c AS (SELECT doc_id, w, count(*) AS n FROM k GROUP BY 1, 2), r AS (SELECT doc_id, sum(n) >= 8 AND coalesce(sum(n) FILTER (n >= 5), 0) > 0.22::DOUBLE * sum(n) AS again FROM c GROUP BY 1),
+m AS (SELECT doc_id, unnest([CASE WHEN coalesce(len(regexp_extract_all(t, '\p{L}')) / nullif(v, 0), 0) < 0.58::DOUBLE THEN '__meta_low_alpha_ratio__' END, CASE WHEN coalesce(len(regexp_extract_all(t, '[©®\x{FFFD}|\\_=<>]')) / nullif(v, 0), 0) > 0.02::DOUBLE THEN '__meta_weird_symbol_density__' END,
+  CASE WHEN len(regexp_extract_all(t, '\p{L}[0-9]\p{L}|[0-9]\p{L}{2,}|\p{L}{2,}[0-9]')) >= 2 THEN '__meta_leetspeak_or_ocr_substitution__' END, CASE WHEN len(list_filter(l, lambda x: length(x) <= 3)) > 0.18::DOUBLE * len(l) THEN '__meta_tiny_line_burst__' END,
+  CASE WHEN again THEN '__meta_repetition_burst__' END, CASE WHEN length(t) < 300 THEN '__meta_very_short_document__' END, CASE WHEN length(t) BETWEEN 300 AND 699 THEN '__meta_short_document__' END]) AS feature FROM x LEFT JOIN r USING (doc_id))
+SELECT doc_id, feature FROM m WHERE feature IS NOT NULL
+""".replace("TOKENS", TOKENS))
+def form_features(spark, d) -> DataFrame:
+    """What is odd about each document's form."""
+    return read(spark, d, "documents").select("doc_id", F.explode(ln.meta_features(F.col("text"))).alias("feature"))
+
+
 BEFORE, AFTER = "SELECT doc_id AS c, CAST(n_chars % 101 AS DOUBLE) AS s FROM documents WHERE lang <> 'fr'", "SELECT doc_id AS c, CAST((n_chars + CASE WHEN source = 'src3' THEN 5 ELSE 0 END) % 101 AS DOUBLE) AS s FROM documents WHERE lang <> 'de'"
 DRIFT = f"""WITH b AS ({BEFORE}), a AS ({AFTER}), j AS (SELECT abs(a.s - b.s) AS d, a.c IS NULL AS lost, b.c IS NULL AS new FROM b FULL JOIN a ON a.c = b.c)
 SELECT count(d) AS n, sum((coalesce(d, 0) > 1e-9)::INT)::BIGINT AS n_changed, quantile_disc(d, 0.5) AS median, quantile_disc(d, 0.95) AS p95, max(d) AS largest, sum(lost::INT)::BIGINT AS n_lost, sum(new::INT)::BIGINT AS n_new FROM j"""

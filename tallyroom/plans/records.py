@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyroom.functions import dates as dt
 from tallyroom.functions import rules as ru
-from tallyroom.functions.text import MARKED, PLAIN, let, plain_tokens, token_runs
+from tallyroom.functions.text import let, plain_tokens, token_runs
 from tallyroom.operators import events as ev
 from tallyroom.operators import records as rc
 from tallyroom.plans.registry import micros, month, month_sql, query, r6
@@ -61,7 +61,7 @@ def _windows(of: str, name: str) -> str:
     return f"{name}l AS (SELECT *, {', '.join(lead)} FROM {of}), {name} AS ({' UNION ALL '.join(r.format(name) for r in rows)})"
 
 
-WORDS = f"list_filter(regexp_split_to_array(translate(lower(coalesce(text, '')), '{MARKED}', '{PLAIN}'), '[^a-z0-9]+'), lambda t: t <> '')"
+WORDS = r"list_filter(regexp_split_to_array(replace(strip_accents(lower(coalesce(text, ''))), 'ł', 'l'), '[^\p{L}\p{N}]+'), lambda t: t <> '')"
 
 
 @query(f"""
@@ -108,15 +108,15 @@ SIGNALS = [("buyer", "a", "g1", 2.0, ["red", "ring"]), ("buyer", "b", "g1", 3.0,
 
 
 @query(f"""
-WITH w AS (SELECT DISTINCT l_suppkey, unnest(string_split(lower(p_name), ' ')) AS w FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 48),
+WITH w AS (SELECT DISTINCT l_orderkey, unnest(string_split(lower(p_name), ' ')) AS w FROM lineitem JOIN part ON l_partkey = p_partkey),
 s(role, signal, variants, weight, stem, k) AS (VALUES {", ".join(f"('{r}', '{s}', '{v}', {w}::DOUBLE, '{x}', {len(xs)})" for r, s, v, w, xs in SIGNALS for x in xs)}),
-h AS (SELECT l_suppkey, role, signal, variants, weight, k FROM w JOIN s ON w = stem GROUP BY 1, 2, 3, 4, 5, 6 HAVING count(*) = k), b AS (SELECT l_suppkey, role, variants, max(weight * least(k, 4)) AS s FROM h GROUP BY 1, 2, 3), t AS (SELECT l_suppkey, role, sum(s) AS score FROM b GROUP BY 1, 2 HAVING sum(s) >= 4)
-SELECT l_suppkey, role, score, CAST(row_number() OVER (PARTITION BY l_suppkey ORDER BY score DESC, role) AS INTEGER) AS rank FROM t
+h AS (SELECT l_orderkey, role, signal, variants, weight, k FROM w JOIN s ON w = stem GROUP BY 1, 2, 3, 4, 5, 6 HAVING count(*) = k), b AS (SELECT l_orderkey, role, variants, max(weight * least(k, 4)) AS s FROM h GROUP BY 1, 2, 3), t AS (SELECT l_orderkey, role, sum(s) AS score FROM b GROUP BY 1, 2 HAVING sum(s) >= 4)
+SELECT l_orderkey, role, score, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY score DESC, role) AS INTEGER) AS rank FROM t
 """)
 def role_scores(spark, d) -> DataFrame:
-    li, p = read(spark, d, "lineitem").where("l_quantity > 48").select("l_suppkey", "l_partkey"), read(spark, d, "part").select("p_partkey", "p_name")
-    words = li.join(p, F.col("l_partkey") == F.col("p_partkey")).select("l_suppkey", F.explode(F.split(F.lower("p_name"), " ")).alias("w"))
-    return rc.role_scores(words, spark.createDataFrame(SIGNALS, "role string, signal string, variants string, weight double, stems array<string>"), "l_suppkey", "w")
+    li, p = read(spark, d, "lineitem").select("l_orderkey", "l_partkey"), read(spark, d, "part").select("p_partkey", "p_name")
+    words = li.join(p, F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", F.explode(F.split(F.lower("p_name"), " ")).alias("w"))
+    return rc.role_scores(words, spark.createDataFrame(SIGNALS, "role string, signal string, variants string, weight double, stems array<string>"), "l_orderkey", "w")
 
 
 @query("""

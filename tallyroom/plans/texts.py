@@ -11,7 +11,7 @@ from tallyroom.plans.registry import query, r6
 from tallyroom.sources import html
 from tallyroom.sources.tables import read
 
-FOLD = f"translate(lower({{}}), '{tx.MARKED}', '{tx.PLAIN}')"
+FOLD = "replace(strip_accents(lower({})), 'ł', 'l')"
 
 
 def _count(pattern: str, text: str = "t") -> str:
@@ -47,7 +47,7 @@ def numeric_context(spark, d) -> DataFrame:
     return ts.numbers_in_context(read(spark, d, "documents").select("doc_id", "text"), "doc_id", "text")
 
 
-_BAG = f"list_filter(regexp_split_to_array({FOLD.format('coalesce(text, $$$$)')}, '[^a-z0-9]+'), lambda t: len(t) >= 3)".replace("$$$$", "''")
+_BAG = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}+#./@_-]+'), lambda t: t <> '')"
 
 
 @query(f"""
@@ -58,7 +58,7 @@ SELECT conv_id, n_left, n_right, n_shared, round(precision, 6) AS precision, rou
 """)
 def token_agreement(spark, d) -> DataFrame:
     """Words of the questions against those of the answers."""
-    rows = read(spark, d, "conversations").select("conv_id", "role", F.explode(tx.plain_tokens(F.col("text"), 3)).alias("token"))
+    rows = read(spark, d, "conversations").select("conv_id", "role", F.explode(tx.signed_tokens(F.col("text"))).alias("token"))
     return r6(ts.token_agreement(rows.where("role = 'user'"), rows.where("role = 'assistant'"), ["conv_id"], "token"))
 
 
@@ -81,16 +81,16 @@ def pii_scrub(spark, d) -> DataFrame:
     return read(spark, d, "documents").select("doc_id", tx.scrub(F.col("text")).alias("scrubbed"))
 
 
-def _phonetic(c: str) -> str:
-    out = FOLD.format(c)
-    for a, b in tx.SOUNDS:
-        out = f"replace({out}, '{a}', '{b}')"
-    return out
-
-
-@query(f"SELECT {_phonetic('p_name')} AS sound, count(*) AS n, count(DISTINCT p_name) AS n_names FROM part GROUP BY 1")
+@query("""
+WITH n AS (SELECT p_name || CASE p_partkey % 4 WHEN 0 THEN '-Rzeż' WHEN 1 THEN ' Szczóch' WHEN 2 THEN ' Ćma Kotłów' ELSE '' END AS name FROM part),
+k AS (SELECT name, regexp_replace(replace(replace(replace(replace(replace(strip_accents(lower(name)), 'ł', 'l'), 'rz', 'z'), 'sz', 's'), 'cz', 'c'), 'ch', 'h'), '[^a-z0-9]', '', 'g') AS sound FROM n)
+SELECT sound, count(*) AS n, count(DISTINCT name) AS n_names FROM k GROUP BY 1
+""")
 def phonetic_key(spark, d) -> DataFrame:
-    return read(spark, d, "part").groupBy(tx.phonetic(F.col("p_name")).alias("sound")).agg(F.count("*").alias("n"), F.countDistinct("p_name").alias("n_names"))
+    """Names with marks and digraphs that are made of keys."""
+    k = F.col("p_partkey") % 4
+    name = F.concat("p_name", F.when(k == 0, "-Rzeż").when(k == 1, " Szczóch").when(k == 2, " Ćma Kotłów").otherwise(""))
+    return read(spark, d, "part").select(name.alias("name")).groupBy(tx.phonetic(F.col("name")).alias("sound")).agg(F.count("*").alias("n"), F.countDistinct("name").alias("n_names"))
 
 
 @query(f"""
@@ -103,12 +103,16 @@ def answer_heuristics(spark, d) -> DataFrame:
 
 
 @query("""
-SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN NULL WHEN o_orderkey % 3 = 1 THEN o_orderkey + 1000.0::DOUBLE ELSE 4500.5::DOUBLE END AS low, CASE WHEN o_orderkey % 3 = 1 THEN 2 * o_orderkey + 9000.0::DOUBLE END AS high FROM orders
+WITH o AS (SELECT o_orderkey, o_orderkey % 6 AS m, o_orderkey // 1000 + 1 AS th, lpad(CAST(o_orderkey % 1000 AS VARCHAR), 3, '0') AS rest, o_orderkey FROM orders)
+SELECT o_orderkey, CASE m WHEN 0 THEN NULL WHEN 1 THEN o_orderkey + 1000.0::DOUBLE WHEN 2 THEN 4500.5::DOUBLE WHEN 3 THEN 9.5::DOUBLE WHEN 4 THEN th * 1000.0::DOUBLE + o_orderkey % 1000 ELSE 8000.0::DOUBLE END AS low,
+  CASE m WHEN 1 THEN 2 * o_orderkey + 9000.0::DOUBLE WHEN 3 THEN 12.75::DOUBLE END AS high FROM o
 """)
 def salary_range(spark, d) -> DataFrame:
-    """Ranges read from texts that are made of keys."""
+    """Ranges read from texts that are made of keys: with no number, words between, decimals, narrow spaces, a zero."""
     k = F.col("o_orderkey")
-    text = F.when(k % 3 == 0, "to be agreed").when(k % 3 == 1, F.concat_ws(" ", F.lit("from"), (k + 1000).cast("string"), F.lit("to"), (2 * k + 9000).cast("string"), F.lit("gross"))).otherwise("4 500,5 EUR")
+    thousands = F.concat((F.floor(k / 1000) + 1).cast("string"), F.lit("\u202f"), F.lpad((k % 1000).cast("string"), 3, "0"), F.lit(" zł"))
+    words = F.concat_ws(" ", F.lit("from"), (k + 1000).cast("string"), F.lit("to"), (2 * k + 9000).cast("string"), F.lit("gross"))
+    text = F.when(k % 6 == 0, "to be agreed").when(k % 6 == 1, words).when(k % 6 == 2, "4 500,5 EUR").when(k % 6 == 3, "9.50 - 12.75 EUR").when(k % 6 == 4, thousands).otherwise("0 - 8\u00a0000")
     return read(spark, d, "orders").select("o_orderkey", tx.salary_range(text).alias("r")).select("o_orderkey", "r.*")
 
 
@@ -133,17 +137,41 @@ def _tag(x: str, tag: str) -> str:
     return f"nullif({_plain(inner)}, '')"
 
 
-_CALM = "regexp_replace(html, '(?is)<nav[^>]*>.*?</nav>|<header[^>]*>.*?</header>|<footer[^>]*>.*?</footer>|<aside[^>]*>.*?</aside>|<form[^>]*>.*?</form>', ' ', 'g')"
+_CALM = "regexp_replace(html, '(?is)" + "|".join(f"<{t}(?:[ \\t\\n][^>]*)?>.*?</{t}>" for t in "script style svg noscript iframe template header footer nav aside form".split()) + "', ' ', 'g')"
+_LONG = "The work of this post is told at some length here, so that it has more than the eighty characters that a record needs."
+_LD = '<script type="application/ld+json">{}</script>'
+#: Pages of each kind: url, html, and what they hold: tier, title, company, description.
+MADE = [
+    ("https://www.a.example/1", _LD.format('{"broken":') + _LD.format(f'{{"@graph": [{{"@type": "Organization"}}, {{"@type": "BreadcrumbList"}}, {{"@type": "JobPosting", "title": "Welder", "hiringOrganization": {{"name": "Acme"}}, "description": "<p>{_LONG}</p>"}}]}}') + "<h1>No</h1>", "json-ld", "Welder", "Acme", _LONG),
+    ("https://b.example/2", _LD.format(f'[{{"@type": "Thing"}}, {{"@type": ["Thing", "JobPosting"], "title": "Cook", "description": "{_LONG}"}}]') + '<p class="company-name">Inn</p>', "json-ld", "Cook", "Inn", _LONG),
+    ("https://c.example/3", _LD.format(f'{{"mainEntity": {{"itemListElement": [{{"@type": "JobPosting", "title": "Baker", "description": "short"}}]}}}}') + f"<main>{_LONG}</main>", "json-ld", "Baker", None, _LONG),
+    ("https://d.example/4", f'<script id="__NEXT_DATA__" type="application/json">{{"props": {{"offer": {{"jobTitle": "Nurse", "hiringOrganization": {{"name": "Ward"}}, "description": "{_LONG}"}}}}}}</script>', "hydration", "Nurse", "Ward", _LONG),
+    ("https://e.example/5", f'<script>var a = 1; window.__NUXT__ = {{"note": "a }} in a text", "data": {{"OfferName": "Pilot", "descriptionText": "{_LONG}"}}}}; go();</script><div data-testid="the-company">Sky</div>', "hydration", "Pilot", "Sky", _LONG),
+    ("https://f.example/6", f'<script>window.__INITIAL_STATE__ = {{"title": "Guard"}};</script><title>x</title><div role="main">{_LONG}</div>', "main-content", "Guard", None, _LONG),
+    ("https://g.example/7", f"<title>Clerk - Office · Board</title><nav>{_LONG}</nav><body><div role='navigation'>{_LONG}</div><article>{_LONG} Yes.</article></body>", "main-content", "Clerk - Office", None, _LONG + " Yes."),
+    ("https://h.example/8", '<meta property="og:title" content="Judge | Board"><meta content="Brief." name="twitter:description"><meta property="og:site_name" content="Court"><p>little</p>', "open-graph", "Judge", "Court", "Brief."),
+    ("https://i.example/9", "<p>nothing</p>", "none", None, None, None),
+    (None, None, "none", None, None, None),
+]
+
+
+def _said(x: str | None) -> str:
+    return "NULL" if x is None else "'" + x.replace("'", "''") + "'"
+
+
+_STATED = ", ".join(f"({-k}, {_said(u and u.split('//')[1].split('/')[0].removeprefix('www.'))}, {', '.join(map(_said, rest))})" for k, (u, _, *rest) in enumerate(MADE, 1))
 
 
 @query(f"""
-WITH a AS (SELECT page_id, nullif({DOMAIN}, '') AS domain, {_tag("html", "title")} AS full_title, {_CALM} AS calm FROM pages), b AS (SELECT page_id, domain, coalesce(nullif(regexp_extract(full_title, '(?s)^(.*) [|–—-] .*$', 1), ''), full_title) AS title, {_tag("calm", "main")} AS m, {_tag("calm", "article")} AS r, {_tag("calm", "body")} AS b FROM a),
+WITH a AS (SELECT page_id, nullif({DOMAIN}, '') AS domain, coalesce({_tag("html", "h1")}, {_tag("html", "title")}) AS title, {_CALM} AS calm FROM pages), b AS (SELECT page_id, domain, title, {_tag("calm", "main")} AS m, {_tag("calm", "article")} AS r, {_tag("calm", "body")} AS b FROM a),
 c AS (SELECT page_id, domain, title, coalesce(CASE WHEN length(m) >= 80 THEN m END, CASE WHEN length(r) >= 80 THEN r END, CASE WHEN length(b) >= 80 THEN b END) AS t FROM b)
-SELECT page_id, domain, CASE WHEN t IS NULL THEN 'none' ELSE 'main' END AS tier, title, substr(t, 1, 20000) AS description FROM c
+SELECT page_id, domain, CASE WHEN t IS NULL THEN 'none' ELSE 'main-content' END AS tier, title, NULL AS company, substr(t, 1, 20000) AS description FROM c
+UNION ALL SELECT * FROM (VALUES {_STATED}) AS s(page_id, domain, tier, title, company, description)
 """)
 def html_job_cascade(spark, d) -> DataFrame:
-    """Records from pages; the description is the page's main text, of which a record holds 20,000 characters."""
-    return html.extract(read(spark, d, "pages").select("page_id", "url", "html")).select("page_id", "domain", "tier", "title", "description")
+    """Records from pages, and from a made page of each kind; of a page's main text a record holds 20,000 characters."""
+    made = spark.createDataFrame([(-k, u, h) for k, (u, h, *_) in enumerate(MADE, 1)], "page_id long, url string, html string")
+    return html.extract(read(spark, d, "pages").select("page_id", "url", "html").unionByName(made)).select("page_id", "domain", "tier", "title", "company", "description")
 
 
 @query(f"""

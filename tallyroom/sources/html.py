@@ -1,13 +1,34 @@
-"""Records from raw web pages, by a cascade: embedded JSON-LD, social tags, then the page's own text."""
+"""Records from raw web pages, by a cascade: embedded JSON-LD, state that scripts hydrate from, the page's text, social tags."""
 
 from __future__ import annotations
 
+import html as entities
+import json
+import re
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyroom.functions.text import url_domain
 
-LEAST = 80
+LEAST, MOST = 80, 20_000
+#: Elements that hold no content, and roles of such.
+NOISE, NOISE_ROLES = ("script", "style", "svg", "noscript", "iframe", "template", "header", "footer", "nav", "aside", "form"), ("navigation", "banner", "contentinfo")
+#: A state's keys, lower-cased, by field; levels that are searched.
+STATE_KEYS = {
+    "title": ("jobtitle", "title", "positionname", "offername"),
+    "company": ("companyname", "company", "employername", "hiringorganization"),
+    "description": ("description", "jobdescription", "descriptiontext", "offerdescription"),
+}
+LD_DEPTH, STATE_DEPTH = 6, 8
+_RECORD = T.StructType([T.StructField(c, T.StringType()) for c in ("title", "company", "description")])
+
+
+def _elements(names: tuple[str, ...]) -> str:
+    return "|".join(f"<{t}(?:[ \\t\\n][^>]*)?>.*?</{t}>" for t in names)
 
 
 def tag_text(html: Column, tag: str) -> Column:
@@ -16,11 +37,17 @@ def tag_text(html: Column, tag: str) -> Column:
     return F.nullif(plain(inner), F.lit(""))
 
 
-def meta(html: Column, name: str) -> Column:
-    """The content of a meta tag by property or name, with either attribute first; null where there is none."""
-    one = F.regexp_extract(html, f"(?i)<meta[^>]+(?:property|name)=[\"']{name}[\"'][^>]+content=[\"']([^\"']*)[\"']", 1)
-    two = F.regexp_extract(html, f"(?i)<meta[^>]+content=[\"']([^\"']*)[\"'][^>]+(?:property|name)=[\"']{name}[\"']", 1)
-    return F.coalesce(F.nullif(one, F.lit("")), F.nullif(two, F.lit("")))
+def meta(html: Column, *names: str) -> Column:
+    """The content of the first of the meta tags, by property or name, with either attribute first; null where there is none."""
+    out = []
+    for name in names:
+        out.append(F.regexp_extract(html, f"(?i)<meta[^>]+(?:property|name)=[\"']{name}[\"'][^>]+content=[\"']([^\"']*)[\"']", 1))
+        out.append(F.regexp_extract(html, f"(?i)<meta[^>]+content=[\"']([^\"']*)[\"'][^>]+(?:property|name)=[\"']{name}[\"']", 1))
+    return F.coalesce(*[F.nullif(collapsed(x), F.lit("")) for x in out])
+
+
+def collapsed(text: Column) -> Column:
+    return F.trim(F.regexp_replace(text, "[ \\t\\n\\r\\f\\u00A0]+", " "))
 
 
 def plain(html: Column) -> Column:
@@ -29,55 +56,198 @@ def plain(html: Column) -> Column:
     out = F.regexp_replace(out, "<[^>]*>", " ")
     for name, sign in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         out = F.replace(out, F.lit(name), F.lit(sign))
-    return F.trim(F.regexp_replace(out, "[ \\t\\n\\r\\f\\u00A0]+", " "))
+    return collapsed(out)
 
 
-def main_text(html: Column) -> Column:
-    """The first of main, article and body, without navigation, that holds 80 characters or more; else null."""
-    calm = F.regexp_replace(html, "(?is)" + "|".join(f"<{t}[^>]*>.*?</{t}>" for t in ("nav", "header", "footer", "aside", "form")), " ")
-    long = lambda t: F.when(F.length(t) >= LEAST, t)
-    return F.coalesce(*[long(tag_text(calm, t)) for t in ("main", "article", "body")])
+def calm(html: Column) -> Column:
+    """Without elements that hold no content."""
+    out = F.regexp_replace(html, f"(?is){_elements(NOISE)}", " ")
+    return F.regexp_replace(out, f"(?is)<([a-z0-9]+)[^>]*role=[\"'](?:{'|'.join(NOISE_ROLES)})[\"'][^>]*>.*?</\\1>", " ")
 
 
-def posting(html: Column, kind: str = "JobPosting") -> Column:
-    """The first JSON-LD block of the kind, at the top, in a list or in @graph, as a variant; broken blocks are passed over."""
-    bodies = F.regexp_extract_all(html, F.lit("(?is)<script[^>]*application/ld\\+json[^>]*>(.*?)</script>"), 1)
-    return F.get(F.filter(F.transform(bodies, lambda b: F.try_parse_json(b)), lambda v: F.coalesce(F.try_variant_get(v, "$['@type']", "string") == kind, F.try_variant_get(v, "$['@graph'][0]['@type']", "string") == kind, F.lit(False))), 0)
+def candidates(calm_html: Column) -> Column:
+    """Texts of what may be the page's main part, in order: main, the role of it, article, body."""
+    role = F.nullif(plain(F.regexp_extract(calm_html, "(?is)<([a-z0-9]+)[^>]*role=[\"']main[\"'][^>]*>(.*?)</\\1>", 2)), F.lit(""))
+    return F.array(tag_text(calm_html, "main"), role, tag_text(calm_html, "article"), tag_text(calm_html, "body"))
 
 
 def title_part(title: Column) -> Column:
-    """Without what follows the last separator."""
-    before = F.regexp_extract(title, "(?s)^(.*) [|–—-] .*$", 1)
-    return F.when(before != "", before).otherwise(title)
+    """Without what follows the last separator: a bar, a long dash or a middle dot, or a hyphen between spaces."""
+    parts = F.filter(F.split(title, "\\s+[|–—·]\\s+|\\s+-\\s+"), lambda p: p != "")
+    return F.when(F.size(parts) > 1, F.array_join(F.slice(parts, F.lit(1), F.greatest(F.lit(1), F.size(parts) - 1)), " - ")).otherwise(title)
+
+
+def company_of(html: Column) -> Column:
+    """The first text of 2 to 80 characters of an element that its markup names as an employer."""
+    named = "itemprop=[\"']hiringOrganization[\"']|data-testid=[\"'][^\"']*company[^\"']*[\"']|class=[\"'][^\"']*(?:company|employer)[^\"']*[\"']"
+    found = F.transform(F.regexp_extract_all(html, F.lit(f"(?is)<([a-z0-9]+)[^>]*(?:{named})[^>]*>(.*?)</\\1>"), 2), plain)
+    return F.get(F.filter(found, lambda t: F.length(t).between(2, 80)), F.lit(0))
+
+
+def _strict(raw: str):
+    """JSON, null where it is broken; NaN and its like are no JSON."""
+
+    def no(name: str):
+        raise ValueError(name)
+
+    try:
+        return json.loads(raw, parse_constant=no)
+    except (ValueError, RecursionError):
+        return None
+
+
+def _find(node, kind: str, depth: int = 0):
+    """The first node of a type: in lists, and under the keys that hold entries."""
+    if depth > LD_DEPTH:
+        return None
+    below = node if isinstance(node, list) else []
+    if isinstance(node, dict):
+        types = node.get("@type")
+        if types == kind or (isinstance(types, list) and kind in types):
+            return node
+        below = [node[k] for k in ("@graph", "mainEntity", "itemListElement") if k in node]
+    return next((x for x in (_find(n, kind, depth + 1) for n in below) if x is not None), None)
+
+
+def _said(value) -> str:
+    return value.strip() if isinstance(value, str) else ""
+
+
+def _posting(bodies: list[str], kind: str) -> dict | None:
+    for body in bodies:
+        node = _find(_strict(body), kind)
+        if node is None:
+            continue
+        text = _said(node.get("description"))
+        text = " ".join((entities.unescape(re.sub("<[^>]*>", "", text)) if "<" in text else text).split())
+        if _said(node.get("title")) or text:
+            employer = node.get("hiringOrganization")
+            return {"title": _said(node.get("title")), "company": _said(employer.get("name")) if isinstance(employer, dict) else "", "description": text}
+    return None
+
+
+def _field(node: dict, keys: tuple[str, ...], depth: int = 0) -> str:
+    if depth > STATE_DEPTH:
+        return ""
+    for key, value in node.items():
+        if key.lower() in keys:
+            if isinstance(value, dict) and isinstance(value.get("name"), str):
+                return value["name"].strip()
+            if _said(value):
+                return _said(value)
+    return next((x for x in (_field(v, keys, depth + 1) for v in node.values() if isinstance(v, dict)) if x), "")
+
+
+def _assigned(bodies: list[str], name: str):
+    """The JSON value that a script assigns to a name of the window; brackets within strings don't count."""
+    for body in bodies:
+        begin = re.search(rf"window\.{name}\s*=\s*(?=[{{\[])", body)
+        if not begin:
+            continue
+        depth = 0
+        for m in re.compile(r'"(?:[^"\\]|\\.)*"|\'(?:[^\'\\]|\\.)*\'|[{}\[\]]', re.S).finditer(body, begin.end()):
+            depth += (m.group() in "{[") - (m.group() in "}]")
+            if depth == 0 and m.group() in "}]":
+                return _strict(body[begin.end() : m.end()])
+    return None
+
+
+def _state(heads: list[str], bodies: list[str]) -> dict | None:
+    following = [b for h, b in zip(heads, bodies, strict=True) if re.search(r"id=[\"']__NEXT_DATA__[\"']", h)][:1]
+    inline = [b for h, b in zip(heads, bodies, strict=True) if not re.search(r"\ssrc\s*=", h)]
+    for root in (_strict(following[0]) if following else None, _assigned(inline, "__NUXT__"), _assigned(inline, "__INITIAL_STATE__")):
+        found = {k: _field(root, keys) for k, keys in STATE_KEYS.items()} if isinstance(root, dict) else {}
+        if any(found.values()):
+            return found
+    return None
+
+
+@F.pandas_udf(T.StructType([T.StructField("ld", _RECORD), T.StructField("state", _RECORD)]))
+def embedded(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    """What a page's scripts (attributes, bodies) hold of a posting; balanced brackets and nested lists are beyond patterns."""
+    for heads, bodies in parts:
+        rows = []
+        for h, b in zip(heads, bodies, strict=True):
+            h, b = ([], []) if h is None else (list(h), list(b))
+            ld = [x for a, x in zip(h, b, strict=True) if re.search(r"type=[\"']application/ld\+json[\"']", a)]
+            rows.append((_posting(ld, "JobPosting"), _state(h, b)))
+        yield pd.DataFrame({"ld": [r[0] for r in rows], "state": [r[1] for r in rows]}, dtype=object)
 
 
 def extract(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
-    """The columns without the page, then domain, tier, title and description.
+    """The columns without the page, then domain, tier, title, company and description; empty ones are null.
 
-    tier: json_ld, open_graph, main or none - the first whose description holds 80 characters or more.  A null page
-    has tier none and nulls.
+    tier: json-ld where a posting has a title or a description, hydration where a state's description has 80 characters,
+    main-content where the page's own text has, open-graph where a meta description is all there is, else none.  The
+    description is the tier's, or the page's where that is shorter.  A null page has tier none and nulls.
+    """
+    h = F.coalesce(F.col(html), F.lit(""))
+    script = F.lit("(?is)<script([^>]*)>(.*?)</script>")
+    rows = pages.withColumns({"__heads": F.regexp_extract_all(h, script, 1), "__bodies": F.regexp_extract_all(h, script, 2), "__calm": calm(h)})
+    rows = rows.withColumns({"__e": embedded("__heads", "__bodies"), "__parts": candidates(F.col("__calm"))})
+    rows = rows.withColumn("__main", F.substring(F.get(F.filter("__parts", lambda t: F.length(t) >= LEAST), F.lit(0)), 1, MOST))
+    base = F.coalesce(F.col("__e.ld"), F.col("__e.state"))
+    rows = rows.withColumns({"__base": base, "__og": meta(h, "og:description", "twitter:description", "description")})
+    tier = F.when(F.col("__e.ld").isNotNull(), "json-ld").when(F.length("__e.state.description") >= LEAST, "hydration").when(F.col("__main").isNotNull(), "main-content").when(F.col("__og").isNotNull(), "open-graph").otherwise("none")
+    own = F.when(F.length("__base.description") >= LEAST, F.col("__base.description"))
+    first = lambda *xs: F.coalesce(*[F.nullif(x, F.lit("")) for x in xs])
+    out = rows.withColumns(
+        {
+            "domain": url_domain(F.col(url)), "tier": tier,
+            "title": first(F.col("__base.title"), tag_text(h, "h1"), title_part(meta(h, "og:title", "twitter:title")), title_part(tag_text(h, "title"))),
+            "company": first(F.col("__base.company"), company_of(h), meta(h, "og:site_name")),
+            "description": F.coalesce(own, F.col("__main"), F.col("__og")),
+        }
+    )
+    return out.drop(html, "__heads", "__bodies", "__calm", "__e", "__parts", "__main", "__base", "__og")
+
+
+def robots_rules(files: DataFrame, agent: str, host: str = "host", text: str = "text") -> DataFrame:
+    """(host, pattern, allow) of robots files for an agent: of the groups that name a part of it the longest, else that of *.
+
+    Lines of one agent after another share the rules that follow; comments and empty patterns are passed over.
     """
-    h = F.col(html)
-    rows = pages.withColumns({"__v": posting(h), "__og": meta(h, "og:description"), "__main": main_text(h), "__title": tag_text(h, "title")})
-    ld = plain(F.coalesce(F.try_variant_get("__v", "$.description", "string"), F.try_variant_get("__v", "$['@graph'][0].description", "string")))
-    long = lambda c: F.length(c) >= LEAST
-    tier = F.when(long(ld), "json_ld").when(long(F.col("__og")), "open_graph").when(F.col("__main").isNotNull(), "main").otherwise("none")
-    title = F.coalesce(F.try_variant_get("__v", "$.title", "string"), meta(h, "og:title"), title_part(F.col("__title")))
-    text = F.when(F.col("tier") == "json_ld", ld).when(F.col("tier") == "open_graph", F.col("__og")).when(F.col("tier") == "main", F.substring("__main", 1, 20_000))
-    out = rows.withColumn("tier", tier).withColumns({"domain": url_domain(F.col(url)), "title": title, "description": text})
-    return out.drop(html, "__v", "__og", "__main", "__title")
+    lines = files.select(host, F.posexplode(F.split(F.coalesce(text, F.lit("")), "\r?\n")).alias("n", "line"))
+    lines = lines.withColumn("line", F.trim(F.regexp_replace("line", "#.*", "")))
+    at = F.expr("instr(line, ':')")
+    lines = lines.where(at > 0).select(host, "n", F.lower(F.trim(F.expr("left(line, instr(line, ':') - 1)"))).alias("key"), F.trim(F.expr("substring(line, instr(line, ':') + 1)")).alias("value"))
+    lines = lines.where("key IN ('user-agent', 'allow', 'disallow')")
+    w = "PARTITION BY host ORDER BY n".replace("host", f"`{host}`")
+    lines = lines.withColumn("begins", F.expr(f"key = 'user-agent' AND coalesce(lag(key) OVER ({w}), '') <> 'user-agent'"))
+    lines = lines.withColumn("block", F.expr(f"sum(CAST(begins AS int)) OVER ({w})"))
+    low = agent.lower()
+    name = F.lower("value")
+    fits = F.when(name == "*", 0).when(F.lit(low).contains(name) & (name != ""), F.length("value"))
+    agents = lines.where("key = 'user-agent'").groupBy(host, "block").agg(F.max(fits).alias("fit")).where("fit IS NOT NULL")
+    best = agents.groupBy(host).agg(F.max("fit").alias("fit"))
+    chosen = agents.join(best, [host, "fit"]).select(host, "block")
+    rules = lines.where("key <> 'user-agent' AND value <> ''").join(chosen, [host, "block"])
+    return rules.select(host, F.col("value").alias("pattern"), (F.col("key") == "allow").alias("allow"))
 
 
 def robots(rules: DataFrame, urls: DataFrame) -> DataFrame:
-    """(url, allowed) by rules (host, pattern, allow): the longest pattern that the path begins with wins, allow on ties; none: allowed.
+    """(url, allowed) by rules (host, pattern, allow): the longest pattern that fits the path's beginning wins, allow on ties; none: allowed.
 
-    urls: (url, host, path).
+    In a pattern * is any run of characters, and $ at its end the path's end.  urls: (url, host, path).
     """
-    fit = urls.join(rules, "host").where(F.expr("startswith(path, pattern)"))
+    quoted = F.regexp_replace("pattern", "([.+?^$(){}|\\[\\]\\\\])", "\\\\$1")
+    form = F.concat(F.lit("^"), F.regexp_replace(F.replace(quoted, F.lit("*"), F.lit(".*")), "\\\\\\$$", "\\$"))
+    fit = urls.join(rules.withColumn("form", form), "host").where(F.expr("path RLIKE form"))
     best = fit.groupBy("url").agg(F.max(F.struct(F.length("pattern"), F.col("allow"))).alias("b"))
     return urls.join(best, "url", "left").select("url", F.coalesce(F.col("b.allow"), F.lit(True)).alias("allowed"))
 
 
-def is_shell(html: Column, least: int = 200) -> Column:
-    """A page that a script fills in: scripts and an empty root, hardly any text."""
-    return (F.length(plain(html)) < least) & html.rlike("(?i)<script") & html.rlike("(?i)<div[^>]+id=[\"'](?:root|app|__next)[\"'][^>]*>[ \\t\\n]*</div>")
+def is_shell(html: Column, least: int = 250) -> Column:
+    """A page that a script fills in: hardly any text in all, or in the element that it mounts on."""
+    text = F.length(plain(html))
+    mount = F.regexp_extract(html, "(?is)<[^>]*id=[\"'](?:root|app|__next|__nuxt|app-root)[\"'][^>]*>(.*?)</", 1)
+    mounted = html.rlike("(?i)<[^>]*id=[\"'](?:root|app|__next|__nuxt|app-root)[\"']")
+    return (html != "") & ((text < least) | (mounted & (F.length(plain(mount)) < least)))
+
+
+def portal_of(url: Column, portals: list[tuple[str, str]]) -> Column:
+    """The name of the first portal (domain, name) whose domain the url's host is, or lies under."""
+    host, out = url_domain(url), F.lit(None).cast("string")
+    for domain, name in reversed(portals):
+        out = F.when((host == domain) | F.endswith(host, F.lit(f".{domain}")), F.lit(name)).otherwise(out)
+    return out
