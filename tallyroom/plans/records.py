@@ -241,15 +241,28 @@ def pass_expiry(spark, d) -> DataFrame:
 # --- rules
 
 
+#: Addresses of each kind, with whether they are closed.
+ADDRESSES = [
+    ("8.8.8.8", False), ("192.0.0.9", True), ("192.0.1.1", False), ("192.0.2.200", True), ("198.18.0.1", True), ("198.19.255.255", True), ("198.20.0.1", False), ("198.51.100.7", True), ("203.0.113.1", True), ("203.0.114.1", False),
+    ("239.1.2.3", True), ("255.255.255.255", True), ("100.127.0.1", True), ("100.128.0.1", False), ("0177.0.0.1", True), ("1.2.3", True), ("256.1.1.1", True), ("host", True), ("", True), (None, True),
+    ("::", True), ("::1", True), ("::2", False), ("fc00::1", True), ("fe80::1%eth0", True), ("ff02::1", True), ("2001:db8::5", True), ("2001:4860:4860::8888", False), ("::ffff:a00:1", True), ("::ffff:808:808", False),
+    ("64:ff9b::7f00:1", True), ("64:ff9b::808:808", False), ("1:2:3:4:5:6:7", True), ("1:2:3:4:5:6:7:8", False), ("1::2::3", True), ("g::1", True), ("::ffff:8.8.8.8", True),
+]
+
+
 @query("""
 WITH i AS (SELECT c_custkey, (c_custkey * 7) % 256 AS a, (c_custkey * 13 + 5) % 256 AS b FROM customer), n AS (SELECT *, (CASE WHEN c_custkey % 3 = 0 THEN 10 WHEN c_custkey % 3 = 1 THEN 172 ELSE a END) AS f FROM i)
-SELECT c_custkey, CASE WHEN c_custkey % 11 = 0 THEN true ELSE f IN (0, 10, 127) OR f >= 224 OR f = 172 AND b BETWEEN 16 AND 31 OR f = 192 AND b = 168 OR f = 169 AND b = 254 OR f = 100 AND b BETWEEN 64 AND 127 END AS closed FROM n
+SELECT c_custkey::BIGINT AS id, CASE WHEN c_custkey % 11 = 0 THEN true ELSE f IN (0, 10, 127) OR f >= 224 OR f = 172 AND b BETWEEN 16 AND 31 OR f = 192 AND b = 168 OR f = 169 AND b = 254 OR f = 100 AND b BETWEEN 64 AND 127 OR f = 198 AND b IN (18, 19) END AS closed FROM n
+UNION ALL SELECT * FROM (VALUES """ + ", ".join(f"({-i}, {str(c).lower()})" for i, (_, c) in enumerate(ADDRESSES, 1)) + """) s(id, closed)
 """)
 def closed_addresses(spark, d) -> DataFrame:
+    """Addresses that are made of keys, and a list of each kind."""
     k = F.col("c_custkey")
     first = F.when(k % 3 == 0, 10).when(k % 3 == 1, 172).otherwise((k * 7) % 256).cast("string")
-    ip = F.when(k % 11 == 0, "host").otherwise(F.concat(F.when(k % 2 == 0, "::ffff:").otherwise(""), F.concat_ws(".", first, ((k * 13 + 5) % 256).cast("string"), F.lit("1"), F.lit("255"))))
-    return read(spark, d, "customer").select("c_custkey", ru.closed_address(ip).alias("closed"))
+    ip = F.when(k % 11 == 0, "host").otherwise(F.concat_ws(".", first, ((k * 13 + 5) % 256).cast("string"), F.lit("1"), F.lit("255")))
+    listed = spark.createDataFrame([(-i, a) for i, (a, _) in enumerate(ADDRESSES, 1)], "id long, ip string")
+    rows = read(spark, d, "customer").select(k.cast("long").alias("id"), ip.alias("ip")).union(listed)
+    return rows.select("id", ru.closed_address(F.col("ip")).alias("closed"))
 
 
 @query("""
