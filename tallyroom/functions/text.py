@@ -172,7 +172,7 @@ def stem_word(word: Column, endings: tuple = ENDINGS) -> Column:
 
 def stem_phrase(text: Column) -> Column:
     """The stems of the words between single spaces."""
-    return F.array_join(F.transform(F.split(text, " "), stem_word), " ")
+    return F.array_join(F.transform(F.split(text, " "), lambda w: stem_word(w)), " ")
 
 
 #: Endings that are taken off one group after the other, where a word has one.

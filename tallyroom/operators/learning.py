@@ -29,7 +29,7 @@ def meta_features(text: Column) -> Column:
     body = F.coalesce(text, F.lit(""))
     count = lambda p: F.regexp_count(body, F.lit(p))
     visible = count("[^\\s]")
-    lines = F.filter(F.transform(F.split(body, "\r?\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(body, "\r?\n"), lambda x: F.trim(x)), lambda x: x != "")
     tokens = feature_tokens(body)
 
     def repeats(w: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyroom.plans import events, filters, graphs, intervals, learning, matching, ranking, records, registry, scoring, texts  # noqa: F401
+from tallyroom.plans import events, filters, graphs, intervals, language, learning, matching, ranking, records, registry, scoring, texts  # noqa: F401
 
 FLAGSHIP = "lexeme_log_odds"
 
