@@ -101,8 +101,8 @@ def idle_sessions(df: DataFrame, by: list[str], time: str, ident: str, gap: floa
     return rows.groupBy(*by, "session").agg(F.min(time).alias("first"), F.max(time).alias("last"), F.count("*").alias("n"), F.max(F.struct(time, ident)).alias("l")).select(*by, "session", "first", "last", "n", F.col(f"l.{ident}").alias("last_id"))
 
 
-def ordered_fold(df: DataFrame, by: str, order: list[str], time: str, rule: Callable[[dict, int], bool], out: str, parts: int | None = None) -> DataFrame:
-    """The columns, then ``out``: what ``rule(state, time)`` says of each event, in order; state is a key's own dict.
+def ordered_fold(df: DataFrame, by: str, order: list[str], time: str, rule: Callable[..., bool], out: str, parts: int | None = None, also: tuple[str, ...] = ()) -> DataFrame:
+    """The columns, then ``out``: what ``rule(state, time, *also)`` says of each event, in order; state is a key's own dict.
 
     Rows are dealt by key and sorted; each task holds one batch and one key's state at a time, so a key's events may be
     any share of all.  Null keys are a key; null times come first as 0.
@@ -115,10 +115,11 @@ def ordered_fold(df: DataFrame, by: str, order: list[str], time: str, rule: Call
         for batch in batches:
             said = []
             keys, times = batch.column(batch.schema.names.index(by)).to_pylist(), batch.column(batch.schema.names.index(time)).to_pylist()
-            for k, t in zip(keys, times, strict=True):
+            more = [batch.column(batch.schema.names.index(c)).to_pylist() for c in also]
+            for k, t, *rest in zip(keys, times, *more, strict=True):
                 if k != key:
                     key, state = k, {}
-                said.append(rule(state, t or 0))
+                said.append(rule(state, t or 0, *rest))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(said, pa.bool_())], names=[*batch.schema.names, out])
 
     return dealt.mapInArrow(run, schema)
@@ -136,13 +137,13 @@ def fixed_window_rule(length: int, most: int) -> Callable[[dict, int], bool]:
     return rule
 
 
-def throttle_rule(least: int) -> Callable[[dict, int], bool]:
-    """An event is accepted ``least`` or more after the last accepted one."""
+def throttle_rule(least: int, most: int | None = None) -> Callable[[dict, int], bool]:
+    """An event is accepted ``least`` or more after the last accepted one, and no more than ``most`` are in all."""
 
     def rule(state: dict, t: int) -> bool:
-        if state and t - state["last"] < least:
+        if state and (t - state["last"] < least or (most is not None and state["n"] >= most)):
             return False
-        state["last"] = t
+        state.update(last=t, n=state.get("n", 0) + 1)
         return True
 
     return rule

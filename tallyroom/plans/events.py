@@ -23,12 +23,12 @@ def kanon_token_corpus(spark, d) -> DataFrame:
 
 
 def _groups(spark, d):
-    return ev.error_groups(read(spark, d, "events"), F.md5(F.concat_ws(":", "event_type", F.floor(F.col("value") / 25).cast("int").cast("string"))), micros("ts"), F.col("value"))
+    return ev.error_groups(read(spark, d, "events").where("event_type = 'error'"), F.md5(F.concat_ws(":", "event_type", F.floor(F.col("value") / 25).cast("int").cast("string"))), micros("ts"), F.col("value"))
 
 
 GROUPS = """
 SELECT md5(event_type || ':' || CAST(CAST(floor(value / 25) AS INTEGER) AS VARCHAR)) AS fingerprint, count(*) AS occurrences, min(epoch_us(ts)) AS first_seen, max(epoch_us(ts)) AS last_seen,
-  arg_max(value, (epoch_us(ts), value)) AS last_payload FROM events GROUP BY 1
+  arg_max(value, (epoch_us(ts), value)) AS last_payload FROM events WHERE event_type = 'error' GROUP BY 1
 """
 
 
