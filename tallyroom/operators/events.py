@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 
 def k_anonymous(df: DataFrame, token: Column, contributor: str, k: int = 5) -> DataFrame:
@@ -101,26 +102,26 @@ def idle_sessions(df: DataFrame, by: list[str], time: str, ident: str, gap: floa
     return rows.groupBy(*by, "session").agg(F.min(time).alias("first"), F.max(time).alias("last"), F.count("*").alias("n"), F.max(F.struct(time, ident)).alias("l")).select(*by, "session", "first", "last", "n", F.col(f"l.{ident}").alias("last_id"))
 
 
-def ordered_fold(df: DataFrame, by: str, order: list[str], time: str, rule: Callable[..., bool], out: str, parts: int | None = None, also: tuple[str, ...] = ()) -> DataFrame:
+def ordered_fold(df: DataFrame, by: str | list[str], order: list[str], time: str, rule: Callable, out: str, parts: int | None = None, also: tuple[str, ...] = (), kind: T.DataType = T.BooleanType()) -> DataFrame:  # noqa: B008
     """The columns, then ``out``: what ``rule(state, time, *also)`` says of each event, in order; state is a key's own dict.
 
     Rows are dealt by key and sorted; each task holds one batch and one key's state at a time, so a key's events may be
     any share of all.  Null keys are a key; null times come first as 0.
     """
-    dealt = (df.repartition(parts, by) if parts else df.repartition(by)).sortWithinPartitions(by, *order)
-    schema = T.StructType([*df.schema.fields, T.StructField(out, T.BooleanType())])
+    keys = [by] if isinstance(by, str) else by
+    dealt = (df.repartition(parts, *keys) if parts else df.repartition(*keys)).sortWithinPartitions(*keys, *order)
+    schema = T.StructType([*df.schema.fields, T.StructField(out, kind)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, state = object(), {}
         for batch in batches:
+            column = lambda c, batch=batch: batch.column(batch.schema.names.index(c)).to_pylist()
             said = []
-            keys, times = batch.column(batch.schema.names.index(by)).to_pylist(), batch.column(batch.schema.names.index(time)).to_pylist()
-            more = [batch.column(batch.schema.names.index(c)).to_pylist() for c in also]
-            for k, t, *rest in zip(keys, times, *more, strict=True):
+            for k, t, *rest in zip(zip(*map(column, keys), strict=True), column(time), *map(column, also), strict=True):
                 if k != key:
                     key, state = k, {}
                 said.append(rule(state, t or 0, *rest))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(said, pa.bool_())], names=[*batch.schema.names, out])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(said, to_arrow_type(kind))], names=[*batch.schema.names, out])
 
     return dealt.mapInArrow(run, schema)
 

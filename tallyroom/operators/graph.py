@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyroom.functions.numbers import round_half_up
+from tallyroom.functions.phrases import substituted
+from tallyroom.functions.text import stem_phrase
 from tallyroom.operators.tables import saved
 
 
@@ -81,30 +83,41 @@ def audit(vertices: DataFrame, edges: DataFrame, node_floor: float = 0.4, edge_f
     return weak_v.union(weak_e).union(names).union(orphans).union(dangling)
 
 
-def tiered_search(queries: DataFrame, names: DataFrame, similarity: Callable[[Column, Column], Column], block: Callable[[Column], Column] | None = None, least: float = 0.52) -> DataFrame:
-    """(query, id, score, tier): exact names 1, aliases 0.96, tags 0.82, else alike ones by 0.75 * likeness + 0.25 * confidence.
+def tiered_search(queries: DataFrame, names: DataFrame, similarity: Callable[[Column, Column], Column], least: float = 0.52, jargon: dict[str, str] | None = None, actors: dict[str, list[str]] | None = None) -> DataFrame:
+    """(query, id, score, tier): exact names 1, aliases 0.96, jargon 0.94, actors 0.92, stems 0.91, tags 0.82, else alike ones.
 
-    names: id, name, confidence, aliases, tags (arrays).  Each tier but the last is an equi-join; the last takes the
-    likest of name and aliases, and the list of queries is sent to all names, so every pair is compared.  With ``block``
-    (an array of strings from a text) only pairs that share a block are, which loses alike ones that share none.  A
-    pair counts by its first tier.
+    names: id, name, confidence, aliases, tags (arrays).  jargon: what a query's words stand for; actors: who does what a
+    word within a query names.  Each tier but the last is an equi-join of the query's forms with the names'; the last is
+    0.75 * likeness + 0.25 * confidence of the likest of name and aliases, and the stated list of queries is sent to all
+    names, so every pair is compared.  A pair counts by its first tier.
     """
     q = queries.select("query", F.lower("query").alias("q"))
-
-    def tier(column: Column, score: float, name: str) -> Column:
-        return F.transform(column, lambda t: F.struct(F.lower(t).alias("t"), F.lit(score).alias("s"), F.lit(name).alias("tier")))
-
-    tiers = F.concat(tier(F.array("name"), 1.0, "exact"), tier(F.col("aliases"), 0.96, "alias"), tier(F.col("tags"), 0.82, "tag"))
+    form = lambda kind, of: F.transform(of, lambda t: F.struct(F.lit(kind).alias("kind"), t.alias("t")))
+    said = F.flatten(F.array(*[F.when(F.col("q").contains(w), F.array(*[F.lit(a) for a in found])).otherwise(F.array().cast("array<string>")) for w, found in (actors or {"": []}).items() if w])) if actors else F.array().cast("array<string>")
+    asked = q.select("query", F.explode(F.concat(form("plain", F.array("q")), form("jargon", F.array(substituted(F.col("q"), jargon or {}))), form("actor", said), form("stem", F.array(stem_phrase(F.col("q")))))).alias("x")).select("query", "x.*")
+
+    def tier(column: Column, score: float, name: str, kind: str) -> Column:
+        return F.transform(column, lambda t: F.struct(F.lit(kind).alias("kind"), F.lower(t).alias("t"), F.lit(score).alias("s"), F.lit(name).alias("tier")))
+
+    called, low = F.array("name"), F.transform(F.array("name"), lambda t: F.lower(t))
+    tiers = F.concat(
+        tier(called, 1.0, "exact", "plain"), tier(F.col("aliases"), 0.96, "alias", "plain"), tier(called, 0.94, "jargon", "jargon"), tier(called, 0.92, "verbal", "actor"),
+        tier(F.transform(low, lambda t: stem_phrase(t)), 0.91, "stem", "stem"), tier(F.col("tags"), 0.82, "tag", "plain"),
+    )
     terms = names.select("id", F.explode(tiers).alias("x")).select("id", "x.*")
-    sure = q.join(terms, q["q"] == terms["t"]).select("query", "id", "s", "tier")
+    sure = asked.join(terms, ["kind", "t"]).select("query", "id", "s", "tier")
     texts = F.concat(F.array("name"), F.coalesce(F.col("aliases"), F.expr("CAST(array() AS array<string>)")))
     alike = names.select("id", "confidence", F.explode(texts).alias("n")).withColumn("n", F.lower("n"))
-    if block is None:
-        pairs = alike.crossJoin(F.broadcast(q))
-    else:
-        keys = lambda df, c: df.withColumn("__k", F.explode(block(F.col(c))))
-        pairs = keys(q, "q").join(keys(alike, "n"), "__k").select("query", "q", "id", "n", "confidence").distinct()
+    pairs = alike.crossJoin(F.broadcast(q))
     like = pairs.withColumn("l", similarity(F.col("q"), F.col("n"))).where(F.col("l") >= least).groupBy("query", "id").agg(F.max(0.75 * F.col("l") + 0.25 * F.col("confidence")).alias("s")).withColumn("tier", F.lit("fuzzy"))
-    ranked = sure.unionByName(like).withColumn("o", F.array_position(F.array(F.lit("exact"), F.lit("alias"), F.lit("tag"), F.lit("fuzzy")), F.col("tier")))
+    order = F.array(*[F.lit(t) for t in ("exact", "alias", "jargon", "verbal", "stem", "tag", "fuzzy")])
+    ranked = sure.unionByName(like).withColumn("o", F.array_position(order, F.col("tier")))
     best = ranked.groupBy("query", "id").agg(F.min_by(F.struct("s", "tier"), "o").alias("b"))
     return best.select("query", "id", F.col("b.s").alias("score"), F.col("b.tier").alias("tier"))
+
+
+def path_steps(paths: DataFrame, costs: DataFrame) -> DataFrame:
+    """(source, node, step, src, dst, cost, sure): each edge of each path (source, node, path), and what it costs, two decimals."""
+    rows = paths.select("source", "node", "path", F.posexplode(F.slice("path", F.lit(2), F.size("path"))).alias("i", "dst"))
+    rows = rows.select("source", "node", (F.col("i") + 1).alias("step"), F.col("path")[F.col("i")].alias("src"), "dst")
+    return rows.join(costs.select("src", "dst", round_half_up(F.col("cost"), 2).alias("cost"), "sure"), ["src", "dst"]).select("source", "node", "step", "src", "dst", "cost", "sure")

@@ -52,10 +52,20 @@ def gaps(df: DataFrame, by: list[str], start: str, end: str, holder: str, least:
     return rows.where(F.col("__last").isNotNull()).select(*by, (-F.col("__last.h")).alias("after"), F.col(holder).alias("before"), gap.alias("gap")).where(F.col("gap") >= least)
 
 
-def overlaps(df: DataFrame, by: list[str], start: str, end: str, ident: str) -> DataFrame:
-    """(by, a, b, shared): pairs of one owner's intervals that share a point, a < b; hash-joined by owner."""
-    x, y = df.select(*by, F.col(start).alias("s1"), F.col(end).alias("e1"), F.col(ident).alias("a")), df.select(*by, F.col(start).alias("s2"), F.col(end).alias("e2"), F.col(ident).alias("b"))
-    pairs = x.join(y, by).where("a < b AND s1 <= e2 AND s2 <= e1")
+def overlaps(df: DataFrame, by: list[str], start: str, end: str, ident: str, width: float | None = None) -> DataFrame:
+    """(by, a, b, shared): pairs of one owner's intervals that share a point, a < b.
+
+    Hash-joined by owner and bucket of time, so an owner's intervals only meet those nearby; a pair counts in the first
+    bucket that both lie in.  width: of a bucket, by default twice the mean length, which makes at most three rows of
+    two intervals, however their lengths differ.
+    """
+    rows = df.where(F.col(start).isNotNull() & F.col(end).isNotNull() & (F.col(start) <= F.col(end))).select(*by, F.col(start).alias("s"), F.col(end).alias("e"), F.col(ident).alias("i"))
+    if width is None:
+        width = max(1.0, 2 * float(rows.agg(F.avg(F.col("e") - F.col("s"))).first()[0] or 0))
+    bucket = lambda c: F.floor(F.col(c) / width).cast("long")
+    cut = rows.withColumn("__k", F.explode(F.sequence(bucket("s"), bucket("e"))))
+    x, y = cut.select(*by, "__k", F.col("s").alias("s1"), F.col("e").alias("e1"), F.col("i").alias("a")), cut.select(*by, "__k", F.col("s").alias("s2"), F.col("e").alias("e2"), F.col("i").alias("b"))
+    pairs = x.join(y, [*by, "__k"]).where("a < b AND s1 <= e2 AND s2 <= e1").where(F.col("__k") == F.greatest(bucket("s1"), bucket("s2")))
     return pairs.select(*by, "a", "b", (F.least("e1", "e2") - F.greatest("s1", "s2")).alias("shared"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyroom.functions.numbers import clamp, half_life, piecewise, smoothstep
+from tallyroom.functions.text import let
 from tallyroom.operators.scoring import weighted_geometric
 from tallyroom.operators.tables import saved
 
@@ -65,9 +66,13 @@ def scenario(unknown: float) -> dict[str, Column]:
 
 def scenario_score(arithmetic: Column, geometric: Column, nice: Column) -> Column:
     """0 to 100: musts through a curve, then nice-to-haves behind a gate that the musts open."""
-    both = clamp(0.55 * arithmetic + 0.45 * geometric)
-    curve, extra = piecewise(both), F.pow(clamp(nice), F.lit(2.40))
-    return clamp(100 * F.when(arithmetic.isNull(), extra).when(nice.isNull(), curve).otherwise(0.8 * curve + 0.2 * smoothstep(both) * extra), 0.0, 100.0)
+    extra = F.pow(clamp(nice), F.lit(2.40))
+
+    def of(both: Column) -> Column:
+        curve = let(both, lambda x: piecewise(x))
+        return let(100 * F.when(arithmetic.isNull(), extra).when(nice.isNull(), curve).otherwise(0.8 * curve + 0.2 * smoothstep(both) * extra), lambda x: clamp(x, 0.0, 100.0))
+
+    return let(clamp(0.55 * arithmetic + 0.45 * geometric), of)
 
 
 def alignment(matches: DataFrame, owner: str, cap: float = 35.0) -> DataFrame:
@@ -84,8 +89,11 @@ def alignment(matches: DataFrame, owner: str, cap: float = 35.0) -> DataFrame:
         F.count_if(F.col("status").isin("CONFIRMED", "PARTIAL")).alias("n_matched"),
         *[c.alias(f"{name}_{k}") for name, u in ways.items() for k, c in scenario(u).items()],
     )
-    score = lambda n: scenario_score(*[F.col(f"{n}_{k}") for k in ("arithmetic", "geometric", "nice")])
-    out = out.withColumns({n: F.least(score(n), F.coalesce("cap", F.lit(100.0))) for n in ways})
+    # the curve stands once in the plan, over an array of the three ways
+    parts = ("arithmetic", "geometric", "nice")
+    out = out.withColumn("ways", F.array(*[F.struct(*[F.col(f"{n}_{k}").alias(k) for k in parts]) for n in ways]))
+    out = out.withColumn("ways", F.transform("ways", lambda x: F.least(scenario_score(*[x[k] for k in parts]), F.coalesce("cap", F.lit(100.0)))))
+    out = out.withColumns({n: F.col("ways")[i] for i, n in enumerate(ways)})
     out = out.withColumn("width", F.greatest(F.lit(0.0), F.col("high") - F.col("low")))
     out = out.withColumn("suppressed", (F.col("width") > 30) | (F.col("unknown_share") > 0.30))
     return out.select(owner, "low", "mid", "high", "width", "unknown_share", "n_matched", "suppressed", F.when(~F.col("suppressed"), F.col("mid")).alias("score"))

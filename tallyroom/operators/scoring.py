@@ -8,8 +8,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyroom.functions.numbers import band, clamp, round_half_up
+from tallyroom.operators.events import ordered_fold
 
 #: Exponents of coverage, provenance, extraction and sample size in a confidence.
 CONFIDENCE_WEIGHTS = (0.40, 0.25, 0.20, 0.15)
@@ -92,21 +94,18 @@ def single_budget(df: DataFrame, by: list[str], order: list[str], requested: str
 def double_budget(df: DataFrame, by: list[str], order: str, defect: str, requested: str, scope_budget: float, defect_budget: float) -> DataFrame:
     """(by, order, applied) of requests that draw on two budgets at once: the group's, and their defect's within it.
 
-    What one request gets depends on all before it, so each group is folded in order; the state is one sum a defect.
+    What one request gets depends on all before it, so each group's rows go by in order; the state is one sum a defect.
     """
-    row = F.struct(F.col(order).alias("o"), F.col(defect).cast("string").alias("d"), F.greatest(F.lit(0.0), F.coalesce(requested, F.lit(0.0))).cast("double").alias("r"))
-    start = F.expr("named_struct('used', 0D, 'by', CAST(map() AS map<string,double>), 'out', CAST(array() AS array<double>))")
-
-    def step(acc: Column, x: Column) -> Column:
-        spent = F.coalesce(F.try_element_at(acc["by"], x["d"]), F.lit(0.0))
-        got = F.least(x["r"], F.greatest(F.lit(0.0), F.lit(defect_budget) - spent), F.greatest(F.lit(0.0), F.lit(scope_budget) - acc["used"]))
-        others = F.map_filter(acc["by"], lambda k, _: k != x["d"])
-        return F.struct((acc["used"] + got).alias("used"), F.map_concat(others, F.create_map(x["d"], spent + got)).alias("by"), F.concat(acc["out"], F.array(got)).alias("out"))
-
-    rows = df.groupBy(*by).agg(F.sort_array(F.collect_list(row)).alias("rows"))
-    done = rows.withColumn("out", F.aggregate("rows", start, step, lambda acc: acc["out"]))
-    flat = done.select(*by, F.explode(F.arrays_zip("rows", "out")).alias("x"))
-    return flat.select(*by, F.col("x.rows.o").alias(order), F.col("x.out").alias("applied"))
+    rows = df.select(*by, order, F.col(defect).cast("string").alias("__defect"), F.greatest(F.lit(0.0), F.coalesce(requested, F.lit(0.0))).cast("double").alias("__asked"))
+
+    def rule(state: dict, _: object, name: str | None, asked: float) -> float:
+        spent = state.setdefault("spent", {})
+        got = min(asked, max(0.0, defect_budget - spent.get(name, 0.0)), max(0.0, scope_budget - state.get("used", 0.0)))
+        spent[name] = spent.get(name, 0.0) + got
+        state["used"] = state.get("used", 0.0) + got
+        return got
+
+    return ordered_fold(rows, by, [order], order, rule, "applied", also=("__defect", "__asked"), kind=T.DoubleType()).select(*by, order, "applied")
 
 
 def confidence(coverage: Column, provenance: Column, extraction: Column, n_effective: Column, k: float = 5.0, weights: tuple = CONFIDENCE_WEIGHTS) -> Column:

@@ -5,12 +5,19 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; a local one only in local mode, an error elsewhere."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.conf.get("spark.master", "local").startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return (named or f"file://{tempfile.gettempdir()}/tallyroom-tables").rstrip("/")
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """The rows, written once to the folder in spark.checkpoint.dir and read from there; a local folder only where it is unset."""
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/tallyroom-tables"
-    path = f"{folder.rstrip('/')}/tallyroom/{uuid.uuid4().hex}"
+    """The rows, written once to the shared folder and read from there."""
+    path = f"{shared_folder(df.sparkSession)}/tallyroom/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right, insort
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyroom.functions.numbers import clamp
-from tallyroom.functions.text import fold
+from tallyroom.functions.text import fold, let
+from tallyroom.operators.events import ordered_fold
 
 #: Byte pairs of UTF-8 read as a one-byte code.
 BROKEN = ("Ã©", "Ã¨", "Ã¤", "Ã¶", "Ã¼", "Ä…", "Ä™", "Å‚", "â€™", "â€œ")
@@ -76,12 +80,31 @@ def _with_f1(df: DataFrame) -> DataFrame:
 def order_discordance(df: DataFrame, by: list[str], first: str, second: str, weight: str | None = None) -> DataFrame:
     """(by, comparable, discordant, discordance): the weight of pairs that two orders put the other way round.
 
-    A pair weighs as the lighter of its rows, 1 by default; pairs that are equal in one order aren't comparable.
+    A pair weighs as the lighter of its rows; pairs that are equal in one order aren't comparable.  Without weights rows
+    go by in the first order beside a sorted list of those before, so no pairs are formed; weighted pairs are joined.
     """
-    w = F.col(weight) if weight else F.lit(1.0)
-    rows = df.select(*by, F.col(first).alias("f"), F.col(second).alias("s"), w.alias("w"))
-    pairs = rows.join(rows.select(*by, F.col("f").alias("f2"), F.col("s").alias("s2"), F.col("w").alias("w2")), by).where("f < f2 AND s <> s2")
-    out = pairs.groupBy(*by).agg(F.sum(F.least("w", "w2")).alias("comparable"), F.sum(F.when(F.col("s") > F.col("s2"), F.least("w", "w2")).otherwise(0.0)).alias("discordant"))
+    if weight is None:
+        rows = df.select(*by, F.col(first).alias("f"), F.col(second).alias("s"))
+
+        def rule(state: dict, _: object, f, s) -> list[int]:
+            """Of the rows before, with another place in both orders: how many, and how many that the second order puts after."""
+            if f is None or s is None:
+                return [0, 0]
+            if state.get("f") != f:  # rows of one place wait for the next
+                for x in state.get("wait", ()):
+                    insort(state.setdefault("seen", []), x)
+                state.update(f=f, wait=[])
+            seen = state.setdefault("seen", [])
+            state["wait"].append(s)
+            low, high = bisect_left(seen, s), bisect_right(seen, s)
+            return [low + len(seen) - high, len(seen) - high]
+
+        pairs = ordered_fold(rows, by, ["f"], "f", rule, "n", also=("f", "s"), kind=T.ArrayType(T.LongType()))
+        out = pairs.groupBy(*by).agg(F.sum(F.col("n")[0]).cast("double").alias("comparable"), F.sum(F.col("n")[1]).cast("double").alias("discordant")).where("comparable > 0")
+    else:
+        rows = df.select(*by, F.col(first).alias("f"), F.col(second).alias("s"), F.col(weight).alias("w"))
+        pairs = rows.join(rows.select(*by, F.col("f").alias("f2"), F.col("s").alias("s2"), F.col("w").alias("w2")), by).where("f < f2 AND s <> s2")
+        out = pairs.groupBy(*by).agg(F.sum(F.least("w", "w2")).alias("comparable"), F.sum(F.when(F.col("s") > F.col("s2"), F.least("w", "w2")).otherwise(0.0)).alias("discordant"))
     return out.withColumn("discordance", F.when(F.col("comparable") > 0, F.col("discordant") / F.col("comparable")))
 
 
@@ -96,15 +119,20 @@ def answer_marks(text: Column) -> Column:
 def sections(docs: DataFrame, key: str, text: str, headers: dict[str, str]) -> DataFrame:
     """(key, line, section, content): each line under the last header at or before it; headers: name to a pattern on a whole line.
 
-    Lines are carried forward within a text, in its own array: no shuffle.
+    Headers part a text's array of lines; each part is a slice of it, so nothing is shuffled or grows line by line.
     """
     name = F.lit(None).cast("string")
     kind = lambda x: _first_match(x, headers, name)
     lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
-    marked = F.transform(lines, lambda x, i: F.struct(i.alias("line"), kind(F.lower(F.trim(x))).alias("header"), x.alias("content")))
-    start = F.expr("named_struct('last', CAST(NULL AS string), 'rows', CAST(array() AS array<struct<line:int,section:string,content:string>>))")
-    folded = F.aggregate(marked, start, lambda acc, x: F.struct(F.coalesce(x["header"], acc["last"]).alias("last"), F.concat(acc["rows"], F.array(F.struct(x["line"].alias("line"), F.coalesce(x["header"], acc["last"]).alias("section"), x["content"].alias("content")))).alias("rows")), lambda acc: acc["rows"])
-    return docs.select(key, F.explode(folded).alias("r")).select(key, "r.*")
+
+    def parted(x: Column) -> Column:
+        heads = F.filter(F.transform(x, lambda t, i: F.struct(i.alias("line"), kind(F.lower(F.trim(t))).alias("header"))), lambda h: h["header"].isNotNull())
+        return let(F.concat(F.array(F.struct(F.lit(0).alias("line"), name.alias("header"))), heads), lambda h: F.flatten(F.transform(h, lambda s, j: part(x, s, F.coalesce(F.get(h, j + 1)["line"], F.size(x))))))
+
+    def part(x: Column, s: Column, end: Column) -> Column:
+        return F.transform(F.slice(x, s["line"] + 1, end - s["line"]), lambda t, i: F.struct((s["line"] + i).alias("line"), s["header"].alias("section"), t.alias("content")))
+
+    return docs.select(key, F.explode(let(lines, parted)).alias("r")).select(key, "r.*")
 
 
 def _first_match(x: Column, patterns: dict[str, str], otherwise: Column) -> Column:

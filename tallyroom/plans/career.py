@@ -152,8 +152,8 @@ def snapshot_states(spark, d) -> DataFrame:
 
 @query("""
 WITH x AS (SELECT user_id, event_id, ts, CASE WHEN event_type IN ('view', 'click') THEN event_type END AS stage, CASE WHEN event_type = 'purchase' AND event_id % 3 > 0 THEN 'bought ' || event_id END AS note FROM events WHERE event_id % 7 = 0),
-a AS (SELECT *, last_value(stage IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS at FROM x)
-SELECT user_id, epoch_us(min(ts) FILTER (stage IS NOT NULL)) AS started, arg_max(stage, (ts, event_id)) FILTER (stage IS NOT NULL) AS stage, count(note) AS n_notes, coalesce(string_agg(coalesce(at, '-') || ': ' || note, ' | ' ORDER BY ts, event_id), '') AS notes FROM a GROUP BY 1
+a AS (SELECT *, last_value(stage IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS place FROM x)
+SELECT user_id, epoch_us(min(ts) FILTER (stage IS NOT NULL)) AS started, arg_max(stage, (ts, event_id)) FILTER (stage IS NOT NULL) AS stage, count(note) AS n_notes, coalesce(string_agg(coalesce(place, '-') || ': ' || note, ' | ' ORDER BY ts, event_id), '') AS notes FROM a GROUP BY 1
 """.replace("FROM events WHERE event_id % 7 = 0", "FROM events"))
 def interview_sessions(spark, d) -> DataFrame:
     """Sessions of views and clicks, with purchases as notes."""

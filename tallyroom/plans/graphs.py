@@ -103,15 +103,49 @@ def graph_audit(spark, d) -> DataFrame:
 
 
 @query("""
-WITH q(query) AS (VALUES ('small ring'), ('red wigdet'), ('Blue Bolt'), ('larg gear'), ('PROMO'), ('nothing like it')), n AS (SELECT p_name AS name, min(p_partkey) AS id, list(DISTINCT p_type) AS tags FROM part GROUP BY 1),
-s AS (SELECT query, id, 1.0::DOUBLE AS s, 'exact' AS tier, 1 AS o FROM q JOIN n ON lower(query) = lower(name) UNION ALL SELECT query, id, 0.82::DOUBLE, 'tag', 2 FROM q JOIN n ON list_contains(list_transform(tags, lambda t: lower(t)), lower(query))
-  UNION ALL SELECT query, id, 0.75 * (1 - levenshtein(lower(query), lower(name)) / greatest(length(query), length(name))) + 0.25 * 0.8, 'fuzzy', 3 FROM q JOIN n ON len(list_intersect(regexp_split_to_array(lower(query), ' '), regexp_split_to_array(lower(name), ' '))) > 0
-    WHERE 1 - levenshtein(lower(query), lower(name)) / greatest(length(query), length(name)) >= 0.52)
+WITH q(query) AS (VALUES ('small ring'), ('red wigdet'), ('Blue Bolt'), ('larg gear'), ('PROMO'), ('nothing like it'), ('hoopy thing'), ('small ringami')), n AS (SELECT p_name AS name, min(p_partkey) AS id, list(DISTINCT p_type) AS tags FROM part GROUP BY 1),
+f AS (SELECT query, lower(query) AS q, replace(lower(query), 'wigdet', 'widget') AS j, CASE WHEN contains(lower(query), 'hoop') THEN 'new ring' END AS v, CASE WHEN lower(query) = 'small ringami' THEN 'small ring' WHEN lower(query) = 'larg gear' THEN 'large gear' END AS st FROM q),
+s AS (SELECT query, id, 1.0::DOUBLE AS s, 'exact' AS tier, 1 AS o FROM f JOIN n ON q = lower(name) UNION ALL SELECT query, id, 0.94::DOUBLE, 'jargon', 3 FROM f JOIN n ON j = lower(name) UNION ALL SELECT query, id, 0.92::DOUBLE, 'verbal', 4 FROM f JOIN n ON v = lower(name)
+  UNION ALL SELECT query, id, 0.91::DOUBLE, 'stem', 5 FROM f JOIN n ON st = lower(name) UNION ALL SELECT query, id, 0.82::DOUBLE, 'tag', 6 FROM f JOIN n ON list_contains(list_transform(tags, lambda t: lower(t)), q)
+  UNION ALL SELECT query, id, 0.75 * (1 - levenshtein(q, lower(name)) / greatest(length(q), length(name))) + 0.25 * 0.8, 'fuzzy', 7 FROM f JOIN n ON 1 - levenshtein(q, lower(name)) / greatest(length(q), length(name)) >= 0.52)
 SELECT query, id, round(s, 6) AS score, tier FROM (SELECT *, row_number() OVER (PARTITION BY query, id ORDER BY o) AS r FROM s) WHERE r = 1
 """)
 def fuzzy_name_search(spark, d) -> DataFrame:
-    """Names by a list of queries: exact, by tag, then alike ones that share a word."""
+    """Names by a list of queries, in seven tiers; every name is compared."""
     names = read(spark, d, "part").groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("id"), F.collect_set("p_type").alias("tags"))
     names = names.withColumns({"confidence": F.lit(0.8), "aliases": F.expr("CAST(array() AS array<string>)")})
-    queries = spark.createDataFrame([(x,) for x in ("small ring", "red wigdet", "Blue Bolt", "larg gear", "PROMO", "nothing like it")], "query string")
-    return r6(gr.tiered_search(queries, names, edit_similarity, lambda c: F.array_distinct(F.split(c, " "))))
+    queries = spark.createDataFrame([(x,) for x in ("small ring", "red wigdet", "Blue Bolt", "larg gear", "PROMO", "nothing like it", "hoopy thing", "small ringami")], "query string")
+    return r6(gr.tiered_search(queries, names, edit_similarity, jargon={"wigdet": "widget"}, actors={"hoop": ["new ring"]}))
+
+
+@query(f"WITH v AS ({VERTICES}) SELECT id, name FROM v WHERE contains(lower(name), 'er#') OR contains(lower(name), 'size 1') ORDER BY confidence DESC, id LIMIT 20")
+def best_vertices(spark, d) -> DataFrame:
+    """The 20 surest vertices whose name holds a text: a top-k report."""
+    v, _ = _graph(spark, d)
+    low = F.lower("name")
+    return v.where(low.contains("er#") | low.contains("size 1")).orderBy(F.desc("confidence"), "id").limit(20).select("id", "name")
+
+
+@query(_rank_sql(3).replace("SELECT id, round(rank, 9) AS rank FROM r3", "SELECT id, round(rank, 9) AS rank FROM r3 ORDER BY round(rank, 9) DESC, id LIMIT 25"))
+def pagerank_listing(spark, d) -> DataFrame:
+    """The 25 highest ranks after three rounds: a top-k report."""
+    v, e = _graph(spark, d)
+    return r6(gr.pagerank(v, e, rounds=3, save_every=3), 9).orderBy(F.desc("rank"), "id").limit(25)
+
+
+_FACTOR = "CASE type WHEN 'belongs_to' THEN 1.2::DOUBLE WHEN 'related_to' THEN 0.8::DOUBLE ELSE 1.0::DOUBLE END"
+
+
+@query(f"""
+WITH e AS (SELECT * FROM ({EDGES}) WHERE type IN ('belongs_to', 'related_to')), b AS (SELECT src, dst, 1 / (greatest(0.1, weight) * greatest(0.1, confidence) * {_FACTOR}) AS cost, confidence * weight AS sure FROM e UNION ALL SELECT dst, src, 1 / (greatest(0.1, weight) * greatest(0.1, confidence) * {_FACTOR}), confidence * weight FROM e),
+c AS (SELECT src, dst, min(cost) AS cost, arg_min(sure, cost) AS sure FROM b WHERE src <> dst GROUP BY 1, 2),
+p AS (SELECT src AS source, dst AS node, [src, dst] AS path, floor(cost * 1e8 + 0.5) / 1e8 AS cost, 1 AS hops FROM c WHERE src < 100 UNION ALL SELECT a.src, b.dst, [a.src, a.dst, b.dst], floor((floor(a.cost * 1e8 + 0.5) / 1e8 + b.cost) * 1e8 + 0.5) / 1e8, 2 FROM c a JOIN c b ON a.dst = b.src WHERE a.src < 100),
+m AS (SELECT source, node, arg_min(path, (cost, hops, path)) AS path FROM p WHERE source <> node GROUP BY 1, 2), s AS (SELECT source, node, unnest(range(1, len(path))) AS step, path FROM m)
+SELECT source, node, CAST(step AS INTEGER) AS step, c.src, c.dst, round(floor(cost * 100 + 0.5) / 100, 6) AS cost, round(sure, 6) AS sure FROM s JOIN c ON c.src = path[step] AND c.dst = path[step + 1]
+""")
+def path_steps(spark, d) -> DataFrame:
+    """The steps of the cheapest ways of two edges at most from each region, over edges of two kinds."""
+    _, e = _graph(spark, d)
+    costs = gr.path_costs(e.where("type IN ('belongs_to', 'related_to')"), {"belongs_to": 1.2, "related_to": 0.8})
+    sources = read(spark, d, "region").select(F.col("r_regionkey").cast("long").alias("source"))
+    return r6(gr.path_steps(gr.bounded_paths(sources, costs, 2), costs))

@@ -40,7 +40,7 @@ def _matches(spark, d) -> DataFrame:
     wanted = F.array(*[F.struct(F.lit(c).alias("requirement"), F.lit(p).alias("priority"), F.lit(w).alias("weight")) for c, p, w in WANTED])
     suppliers = read(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), (F.col("s_acctbal") / 10000).alias("complete"))
     requirements = suppliers.select("l_suppkey", "complete", F.explode(wanted).alias("w")).select("l_suppkey", "complete", "w.*")
-    return mt.best_matches(requirements, evidence.where("depth > 0.6"), mt.relation_strengths(nodes, closure), "l_suppkey", F.col("complete"))
+    return mt.best_matches(requirements, evidence, mt.relation_strengths(nodes, closure), "l_suppkey", F.col("complete"))
 
 
 MATCHES = """
@@ -48,7 +48,7 @@ k AS (SELECT p_partkey, p_type, p_type || '|' || CAST(CAST(floor(p_size / 10) AS
 n AS (SELECT DISTINCT c AS x FROM k UNION SELECT p_type FROM k UNION SELECT 'ANY'),
 up AS (SELECT DISTINCT c AS x, p_type AS a FROM k UNION SELECT c, 'ANY' FROM k UNION SELECT p_type, 'ANY' FROM k),
 rel AS (SELECT r, c, max(s) AS s FROM (SELECT x AS r, x AS c, 1.0::DOUBLE AS s FROM n UNION ALL SELECT a, x, 0.95::DOUBLE FROM up UNION ALL SELECT x, a, 0.25::DOUBLE FROM up) GROUP BY 1, 2),
-e AS (SELECT l_suppkey, k.c, l_quantity / 50 AS depth, l_orderkey * 10 + l_linenumber AS evidence_id FROM lineitem JOIN k ON l_partkey = p_partkey WHERE 1 - l_discount * 8 >= 0.4 AND l_quantity / 50 > 0.6),
+e AS (SELECT l_suppkey, k.c, l_quantity / 50 AS depth, l_orderkey * 10 + l_linenumber AS evidence_id FROM lineitem JOIN k ON l_partkey = p_partkey WHERE 1 - l_discount * 8 >= 0.4),
 w(requirement, priority, weight) AS (VALUES ('ECONOMY|1', 'CORE_MUST', 3.0::DOUBLE), ('STANDARD', 'MUST', 2.0::DOUBLE), ('PROMO|2', 'MUST', 1.0::DOUBLE), ('LARGE', 'NICE', 1.0::DOUBLE), ('SMALL|4', 'NICE', 2.0::DOUBLE)),
 h AS (SELECT l_suppkey, rel.r AS requirement, rel.s * depth AS f, evidence_id, row_number() OVER (PARTITION BY l_suppkey, rel.r ORDER BY rel.s * depth DESC, evidence_id) AS rn FROM e JOIN rel ON rel.c = e.c),
 m AS (SELECT s_suppkey AS l_suppkey, s_acctbal / 10000 AS complete, w.requirement, priority, weight, coalesce(f, 0) AS fulfilment,

@@ -107,4 +107,4 @@ def haversine_matrix(spark, d) -> DataFrame:
     """Distances between the 25 nations, a table of fixed size."""
     n = read(spark, d, "nation").select(F.col("n_nationkey").alias("k"), (40.0 + F.col("n_nationkey") * 0.7).alias("lat"), (-10.0 + F.col("n_nationkey") * 1.9).alias("lon"))
     a, b = n.select(F.col("k").alias("a"), F.col("lat").alias("y1"), F.col("lon").alias("x1")), n.select(F.col("k").alias("b"), F.col("lat").alias("y2"), F.col("lon").alias("x2"))
-    return r6(a.join(F.broadcast(b), F.col("a") != F.col("b")).select("a", "b", haversine_km(F.col("y1"), F.col("x1"), F.col("y2"), F.col("x2")).alias("km")))
+    return r6(a.join(b, F.col("a") != F.col("b")).select("a", "b", haversine_km(F.col("y1"), F.col("x1"), F.col("y2"), F.col("x2")).alias("km")))

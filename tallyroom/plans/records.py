@@ -48,10 +48,11 @@ def duplicate_records(spark, d) -> DataFrame:
     return rc.duplicates(docs, "doc_id", {"text": F.md5("text"), "size": F.concat(F.lower("source"), F.lit("|"), F.col("n_chars").cast("string"))})
 
 
-@query("SELECT p_partkey FROM part WHERE p_size > 40 AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R')")
+@query("SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_linenumber = 7)")
 def missing_evidence(spark, d) -> DataFrame:
-    required = read(spark, d, "part").where("p_size > 40").select("p_partkey")
-    return rc.missing(required, read(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_partkey").alias("p_partkey")), ["p_partkey"])
+    """Parts that were never the seventh line of an order and sent back."""
+    required = read(spark, d, "part").select("p_partkey")
+    return rc.missing(required, read(spark, d, "lineitem").where("l_returnflag = 'R' AND l_linenumber = 7").select(F.col("l_partkey").alias("p_partkey")), ["p_partkey"])
 
 
 def _windows(of: str, name: str) -> str:
