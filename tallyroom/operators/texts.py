@@ -43,19 +43,46 @@ def document_class(text: Column, headings: list[str], contact: str, others: list
     return F.struct(kind.alias("document_class"), sure.alias("confidence"))
 
 
-def number_context(window: Column) -> Column:
-    """What a number stands for, by the first pattern that its surroundings match."""
-    rules = [("PERCENT", "[0-9] ?%"), ("MONEY", "[$€£] ?[0-9]|[0-9] ?(?:usd|eur|pln|gbp)"), ("CLOCK", "[0-9]{1,2}:[0-9]{2}"), ("YEAR", "(?:^|[^0-9])(?:19|20)[0-9]{2}(?:$|[^0-9])"), ("VERSION", "[0-9]+\\.[0-9]+\\.[0-9]+"), ("PHONE", "[0-9](?:[ -]?[0-9]){8,}")]
-    out = F.lit("COUNT")
-    for name, pattern in reversed(rules):
-        out = F.when(F.lower(window).rlike(pattern), name).otherwise(out)
-    return F.when(window.rlike("[0-9]"), out)
-
-
-def numbers_in_context(docs: DataFrame, key: str, text: str, around: int = 3) -> DataFrame:
-    """(key, context, n): the numbers of each text by context."""
-    found = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(f"([^0-9\\n]{{0,{around}}}[0-9][0-9.,:]*[^0-9\\n]{{0,{around}}})"), 1)
-    return docs.select(key, F.explode(found).alias("w")).groupBy(key, number_context(F.col("w")).alias("context")).agg(F.count("*").alias("n"))
+#: Words that tell what a number beside them stands for.
+DATED = "od|do|since|from|until|obecnie|present|styczeń|luty|marzec|kwiecień|maj|czerwiec|lipiec|sierpień|wrzesień|październik|listopad|grudzień|jan|feb|mar|apr|jun|jul|aug|sep|oct|nov|dec"
+LASTING = "rok|lata|lat|miesiąc|miesiące|miesięcy|tydzień|tygodnie|years?|months?|weeks?"
+VERSIONED = "windows|office|m365|o365|s7|v\\.?\\s*[0-9]|version|wersja|release|model|iso|iatf|wcag|http|tls"
+ACHIEVED = "zwiększ|wzrost|obniż|zmniejsz|redukc|skróc|oszczęd|popraw|podnies|utrzym|osiągn|pozysk|wdroż|zrealiz|processed|increased|reduced|saved|improved|grew|cut|delivered|achieved"
+COUNTED = "klient|użytkownik|pracownik|projekt|transakcj|faktur|zgłosze|ticket|zapyt|rynk|kraj|oddział|lokalizacj|rekord|dokument|zamówie|users?|clients?|employees?|projects?|transactions?|tickets?|requests?"
+PAID = "pln|zł|zl|eur|usd|gbp|rub|tys\\.?|mln|mld|k|million|billion"
+#: What a number of each class weighs; others weigh nothing.
+NUMBER_WEIGHTS = {"IMPACT_METRIC": 1.0, "SCALE_METRIC": 0.55, "UNKNOWN_NUMBER": 0.1}
+
+
+def number_context(number: Column, window: Column) -> Column:
+    """struct(context, confidence, weight): what a number stands for, by the first rule that its surroundings meet.
+
+    Words are bounded by what is no letter, digit or underscore of ASCII.
+    """
+    low = F.lower(F.trim(F.regexp_replace(window, "\\s+", " ")))
+    # a boundary lies between a word character and another, so its side depends on the sign next to it
+    b = "(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
+    said = lambda words: low.rlike(f"{b}(?:{words}){b}")
+    begun = lambda words: low.rlike(f"{b}(?:{words})")
+    year = F.regexp_replace(F.regexp_replace(number, "\\s", ""), ",", ".").rlike("^(?:19|20)[0-9]{2}$")
+    impact, money = begun(ACHIEVED), said(PAID)
+    rules = [
+        (year & (low.rlike(f"(?:^|{b})(?:{DATED}){b}") | low.rlike("[-–—/]\\s*(?:19|20)[0-9]{2}")), "DATE_OR_YEAR", 0.98), (said(LASTING) & ~impact, "DURATION", 0.93), (said(VERSIONED) & ~impact, "VERSION_OR_MODEL", 0.9),
+        (impact & (money | low.rlike("%|procent")), "IMPACT_METRIC", 0.97), (impact & begun(COUNTED), "IMPACT_METRIC", 0.88), (begun(COUNTED), "SCALE_METRIC", 0.86), (money & low.rlike(f"{b}(?:99|24|7)\\s*(?:zł|zl){b}") & ~impact, "PRICE_OR_NAME_FRAGMENT", 0.82),
+        (money, "SCALE_METRIC", 0.78), (year, "DATE_OR_YEAR", 0.82),
+    ]
+    out = F.struct(F.lit("UNKNOWN_NUMBER").alias("context"), F.lit(0.45).alias("confidence"))
+    for c, name, sure in reversed(rules):
+        out = F.when(c, F.struct(F.lit(name).alias("context"), F.lit(sure).alias("confidence"))).otherwise(out)
+    weight = lambda x: F.coalesce(*[F.when(x["context"] == n, F.lit(w)) for n, w in NUMBER_WEIGHTS.items()], F.lit(0.0))
+    return let(out, lambda x: F.struct(x["context"].alias("context"), x["confidence"].alias("confidence"), weight(x).alias("weight")))
+
+
+def numbers_in_context(docs: DataFrame, key: str, text: str, around: int = 30) -> DataFrame:
+    """(key, context, n, confidence, weight): the numbers of each text by context, with the sums of their confidences and weights."""
+    found = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(f"([^0-9\n]{{0,{around}}}[0-9][0-9.,:]*[^0-9\n]{{0,{around}}})"), 1)
+    rows = docs.select(key, F.explode(found).alias("w")).select(key, number_context(F.regexp_extract("w", "([0-9][0-9.,:]*)", 1), F.col("w")).alias("c")).select(key, "c.*")
+    return rows.groupBy(key, "context").agg(F.count("*").alias("n"), F.sum("confidence").alias("confidence"), F.sum("weight").alias("weight"))
 
 
 def token_agreement(left: DataFrame, right: DataFrame, key: list[str], token: str) -> DataFrame:

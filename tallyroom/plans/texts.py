@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyroom.functions import text as tx
 from tallyroom.operators import texts as ts
+from tallyroom.plans.filters import chosen, made
 from tallyroom.plans.registry import query, r6
 from tallyroom.sources import html
 from tallyroom.sources.tables import read
@@ -38,13 +39,31 @@ def doc_class_gate(spark, d) -> DataFrame:
     return r6(read(spark, d, "documents").select("doc_id", ts.document_class(F.coalesce("text", F.lit("")), HEADINGS, CONTACT, OTHERS).alias("x")).select("doc_id", "x.*"))
 
 
-@query("""
-WITH w AS (SELECT doc_id, lower(unnest(regexp_extract_all(coalesce(text, ''), '[^0-9\\n]{0,3}[0-9][0-9.,:]*[^0-9\\n]{0,3}'))) AS w FROM documents)
-SELECT doc_id, CASE WHEN regexp_matches(w, '[0-9] ?%') THEN 'PERCENT' WHEN regexp_matches(w, '[$€£] ?[0-9]|[0-9] ?(?:usd|eur|pln|gbp)') THEN 'MONEY' WHEN regexp_matches(w, '[0-9]{1,2}:[0-9]{2}') THEN 'CLOCK' WHEN regexp_matches(w, '(?:^|[^0-9])(?:19|20)[0-9]{2}(?:$|[^0-9])') THEN 'YEAR'
-  WHEN regexp_matches(w, '[0-9]+\\.[0-9]+\\.[0-9]+') THEN 'VERSION' WHEN regexp_matches(w, '[0-9](?:[ -]?[0-9]){8,}') THEN 'PHONE' ELSE 'COUNT' END AS context, count(*) AS n FROM w GROUP BY 1, 2
-""")
+#: Contexts that are made of keys: number, context, class, confidence, weight.
+NUMBERS = [
+    ("2019", "od 2019 do dziś", "DATE_OR_YEAR", 0.98, 0.0), ("2019", "2017 – 2019 sklep", "DATE_OR_YEAR", 0.98, 0.0), ("5", "5 years of work", "DURATION", 0.93, 0.0), ("10", "Windows 10 hosts", "VERSION_OR_MODEL", 0.9, 0.0), ("40", "increased sales by 40 %", "IMPACT_METRIC", 0.97, 1.0),
+    ("12", "obniżyłem koszty o 12 tys.", "IMPACT_METRIC", 0.97, 1.0), ("300", "saved 300 users", "IMPACT_METRIC", 0.88, 1.0), ("300", "300 klientów", "SCALE_METRIC", 0.86, 0.55), ("99", "only 99 zl here", "PRICE_OR_NAME_FRAGMENT", 0.82, 0.0), ("500", "500 EUR", "SCALE_METRIC", 0.78, 0.55),
+    ("1999", "in 1999 here", "DATE_OR_YEAR", 0.82, 0.0), ("17", "room 17 b", "UNKNOWN_NUMBER", 0.45, 0.1), ("7", "reduced 7 years of debt by 3 mln", "IMPACT_METRIC", 0.97, 1.0),
+]
+
+
+@query(f"SELECT o_orderkey, context, confidence, weight FROM orders JOIN {made([(i, *x[2:]) for i, x in enumerate(NUMBERS)], 'k, context, confidence, weight')} ON o_orderkey % {len(NUMBERS)} = k")
 def numeric_context(spark, d) -> DataFrame:
-    return ts.numbers_in_context(read(spark, d, "documents").select("doc_id", "text"), "doc_id", "text")
+    """What numbers in contexts that are made of keys stand for."""
+    k = F.col("o_orderkey")
+    return read(spark, d, "orders").select("o_orderkey", ts.number_context(chosen(k, [x[0] for x in NUMBERS]), chosen(k, [x[1] for x in NUMBERS])).alias("c")).select("o_orderkey", "c.*")
+
+
+@query(r"""
+WITH w AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[^0-9\n]{0,30}[0-9][0-9.,:]*[^0-9\n]{0,30}')) AS w FROM documents), n AS (SELECT doc_id, lower(trim(regexp_replace(w, '\s+', ' ', 'g'))) AS w, regexp_extract(w, '[0-9][0-9.,:]*') AS n FROM w),
+f AS (SELECT *, regexp_matches(n, '^(?:19|20)[0-9]{2}$') AS y, regexp_matches(w, '\b(?:IMPACT)') AS i, regexp_matches(w, '\b(?:COUNTED)') AS s, regexp_matches(w, '\b(?:PAID)\b') AS m FROM n),
+c AS (SELECT doc_id, CASE WHEN y AND (regexp_matches(w, '\b(?:DATED)\b') OR regexp_matches(w, '[-–—/]\s*(?:19|20)[0-9]{2}')) THEN 'DATE_OR_YEAR' WHEN regexp_matches(w, '\b(?:LASTING)\b') AND NOT i THEN 'DURATION' WHEN regexp_matches(w, '\b(?:VERSIONED)\b') AND NOT i THEN 'VERSION_OR_MODEL'
+  WHEN i AND (m OR regexp_matches(w, '%|procent')) OR i AND s THEN 'IMPACT_METRIC' WHEN s THEN 'SCALE_METRIC' WHEN m AND regexp_matches(w, '\b(?:99|24|7)\s*(?:zł|zl)\b') AND NOT i THEN 'PRICE_OR_NAME_FRAGMENT' WHEN m THEN 'SCALE_METRIC' WHEN y THEN 'DATE_OR_YEAR' ELSE 'UNKNOWN_NUMBER' END AS context FROM f)
+SELECT doc_id, context, count(*) AS n FROM c GROUP BY 1, 2
+""".replace("IMPACT)", ts.ACHIEVED + ")").replace("COUNTED", ts.COUNTED).replace("PAID", ts.PAID).replace("DATED", ts.DATED).replace("LASTING", ts.LASTING).replace("VERSIONED", ts.VERSIONED))
+def numbers_of_documents(spark, d) -> DataFrame:
+    """The numbers of each document by context; its SQL names the same fixed words."""
+    return ts.numbers_in_context(read(spark, d, "documents").select("doc_id", "text"), "doc_id", "text").select("doc_id", "context", "n")
 
 
 _BAG = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}+#./@_-]+'), lambda t: t <> '')"

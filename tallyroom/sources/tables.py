@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyroom.functions.text import fold
+from tallyroom.operators.tables import saved
 
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -14,24 +15,42 @@ def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def read_records(spark: SparkSession, path: str, schema: T.StructType, kind: str = "json") -> tuple[DataFrame, DataFrame]:
-    """(good, quarantine) of a JSON-lines or CSV file: a line that doesn't fit the schema is kept as it stands.
+    """(good, quarantine) of a JSON-lines or CSV file: a record that doesn't fit the schema is kept as it stands.
 
-    Extra fields are passed over; an empty file gives no rows of either.  A CSV file's first line names the columns;
-    a field holds no line break.
+    Extra fields of JSON are passed over; an empty file gives no rows of either.  A CSV file's first line names the
+    columns; a quoted field may hold commas, line breaks and doubled quotes.
     """
     whole = T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())])
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
-    lines = spark.read.text(path).where("trim(value) <> ''")
     if kind == "csv":
-        lines = lines.where(F.col("value") != ",".join(schema.names))
-        parsed = F.from_csv("value", whole.simpleString()[7:-1].replace(":", " "), options | {"escape": '"'})
-    else:
-        parsed = F.from_json("value", whole, options)
-    rows = lines.select("value", parsed.alias("r"))
+        parsed = saved(spark.read.csv(path, schema=whole, header=True, multiLine=True, escape='"', **options))
+        return parsed.where("_corrupt IS NULL").drop("_corrupt"), parsed.where("_corrupt IS NOT NULL").select(F.col("_corrupt").alias("line"))
+    lines = spark.read.text(path).where("trim(value) <> ''")
+    rows = lines.select("value", F.from_json("value", whole, options).alias("r"))
     bad = F.col("r").isNull() | F.col("r._corrupt").isNotNull()
     return rows.where(~bad).select("r.*").drop("_corrupt"), rows.where(bad).select(F.col("value").alias("line"))
 
 
+def read_seeds(spark: SparkSession, path: str, whole: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(entities, relations) of JSON documents {"name", "skills": [...], "tools": [...]}, one a line, or with ``whole`` a file that is one of them or a list.
+
+    Entities: (kind, name), each once; relations: (source, type, target).  A document without a name is passed over.
+    """
+    part = T.ArrayType(T.StringType())
+    docs = spark.read.json(path, schema=T.StructType([T.StructField("name", T.StringType()), T.StructField("skills", part), T.StructField("tools", part)]), multiLine=whole).where("trim(name) <> ''")
+    near = lambda kind, edge, c: F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x: F.struct(F.lit(kind).alias("kind"), F.lit(edge).alias("type"), x.alias("target")))
+    rows = docs.select("name", F.explode(F.concat(near("skill", "requires_skill", F.col("skills")), near("tool", "used_by", F.col("tools")))).alias("x")).select("name", "x.*")
+    entities = docs.select(F.lit("profession").alias("kind"), "name").union(rows.select("kind", F.col("target").alias("name"))).distinct()
+    return entities, rows.select(F.col("name").alias("source"), "type", "target").distinct()
+
+
+def upserted(existing: DataFrame, changes: DataFrame, key: list[str], version: str) -> DataFrame:
+    """One row a key, the one of the largest version; of equal ones the changed row.  What is written back is this whole."""
+    columns = [c for c in existing.columns if c not in key]
+    both = existing.withColumn("__side", F.lit(0)).unionByName(changes.select(*existing.columns).withColumn("__side", F.lit(1)))
+    return both.groupBy(*key).agg(F.max_by(F.struct(*columns), F.struct(version, "__side")).alias("r")).select(*key, *[F.col(f"r.{c}").alias(c) for c in columns]).select(*existing.columns)
+
+
 def validate(df: DataFrame, rules: dict[str, str]) -> tuple[DataFrame, DataFrame]:
     """(good, quarantine): rules are names and SQL conditions; quarantined rows carry the names they break.
 

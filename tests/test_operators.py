@@ -184,12 +184,12 @@ def test_gate_breaks_on_null(spark):
 
 def test_posting_passes_over_broken_blocks(spark):
     long = "work " * 30
-    page = f'<html><title>Role | Site</title><script type="application/ld+json">{{broken</script><script type="application/ld+json">{{"@type":"JobPosting","title":"Baker","description":"<p>{long}</p>"}}</script></html>'
+    page = f'<html><title>Role | Site</title><script type="application/ld+json">{{broken</script><script type="application/ld+json">{{"@type":"JobPosting","title":"Baker","description":"<p>{long}</p>"}}</script><p>{long}{long}</p></html>'
     shell = '<html><head><meta property="og:description" content="short"></head><body><div id="root"></div><script>x()</script></body></html>'
     df = spark.createDataFrame([(1, "https://www.A.pl:80/x", page), (2, None, None), (3, "x", shell)], "page_id int, url string, html string")
     got = {r.page_id: r for r in html.extract(df).collect()}
-    assert (got[1].tier, got[1].title, got[1].domain, got[1].description) == ("json_ld", "Baker", "a.pl", long.strip())
-    assert got[2].tier == "none" and got[2].title is None and got[3].tier == "none"
+    assert (got[1].tier, got[1].title, got[1].domain, got[1].description) == ("json-ld", "Baker", "a.pl", long.strip())
+    assert got[2].tier == "none" and got[2].title is None and (got[3].tier, got[3].description) == ("open-graph", "short")
     assert one(spark, html.is_shell(F.col("h")), [(shell,), (page,)], "h string") == [True, False]
 
 
@@ -206,9 +206,9 @@ def test_records_with_bad_lines(spark, tmp_path):
     (tmp_path / "x.jsonl").write_text('{"a": 1}\n{broken\n{"a": 2, "z": 3}\n')
     good, bad = tables.read_records(spark, f"file://{tmp_path}/x.jsonl", schema)
     assert sorted(r.a for r in good.collect()) == [1, 2] and [r[0] for r in bad.collect()] == ["{broken"]
-    (tmp_path / "x.csv").write_text('a,b\n1,"x, ""y"""\nno,z\n')
+    (tmp_path / "x.csv").write_text('a,b\n1,"x, ""y"""\nno,z\n2,"two\nlines"\n1,a\n')
     good, bad = tables.read_records(spark, f"file://{tmp_path}/x.csv", schema, "csv")
-    assert [tuple(r) for r in good.collect()] == [(1, 'x, "y"')] and [r[0] for r in bad.collect()] == ["no,z"]
+    assert sorted(tuple(r) for r in good.collect()) == [(1, "a"), (1, 'x, "y"'), (2, "two\nlines")] and [r[0] for r in bad.collect()] == ["no,z"]
 
 
 def test_lexicon_rank(spark, tmp_path):
