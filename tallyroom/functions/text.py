@@ -108,9 +108,12 @@ def feature_tokens(text: Column) -> Column:
 
     Brackets go with what they hold; addresses, phone numbers, urls and numbers are left out.
     """
-    out = F.lower(F.coalesce(text, F.lit("")))
+    low = F.lower(F.coalesce(text, F.lit("")))
+    named = low
     for pattern, name in NAMED:
-        out = F.regexp_replace(out, f"(?:^|[^\\p{{L}}\\p{{N}}]){pattern}(?=$|[^\\p{{L}}\\p{{N}}])", f" {name} ")
+        named = F.regexp_replace(named, f"(?:^|[^\\p{{L}}\\p{{N}}]){pattern}(?=$|[^\\p{{L}}\\p{{N}}])", f" {name} ")
+    # few texts have such names: the others are spared the patterns
+    out = F.when(F.contains(low, F.lit("c++")) | F.contains(low, F.lit("c#")) | F.contains(low, F.lit(".net")) | F.contains(low, F.lit(".js")), named).otherwise(low)
     out = F.regexp_replace(F.translate(out, "–—", "--"), "\\[[^\\]]+\\]", " ")
     words = F.transform(F.split(out, "[^\\p{L}\\p{N}+.#/-]+"), lambda t: F.regexp_replace(t, "^[+./-]+|[+./-]+$", ""))
     return F.filter(words, lambda t: F.length(t).between(2, 48) & t.rlike("\\p{L}") & ~t.rlike("^www\\."))

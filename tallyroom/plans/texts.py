@@ -73,12 +73,12 @@ _BAG = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p
 WITH c AS (SELECT conv_id, role, unnest({_BAG}) AS token FROM conversations), a AS (SELECT conv_id, token, count(*) AS a FROM c WHERE role = 'user' GROUP BY 1, 2), b AS (SELECT conv_id, token, count(*) AS b FROM c WHERE role = 'assistant' GROUP BY 1, 2),
 s AS (SELECT coalesce(a.conv_id, b.conv_id) AS conv_id, coalesce(sum(a), 0)::BIGINT AS n_left, coalesce(sum(b), 0)::BIGINT AS n_right, coalesce(sum(CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN least(a, b) END), 0)::BIGINT AS n_shared FROM a FULL JOIN b ON a.conv_id = b.conv_id AND a.token = b.token GROUP BY 1),
 p AS (SELECT *, coalesce(n_shared / nullif(n_right, 0), 0) AS precision, coalesce(n_shared / nullif(n_left, 0), 0) AS recall FROM s)
-SELECT conv_id, n_left, n_right, n_shared, round(precision, 6) AS precision, round(recall, 6) AS recall, round(CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END, 6) AS f1 FROM p
+SELECT conv_id, n_left, n_right, n_shared, round(precision, 9) AS precision, round(recall, 9) AS recall, round(CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END, 9) AS f1 FROM p
 """)
 def token_agreement(spark, d) -> DataFrame:
     """Words of the questions against those of the answers."""
     rows = read(spark, d, "conversations").select("conv_id", "role", F.explode(tx.signed_tokens(F.col("text"))).alias("token"))
-    return r6(ts.token_agreement(rows.where("role = 'user'"), rows.where("role = 'assistant'"), ["conv_id"], "token"))
+    return r6(ts.token_agreement(rows.where("role = 'user'"), rows.where("role = 'assistant'"), ["conv_id"], "token"), 9)
 
 
 @query("""
