@@ -45,11 +45,11 @@ def rate_limited(stream: DataFrame, key: str, time: str, ident: str, seconds: fl
     return _stateful(stream, key, time, ident, ["end", "n"], fixed_window_rule(int(seconds * 1e6), most), late)
 
 
-def throttled(stream: DataFrame, key: str, time: str, ident: str, seconds: float, late: str = LATE) -> DataFrame:
-    """Accepts an event ``seconds`` or more after the last accepted one of its key."""
+def throttled(stream: DataFrame, key: str, time: str, ident: str, seconds: float, late: str = LATE, most: int | None = None) -> DataFrame:
+    """Accepts an event ``seconds`` or more after the last accepted one of its key, and no more than ``most`` in all."""
     from tallyroom.operators.events import throttle_rule
 
-    return _stateful(stream, key, time, ident, ["last"], throttle_rule(int(seconds * 1e6)), late)
+    return _stateful(stream, key, time, ident, ["last", "n"], throttle_rule(int(seconds * 1e6), most), late)
 
 
 def flushed(stream: DataFrame, key: str, time: str, value: str, idle: str, late: str = LATE) -> DataFrame:

@@ -45,3 +45,29 @@ def test_rollup_counts_a_batch_once(spark, tmp_path):
     put(batch, 0), put(batch, 1), put(batch, 1)
     got = keyed.rolled_up(spark.read.parquet(f"file://{tmp_path}/roll"), "user_id").collect()
     assert {r.user_id: r.occurrences for r in got} == {0: 60, 1: 60, 2: 60}
+
+
+def test_restart_goes_on_from_its_state(spark, tmp_path):
+    """A limiter that is stopped between files and started again decides as one run over all."""
+    rows = [(i, i % 2, 40 * i) for i in range(60)]
+    put = lambda some: spark.createDataFrame(some, "event_id long, user_id long, s long").select("event_id", "user_id", F.timestamp_seconds("s").alias("ts"), F.lit(1.0).alias("v")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    put(rows[:30])
+    stream = lambda: spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in"))
+    for restart in (False, True):
+        if restart:
+            put(rows[30:])
+        got = {r.event_id: r.accepted for r in keyed.run_once(keyed.throttled(stream(), "user_id", "ts", "event_id", 200, most=7), f"file://{tmp_path}/out").collect()}
+    want, last, n = {}, {}, {}
+    for i, u, t in rows:  # by hand
+        want[i] = (u not in last) or (t - last[u] >= 200 and n[u] < 7)
+        if want[i]:
+            last[u], n[u] = t, n.get(u, 0) + 1
+    assert got == want
+
+
+def test_late_rows_are_passed_over(spark, tmp_path):
+    for k, seconds in enumerate(([0, 5, 9], [7200], [3, 8], [20_000])):
+        spark.createDataFrame([(10 * k + i, 1, s) for i, s in enumerate(seconds)], "event_id long, user_id long, s long").select("event_id", "user_id", F.timestamp_seconds("s").alias("ts"), F.lit(float(k)).alias("v")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(str(tmp_path / "in"))
+    got = sorted((r.n, r.v) for r in keyed.run_once(keyed.flushed(stream, "user_id", "ts", "v", "60 seconds"), f"file://{tmp_path}/out").collect())
+    assert got == [(1, 1.0), (3, 0.0)]  # the two late ones in no run; the last run is still open
