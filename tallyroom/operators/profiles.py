@@ -97,4 +97,4 @@ def global_consensus(domains: DataFrame, by: list[str], weights: dict[str, float
     wk = F.when(F.col("score").isNotNull(), w)
     mean = F.exp(F.sum(wk * F.ln(F.col("score") + 1)) / F.nullif(F.sum(wk), F.lit(0.0))) - 1
     out = domains.groupBy(*by).agg(mean.alias("m"), F.count("score").alias("n_domains"), F.array_join(F.array_sort(F.collect_set(F.when(F.col("score").isNull(), F.col("domain")))), ",").alias("missing"), F.min(cap).alias("cap"))
-    return out.select(*by, F.least(F.col("m"), F.coalesce("cap", F.lit(100.0))).alias("score"), "n_domains", "missing")
+    return out.select(*by, F.when(F.col("m").isNotNull(), F.least(F.col("m"), F.coalesce("cap", F.lit(100.0)))).alias("score"), "n_domains", "missing")

@@ -194,7 +194,7 @@ def strict_signals(spark, d) -> DataFrame:
 @query("""
 WITH x AS (SELECT c_nationkey, c_mktsegment AS domain, CASE WHEN avg(c_acctbal) > 3000 THEN least(100, avg(c_acctbal) / 80) END AS score, bool_or(c_acctbal < -900) AS blocked FROM customer GROUP BY 1, 2),
 w AS (SELECT *, CASE domain WHEN 'BUILDING' THEN 3.0::DOUBLE WHEN 'HOUSEHOLD' THEN 2.0::DOUBLE WHEN 'MACHINERY' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS w FROM x)
-SELECT c_nationkey, round(least(exp(sum(w * ln(score + 1)) FILTER (score IS NOT NULL) / nullif(sum(w) FILTER (score IS NOT NULL), 0)) - 1, coalesce(min(CASE WHEN blocked THEN 45.0::DOUBLE END), 100)), 6) AS score, count(score) AS n_domains,
+SELECT c_nationkey, round(CASE WHEN sum(w) FILTER (score IS NOT NULL) > 0 THEN least(exp(sum(w * ln(score + 1)) FILTER (score IS NOT NULL) / nullif(sum(w) FILTER (score IS NOT NULL), 0)) - 1, coalesce(min(CASE WHEN blocked THEN 45.0::DOUBLE END), 100)) END, 6) AS score, count(score) AS n_domains,
   coalesce(string_agg(CASE WHEN score IS NULL THEN domain END, ',' ORDER BY domain), '') AS missing FROM w GROUP BY 1
 """)
 def global_consensus(spark, d) -> DataFrame:
