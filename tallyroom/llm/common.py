@@ -65,7 +65,17 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tallyroom/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.written_at = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes written tables that no later table reads: whatever was made of them is written itself."""
+    for table in tables:
+        session = table.sparkSession
+        path = session._jvm.org.apache.hadoop.fs.Path(table.written_at)
+        path.getFileSystem(session._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def broadcast_if(df: DataFrame, most: int) -> DataFrame:

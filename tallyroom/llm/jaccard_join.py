@@ -23,11 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyroom.llm.common import field, longs, map_texts, without, written
-from tallyroom.llm.components import connected_components
+from tallyroom.llm.common import discard, field, longs, map_texts, without, written
+from tallyroom.llm.components import HUBS, connected_components, with_key_values
 
-#: Of the first order: one in so many shingles leads.
-LEAD = 5
+#: Of the first order: as many shingles lead as a prefix needs, times this; the commonest of them then stay behind it.
+LEAD = 4 / 3
 #: Sets and shingles that one task compares; larger clusters are cut.
 BLOCK_SETS, BLOCK_SHINGLES = 2_000, 1_500_000
 #: Rows that may be sent to all executors (8 bytes each); beyond, the same join is shuffled.
@@ -90,7 +90,9 @@ def prefix_clusters(sets: DataFrame, percent: int) -> DataFrame:
     prefixes = written(found.join(sizes, "node").select("node", F.explode(F.slice("found", F.lit(1), room)).alias("x")).select("node", F.col("x.token").alias("token")))
     centres = prefixes.groupBy("token").agg(F.min("node").alias("centre"), F.count("*").alias("k")).where("k > 1").drop("k")
     edges = prefixes.join(centres, "token").where("node <> centre").select("node", "centre").distinct()
-    return connected_components(edges, "node", "centre").withColumnRenamed("component", "cluster")
+    clusters = written(connected_components(edges, "node", "centre").withColumnRenamed("component", "cluster"))
+    discard(prefixes)
+    return clusters
 
 
 def links_within(node: np.ndarray, label: np.ndarray, active: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -178,7 +180,7 @@ def large_links(sets: DataFrame, percent: int, block_sets: int) -> DataFrame:
 
 
 def jaccard_components(
-    docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = 4, percent: int = 85, lead: int = LEAD, block_sets: int = BLOCK_SETS, block_shingles: int = BLOCK_SHINGLES, broadcast_rows: int = BROADCAST_ROWS
+    docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = 4, percent: int = 85, lead: float = LEAD, block_sets: int = BLOCK_SETS, block_shingles: int = BLOCK_SHINGLES, broadcast_rows: int = BROADCAST_ROWS
 ) -> DataFrame:
     """(key, n_shingles, component_id) for each row; component_id: the smallest key reachable by links, itself included.
 
@@ -188,10 +190,10 @@ def jaccard_components(
     share a component); null keys are passed over by the smallest key unless there is no other.  Shingles and sets are
     told apart by 64-bit hashes.  An empty table gives no rows.
     """
-    sets_of = _make_sets(size, percent, lead)
+    sets_of = _make_sets(size, percent, -(-int(lead * (100 - percent) * 1000) // 1000))
     table = written(map_texts(docs.select(key, text), text, [field("n", "long"), field("node", "long"), longs("lead")], sets_of, keep=[key]))
     sets = table.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first(F.size("lead")).alias("n_lead"), F.first("lead").alias("lead"))
-    clusters = written(prefix_clusters(sets, percent))
+    clusters = prefix_clusters(sets, percent)
     rows = table.where("n > 0").select(F.col(key).alias("__key"), "node", "n")
     holders = rows.join(clusters, "node").groupBy("node", "cluster").agg(F.min("__key").alias("__key"), F.first("n").alias("n"))
     # sizes are joined to ids alone: no set is dealt by cluster before it is known that a task can hold the cluster
@@ -201,14 +203,17 @@ def jaccard_components(
         held = F.broadcast(held)
     texts = docs.select(F.col(key).alias("__id"), F.col(text).alias("__text"))
     texts = texts.join(held, texts["__id"].eqNullSafe(held["__key"]), "left_semi")
-    whole = map_texts(texts, "__text", [field("n", "long"), field("node", "long"), longs("tokens")], _make_sets(size, percent, 1), keep=[])
+    whole = map_texts(texts, "__text", [field("n", "long"), field("node", "long"), longs("tokens")], _make_sets(size, percent, 100), keep=[])
     members = whole.join(holders.select("node", "cluster", "blocks", "n_cluster"), "node").groupBy("node", "cluster", "blocks", "n_cluster").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
     members = written(members)
     edges = _cluster_links(members, percent, block_sets, block_shingles)
-    components = written(connected_components(written(edges)))
+    edges = written(edges)
+    components = written(connected_components(edges))
+    discard(members, edges)
     named = rows.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = named.groupBy("component").agg(F.min("__key").alias("component_id"))
-    linked = named.join(least, "component").select(F.col("__key").alias(key), F.col("n").alias("n_shingles"), "component_id")
+    least = written(named.groupBy("component").agg(F.min("__key").alias("component_id"), F.count("*").alias("n")))
+    named = named.withColumnRenamed("n", "n_shingles")
+    linked = with_key_values(named, least, "component", max(64, table.count() // HUBS)).select(F.col("__key").alias(key), "n_shingles", "component_id")
     alone = table.where("n = 0").select(key, F.col("n").alias("n_shingles"), F.col(key).alias("component_id"))
     return linked.unionByName(alone)
 
@@ -248,7 +253,7 @@ def _cluster_links(members: DataFrame, percent: int, block_sets: int, block_shin
 
 
 def _make_sets(size: int, percent: int, lead: int) -> Callable[[], Callable[[list], list[tuple]]]:
-    """Tasks' functions from texts to (n, node, tokens that lead); lead 1: all tokens."""
+    """Tasks' functions from texts to (n, node, tokens that lead); lead: how many of 100 do."""
 
     def make() -> Callable[[list], list[tuple]]:
         shingles = shingler(size)
@@ -258,8 +263,8 @@ def _make_sets(size: int, percent: int, lead: int) -> Callable[[], Callable[[lis
             for text in texts:
                 s = shingles(text)
                 chosen = s
-                if lead > 1 and len(s):
-                    front = s % np.uint64(lead) == 0
+                if lead < 100 and len(s):
+                    front = s % np.uint64(100) < lead
                     short = prefix_length(len(s), percent) - int(front.sum())
                     # what follows the leading tokens comes by value alone: it is known to be next without counts
                     chosen = s[front] if short <= 0 else np.concatenate([s[front], s[~front][:short]])

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyroom.llm.common import broadcast_if, field, longs, map_texts, without, written
+from tallyroom.llm.common import broadcast_if, discard, field, longs, map_texts, without, written
 
 MIN_WORDS = 40
 #: Shared fingerprints (8 bytes each) that may be sent to all executors; beyond, the same join is shuffled.
@@ -112,6 +112,7 @@ def repeated_windows(docs: DataFrame, *, key: str = "doc_id", text: str = "text"
     spot = F.struct("__id", "__same", "first", "last")
     # both written, so that the join has two plain shuffles and a hot window's rows can be split
     runs = written(runs)
+    discard(marked, shared)
     earliest = written(runs.groupBy("print", "h").agg(F.min(spot).alias("e"), F.max(spot).alias("b")).where("e <> b").drop("b"))
     later = runs.join(earliest, ["print", "h"])
     doc = F.struct("__id", "__same")
