@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyroom.llm.common import bounded_labels, crc_remainder, known_labels, map_texts, without, written
+from tallyroom.llm.common import bounded_labels, broadcast_if, crc_remainder, known_labels, map_texts, without, written
 
 BUCKETS, DIM, WIDTHS, FILTERS = 1 << 15, 8, (1, 2, 3), 8
 #: Letters of a word's beginning that are hashed beside the word.
@@ -29,7 +29,9 @@ LEAST_TEXTS, STEPS, PASSES = 2, 6_000, 4
 #: Steps of the scores by which labelled texts are counted for the thresholds.
 BINS = 1_000
 #: Words whose filter values a task keeps; beyond, it begins anew.
-WORDS_KEPT = 250_000
+WORDS_KEPT = 100_000
+#: Labelled ids (8 bytes each) that may be sent to all executors; beyond, they are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 _WORD = re.compile(r"\w+")
 
 
@@ -171,17 +173,19 @@ def trained(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: st
     return TextCNN().fit([words_of(b) for b in rows["body"]], rows["y"].to_numpy(dtype=float)), list(dict.fromkeys(rows["id"].tolist()))
 
 
-def score_counts(scored: DataFrame, labels: DataFrame, fitted: list, *, key: str, label: str, lang: str, modulus: int, left_out: int) -> list[tuple]:
+def score_counts(docs: DataFrame, labels: DataFrame, fitted: list, scored: Callable[[DataFrame, list[str]], DataFrame], *, key: str, label: str, lang: str, modulus: int, left_out: int) -> list[tuple]:
     """(language, bin of the score, texts, texts of label 1) over all labelled texts, but for held-out and fitted ids.
 
-    scored: key, lang and score.  Rows are counted by id before labels are joined, so no id gathers its rows; what is
-    collected is at most BINS + 1 rows a language.
+    scored: from texts and the columns to keep to those and their score.  Only labelled texts are scored for it, where
+    they lie.  Rows are counted by id before labels are joined, so no id gathers its rows; what is collected is at most
+    BINS + 1 rows a language.
     """
-    ids = scored.sparkSession.createDataFrame([(i,) for i in fitted], T.StructType([T.StructField(key, scored.schema[key].dataType)]))
-    rows = scored.where(F.col(key).isNotNull() & F.col(lang).isNotNull()).select(key, F.col(lang).alias("__lang"), F.floor(F.col("score") * BINS).alias("__bin"))
-    rows = rows.groupBy(key, "__lang", "__bin").agg(F.count("*").alias("__n"))
+    ids = docs.sparkSession.createDataFrame([(i,) for i in fitted], T.StructType([T.StructField(key, docs.schema[key].dataType)]))
     # at most 2 * per_class ids: a proven bound for the broadcast
-    rows = rows.join(known_labels(labels, label, key, modulus, left_out), key).join(F.broadcast(ids), key, "left_anti")
+    known = written(known_labels(labels, label, key, modulus, left_out).join(F.broadcast(ids), key, "left_anti"))
+    some = docs.where(F.col(lang).isNotNull()).join(broadcast_if(known.select(key), BROADCAST_ROWS), key, "left_semi")
+    rows = scored(some, [key, lang]).select(key, F.col(lang).alias("__lang"), F.floor(F.col("score") * BINS).alias("__bin"))
+    rows = rows.groupBy(key, "__lang", "__bin").agg(F.count("*").alias("__n")).join(known, key)
     rows = rows.groupBy("__lang", "__bin").agg(F.sum("__n").alias("n"), F.sum(F.col("__n") * F.col("__label")).alias("y"))
     return [tuple(r) for r in rows.collect()]
 
@@ -191,9 +195,9 @@ def classify_toxicity(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id"
 
     score: 0 to 1, higher: label 1 likelier; rejected: score >= the language's calibrated threshold (the default for
     a null, unknown or rare language).  Learns from labelled ids whose crc32 modulo ``modulus`` is not ``left_out``
-    alone; thresholds come from all such texts, of any length, whose ids the model was not fitted on.  With a language
-    the scored rows are written once, as thresholds and result both read them.  Null and empty texts score as texts of no words.  A null id is not held out.  No labels: no text is
-    rejected.  Repeated rows give repeated rows; clashing columns are replaced.
+    alone; thresholds come from all such texts, of any length, whose ids the model was not fitted on, which are scored
+    once more for it.  Null and empty texts score as texts of no words.  A null id is not held out.  No labels: no text
+    is rejected.  Repeated rows give repeated rows; clashing columns are replaced.
     """
     model, fitted = trained(docs, labels, key=key, text=text, label=label, modulus=modulus, left_out=left_out, per_class=per_class)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # a fixed size: BUCKETS and DIM
@@ -206,11 +210,11 @@ def classify_toxicity(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id"
 
     source = without(docs, [n for n in made if n not in (key, text)])
     use = [lang] if lang and lang in docs.columns else []
-    out = map_texts(source, text, [T.StructField("score", T.DoubleType())], make, keep=[*dict.fromkeys([*kept, key, *use])])
+    scored = lambda df, columns: map_texts(df, text, [T.StructField("score", T.DoubleType())], make, keep=columns)
+    out = scored(source, [*dict.fromkeys([*kept, key, *use])])
     level, levels = F.lit(threshold), {}
     if use:
-        out = written(out)
-        levels = calibrated(score_counts(out, labels, fitted, key=key, label=label, lang=lang, modulus=modulus, left_out=left_out))
+        levels = calibrated(score_counts(source, labels, fitted, scored, key=key, label=label, lang=lang, modulus=modulus, left_out=left_out))
     for name, value in sorted(levels.items()):
         level = F.when(F.col(lang) == name, F.lit(value)).otherwise(level)
     out = out.withColumns({"held_out": F.coalesce(crc_remainder(F.col(key), modulus) == left_out, F.lit(False)), "predicted": (F.col("score") >= threshold).cast("int"), "lang_threshold": level})
