@@ -17,8 +17,8 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SPACE = "[\\x20\\x09-\\x0D]+"
 PLAIN_BYTES = re.compile(rb"[0-9a-z\x80-\xff]+")
 _TO_SPACE = bytes(b if PLAIN_BYTES.fullmatch(bytes([b])) else 32 for b in range(256))
-#: Rows of an Arrow batch that are Python objects at the same time.
-SLICE = 256
+#: Rows of an Arrow batch that are Python objects at the same time, and bytes of a batch (one row at least).
+SLICE, BATCH_BYTES = 256, 16 << 20
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -97,11 +97,14 @@ def map_texts(
     keep: list[str] | None = None,
     also: list[str] = (),
 ) -> DataFrame:
-    """Append fields that Python computes from texts, batch by batch; no shuffle, memory bounded by SLICE rows.
+    """Append fields that Python computes from texts, batch by batch; no shuffle, memory bounded by SLICE rows and BATCH_BYTES.
+
+    Lowers the session's bound on the bytes of an Arrow batch to BATCH_BYTES where it is higher: texts may be very long.
 
     make: called once in each task, returns a function from a list of texts (and of the columns in ``also``, zipped)
     to one tuple per row.  keep: the columns that stay, all by default.  A column whose name a field takes is replaced.
     """
+    _bound_batches(df.sparkSession)
     names = {f.name.lower() for f in fields}
     kept = [c for c in (df.columns if keep is None else keep) if c.lower() not in names]
     source = df.select(*dict.fromkeys([*[f"`{c}`" for c in kept], f"`{text}`", *[f"`{c}`" for c in also]]))
@@ -125,6 +128,14 @@ def map_texts(
     return source.mapInArrow(run, schema)
 
 
+def _bound_batches(spark: SparkSession) -> None:
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = spark.conf.get(name, None)
+    bytes_now = int(re.sub("[^0-9]", "", held)) if held and re.fullmatch("[0-9]+b?", held) else None
+    if bytes_now is None or bytes_now > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def pa_type(kind: T.DataType) -> pa.DataType:
     if isinstance(kind, T.ArrayType):
         return pa.list_(pa_type(kind.elementType))

@@ -49,6 +49,8 @@ class TokenTrie:
         self.pieces, self.limit = pieces, nodes
         self.byte_score = min(pieces.values(), default=-1.0) - 10.0
         self.longest = max(map(len, pieces), default=1)
+        # what pieces end with: once a piece of the word is no such ending, nothing longer is a piece
+        self.endings: dict[str, float | bool] = {p[k:]: False for p in pieces for k in range(1, len(p))} | pieces
         self.clear()
 
     def clear(self) -> None:
@@ -60,32 +62,38 @@ class TokenTrie:
         """Inserts a pre-token; only the nodes it adds are computed."""
         if len(token) > LONG:
             return self._count_long(token)
-        at, path = 0, [0]
+        at, ways = 0, [self.best[0]]
         for i, letter in enumerate(token):
             to = self.children[at].get(letter)
             if to is None:
                 to = self.children[at][letter] = len(self.children)
                 self.children.append({})
-                self.best.append(self._forward(token, i + 1, [self.best[p] for p in path[-self.longest :]]))
-            path.append(at := to)
+                self.best.append(self._forward(token, i + 1, ways, 0))
+            at = to
+            ways.append(self.best[at])
         return -self.best[at][1]
 
     def _count_long(self, token: str) -> int:
         ways: deque[tuple[float, int]] = deque([(0.0, 0)], maxlen=self.longest)
         for end in range(1, len(token) + 1):
-            ways.append(self._forward(token, end, ways))
+            ways.append(self._forward(token, end, ways, end - len(ways)))
         return -ways[-1][1]
 
-    def _forward(self, token: str, end: int, ways) -> tuple[float, int]:
-        """The best way to read ``end`` letters from the best ways to read the prefixes before, the nearest last."""
+    def _forward(self, token: str, end: int, ways, first: int) -> tuple[float, int]:
+        """The best way to read ``end`` letters; ways: those to read ``first`` letters, and so on up to one less."""
         score, tokens = ways[-1]
-        n = len(token[end - 1].encode("utf-8", "surrogatepass"))
+        letter = token[end - 1]
+        n = 1 if letter < "\x80" else len(letter.encode("utf-8", "surrogatepass"))
         best = (score + n * self.byte_score, tokens - n)
-        get = self.pieces.get
-        for begin, (score, tokens) in enumerate(ways, end - len(ways)):
+        get = self.endings.get
+        for begin in range(end - 1, max(first, end - self.longest) - 1, -1):
             p = get(token[begin:end])
-            if p is not None and (way := (score + p, tokens - 1)) > best:
-                best = way
+            if p is None:
+                break
+            if p is not False:
+                score, tokens = ways[begin - first]
+                if (way := (score + p, tokens - 1)) > best:
+                    best = way
         return best
 
     def full(self) -> bool:
