@@ -16,7 +16,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyroom.llm.common import ascii_lower, without, written
+from tallyroom.llm.common import ascii_lower, broadcast_if, without, written
 
 #: (action, host, path): a rule fits its host and all subdomains where the url's path starts with the rule's.
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
@@ -113,7 +113,8 @@ def url_filter(pages: DataFrame, labelled: DataFrame, *, url: str = "url", keep:
     learned = written(learned)
     groups = written(token_groups(learned, min_support, max_share))
     # equal sets of tokens have equal names: named once each
-    names = renamed(learned.select(F.col("tokens").alias("__set")).distinct(), "__set", "__set", groups)
+    names = written(renamed(learned.select(F.col("tokens").alias("__set")).distinct(), "__set", "__set", groups))
+    names = broadcast_if(names, broadcast_sets)  # else shuffled, where a common set's partition is split
     learned = learned.join(names, learned["tokens"] == names["__set"], "left").select(F.coalesce("names", F.array().cast("array<string>")).alias("tokens"), "bad")
     mined = mined_rules(learned, min_support=min_support, min_confidence=min_confidence)
     sets = pages.select(F.array_sort(url_tokens(F.col(url))).alias("__set")).where(F.size("__set") > 0).distinct()
