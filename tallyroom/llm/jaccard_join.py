@@ -195,7 +195,8 @@ def jaccard_components(
     sets = table.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first(F.size("lead")).alias("n_lead"), F.first("lead").alias("lead"))
     clusters = prefix_clusters(sets, percent)
     rows = table.where("n > 0").select(F.col(key).alias("__key"), "node", "n")
-    holders = rows.join(clusters, "node").groupBy("node", "cluster").agg(F.min("__key").alias("__key"), F.first("n").alias("n"))
+    # combined first: a set that a third of all rows have is one row in the join
+    holders = rows.groupBy("node").agg(F.min("__key").alias("__key"), F.first("n").alias("n")).join(clusters, "node").select("node", "cluster", "__key", "n")
     # sizes are joined to ids alone: no set is dealt by cluster before it is known that a task can hold the cluster
     holders = written(_sized(written(holders), block_sets, block_shingles))
     held = holders.select("__key").distinct()
