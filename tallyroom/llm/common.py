@@ -60,11 +60,14 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The rows, written once to the shared folder and read from there: cuts the lineage, survives lost executors."""
+def written(df: DataFrame, by: str | None = None) -> DataFrame:
+    """The rows, written once to the shared folder and read from there: cuts the lineage, survives lost executors.
+
+    by: a column that names folders, so that a filter on it reads its own alone.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tallyroom/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table.written_at = path
     return table
@@ -104,7 +107,7 @@ def map_texts(
     make: called once in each task, returns a function from a list of texts (and of the columns in ``also``, zipped)
     to one tuple per row.  keep: the columns that stay, all by default.  A column whose name a field takes is replaced.
     """
-    _bound_batches(df.sparkSession)
+    bound_batches(df.sparkSession)
     names = {f.name.lower() for f in fields}
     kept = [c for c in (df.columns if keep is None else keep) if c.lower() not in names]
     source = df.select(*dict.fromkeys([*[f"`{c}`" for c in kept], f"`{text}`", *[f"`{c}`" for c in also]]))
@@ -128,7 +131,8 @@ def map_texts(
     return source.mapInArrow(run, schema)
 
 
-def _bound_batches(spark: SparkSession) -> None:
+def bound_batches(spark: SparkSession) -> None:
+    """Lowers the session's bound on the bytes of an Arrow batch to BATCH_BYTES where it is higher."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     held = spark.conf.get(name, None)
     bytes_now = int(re.sub("[^0-9]", "", held)) if held and re.fullmatch("[0-9]+b?", held) else None

@@ -1,4 +1,4 @@
-"""The queries of the ten operators over the tables of a folder, and SQL for those that SQL can express."""
+"""The queries of the numbered operators over the tables of a folder, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyroom.llm import chat_format, decontamination, jaccard_join, line_dedup, mixing, quality_classifier, quality_rules, token_counts, toxicity, url_filters
+from tallyroom.llm import chat_format, decontamination, jaccard_join, line_dedup, mixing, pii, prefix_trie, quality_classifier, quality_rules, structure_repair, token_counts, toxicity, url_filters
+from tallyroom.llm.common import written
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,6 +81,22 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(_read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = written(prefix_trie.placed_turns(_read(spark, sf_dir, "conversations")))
+    return prefix_trie.prefix_trie(*prefix_trie.rebuilt(turns))
+
+
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(_read(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"], redact=False)
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(pii.told("spans", base=True), 256).alias("base_sha256"), pii.told("spans", base=False).alias("spans"))
+
+
+def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    audits, digests = structure_repair.repair_conversations(structure_repair.damaged(rows), ids=rows.select("conv_id"), digests=True)
+    return audits.join(digests, "conv_id").select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -87,12 +104,12 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_decontamination, op2_line_dedup, op3_quality_rules, op4_token_counts, op5_chat_format, op6_url_filters, op7_quality_classifier, op8_toxicity, op9_mixing, op10_jaccard_join, pipeline]
+    own = [op1_decontamination, op2_line_dedup, op3_quality_rules, op4_token_counts, op5_chat_format, op6_url_filters, op7_quality_classifier, op8_toxicity, op9_mixing, op10_jaccard_join, op11_prefix_trie, op12_pii, op13_structure_repair, pipeline]
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": OP1_SQL, "op2_line_dedup": OP2_SQL, "op3_quality_rules": OP3_SQL, "op5_chat_format": OP5_SQL, "op10_jaccard_join": OP10_SQL}
+    return {"op1_decontamination": OP1_SQL, "op2_line_dedup": OP2_SQL, "op3_quality_rules": OP3_SQL, "op5_chat_format": OP5_SQL, "op10_jaccard_join": OP10_SQL, "op11_prefix_trie": OP11_SQL, "op12_pii": OP12_SQL, "op13_structure_repair": OP13_SQL}
 
 
 OP1_SQL = r"""
@@ -157,3 +174,103 @@ u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 c(a, b) AS (SELECT doc_id, doc_id FROM d UNION SELECT c.a, u.b FROM c JOIN u ON c.b = u.a)
 SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.component_id FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(b) AS component_id FROM c GROUP BY a) m ON m.a = d.doc_id
 """
+
+#: Table of crc32 by bytes, and a text's crc32 by it; the texts are ASCII.
+_CRC_TABLE = r"""crc(k, i, v) AS (SELECT 0, i, i FROM range(256) t(i) UNION ALL SELECT k + 1, i, CASE WHEN (v & 1) = 1 THEN xor(3988292384, v >> 1) ELSE v >> 1 END FROM crc WHERE k < 8),
+tab AS (SELECT list(v ORDER BY i) AS t FROM crc WHERE k = 8)"""
+_CRC = "xor(list_reduce(list_prepend(4294967295, list_transform(string_split({0}, ''), lambda ch: CAST(ascii(ch) AS BIGINT))), lambda a, b: xor(t[(xor(a, b) & 255) + 1], a >> 8)), 4294967295)"
+
+OP11_SQL = (
+    "WITH RECURSIVE "
+    + _CRC_TABLE
+    + r""",
+l AS (SELECT conv_id, list(struct_pack(r := coalesce(role, ''), x := coalesce(text, '')) ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(coalesce(text, ''))) AS l FROM conversations WHERE conv_id IS NOT NULL GROUP BY 1),
+h AS (SELECT conv_id, l, """
+    + _CRC.format("CAST(conv_id AS VARCHAR)")
+    + r""" % 9 AS h FROM l CROSS JOIN tab),
+b AS (SELECT h.conv_id, list_concat(coalesce(b.l, [])[1:h], h.l[h + 1:]) AS l FROM h LEFT JOIN l b ON b.conv_id = h.conv_id - h.conv_id % 5),
+m AS (SELECT conv_id, d, len(l) AS n, sha256(CAST(to_json(l[1:d]) AS VARCHAR)) AS k, sha256(CAST(to_json(l[1:d - 1]) AS VARCHAR)) AS up, CASE WHEN d = 0 THEN 0 ELSE strlen(l[d].x) END AS bytes FROM (SELECT conv_id, l, unnest(range(0, len(l) + 1)) AS d FROM b)),
+n AS (SELECT k, any_value(d) AS depth, any_value(CASE WHEN d > 0 THEN up END) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(bytes) AS bytes FROM m GROUP BY k),
+c AS (SELECT up, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY up),
+o AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN c ON c.up = n.k),
+s AS (SELECT m.k, count(*) FILTER (o.n_children = 0) AS n_leaves, sum((o.n_convs - 1) * o.bytes) AS saved FROM o JOIN m ON m.conv_id = o.conv_id AND m.d <= o.depth GROUP BY m.k),
+e AS (SELECT k, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ends FROM m WHERE d = n GROUP BY k)
+SELECT o.conv_id, o.depth, p.conv_id AS parent_conv_id, o.n_convs, o.n_children, s.n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, sha256(coalesce(ends, '')) AS ends_sha256
+FROM o JOIN s USING (k) LEFT JOIN e USING (k) LEFT JOIN n p ON p.k = o.up
+"""
+)
+
+_FORMS = "|".join(form for cue in pii.CUES for form in dict.fromkeys([cue, cue.capitalize(), cue.upper()]))
+_IBAN = "[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)"
+_PII = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)",
+    "card": r"[0-9](?:[\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    "url": r"""[A-Za-z][A-Za-z0-9+.-]*://[^\x00-\x20<>"'']*""",
+    "account": rf"""(?:{_FORMS})(?:[ _-]?(?:no|number|nr|id|key|code))?\.?[ \t]*[:=#][ \t]*["'']?[A-Za-z0-9][A-Za-z0-9._/+-]*""",
+    "iban": f"(?:iban|Iban|IBAN)[:=# ]*{_IBAN}",
+}
+OP12_SQL = (
+    "WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),\nk AS ("
+    + " UNION ALL ".join(f"SELECT doc_id, {n} AS n, '{kind}' AS kind, regexp_extract_all(t, '{p}') AS h, string_split_regex(t, '{p}') AS g FROM d" for n, (kind, p) in enumerate(_PII.items()))
+    + r"""),
+e AS (SELECT doc_id, n, kind, generate_subscripts(h, 1) AS i, unnest(h) AS x, unnest(g[1:len(h)]) AS y FROM k WHERE len(h) > 0),
+f AS (SELECT doc_id, n, kind, x, CAST(sum(length(y) + length(x)) OVER (PARTITION BY doc_id, n ORDER BY i) AS BIGINT) AS z, regexp_replace(x, '[^0-9]', '', 'g') AS q,
+  CASE kind WHEN 'account' THEN regexp_extract(x, '[:=#][ \t]*["'']?([A-Za-z0-9][A-Za-z0-9._/+-]*)$', 1) WHEN 'iban' THEN regexp_extract(x, '^(?:iban|Iban|IBAN)[:=# ]*("""
+    + _IBAN
+    + r""")$', 1) ELSE x END AS v FROM e),
+v AS (SELECT doc_id, least(n, 5) AS n, CASE kind WHEN 'iban' THEN 'account' ELSE kind END AS kind, z - length(v) AS b, z - length(v) + length(CASE kind WHEN 'account' THEN rtrim(v, '._/+-') WHEN 'url' THEN rtrim(v, '.,;:!?)]}') ELSE v END) AS z FROM f
+  WHERE CASE kind WHEN 'email' THEN true
+    WHEN 'ip' THEN regexp_matches(x, '^0*[0-9]{1,3}([.]0*[0-9]{1,3}){3}$') AND list_max(list_transform(string_split(x, '.'), lambda p: TRY_CAST(right('000' || p, 3) AS INT))) <= 255
+    WHEN 'card' THEN length(q) BETWEEN 12 AND 19 AND list_sum(list_transform(range(1, length(q) + 1), lambda i: CASE WHEN i % 2 = 1 THEN CAST(q[length(q) - i + 1] AS INT) ELSE [0, 2, 4, 6, 8, 1, 3, 5, 7, 9][CAST(q[length(q) - i + 1] AS INT) + 1] END)) % 10 = 0
+    WHEN 'phone' THEN length(q) BETWEEN 9 AND 15
+    WHEN 'url' THEN regexp_matches(rtrim(x, '.,;:!?)]}'), '://[^/?#@]+@|/(?:~|@|u/|users?/|profiles?/|people/)[A-Za-z0-9]')
+    WHEN 'account' THEN length(rtrim(v, '._/+-')) > 5 AND regexp_matches(rtrim(v, '._/+-'), '[0-9]')
+    ELSE list_reduce(list_prepend(0, list_transform(string_split(replace(v, ' ', '')[5:] || replace(v, ' ', '')[1:4], ''), lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN ascii(c) - 48 ELSE ascii(c) - 55 END)), lambda a, c: CASE WHEN c < 10 THEN (10 * a + c) % 97 ELSE (100 * a + c) % 97 END) = 1 END),
+a AS (SELECT doc_id, string_agg(kind || ':' || b || ':' || z, ',' ORDER BY b, n, z) AS spans, string_agg(kind || ':' || b || ':' || z, ',' ORDER BY b, n, z) FILTER (n < 4) AS base,
+  count(*) FILTER (n = 0) AS n_email, count(*) FILTER (n = 1) AS n_ip, count(*) FILTER (n = 2) AS n_card, count(*) FILTER (n = 3) AS n_phone FROM v GROUP BY doc_id)
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN a USING (doc_id)
+"""
+)
+
+
+def _repair_step() -> str:
+    """One step backwards of the cheapest repair: of each state the least of (cost, edits, repaired turns)."""
+    due = {0: 2, 1: 2, 2: 3, 3: 2}
+    said = {2: "user", 3: "assistant"}
+    made = lambda cost, edit, rest, turn: f"{{'c': {rest}.c + {cost}, 'a': '{edit}' || {rest}.a, 'r': " + (f"list_prepend({turn}, {rest}.r)" if turn else f"{rest}.r") + "}"
+    plain = []
+    for s in range(4):
+        keep = {0: "CASE i0 WHEN 's' THEN s1 WHEN 'u' THEN s2 END", 1: "CASE i0 WHEN 'u' THEN s2 END", 2: "CASE i0 WHEN 'a' THEN s3 END", 3: "CASE i0 WHEN 'u' THEN s2 END"}[s]
+        options = [made(3, "D", f"s{s}", ""), f"CASE WHEN NOT gone AND ({keep}) IS NOT NULL THEN " + made("cut", "K", f"({keep})", "r || ':' || x") + " END", "CASE WHEN NOT gone THEN " + made("cut + 2", "R", f"s{due[s]}", f"'{said[due[s]]}:' || x") + " END"]
+        plain.append(f"list_sort(list_filter([{', '.join(options)}], lambda o: o IS NOT NULL))[1] AS b{s}")
+    ends = []
+    for s in range(4):
+        d = due[s]
+        once = made(2, "I", f"b{d}", f"'{said[d]}:'")
+        twice = f"{{'c': b{due[d]}.c + 4, 'a': 'II' || b{due[d]}.a, 'r': list_concat(['{said[d]}:', '{said[due[d]]}:'], b{due[d]}.r)}}"
+        ends.append(f"list_sort([b{s}, {once}, {twice}])[1] AS s{s}")
+    return f"SELECT conv_id, i, {', '.join(ends)} FROM (SELECT p.conv_id, w.i, {', '.join(plain)} FROM p JOIN w ON w.conv_id = p.conv_id AND w.i = p.i - 1)"
+
+
+OP13_SQL = (
+    "WITH RECURSIVE "
+    + _CRC_TABLE
+    + r""",
+c AS (SELECT conv_id, turn, coalesce(role, ' ') AS r, coalesce(text, ' ') AS x, """
+    + _CRC.format("conv_id || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")
+    + r""" % 20 AS k FROM conversations CROSS JOIN tab WHERE conv_id IS NOT NULL),
+g AS (SELECT conv_id, turn, CASE k WHEN 4 THEN 'user' ELSE r END AS r, CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(x, '[.!?]', '', 'g') ELSE x END AS x, unnest(CASE k WHEN 3 THEN [1, 2] ELSE [1] END) AS copy FROM c WHERE k <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, r, sha256(x), again) AS i FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, r, x ORDER BY turn NULLS FIRST) > 1 AS again FROM g)),
+w AS (SELECT conv_id, i, turn, r, x, r[1] AS i0, lag(r[1]) OVER (PARTITION BY conv_id ORDER BY i) AS before, NOT regexp_matches(x, '[^\x20\x09-\x0D]') AS blank, regexp_matches(x, '[^\x20\x09-\x0D]') AND again AS dup,
+  regexp_matches(x, '[^\x20\x09-\x0D]') AND NOT again AND regexp_extract(x, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) NOT IN ('.', '!', '?') AS short, blank OR dup AS gone, short::INT AS cut FROM o),
+q AS (SELECT conv_id, max(i) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (dup) AS duplicate, count(*) FILTER (short) AS truncated, count(*) FILTER (before IS NOT NULL AND before || i0 NOT IN ('su', 'ua', 'au')) AS illegal FROM w GROUP BY 1),
+p(conv_id, i, s0, s1, s2, s3) AS (SELECT conv_id, n + 1, {'c': 0, 'a': '', 'r': CAST([] AS VARCHAR[])}, {'c': 4, 'a': 'II', 'r': ['user:', 'assistant:']}, {'c': 2, 'a': 'I', 'r': ['assistant:']}, {'c': 0, 'a': '', 'r': CAST([] AS VARCHAR[])} FROM q
+  UNION ALL """
+    + _repair_step()
+    + r""")
+SELECT conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(s0.c, 0) AS BIGINT) AS cost, coalesce(s0.a, '') AS audit, sha256(coalesce(array_to_string(s0.r, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM c) LEFT JOIN q USING (conv_id) LEFT JOIN (SELECT * FROM p WHERE i = 1) USING (conv_id)
+"""
+)
