@@ -6,50 +6,33 @@ event older than the watermark is passed over.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tallyroom.operators.events import fixed_window_rule, throttle_rule
 from tallyroom.operators.tables import saved
-
-LATE = "10 minutes"
-
-
-def _stateful(stream: DataFrame, key: str, time: str, ident: str, names: list[str], rule: Callable[[dict, int], bool], late: str) -> DataFrame:
-    """(key, ident, time, accepted), by a rule on a dict of whole numbers that lives in the state store."""
-    kinds = dict(stream.dtypes)
-    out = T.StructType([T.StructField(key, stream.schema[key].dataType), T.StructField(ident, stream.schema[ident].dataType), T.StructField(time, stream.schema[time].dataType), T.StructField("accepted", T.BooleanType())])
-    kept = T.StructType([T.StructField(n, T.LongType()) for n in names])
-    if not kinds[time].startswith("timestamp"):
-        raise ValueError(f"{time} is no timestamp")
-
-    def run(keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = dict(zip(names, state.get, strict=True)) if state.exists else {}
-        rows = pd.concat([b[[key, ident, time]] for b in batches]).sort_values([time, ident], kind="stable")
-        micros = rows[time].astype("datetime64[us]").astype("int64")
-        rows["accepted"] = [rule(held, int(t)) for t in micros]
-        state.update(tuple(held[n] for n in names))
-        yield rows
-
-    return stream.withWatermark(time, late).groupBy(key).applyInPandasWithState(run, out, kept, "append", GroupStateTimeout.NoTimeout)
+from tallyroom.streaming.processors import LATE, PROVIDER, ROCKSDB, by_rule
 
 
 def rate_limited(stream: DataFrame, key: str, time: str, ident: str, seconds: float, most: int, late: str = LATE) -> DataFrame:
-    """A key's window opens at its first event and is replaced only after its end; the first ``most`` in it are accepted."""
-    from tallyroom.operators.events import fixed_window_rule
+    """A key's window opens at its first event and is replaced only after its end; the first ``most`` in it are accepted.
 
-    return _stateful(stream, key, time, ident, ["end", "n"], fixed_window_rule(int(seconds * 1e6), most), late)
+    A window's state goes when the watermark has passed its end: the next event opens another one anyway.
+    """
+    return by_rule(stream, key, time, ident, ["end", "n"], fixed_window_rule(int(seconds * 1e6), most), lambda held: held["end"], late)
 
 
-def throttled(stream: DataFrame, key: str, time: str, ident: str, seconds: float, late: str = LATE, most: int | None = None) -> DataFrame:
-    """Accepts an event ``seconds`` or more after the last accepted one of its key, and no more than ``most`` in all."""
-    from tallyroom.operators.events import throttle_rule
+def throttled(stream: DataFrame, key: str, time: str, ident: str, seconds: float, late: str = LATE, most: int | None = None, idle: float | None = None) -> DataFrame:
+    """Accepts an event ``seconds`` or more after the last accepted one of its key, and no more than ``most`` in all.
 
-    return _stateful(stream, key, time, ident, ["last", "n"], throttle_rule(int(seconds * 1e6), most), late)
+    Without ``most`` a key's state goes ``seconds`` after its last accepted event.  With it the state is what remembers
+    the count: it goes ``idle`` seconds (a day by default) after that event, and the key may begin anew.
+    """
+    gap = int(seconds * 1e6)
+    keep = gap if most is None else max(gap, int((idle if idle is not None else 86_400) * 1e6))
+    return by_rule(stream, key, time, ident, ["last", "n"], throttle_rule(gap, most), lambda held: held["last"] + keep, late)
 
 
 def flushed(stream: DataFrame, key: str, time: str, value: str, idle: str, late: str = LATE) -> DataFrame:
@@ -82,7 +65,16 @@ def rolled_up(parts: DataFrame, fingerprint: str) -> DataFrame:
 
 
 def run_once(stream: DataFrame, checkpoint: str) -> DataFrame:
-    """What a stream holds now: one run to its end, written as a table and read back."""
-    folder = f"{checkpoint}/out"
-    stream.writeStream.format("parquet").option("path", folder).option("checkpointLocation", f"{checkpoint}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    return saved(stream.sparkSession.read.schema(stream.schema).parquet(folder))
+    """What a stream holds now: one run to its end, written as a table and read back.
+
+    The state store is the one by RocksDB; the session's own setting is put back once the stream has started.
+    """
+    spark, folder = stream.sparkSession, f"{checkpoint}/out"
+    before = spark.conf.get(PROVIDER, None)
+    spark.conf.set(PROVIDER, ROCKSDB)
+    try:
+        run = stream.writeStream.format("parquet").option("path", folder).option("checkpointLocation", f"{checkpoint}/state").outputMode("append").trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(PROVIDER, before) if before is not None else spark.conf.unset(PROVIDER)
+    run.awaitTermination()
+    return saved(spark.read.schema(stream.schema).parquet(folder))
