@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from tallyroom.operators import profiles as pr
 from tallyroom.operators.tables import shared_folder
-from tallyroom.plans.filters import made
+from tallyroom.plans.filters import chosen, made
 from tallyroom.plans.registry import query, r6
 from tallyroom.plans.texts import DOMAIN, _plain
 from tallyroom.sources import html, tables
@@ -91,17 +91,21 @@ def page_shells(spark, d) -> DataFrame:
     return pages.select("page_id", html.is_shell(F.col("html")).alias("shell"), html.portal_of(F.col("url"), [("com", "Commerce"), ("org", "Organisations")]).alias("portal"))
 
 
+#: Files of hosts, by the length of their name.
 ROBOTS = [
-    ("a", "User-agent: *\nDisallow: /private # no\nAllow: /private/open\n\nUser-agent: tally\nUser-agent: other\nDisallow: /x\nAllow: /x"), ("b", "User-agent: *\nDisallow: /*.pdf$\nDisallow: /q?\n"), ("c", "Disallow: /lost\nUser-agent: tallyroombot\nDisallow: /\nAllow: /ok\nUser-agent: tally\nAllow: /"), ("d", ""),
+    "User-agent: *\nDisallow: /fr/\n\nUser-agent: tally # and its like\nDisallow: /en/2*7\nAllow: /en/2", "User-agent: *\nDisallow: /*?page=\nDisallow: /de/$", "User-agent: *\nDisallow: /\nUser-agent: tallyroombot\nDisallow:",
+    "User-agent: bot\nDisallow: /en/\nUser-agent: tal\nDisallow: /de/\nUser-agent: BOT\nAllow: /en/1", None,
 ]
-ASKED = [("a", "/private/1", True), ("a", "/x/1", True), ("b", "/doc.pdf", False), ("b", "/doc.pdfx", True), ("b", "/q?a=1", False), ("b", "/qq", True), ("c", "/lost", False), ("c", "/ok/1", True), ("d", "/any", True), ("e", "/none", True)]
 
 
-@query(f"SELECT url, allowed FROM {made([(h + p, a) for h, p, a in ASKED], 'url, allowed')}")
+@query(r"""
+WITH u AS (SELECT DISTINCT url, regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://([^/?#]+)', 1) AS host, regexp_extract(url, '^[^:]+://[^/?#]*([^#]*)', 1) AS path FROM pages WHERE url IS NOT NULL)
+SELECT url, NOT CASE length(host) % 5 WHEN 0 THEN regexp_matches(path, '^/en/2.*7') WHEN 1 THEN regexp_matches(path, '^/.*[?]page=|^/de/$') WHEN 2 THEN regexp_matches(path, '^/') WHEN 3 THEN regexp_matches(path, '^/en/') AND NOT regexp_matches(path, '^/en/1') ELSE false END AS allowed FROM u
+""")
 def robots_access(spark, d) -> DataFrame:
-    """Paths that robots files, parsed for one agent, let it fetch."""
-    files = spark.createDataFrame(ROBOTS, "host string, text string")
-    urls = spark.createDataFrame([(h + p, h, p) for h, p, _ in ASKED], "url string, host string, path string")
+    """Pages that their hosts' robots files, parsed for one agent, let it fetch."""
+    urls = read(spark, d, "pages").select("url", F.regexp_extract(F.lower("url"), "^[a-z][a-z0-9+.-]*://([^/?#]+)", 1).alias("host"), F.regexp_extract("url", "^[^:]+://[^/?#]*([^#]*)", 1).alias("path")).where("url IS NOT NULL").distinct()
+    files = urls.select("host").distinct().withColumn("text", chosen(F.length("host"), ROBOTS))
     return html.robots(html.robots_rules(files, "TallyroomBot/1.0"), urls)
 
 

@@ -152,7 +152,7 @@ def _plain(x: str) -> str:
 
 
 def _tag(x: str, tag: str) -> str:
-    inner = f"regexp_extract({x}, '(?is)<{tag}(?:[ \\t\\n][^>]*)?>(.*?)</{tag}>', 1)"
+    inner = f"regexp_extract({x}, '(?is)<{tag}(?:[ \\t\\n][^>]*)?>(.*?)(?:</{tag}>|$)', 1)"
     return f"nullif({_plain(inner)}, '')"
 
 
@@ -182,7 +182,7 @@ _STATED = ", ".join(f"({-k}, {_said(u and u.split('//')[1].split('/')[0].removep
 
 
 @query(f"""
-WITH a AS (SELECT page_id, nullif({DOMAIN}, '') AS domain, coalesce({_tag("html", "h1")}, {_tag("html", "title")}) AS title, {_CALM} AS calm FROM pages), b AS (SELECT page_id, domain, title, {_tag("calm", "main")} AS m, {_tag("calm", "article")} AS r, {_tag("calm", "body")} AS b FROM a),
+WITH a AS (SELECT page_id, nullif({DOMAIN}, '') AS domain, coalesce({_tag("html", "h1")}, {_tag("html", "title")}) AS title, {_CALM} AS calm FROM (SELECT page_id, url, regexp_replace(html, '&(amp|lt|gt|quot|nbsp)([^;])', '&\\1;\\2', 'g') AS html FROM pages)), b AS (SELECT page_id, domain, title, {_tag("calm", "main")} AS m, {_tag("calm", "article")} AS r, {_tag("calm", "body")} AS b FROM a),
 c AS (SELECT page_id, domain, title, coalesce(CASE WHEN length(m) >= 80 THEN m END, CASE WHEN length(r) >= 80 THEN r END, CASE WHEN length(b) >= 80 THEN b END) AS t FROM b)
 SELECT page_id, domain, CASE WHEN t IS NULL THEN 'none' ELSE 'main-content' END AS tier, title, NULL AS company, substr(t, 1, 20000) AS description FROM c
 UNION ALL SELECT * FROM (VALUES {_STATED}) AS s(page_id, domain, tier, title, company, description)

@@ -8,15 +8,14 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyroom.functions.text import url_domain
+from tallyroom.sources.markup import Page
 
 LEAST, MOST = 80, 20_000
-#: Elements that hold no content, and roles of such.
-NOISE, NOISE_ROLES = ("script", "style", "svg", "noscript", "iframe", "template", "header", "footer", "nav", "aside", "form"), ("navigation", "banner", "contentinfo")
 #: A state's keys, lower-cased, by field; levels that are searched.
 STATE_KEYS = {
     "title": ("jobtitle", "title", "positionname", "offername"),
@@ -27,25 +26,6 @@ LD_DEPTH, STATE_DEPTH = 6, 8
 _RECORD = T.StructType([T.StructField(c, T.StringType()) for c in ("title", "company", "description")])
 
 
-def _elements(names: tuple[str, ...]) -> str:
-    return "|".join(f"<{t}(?:[ \\t\\n][^>]*)?>.*?</{t}>" for t in names)
-
-
-def tag_text(html: Column, tag: str) -> Column:
-    """The text of the first such element, without inner tags; null where there is none."""
-    inner = F.regexp_extract(html, f"(?is)<{tag}(?:[ \\t\\n][^>]*)?>(.*?)</{tag}>", 1)
-    return F.nullif(plain(inner), F.lit(""))
-
-
-def meta(html: Column, *names: str) -> Column:
-    """The content of the first of the meta tags, by property or name, with either attribute first; null where there is none."""
-    out = []
-    for name in names:
-        out.append(F.regexp_extract(html, f"(?i)<meta[^>]+(?:property|name)=[\"']{name}[\"'][^>]+content=[\"']([^\"']*)[\"']", 1))
-        out.append(F.regexp_extract(html, f"(?i)<meta[^>]+content=[\"']([^\"']*)[\"'][^>]+(?:property|name)=[\"']{name}[\"']", 1))
-    return F.coalesce(*[F.nullif(collapsed(x), F.lit("")) for x in out])
-
-
 def collapsed(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, "[ \\t\\n\\r\\f\\u00A0]+", " "))
 
@@ -59,31 +39,12 @@ def plain(html: Column) -> Column:
     return collapsed(out)
 
 
-def calm(html: Column) -> Column:
-    """Without elements that hold no content."""
-    out = F.regexp_replace(html, f"(?is){_elements(NOISE)}", " ")
-    return F.regexp_replace(out, f"(?is)<([a-z0-9]+)[^>]*role=[\"'](?:{'|'.join(NOISE_ROLES)})[\"'][^>]*>.*?</\\1>", " ")
-
-
-def candidates(calm_html: Column) -> Column:
-    """Texts of what may be the page's main part, in order: main, the role of it, article, body."""
-    role = F.nullif(plain(F.regexp_extract(calm_html, "(?is)<([a-z0-9]+)[^>]*role=[\"']main[\"'][^>]*>(.*?)</\\1>", 2)), F.lit(""))
-    return F.array(tag_text(calm_html, "main"), role, tag_text(calm_html, "article"), tag_text(calm_html, "body"))
-
-
 def title_part(title: Column) -> Column:
     """Without what follows the last separator: a bar, a long dash or a middle dot, or a hyphen between spaces."""
     parts = F.filter(F.split(title, "\\s+[|–—·]\\s+|\\s+-\\s+"), lambda p: p != "")
     return F.when(F.size(parts) > 1, F.array_join(F.slice(parts, F.lit(1), F.greatest(F.lit(1), F.size(parts) - 1)), " - ")).otherwise(title)
 
 
-def company_of(html: Column) -> Column:
-    """The first text of 2 to 80 characters of an element that its markup names as an employer."""
-    named = "itemprop=[\"']hiringOrganization[\"']|data-testid=[\"'][^\"']*company[^\"']*[\"']|class=[\"'][^\"']*(?:company|employer)[^\"']*[\"']"
-    found = F.transform(F.regexp_extract_all(html, F.lit(f"(?is)<([a-z0-9]+)[^>]*(?:{named})[^>]*>(.*?)</\\1>"), 2), plain)
-    return F.get(F.filter(found, lambda t: F.length(t).between(2, 80)), F.lit(0))
-
-
 def _strict(raw: str):
     """JSON, null where it is broken; NaN and its like are no JSON."""
 
@@ -162,16 +123,27 @@ def _state(heads: list[str], bodies: list[str]) -> dict | None:
     return None
 
 
-@F.pandas_udf(T.StructType([T.StructField("ld", _RECORD), T.StructField("state", _RECORD)]))
-def embedded(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-    """What a page's scripts (attributes, bodies) hold of a posting; balanced brackets and nested lists are beyond patterns."""
-    for heads, bodies in parts:
+_PAGE = T.StructType([T.StructField("ld", _RECORD), T.StructField("state", _RECORD), *[T.StructField(c, T.StringType()) for c in ("main", "h1", "title", "employer", "og_title", "og_text", "site")]])
+
+
+def _meta(page: Page, *names: str) -> str | None:
+    return next((page.metas[n] for n in names if n in page.metas), None)
+
+
+@F.pandas_udf(_PAGE)
+def read_page(pages: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    """What a page holds: postings and states in its scripts, its main text, headings and social tags; one reading a page."""
+    for batch in pages:
         rows = []
-        for h, b in zip(heads, bodies, strict=True):
-            h, b = ([], []) if h is None else (list(h), list(b))
-            ld = [x for a, x in zip(h, b, strict=True) if re.search(r"type=[\"']application/ld\+json[\"']", a)]
-            rows.append((_posting(ld, "JobPosting"), _state(h, b)))
-        yield pd.DataFrame({"ld": [r[0] for r in rows], "state": [r[1] for r in rows]}, dtype=object)
+        for source in batch:
+            page = Page(source or "")
+            heads, bodies = [h for h, _ in page.scripts], [b for _, b in page.scripts]
+            ld = [b for h, b in page.scripts if re.search(r"type=[\"']application/ld\+json[\"']", h)]
+            rows.append((
+                _posting(ld, "JobPosting"), _state(heads, bodies), page.main(LEAST, MOST), page.part("h1") or None, page.part("title") or None, page.employer(),
+                _meta(page, "og:title", "twitter:title"), _meta(page, "og:description", "twitter:description", "description"), _meta(page, "og:site_name"),
+            ))
+        yield pd.DataFrame(rows, columns=_PAGE.names, dtype=object)
 
 
 def extract(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
@@ -181,48 +153,43 @@ def extract(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame
     main-content where the page's own text has, open-graph where a meta description is all there is, else none.  The
     description is the tier's, or the page's where that is shorter.  A null page has tier none and nulls.
     """
-    h = F.coalesce(F.col(html), F.lit(""))
-    script = F.lit("(?is)<script([^>]*)>(.*?)</script>")
-    rows = pages.withColumns({"__heads": F.regexp_extract_all(h, script, 1), "__bodies": F.regexp_extract_all(h, script, 2), "__calm": calm(h)})
-    rows = rows.withColumns({"__e": embedded("__heads", "__bodies"), "__parts": candidates(F.col("__calm"))})
-    rows = rows.withColumn("__main", F.substring(F.get(F.filter("__parts", lambda t: F.length(t) >= LEAST), F.lit(0)), 1, MOST))
-    base = F.coalesce(F.col("__e.ld"), F.col("__e.state"))
-    rows = rows.withColumns({"__base": base, "__og": meta(h, "og:description", "twitter:description", "description")})
-    tier = F.when(F.col("__e.ld").isNotNull(), "json-ld").when(F.length("__e.state.description") >= LEAST, "hydration").when(F.col("__main").isNotNull(), "main-content").when(F.col("__og").isNotNull(), "open-graph").otherwise("none")
+    rows = pages.withColumn("__p", read_page(html))
+    rows = rows.withColumns({"__base": F.coalesce(F.col("__p.ld"), F.col("__p.state")), "__main": F.col("__p.main"), "__og": F.col("__p.og_text")})
+    tier = F.when(F.col("__p.ld").isNotNull(), "json-ld").when(F.length("__p.state.description") >= LEAST, "hydration").when(F.col("__main").isNotNull(), "main-content").when(F.col("__og").isNotNull(), "open-graph").otherwise("none")
     own = F.when(F.length("__base.description") >= LEAST, F.col("__base.description"))
     first = lambda *xs: F.coalesce(*[F.nullif(x, F.lit("")) for x in xs])
     out = rows.withColumns(
         {
             "domain": url_domain(F.col(url)), "tier": tier,
-            "title": first(F.col("__base.title"), tag_text(h, "h1"), title_part(meta(h, "og:title", "twitter:title")), title_part(tag_text(h, "title"))),
-            "company": first(F.col("__base.company"), company_of(h), meta(h, "og:site_name")),
+            "title": first(F.col("__base.title"), F.col("__p.h1"), title_part(F.col("__p.og_title")), title_part(F.col("__p.title"))),
+            "company": first(F.col("__base.company"), F.col("__p.employer"), F.col("__p.site")),
             "description": F.coalesce(own, F.col("__main"), F.col("__og")),
         }
     )
-    return out.drop(html, "__heads", "__bodies", "__calm", "__e", "__parts", "__main", "__base", "__og")
+    return out.drop(html, "__p", "__base", "__main", "__og")
 
 
 def robots_rules(files: DataFrame, agent: str, host: str = "host", text: str = "text") -> DataFrame:
-    """(host, pattern, allow) of robots files for an agent: of the groups that name a part of it the longest, else that of *.
+    """(host, pattern, allow) of robots files for an agent: those of the agent's name that is the longest part of it, else those of *.
 
-    Lines of one agent after another share the rules that follow; comments and empty patterns are passed over.
+    Lines of one agent after another share the rules that follow.  Rules of one name count together, wherever they stand;
+    of names of one length the one whose first rule comes first counts.  Comments and empty bars are passed over, so a
+    name that has no other rules is as if it were not there, and * counts.
     """
     lines = files.select(host, F.posexplode(F.split(F.coalesce(text, F.lit("")), "\r?\n")).alias("n", "line"))
     lines = lines.withColumn("line", F.trim(F.regexp_replace("line", "#.*", "")))
     at = F.expr("instr(line, ':')")
     lines = lines.where(at > 0).select(host, "n", F.lower(F.trim(F.expr("left(line, instr(line, ':') - 1)"))).alias("key"), F.trim(F.expr("substring(line, instr(line, ':') + 1)")).alias("value"))
     lines = lines.where("key IN ('user-agent', 'allow', 'disallow')")
-    w = "PARTITION BY host ORDER BY n".replace("host", f"`{host}`")
-    lines = lines.withColumn("begins", F.expr(f"key = 'user-agent' AND coalesce(lag(key) OVER ({w}), '') <> 'user-agent'"))
-    lines = lines.withColumn("block", F.expr(f"sum(CAST(begins AS int)) OVER ({w})"))
-    low = agent.lower()
-    name = F.lower("value")
-    fits = F.when(name == "*", 0).when(F.lit(low).contains(name) & (name != ""), F.length("value"))
-    agents = lines.where("key = 'user-agent'").groupBy(host, "block").agg(F.max(fits).alias("fit")).where("fit IS NOT NULL")
-    best = agents.groupBy(host).agg(F.max("fit").alias("fit"))
-    chosen = agents.join(best, [host, "fit"]).select(host, "block")
-    rules = lines.where("key <> 'user-agent' AND value <> ''").join(chosen, [host, "block"])
-    return rules.select(host, F.col("value").alias("pattern"), (F.col("key") == "allow").alias("allow"))
+    w = Window.partitionBy(host).orderBy("n")
+    begins = (F.col("key") == "user-agent") & (F.coalesce(F.lag("key").over(w), F.lit("")) != "user-agent")
+    lines = lines.withColumn("block", F.sum(begins.cast("int")).over(w))
+    names = lines.where("key = 'user-agent'").select(host, "block", F.lower("value").alias("name")).distinct()
+    rules = lines.where("key = 'allow' OR key = 'disallow' AND value <> ''").select(host, "block", "n", F.col("value").alias("pattern"), (F.col("key") == "allow").alias("allow"))
+    fits = F.when(F.col("name") == "*", F.lit(-1)).when(F.lit(agent.lower()).contains(F.col("name")), F.length("name"))
+    named = names.withColumn("fit", fits).where("fit IS NOT NULL").join(rules, [host, "block"])
+    best = named.groupBy(host).agg(F.max_by("name", F.struct("fit", -F.col("n"))).alias("name"))
+    return named.join(best, [host, "name"]).select(host, "pattern", "allow").distinct()
 
 
 def robots(rules: DataFrame, urls: DataFrame) -> DataFrame:

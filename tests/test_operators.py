@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from tallyroom.functions import numbers as nm
 from tallyroom.functions import text as tx
 from tallyroom.operators import calibration, events, graph, intervals, learning, matching, ranking, scoring, texts
-from tallyroom.sources import html, tables
+from tallyroom.sources import html, markup, tables
 
 
 def one(spark, column, rows, schema):
@@ -193,6 +194,46 @@ def test_posting_passes_over_broken_blocks(spark):
     assert one(spark, html.is_shell(F.col("h")), [(shell,), (page,)], "h string") == [True, False]
 
 
+LONG = "word " * 20
+
+
+@pytest.mark.parametrize(
+    ("page", "main"),
+    [
+        (f'<body><main><div role="navigation"><div>menu</div>MENU TAIL</div><p>{LONG}</p></main></body>', LONG.strip()),
+        (f'<body>before<div role="main"><div>one</div><div>two {LONG}</div></div>after</body>', f"one two {LONG.strip()}"),
+        (f"<body><main>short</main><article>a<article>b</article>{LONG}</article></body>", f"a b {LONG.strip()}"),
+        (f"<main><nav><p>a<nav>b</nav>c</nav><p>un<b>closed<p>{LONG}</main></div>", f"un closed {LONG.strip()}"),
+        (f"<header><main>{LONG}</main></header><main>{LONG}&amp;</main>", f"{LONG}&"),
+        (f"<main a='>' b=\"<p>\">{LONG}<!-- <p>no</p> --><script>'</main>'</script><br/>x</main>", f"{LONG}x"),
+        (f"<aside>{LONG}</aside><main>little</main>", None), ("", None), (None, None),
+    ],
+)
+def test_main_content_by_structure(page, main):
+    assert markup.Page(page or "").main(80, 20_000) == main
+
+
+def test_pages_are_read_in_linear_time():
+    began = time.process_time()
+    for piece in ("<div>", "<b><p>", "</x>", "<", "<a ", '<a b="', "<!--", "<li>", "<script>", "<main><nav>", '<p class="company">'):
+        page = markup.Page(piece * 30_000)
+        page.main(80, 20_000), page.employer()
+    assert time.process_time() - began < 30
+
+
+def test_robots_groups(spark):
+    files = [
+        ("a", "User-agent: *\nDisallow: /\nUser-agent: tally\nDisallow:\n"),  # a name without rules is as if it were not there
+        ("b", "User-agent: bot\nDisallow: /x\n\nUser-agent: tal\nDisallow: /y"),  # names of one length: the first
+        ("c", "User-agent: tally\nDisallow: /x # no\nUser-agent: *\nDisallow: /\nUser-agent: TALLY\nUser-agent: z\nAllow: /x/ok"),  # one name in two places
+        ("d", "Disallow: /\nnonsense\n: /"), ("e", None),
+    ]
+    rules = html.robots_rules(spark.createDataFrame(files, "host string, text string"), "TallyBot/1")
+    urls = [(h + p, h, p) for h in "abcde" for p in ("/1", "/x", "/x/ok", "/y")]
+    got = {r.url: r.allowed for r in html.robots(rules, spark.createDataFrame(urls, "url string, host string, path string")).collect()}
+    assert [u for u in sorted(got) if not got[u]] == ["a/1", "a/x", "a/x/ok", "a/y", "b/x", "b/x/ok", "c/x"]
+
+
 def test_robots_longest_wins_and_allow_on_ties(spark):
     rules = spark.createDataFrame([("h", "/a", False), ("h", "/a/b", True), ("h", "/c", False), ("h", "/c", True)], "host string, pattern string, allow boolean")
     urls = spark.createDataFrame([("u1", "h", "/a/x"), ("u2", "h", "/a/b/c"), ("u3", "h", "/c"), ("u4", "g", "/a")], "url string, host string, path string")
