@@ -40,6 +40,13 @@ def mention(text: Column, aliases: list[str]) -> Column:
     return F.coalesce(*[F.when(low.rlike(bounded(a)), F.lit(a)) for a in aliases])
 
 
+def begins_with(after: Column, cues: tuple[str, ...]) -> Column:
+    """Whether what follows a phrase is one of the cues as whole words: behind a version, spaces and at most one dash or colon."""
+    rest = F.ltrim(F.regexp_replace(after, "^[0-9][0-9.]*", ""), F.lit(" \t"))
+    rest = F.when(F.left(rest, F.lit(1)).isin(*"—–:-"), F.ltrim(F.substring(rest, 2, 1 << 30), F.lit(" \t"))).otherwise(rest)
+    return let(rest, lambda r: F.exists(F.array(*[F.lit(c) for c in cues]), lambda c: F.startswith(r, c) & ~F.substring(r, F.length(c) + 1, F.lit(1)).rlike(_LETTER)))
+
+
 def positive_evidence(text: Column, phrase: str, *, negation: tuple = NEGATION, learning: tuple = LEARNING, leakage: tuple = LEAKAGE, others: tuple = OTHERS, own: tuple = OWN) -> Column:
     """Whether a text holds a phrase that its clause does not take back.
 
@@ -55,7 +62,7 @@ def positive_evidence(text: Column, phrase: str, *, negation: tuple = NEGATION,
         after = F.array_join(F.slice(parts, i + 2, F.size(parts)), phrase)
         near, far = F.right(before, F.lit(70)), F.right(before, F.lit(140))
         taken = near.rlike(word((*negation, *learning))) | far.rlike(f"(?:{_any(leakage)})") | before.rlike(f"{word(others)}(?!.*{word(own)})")
-        return ~(taken | after.rlike(f"^(?:[0-9]+(?:\\.[0-9]+)*)?[ \t]*(?:[—–:-][ \t]*)?(?:{_any((*learning, *negation))})(?=[^\\p{{L}}\\p{{N}}_]|$)"))
+        return ~(taken | begins_with(after, (*learning, *negation)))
 
     def of(clause: Column) -> Column:
         return let(F.split(clause, bounded(phrase)), lambda parts: F.exists(F.filter(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: i < F.size(parts) - 1), lambda i: clean(parts, i)))
@@ -75,14 +82,30 @@ def sentence_words(text: Column, stop: list[str]) -> Column:
     return F.filter(words, lambda t: (F.length(t) > 1) & t.rlike("[a-ząćęłńóśźż0-9]") & ~t.isin(*stop))
 
 
-def said_metrics(text: Column) -> Column:
-    """Numbers with their unit, in one form: 40 % and 40 procent are one, groups of thousands are one number."""
-    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("(?<![\\p{L}\\p{N}_])((?:[+\\-−]\\s*)?[0-9]+(?:[ \\u00a0\\u202f][0-9]{3}(?![0-9]))*(?:[.,][0-9]+)?\\s?(?:%|procent|mln|tys\\.?|k\\b|godzin|dni|osob)?)"), 1)
+#: Units that a metric may have, and the form that stands for them.
+UNITS = {"%": "%", "procent": "%", "mln": "mln", "tys": "tys", "k": "k", "godzin": "godzin", "dni": "dni", "osob": "osob"}
+SPACES = " \u00a0\u202f"
+
+
+def said_metrics(text: Column, units: dict[str, str] = UNITS) -> Column:
+    """Numbers with their unit, in one form: 40 % and 40 procent are one, groups of thousands are one number.
+
+    A number begins where no letter, digit or underscore stands before it, and is made of an optional sign (with spaces
+    behind), digits, groups of three digits behind a space, and a decimal part.  One space may part it from its unit.
+    """
+    digits = f"[0-9]+(?:[{SPACES}][0-9]{{3}}(?![0-9]))*"
+    number = f"(?<!{_LETTER})([+−-]?)(\\s*)({digits})(?:[.,]([0-9]+))?"
+    ends = "|".join(f"{re.escape(u)}(?!{_LETTER})" if len(u) == 1 and u.isalpha() else re.escape(u) for u in units)
+    low = fold(F.coalesce(text, F.lit("")))
+    part = lambda k: F.regexp_extract_all(low, F.lit(f"{number}(?:\\s?({ends}))?"), k)
 
-    def one(m: Column) -> Column:
-        bare = F.regexp_replace(F.regexp_replace(fold(m), "[\\s\\u00a0\\u202f]+", ""), "−", "-")
-        return F.regexp_replace(F.regexp_replace(F.replace(F.regexp_replace(bare, "^\\+", ""), F.lit(","), F.lit(".")), "procent", "%"), "\\.$", "")
+    def one(x: Column) -> Column:
+        sign = F.when(x["sign"].isin("-", "−"), "-").otherwise("")
+        decimals = F.when(x["decimals"] != "", F.concat(F.lit("."), x["decimals"])).otherwise("")
+        unit = F.coalesce(*[F.when(x["unit"] == u, F.lit(form)) for u, form in units.items()], F.lit(""))
+        return F.concat(sign, F.translate(x["digits"], SPACES, ""), decimals, unit)
 
+    found = F.arrays_zip(part(1).alias("sign"), part(3).alias("digits"), part(4).alias("decimals"), part(5).alias("unit"))
     return F.array_distinct(F.transform(found, one))
 
 
@@ -98,21 +121,25 @@ def suggested_tags(text: Column, rules: list[tuple[str, str]], existing: Column)
     return F.filter(found, lambda t: t.isNotNull() & ~F.array_contains(have, F.lower(t)))
 
 
-#: What is hidden, in this order, since the longer and narrower patterns come first.
+#: Labels and patterns of what is hidden, in this order, since the longer and narrower ones come first.
 HIDDEN = (
     ("EMAIL", "[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+\\.[A-Za-z0-9_.-]+"),
     ("ID", "\\b[0-9]{11}\\b"),
     ("LINK", "\\bhttps?://[^\\s<>\"']+"),
-    ("PHONE", "(?:\\+[0-9]{1,3}[\\s-]?)?(?:\\([0-9]{1,4}\\)[\\s-]?)?[0-9]{2,3}[\\s-]?[0-9]{2,3}[\\s-]?[0-9]{2,4}\\b"),
+    ("TELEFON", "(?:\\+[0-9]{1,3}[\\s-]?)?(?:\\([0-9]{1,4}\\)[\\s-]?)?[0-9]{2,3}[\\s-]?[0-9]{2,3}[\\s-]?[0-9]{2,4}\\b"),
 )
 
 
-def pseudonyms(text: Column, names: Column, label: str = "PERSON") -> Column:
+def pseudonyms(text: Column, names: Column, label: str = "KANDYDAT") -> Column:
     """struct(text, map): names, the longest first, then addresses, numbers, links and phones as numbered placeholders.
 
     map: array of (placeholder, value), with which ``restored`` gives the text back.  Names of fewer than three
-    characters stay; so do runs of digits that are no phone number of 9 to 15.  A value has one placeholder.
+    characters stay; so do runs of digits that are no phone number of 9 to 15.  A value has one placeholder.  Numbers
+    begin behind the highest one of that label that the text itself holds, so its own placeholders stay apart.
     """
+    low = F.coalesce(text, F.lit(""))
+    own = lambda name: F.transform(F.regexp_extract_all(low, F.lit(f"\\[{name}(?:_([0-9]{{1,9}}))?\\]"), 1), lambda n: F.coalesce(F.nullif(n, F.lit("")).cast("int"), F.lit(1)))
+    past = lambda name: F.coalesce(F.array_max(own(name)), F.lit(0))
     kind = "array<struct<placeholder:string,value:string>>"
     tag = lambda name, n: F.concat(F.lit(f"[{name}"), F.when(n > 0, F.concat(F.lit("_"), (n + 1).cast("string"))).otherwise(""), F.lit("]"))
     listed = F.filter(F.array_distinct(F.transform(names, lambda x: F.trim(x))), lambda v: F.length(v) >= 3)
@@ -120,21 +147,21 @@ def pseudonyms(text: Column, names: Column, label: str = "PERSON") -> Column:
     start = F.struct(F.coalesce(text, F.lit("")).alias("text"), F.array().cast(kind).alias("map"))
 
     def name(acc: Column, v: Column) -> Column:
-        p = tag(label, F.size(acc["map"]))
+        p = tag(label, F.size(acc["map"]) + past(label))
         hit = F.contains(acc["text"], v)
         return F.struct(F.when(hit, F.replace(acc["text"], v, p)).otherwise(acc["text"]).alias("text"), F.when(hit, F.concat(acc["map"], F.array(F.struct(p.alias("placeholder"), v.alias("value"))))).otherwise(acc["map"]).cast(kind).alias("map"))
 
     def hide(title: str, pattern: str):
-        fits = lambda v: F.length(F.regexp_replace(v, "[^0-9]", "")).between(9, 15) if title == "PHONE" else F.lit(True)
+        fits = lambda v: F.length(F.regexp_replace(v, "[^0-9]", "")).between(9, 15) if title == "TELEFON" else F.lit(True)
 
         def of(x: Column) -> Column:
             parts = F.split(x["text"], pattern)
 
             def placed(f: Column) -> Column:
                 kinds = F.array_distinct(F.filter(f, fits))
-                to = lambda v: F.when(fits(v), tag(title, (F.array_position(kinds, v) - 1).cast("int"))).otherwise(v)
+                to = lambda v: F.when(fits(v), tag(title, (F.array_position(kinds, v) - 1).cast("int") + past(title))).otherwise(v)
                 body = F.array_join(F.transform(parts, lambda s, i: F.concat(s, F.when(F.get(f, i).isNotNull(), to(F.get(f, i))).otherwise(""))), "")
-                new = F.transform(kinds, lambda v, i: F.struct(tag(title, i).alias("placeholder"), v.alias("value")))
+                new = F.transform(kinds, lambda v, i: F.struct(tag(title, i + past(title)).alias("placeholder"), v.alias("value")))
                 return F.struct(body.alias("text"), F.concat(x["map"], new).cast(kind).alias("map"))
 
             return let(F.regexp_extract_all(x["text"], F.lit(f"({pattern})"), 1), placed)
@@ -148,27 +175,59 @@ def pseudonyms(text: Column, names: Column, label: str = "PERSON") -> Column:
 
 
 def restored(text: Column, pairs: Column) -> Column:
-    """The text with the values of the placeholders, the longest placeholder first."""
-    order = F.array_sort(F.transform(pairs, lambda p: F.struct((-F.length(p["placeholder"])).alias("n"), p["placeholder"].alias("p"), p["value"].alias("v"))))
-    return F.aggregate(order, text, lambda t, p: F.replace(t, p["p"], p["v"]))
+    """The text with the values of the placeholders, the last made first: a value may hold a placeholder made before."""
+    return F.aggregate(F.reverse(pairs), text, lambda t, p: F.replace(t, p["placeholder"], p["value"]))
+
+
+#: Signs of a function's and of a file's name that are kept.
+FN_SIGNS, FILE_SIGNS = 80, 120
+
+
+def place_of(location: Column) -> Column:
+    """struct(file, line) of file:line:column, null where it doesn't end in two numbers; of a path the last part."""
+    parts = F.split(location, ":")
+    n = F.size(parts)
+    number = lambda k: F.get(parts, n - k).rlike("^[0-9]+$")
+    whole = F.array_join(F.slice(parts, F.lit(1), F.greatest(n - 2, F.lit(0))), ":")
+    steps = F.split(whole, "[/\\\\]")
+    file = F.when(F.size(steps) > 1, F.get(steps, F.size(steps) - 1)).otherwise(F.left(whole, F.lit(FILE_SIGNS)))
+    return F.when((n > 2) & number(1) & number(2), F.struct(file.alias("file"), F.try_to_number(F.get(parts, n - 2), F.lit("9999999999")).cast("int").alias("line")))
 
 
 def stack_frames(stack: Column, most: int = 5) -> Column:
-    """The first frames (fn, file, line) of a stack in one of three forms: "at fn (file:line:column)", fn@file:line:column, names alone."""
-    base = lambda p: F.regexp_extract(p, "([^/\\\\]*)$", 1)
-    part = lambda t, pattern, k: F.nullif(F.regexp_extract(t, pattern, k), F.lit(""))
-    called, bare, safari = "^at\\s+(.+?)\\s+\\((.+?):([0-9]+):[0-9]+\\)$", "^at\\s+(.+):([0-9]+):[0-9]+$", "^(.*?)@(?:(.*?):([0-9]+):[0-9]+)?$"
-
-    def frame(t: Column) -> Column:
-        place = part(t, called, 2)
-        file = F.when(t.rlike(called), F.when(place.rlike("[/\\\\]"), base(place)).otherwise(F.left(place, F.lit(120)))).when(t.rlike(bare), base(part(t, bare, 1))).when(t.rlike(safari), F.left(base(part(t, safari, 2)), F.lit(120)))
-        named = (t.rlike("^at\\s") | ~t.rlike("[@()]")) & ~t.rlike("^[A-Za-z_$][A-Za-z0-9_$]*(?:\\[[A-Za-z0-9_]+\\])?:\\s")
-        fn = F.when(t.rlike(called), part(t, called, 1)).when(t.rlike(bare), F.lit(None).cast("string")).when(t.rlike(safari), part(t, safari, 1)).when(named, F.nullif(F.trim(F.regexp_replace(t, "^at\\s+", "")), F.lit("")))
-        line = F.coalesce(F.when(t.rlike(called), part(t, called, 3)), F.when(t.rlike(bare), part(t, bare, 2)), part(t, safari, 3))
-        return F.struct(F.left(fn, F.lit(80)).alias("fn"), file.alias("file"), line.cast("int").alias("line"))
+    """The first frames (fn, file, line) of a stack, by the two forms in which engines write them, or names alone.
+
+    One form says ``at``, then a place, or a name and a place in brackets; the other a name, ``@`` and a place, which may
+    lack.  A line that says neither is a frame's name, unless it is a message (a word and a colon) or holds a bracket.
+    """
+    none = F.lit(None).cast("string")
+
+    def frame(fn: Column, place: Column) -> Column:
+        return F.struct(F.left(F.nullif(fn, F.lit("")), F.lit(FN_SIGNS)).alias("fn"), place["file"].alias("file"), place["line"].alias("line"))
+
+    def after_at(body: Column) -> Column:
+        """The rest of a line behind ``at``."""
+        open_at = F.instr(body, " (")
+        inner = F.substring(body, open_at + 2, F.length(body) - open_at - 2)
+        bracketed = F.when((open_at > 1) & F.endswith(body, F.lit(")")), place_of(inner))
+        named = lambda p: frame(F.rtrim(F.left(body, open_at - 1)), p)
+        return F.when(bracketed.isNotNull(), named(bracketed)).when(place_of(body).isNotNull(), frame(none, place_of(body))).otherwise(frame(body, place_of(none)))
+
+    def behind_sign(line: Column) -> Column:
+        at = F.instr(line, "@")
+        return frame(F.left(line, at - 1), place_of(F.substring(line, at + 1, F.length(line))))
+
+    def read(line: Column) -> Column:
+        at, rest = F.instr(line, "@"), F.substring(line, F.instr(line, "@") + 1, F.length(line))
+        signed = (at > 0) & ((rest == "") | place_of(rest).isNotNull())
+        message = line.rlike("^[A-Za-z_$][A-Za-z0-9_$]*(?:\\[[A-Za-z0-9_]+\\])?:\\s")
+        body = F.trim(F.substring(line, 3, 1 << 30))
+        says_at = F.left(line, F.lit(3)).isin("at ", "at\t")
+        placed = place_of(body).isNotNull() | (F.endswith(body, F.lit(")")) & (F.instr(body, " (") > 1))
+        return F.when(says_at & placed, after_at(body)).when(signed, behind_sign(line)).when(message, frame(none, place_of(none))).when(says_at, frame(body, place_of(none))).when(~line.rlike("[@()]"), frame(line, place_of(none)))
 
     lines = F.filter(F.transform(F.split(F.coalesce(stack, F.lit("")), "\n"), lambda x: F.trim(x)), lambda t: (t != "") & (t != "Error"))
-    return F.slice(F.filter(F.transform(lines, frame), lambda f: f["fn"].isNotNull() | f["file"].isNotNull()), 1, most)
+    return F.slice(F.filter(F.transform(lines, read), lambda f: f["fn"].isNotNull() | f["file"].isNotNull()), 1, most)
 
 
 def wrapped(text: Column, width: float, most: int, wide: str = "mwMW", narrow: str = "ijlt") -> Column:

@@ -7,7 +7,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyroom.functions.phrases import bounded
 from tallyroom.functions.text import fold
 
 
@@ -65,15 +64,6 @@ def looked_up(queries: DataFrame, places: DataFrame, query: str, ident: str, nam
     return hits.groupBy(query).agg(F.min_by("__id", F.struct("__way", "__n", "__id")).alias("place"))
 
 
-def keyword_map(docs: DataFrame, key: str, text: str, terms: list[str], around: int = 20) -> DataFrame:
-    """(key, term, n_lines, first, excerpt): the lines of a text that a term stands in, the first of them and the text around it."""
-    lines = docs.select(key, F.posexplode(F.split(F.coalesce(text, F.lit("")), "\n")).alias("line", "content"))
-    low = fold(F.col("content"))
-    found = F.filter(F.array(*[F.when(low.rlike(bounded(t)), F.struct(F.lit(t).alias("term"), F.substring("content", F.greatest(F.lit(1), F.instr(low, t) - around), F.lit(2 * around + len(t))).alias("excerpt"))) for t in terms]), lambda x: x.isNotNull())
-    rows = lines.select(key, "line", F.explode(found).alias("f")).select(key, "line", "f.*")
-    return rows.groupBy(key, "term").agg(F.count("*").alias("n_lines"), F.min("line").alias("first"), F.min_by("excerpt", "line").alias("excerpt"))
-
-
 def evidence_violations(df: DataFrame, ident: str, owner: str, rules: dict[str, Column]) -> DataFrame:
     """(ident, violation): broken rules of rows, ids that stand twice, and ids that two owners claim."""
     broken = F.filter(F.array(*[F.when(~F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in rules.items()]), lambda x: x.isNotNull())

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right, insort
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -107,32 +105,59 @@ def _with_f1(df: DataFrame) -> DataFrame:
 def order_discordance(df: DataFrame, by: list[str], first: str, second: str, weight: str | None = None) -> DataFrame:
     """(by, comparable, discordant, discordance): the weight of pairs that two orders put the other way round.
 
-    A pair weighs as the lighter of its rows; pairs that are equal in one order aren't comparable.  Without weights rows
-    go by in the first order beside a sorted list of those before, so no pairs are formed; weighted pairs are joined.
+    A pair weighs as the lighter of its rows; pairs that are equal in one order aren't comparable.  The weight of all
+    pairs is the sum, over the distinct weights, of what a weight adds to the next lower one times the pairs of rows that
+    weigh as much: so pairs are counted, never formed, once a distinct weight.  Rows with a null are left out; those of
+    a weight of 0 or less weigh nothing.  An owner's rows go by in the first order, one layer of weight after the other.
     """
+    rows = df.select(*by, F.col(first).alias("f"), F.col(second).alias("s"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w")).where("f IS NOT NULL AND s IS NOT NULL AND w > 0")
+    # places in the second order are dense ranks, so that counts by place fit an array
+    places = F.dense_rank().over(Window.partitionBy(*by).orderBy("s")) - 1
     if weight is None:
-        rows = df.select(*by, F.col(first).alias("f"), F.col(second).alias("s"))
-
-        def rule(state: dict, _: object, f, s) -> list[int]:
-            """Of the rows before, with another place in both orders: how many, and how many that the second order puts after."""
-            if f is None or s is None:
-                return [0, 0]
-            if state.get("f") != f:  # rows of one place wait for the next
-                for x in state.get("wait", ()):
-                    insort(state.setdefault("seen", []), x)
-                state.update(f=f, wait=[])
-            seen = state.setdefault("seen", [])
-            state["wait"].append(s)
-            low, high = bisect_left(seen, s), bisect_right(seen, s)
-            return [low + len(seen) - high, len(seen) - high]
-
-        pairs = ordered_fold(rows, by, ["f"], "f", rule, "n", also=("f", "s"), kind=T.ArrayType(T.LongType()))
-        out = pairs.groupBy(*by).agg(F.sum(F.col("n")[0]).cast("double").alias("comparable"), F.sum(F.col("n")[1]).cast("double").alias("discordant")).where("comparable > 0")
+        layered = rows.withColumns({"rank": places, "layer": F.lit(1.0), "step": F.lit(1.0)})
     else:
-        rows = df.select(*by, F.col(first).alias("f"), F.col(second).alias("s"), F.col(weight).alias("w"))
-        pairs = rows.join(rows.select(*by, F.col("f").alias("f2"), F.col("s").alias("s2"), F.col("w").alias("w2")), by).where("f < f2 AND s <> s2")
-        out = pairs.groupBy(*by).agg(F.sum(F.least("w", "w2")).alias("comparable"), F.sum(F.when(F.col("s") > F.col("s2"), F.least("w", "w2")).otherwise(0.0)).alias("discordant"))
-    return out.withColumn("discordance", F.when(F.col("comparable") > 0, F.col("discordant") / F.col("comparable")))
+        layers = rows.select(*by, F.col("w").alias("layer")).distinct()
+        layers = layers.withColumn("step", F.col("layer") - F.coalesce(F.lag("layer").over(Window.partitionBy(*by).orderBy("layer")), F.lit(0.0)))
+        layered = rows.withColumn("rank", places).join(layers, by).where("w >= layer")
+    counted = ordered_fold(layered.select(*by, "layer", "step", "f", "rank"), [*by, "layer"], ["f"], "rank", pair_rule, "n", also=("f", "rank"), kind=T.ArrayType(T.LongType()))
+    out = counted.groupBy(*by).agg(F.sum(F.col("n")[0] * F.col("step")).alias("comparable"), F.sum(F.col("n")[1] * F.col("step")).alias("discordant")).where("comparable > 0")
+    return out.withColumn("discordance", F.col("discordant") / F.col("comparable"))
+
+
+def pair_rule(state: dict, _: object, f, rank: int) -> list[int]:
+    """Of the rows before, with another place in both orders: how many, and how many that the second order puts after.
+
+    Counts by place are a tree of sums (each cell holds those of a power of two of places before it), so a row costs the
+    logarithm of the places.
+    """
+    tree, wait = state.setdefault("tree", [0]), state.setdefault("wait", [])
+
+    def upto(place: int) -> int:
+        """Rows at places below ``place``."""
+        place, n = min(place, len(tree) - 1), 0
+        while place > 0:
+            n += tree[place]
+            place &= place - 1
+        return n
+
+    if state.get("f", f) != f:  # rows of one place wait for the next
+        for place in wait:
+            while len(tree) <= place + 1:  # a new cell holds what its range has
+                k, n, below = len(tree), 0, len(tree) - 1
+                while below > (k & (k - 1)):
+                    n += tree[below]
+                    below &= below - 1
+                tree.append(n)
+            place += 1
+            while place < len(tree):
+                tree[place] += 1
+                place += place & -place
+            state["total"] = state.get("total", 0) + 1
+        wait.clear()
+    state["f"] = f
+    wait.append(rank)
+    total, before, through = state.get("total", 0), upto(rank), upto(rank + 1)
+    return [before + total - through, total - through]
 
 
 def answer_marks(text: Column) -> Column:

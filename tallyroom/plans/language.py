@@ -176,11 +176,25 @@ def tag_suggestions(spark, d) -> DataFrame:
 
 
 LETTERS = [
-    ("Jan Kowalski, jan@a.example, +48 600 700 800", "[PERSON], [EMAIL], [PHONE]", 3), ("Jan and Jan Kowalski: jan@a.example or x@b.example or jan@a.example", "[PERSON_2] and [PERSON]: [EMAIL] or [EMAIL_2] or [EMAIL]", 4),
+    ("Jan Kowalski, jan@a.example, +48 600 700 800", "[KANDYDAT], [EMAIL], [TELEFON]", 3), ("Jan and Jan Kowalski: jan@a.example or x@b.example or jan@a.example", "[KANDYDAT_2] and [KANDYDAT]: [EMAIL] or [EMAIL_2] or [EMAIL]", 4),
     ("see https://c.example/p?q=1 12345678901", "see [LINK] [ID]", 2), ("in 2019-07 and 123-456", "in 2019-07 and 123-456", 0), ("", "", 0), (None, "", 0),
 ]
 
 
+_MAIL, _PHONE = "[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+\\.[A-Za-z0-9_.-]+", "(?:\\+[0-9]{1,3}[\\s-]?)?(?:\\([0-9]{1,4}\\)[\\s-]?)?[0-9]{2,3}[\\s-]?[0-9]{2,3}[\\s-]?[0-9]{2,4}\\b"
+
+
+@query(f"""
+WITH a AS (SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '{_MAIL}', '[M]', 'g') AS u FROM documents), b AS (SELECT *, regexp_replace(u, '\\b[0-9]{{11}}\\b', '[I]', 'g') AS v FROM a), c AS (SELECT *, regexp_replace(v, '\\bhttps?://[^\\s<>"'']+', '[L]', 'g') AS w FROM b),
+f AS (SELECT doc_id, t, list_filter(list_distinct(regexp_extract_all(w, '{_PHONE}')), lambda x: length(regexp_replace(x, '[^0-9]', '', 'g')) BETWEEN 9 AND 15) AS phones, list_distinct(regexp_extract_all(t, '{_MAIL}')) AS mails, list_distinct(regexp_extract_all(u, '\\b[0-9]{{11}}\\b')) AS ids, list_distinct(regexp_extract_all(v, '\\bhttps?://[^\\s<>"'']+')) AS links FROM c)
+SELECT doc_id, CAST(len(mails) + len(ids) + len(links) + len(phones) AS INTEGER) AS n_hidden, true AS restored, true AS hidden FROM f
+""")
+def pseudonymised_documents(spark, d) -> DataFrame:
+    """Placeholders in documents: how many, that the texts can be had back, and that no address is left."""
+    rows = read(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("t"), ph.pseudonyms(F.col("text"), F.array().cast("array<string>")).alias("p"))
+    return rows.select("doc_id", F.size("p.map").alias("n_hidden"), (ph.restored(F.col("p.text"), F.col("p.map")) == F.col("t")).alias("restored"), (~F.col("p.text").rlike("[A-Za-z0-9]@[A-Za-z0-9-]+\\.[A-Za-z]")).alias("hidden"))
+
+
 @query(_made("orders", "o_orderkey", [(None, t, n, True) for _, t, n in LETTERS], "text, n_hidden, restored"))
 def pseudonymised(spark, d) -> DataFrame:
     """Texts that are made of keys with placeholders, and whether they can be had back."""

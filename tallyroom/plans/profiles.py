@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyroom.operators import dictionary as di
 from tallyroom.operators import profiles as pr
 from tallyroom.operators.tables import shared_folder
 from tallyroom.plans.filters import chosen, made
@@ -167,14 +168,17 @@ def place_lookup(spark, d) -> DataFrame:
     return pr.looked_up(queries, read(spark, d, "nation"), "q", "n_nationkey", "n_name")
 
 
-@query(r"""
-WITH l AS (SELECT doc_id, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS line, unnest(string_split(coalesce(text, ''), chr(10))) AS x FROM documents), f AS (SELECT *, replace(strip_accents(lower(x)), 'ł', 'l') AS low FROM l),
-h AS (SELECT doc_id, line, term, substr(x, CAST(greatest(1, instr(low, term) - 20) AS INTEGER), 40 + length(term)) AS excerpt FROM f, (VALUES ('und'), ('the')) t(term) WHERE regexp_matches(low, '(?:^|[^\p{L}\p{N}_#+])' || term || '(?:[0-9]+(?:\.[0-9]+)*)?(?:[^\p{L}\p{N}_#+]|$)'))
+_PLACED = " UNION ALL ".join(f"SELECT *, '{t}' AS term, regexp_extract(low, '(?:^|[^\\p{{L}}\\p{{N}}_#+]){t}(?:[0-9]+(?:\\.[0-9]+)*)?(?:[^\\p{{L}}\\p{{N}}_#+]|$)') AS m FROM f" for t in ("und", "the"))
+
+
+@query(f"""
+WITH l AS (SELECT doc_id, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS line, unnest(string_split(coalesce(text, ''), chr(10))) AS x FROM documents), f AS (SELECT *, replace(strip_accents(lower(x)), 'ł', 'l') AS low FROM l), p AS ({_PLACED}),
+h AS (SELECT doc_id, line, term, substr(x, CAST(greatest(1, instr(low, m) + (NOT starts_with(m, term))::INT - 20) AS INTEGER), 40 + length(term)) AS excerpt FROM p WHERE m <> '')
 SELECT doc_id, term, count(*) AS n_lines, CAST(min(line) AS INTEGER) AS first, arg_min(excerpt, line) AS excerpt FROM h GROUP BY 1, 2
 """)
 def keyword_map(spark, d) -> DataFrame:
     """Where terms stand in each document, with the text around the first."""
-    return pr.keyword_map(read(spark, d, "documents").select("doc_id", "text"), "doc_id", "text", ["und", "the"])
+    return di.keyword_map(read(spark, d, "documents").select("doc_id", "text"), "doc_id", "text", ["und", "the"])
 
 
 @query("""
