@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -23,6 +24,11 @@ _EDGE = re.compile(r"^([^\w#+]*)(.*?)([^\w#+]*)$", re.S)
 _TECHNICAL = re.compile(r"[0-9#+./-]")
 
 
+@lru_cache(1 << 16)
+def _word(word: str) -> str:
+    return folded(word)[0]
+
+
 def chunks_of(text: str, stop: frozenset[str], known) -> list[tuple[str, int, bool]]:
     """(phrase, times, technical): runs of capitalised words, without the stop words at their ends, that count.
 
@@ -35,7 +41,7 @@ def chunks_of(text: str, stop: frozenset[str], known) -> list[tuple[str, int, bo
     run: list[str] = []
 
     def end() -> None:
-        words = [folded(w)[0] for w in run]
+        words = [_word(w) for w in run]
         low, high = 0, len(words)
         while low < high and words[low] in stop:
             low += 1
@@ -46,11 +52,11 @@ def chunks_of(text: str, stop: frozenset[str], known) -> list[tuple[str, int, bo
         run.clear()
 
     for raw in text.split():
-        before, word, after = _EDGE.match(raw).groups()
+        before, word, after = ("", raw, "") if raw.isalnum() else _EDGE.match(raw).groups()
         if not word:
             end()
             continue
-        small.append(folded(word)[0])
+        small.append(_word(word))
         if before:
             end()
         if word[0].isupper():
@@ -65,8 +71,11 @@ def chunks_of(text: str, stop: frozenset[str], known) -> list[tuple[str, int, bo
         wanted.setdefault(phrase.count(" ") + 1, set()).add(phrase)
     times: Counter[str] = Counter()
     for n, phrases in wanted.items():
+        if n == 1:
+            times.update(w for w in small if w in phrases)
+            continue
         for i in range(len(small) - n + 1):
-            here = " ".join(small[i : i + n]) if n > 1 else small[i]
+            here = " ".join(small[i : i + n])
             if here in phrases:
                 times[here] += 1
     out = []
@@ -97,7 +106,8 @@ def dynamic_phrases(docs: DataFrame, key: str, text: str, stop: list[str], known
             columns = list(zip(*out, strict=True)) or [[] for _ in kinds]
             yield pa.RecordBatch.from_arrays([pa.array(v, to_arrow_type(x)) for v, x in zip(columns, kinds, strict=True)], names=schema.names)
 
-    found = docs.select(key, text).mapInArrow(run, schema)
+    # read twice below
+    found = saved(docs.select(key, text).mapInArrow(run, schema))
     total = docs.count()
     texts = found.groupBy("phrase").agg(F.count_distinct(key).alias("n"))
     rarity = F.ln((F.lit(total) + 1) / (F.col("n") + 1))

@@ -64,6 +64,26 @@ def looked_up(queries: DataFrame, places: DataFrame, query: str, ident: str, nam
     return hits.groupBy(query).agg(F.min_by("__id", F.struct("__way", "__n", "__id")).alias("place"))
 
 
+def rule_profiles(docs: DataFrame, key: str, text: str, rules: list[tuple[str, str, str, str]]) -> DataFrame:
+    """(key, profile, found, missing, advice, passed): what each profile of rules finds in a text.
+
+    rules: rows (profile, field, pattern, severity), the severity ``required``, ``advised`` or ``forbidden``; a table of
+    them becomes one projection, in which a pattern that several profiles share is tried once.  found: fields whose
+    pattern stands in the text; missing: required ones that don't, and forbidden ones that do; advice: advised ones that
+    don't.  passed: nothing is missing.  Lists are in the order of the rules; a null text holds nothing.
+    """
+    patterns = list(dict.fromkeys(p for _, _, p, _ in rules))
+    tried = docs.select(key, F.array(*[F.coalesce(F.col(text), F.lit("")).rlike(p) for p in patterns]).alias("__met"))
+    has = lambda p: F.col("__met")[patterns.index(p)]
+    some = lambda rows: F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in rows], F.lit(None).cast("string")), lambda x: x.isNotNull())
+    parts = []
+    for profile in dict.fromkeys(p for p, *_ in rules):
+        own = [(f, has(p), kind) for name, f, p, kind in rules if name == profile]
+        missing = some([(f, ~met if kind == "required" else met) for f, met, kind in own if kind != "advised"])
+        parts.append(F.struct(F.lit(profile).alias("profile"), some([(f, met) for f, met, _ in own]).alias("found"), missing.alias("missing"), some([(f, ~met) for f, met, kind in own if kind == "advised"]).alias("advice")))
+    return tried.select(key, F.explode(F.array(*parts)).alias("p")).select(key, "p.*", (F.size("p.missing") == 0).alias("passed"))
+
+
 def evidence_violations(df: DataFrame, ident: str, owner: str, rules: dict[str, Column]) -> DataFrame:
     """(ident, violation): broken rules of rows, ids that stand twice, and ids that two owners claim."""
     broken = F.filter(F.array(*[F.when(~F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in rules.items()]), lambda x: x.isNotNull())

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyroom.plans import blocks, career, dictionaries, events, filters, graphs, intervals, language, learning, matching, offers, profiles, ranking, records, registry, scoring, streams, texts  # noqa: F401
+from tallyroom.plans import blocks, career, dictionaries, events, filters, graphs, intervals, language, learning, matching, offers, profiles, ranking, records, registry, resumes, scoring, streams, texts  # noqa: F401
 
 FLAGSHIP = "lexeme_log_odds"
 

@@ -78,8 +78,7 @@ r AS (SELECT doc_id, g, list(x ORDER BY i) AS xs, list(f ORDER BY i) AS fs FROM
 k AS (SELECT doc_id, g, xs, fs, list_filter(range(1, len(fs) + 1), lambda j: NOT list_contains(['the', 'und', 'que', 'of'], fs[j])) AS keep FROM r),
 c AS (SELECT doc_id, g, xs[keep[1]:keep[-1]] AS xs, array_to_string(fs[keep[1]:keep[-1]], ' ') AS phrase FROM k WHERE len(keep) > 0),
 u AS (SELECT doc_id, phrase, arg_min(xs, g) AS xs, len(arg_min(xs, g)) AS n FROM c WHERE length(phrase) >= 3 AND NOT regexp_full_match(phrase, '[0-9]+') GROUP BY 1, 2),
-s AS (SELECT doc_id, i, f, f || coalesce(' ' || lead(f, 1) OVER o, '') AS f2, f || ' ' || lead(f, 1) OVER o || ' ' || lead(f, 2) OVER o AS f3, f || ' ' || lead(f, 1) OVER o || ' ' || lead(f, 2) OVER o || ' ' || lead(f, 3) OVER o AS f4 FROM f WHERE x <> '' WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
-t AS (SELECT doc_id, f AS phrase, 1 AS n FROM s UNION ALL SELECT doc_id, f2, 2 FROM s UNION ALL SELECT doc_id, f3, 3 FROM s UNION ALL SELECT doc_id, f4, 4 FROM s), m AS (SELECT doc_id, phrase, n, count(*) AS times FROM t GROUP BY ALL),
+nn AS (SELECT DISTINCT doc_id, n FROM u), dw AS (SELECT doc_id, list(f ORDER BY i) AS fs FROM f WHERE x <> '' GROUP BY 1), t AS (SELECT doc_id, n, array_to_string(fs[j:j + n - 1], ' ') AS phrase FROM (SELECT doc_id, n, fs, unnest(range(1, len(fs) - n + 2)) AS j FROM nn JOIN dw USING (doc_id))), m AS (SELECT doc_id, phrase, n, count(*) AS times FROM t GROUP BY ALL),
 v AS (SELECT u.doc_id, u.phrase, coalesce(times, 1) AS times, len(list_filter(xs, lambda x: regexp_full_match(x, '\p{Lu}{2,6}') OR regexp_matches(x, '[0-9#+./-]'))) > 0 AS technical FROM u LEFT JOIN m ON m.doc_id = u.doc_id AND m.phrase = u.phrase AND m.n = u.n),
 z AS (SELECT * FROM v WHERE (technical OR times > 1) AND NOT (phrase <> 'thing of' AND contains(' ' || phrase || ' ', ' thing of ')) AND NOT (phrase <> 'und' AND contains(' ' || phrase || ' ', ' und ')))
 SELECT doc_id, phrase, times, technical, 1.5::DOUBLE AS weight, round(ln(((SELECT count(*) FROM documents) + 1) / (count(*) OVER (PARTITION BY phrase) + 1)::DOUBLE), 6) AS rarity FROM z

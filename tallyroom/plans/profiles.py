@@ -210,3 +210,26 @@ def global_consensus(spark, d) -> DataFrame:
     a = F.avg("c_acctbal")
     x = read(spark, d, "customer").groupBy("c_nationkey", F.col("c_mktsegment").alias("domain")).agg(F.when(a > 3000, F.least(F.lit(100.0), a / 80)).alias("score"), F.bool_or(F.col("c_acctbal") < -900).alias("blocked"))
     return r6(pr.global_consensus(x, ["c_nationkey"], {"BUILDING": 3.0, "HOUSEHOLD": 2.0, "MACHINERY": 1.0}, F.when(F.col("blocked"), 45.0)))
+
+
+RULES = [
+    ("strict", "mail", "[a-z0-9.]+@[a-z0-9.]+", "required"), ("strict", "number", "[0-9]{4}", "advised"), ("strict", "markup", "[<>{}]", "forbidden"),
+    ("plain", "number", "[0-9]{4}", "forbidden"), ("plain", "list", "(?m)^[-*]", "advised"), ("any", "mail", "[a-z0-9.]+@[a-z0-9.]+", "advised"), ("any", "sentence", "[a-z][.]", "required"),
+]
+
+
+def _rules_sql() -> str:
+    part = lambda rows: "concat_ws('|', " + ", ".join(f"CASE WHEN {'NOT ' if no else ''}regexp_matches(t, '{p}') THEN '{f}' END" for f, p, no in rows) + ")" if rows else "''"
+    out = []
+    for profile in ("strict", "plain", "any"):
+        own = [r[1:] for r in RULES if r[0] == profile]
+        missing = part([(f, p, k == "required") for f, p, k in own if k != "advised"])
+        out.append(f"SELECT doc_id, '{profile}' AS profile, {part([(f, p, False) for f, p, _ in own])} AS found, {missing} AS missing, {part([(f, p, True) for f, p, k in own if k == 'advised'])} AS advice, {missing} = '' AS passed FROM d")
+    return "WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents) " + " UNION ALL ".join(out)
+
+
+@query(_rules_sql())
+def rule_profiles(spark, d) -> DataFrame:
+    """Documents against three profiles of rules."""
+    found = pr.rule_profiles(read(spark, d, "documents").select("doc_id", "text"), "doc_id", "text", RULES)
+    return found.select("doc_id", "profile", *[F.array_join(c, "|").alias(c) for c in ("found", "missing", "advice")], "passed")
