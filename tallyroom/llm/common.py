@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -166,9 +166,12 @@ def known_labels(labels: DataFrame, label: str, key: str, modulus: int, left_out
     return known.groupBy(key).agg(F.max(label).cast("int").alias("__label"))
 
 
-def bounded_labels(docs: DataFrame, labels: DataFrame, label: str, key: str, text: str, modulus: int, left_out: int, per_class: int) -> DataFrame:
+def bounded_labels(docs: DataFrame, labels: DataFrame, label: str, key: str, text: str, modulus: int, left_out: int, per_class: int, per_class_chars: int | None = None) -> DataFrame:
     """At most ``per_class`` labelled texts of each class, in the order of a hash of the id: (key, text, label).
 
+    per_class_chars: of these, so many as hold no more code points together; none of a class is left only if its first
+    text alone holds more.
+
     Only ids whose crc32 remainder is not ``left_out`` are learned from.  An id with contradicting labels counts as its
     largest; of an id's rows one stays, the text with the smallest hash (a null text only if there is no other).  Ids
     are chosen before any text is read, and rows of one id are combined before the shuffle.
@@ -178,4 +181,11 @@ def bounded_labels(docs: DataFrame, labels: DataFrame, label: str, key: str, tex
     chosen = known.where("__label = 0").orderBy(*order).limit(per_class).unionByName(known.where("__label = 1").orderBy(*order).limit(per_class))
     # at most 2 * per_class ids: a proven bound for the broadcast
     rows = docs.select(key, text).join(F.broadcast(chosen), key)
-    return rows.groupBy(key, "__label").agg(F.min_by(text, F.struct(F.col(text).isNull(), F.xxhash64(text))).alias(text))
+    rows = rows.groupBy(key, "__label").agg(F.min_by(text, F.struct(F.col(text).isNull(), F.xxhash64(text))).alias(text))
+    if per_class_chars is None:
+        return rows
+    # per_class rows a class at most, without their texts
+    rows = written(rows)
+    upto = F.sum(F.coalesce(F.length(text), F.lit(0))).over(Window.partitionBy("__label").orderBy(*order))
+    fits = rows.select(key, upto.alias("__upto")).where(F.col("__upto") <= per_class_chars).select(key)
+    return rows.join(F.broadcast(fits), key, "left_semi")

@@ -10,9 +10,9 @@ of the texts that are hit alone, so one automaton lives at a time.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
-from itertools import chain
+from itertools import accumulate, chain
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,6 +21,8 @@ from tallyroom.llm.common import PLAIN_BYTES, broadcast_if, field, longs, map_te
 WINDOW = 13
 #: Words of test items in one automaton (about 2 states a word, some 100 MB); more items take more passes.
 BLOCK_WORDS = 150_000
+#: Parts by hash in which items' pieces are numbered; their sums are all that the driver sees of them.
+PARTS = 1_024
 #: Marked texts that may be sent to all executors; beyond, they are joined by a shuffle.
 BROADCAST_ROWS = 100_000
 
@@ -133,10 +135,12 @@ def pieces(item: object, words: list[bytes], most: int, window: int) -> list[tup
     return [(item, words[i : i + most]) for i in range(0, len(words) - window + 1, most - window + 1)]
 
 
-def item_blocks(items: DataFrame, item_id: str, text: str, window: int, block_words: int) -> Iterator[list[tuple[object, list[bytes]]]]:
-    """The items' pieces in blocks of about ``block_words`` words, one block on the driver at a time.
+def item_blocks(items: DataFrame, item_id: str, text: str, window: int, block_words: int) -> Iterator[list[tuple[tuple[str, ...], list[bytes]]]]:
+    """The items' pieces, each with the ids that have it, in blocks of at most twice ``block_words`` words and ids; one block on the driver at a time.
 
-    Pieces are cut and dealt to blocks by Spark; each block is a scan of a written table.
+    A piece weighs its words and its ids, and is ``block_words`` words at most (or two windows); where more items share it,
+    their ids are parted.  Equal pieces are told once.  Pieces are numbered by running total: within parts by hash, which
+    the parts' sums continue.  Each block is a filter on a written table.
     """
 
     def make() -> Callable[[list], list[tuple]]:
@@ -148,25 +152,38 @@ def item_blocks(items: DataFrame, item_id: str, text: str, window: int, block_wo
 
     named = items.select(F.col(item_id).cast("string").alias("__item"), F.col(text).alias("__body")).where("__item IS NOT NULL AND __body IS NOT NULL")
     cut_items = map_texts(named, "__body", [field("__pieces", "array<struct<n:bigint,words:string>>")], make, keep=["__item"])
-    table = written(cut_items.select("__item", F.explode("__pieces").alias("p")).select("__item", "p.n", "p.words"))
-    total = table.agg(F.sum("n")).first()[0] or 0
-    blocks = -(-total // block_words)
-    for b in range(blocks):
-        rows = table.where(F.pmod(F.xxhash64("words"), F.lit(blocks)) == b).collect() if blocks > 1 else table.collect()
+    table = written(cut_items.select("__item", F.explode("__pieces").alias("p")).select("__item", "p.n", "p.words").distinct())
+    shared = table.groupBy("words").agg(F.count("*").alias("c")).agg(F.max("c")).first()[0]
+    if shared is None:
+        return
+    parts = -(-2 * shared // block_words)
+    one = table.groupBy("words", "n", F.pmod(F.xxhash64("__item"), F.lit(parts)).alias("part")).agg(F.sort_array(F.collect_list("__item")).alias("items"))
+    part = F.pmod(F.xxhash64("words", "part"), F.lit(PARTS))
+    weighed = written(one.withColumns({"weight": F.col("n") + F.size("items"), "bucket": part}))
+    sums = {r["bucket"]: r["s"] for r in weighed.groupBy("bucket").agg(F.sum("weight").alias("s")).collect()}  # PARTS rows at most
+    before = dict(zip(sorted(sums), accumulate([0, *[sums[k] for k in sorted(sums)]]), strict=False))
+    offsets = F.broadcast(items.sparkSession.createDataFrame(list(before.items()), "bucket long, before long"))
+    here = Window.partitionBy("bucket").orderBy("words", "part")
+    upto = F.sum("weight").over(here) - F.col("weight") + F.col("before")
+    dealt = weighed.join(offsets, "bucket").withColumn("block", F.floor(upto / F.lit(block_words)).cast("int"))
+    if sum(sums.values()) > block_words:
+        dealt = written(dealt)
+    for block in range(-(-sum(sums.values()) // block_words)):
+        rows = dealt.where(F.col("block") == block).select("items", "words").collect()
         if rows:
-            yield [(r["__item"], r["words"].encode("utf-8", "surrogatepass").split(b" ")) for r in rows]
+            yield [(tuple(r["items"]), r["words"].encode("utf-8", "surrogatepass").split(b" ")) for r in rows]
 
 
-def _scanner(block: list[tuple[object, list[bytes]]], window: int) -> Callable[[], Callable]:
+def _scanner(block: list[tuple[tuple[str, ...], list[bytes]]], window: int) -> Callable[[], Callable]:
     def make() -> Callable[[list], list[tuple]]:
-        automaton = SuffixAutomaton(block, window)
+        automaton = SuffixAutomaton([(k, words) for k, (_, words) in enumerate(block)], window)
 
         def scan(texts: list) -> list[tuple]:
             out = []
             for text in texts:
                 words = plain_words(text)
                 spans, found = automaton.scan(words)
-                out.append((len(words), [x for s in spans for x in s], sorted(found)))
+                out.append((len(words), [x for s in spans for x in s], sorted({i for k in found for i in block[k][0]})))
             return out
 
         return scan

@@ -13,6 +13,7 @@ from collections import Counter
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,8 +23,8 @@ from tallyroom.llm.common import bounded_labels, broadcast_if, crc_remainder, kn
 BUCKETS, DIM, WIDTHS, FILTERS = 1 << 15, 8, (1, 2, 3), 8
 #: Letters of a word's beginning that are hashed beside the word.
 STARTS = (4, 5, 6)
-#: Labelled texts of each class that the model is fitted on, at most; each is read whole.
-PER_CLASS = 1_200
+#: Labelled texts of each class that the model is fitted on, at most, and their code points together; each is read whole.
+PER_CLASS, PER_CLASS_CHARS = 1_200, 20_000_000
 #: A word is learned from if so many sampled texts hold it; single steps of training, at least, and passes.
 LEAST_TEXTS, STEPS, PASSES = 2, 6_000, 4
 #: Steps of the scores by which labelled texts are counted for the thresholds.
@@ -73,10 +74,11 @@ class TextCNN:
             where[i] = np.where(peak > 0, best, -1)
         return top, where
 
-    def fit(self, texts: list[list[str]], labels: np.ndarray, rate: float = 0.06, seed: int = 7) -> TextCNN:
+    def fit(self, texts: list[list[str]], labels: np.ndarray, rate: float = 0.06, seed: int = 7, least_texts: int = LEAST_TEXTS) -> TextCNN:
         """Stochastic gradients, scaled by each parameter's past ones; the classes weigh the same.
 
-        Words of a single text are left out: they would only be learned by heart.
+        Words of fewer than ``least_texts`` texts are left out of training, as they would only be learned by heart; what
+        they share with others, their beginnings, is learned from those.
         """
         if len(set(labels.tolist())) < 2:
             self.out[:] = 0
@@ -84,7 +86,7 @@ class TextCNN:
             return self
         rng = np.random.default_rng(seed)
         held = Counter(w for t in texts for w in set(t))
-        texts = [[w for w in t if held[w] >= LEAST_TEXTS] for t in texts]
+        texts = [[w for w in t if held[w] >= least_texts] for t in texts]
         known: dict[str, int] = {}
         coded = [np.fromiter((known.setdefault(w, len(known)) for w in t), np.int64, len(t)) for t in texts]
         found = np.asarray([buckets(w) for w in known], np.int64).reshape(-1, 1 + len(STARTS))
@@ -147,59 +149,65 @@ class TextCNN:
         return score
 
 
-def calibrated(counts: list[tuple], least: int = 30) -> dict:
-    """By language the threshold with the best F1, from (language, bin, texts, texts of label 1); halfway between two bins that hold texts.
+def calibrated(counts: list[tuple], least: int = 30) -> float | None:
+    """The threshold with the best F1, from (bin, texts, texts of label 1) of a language; halfway between two bins that hold texts.
 
-    A language with fewer than ``least`` such texts, or with one class alone, has none.
+    None for fewer than ``least`` such texts, or one class alone.
     """
-    out = {}
-    for lang in {c[0] for c in counts}:
-        at, n, y = (np.asarray(x, np.int64) for x in zip(*sorted((c[1:] for c in counts if c[0] == lang), reverse=True), strict=True))
-        if n.sum() < least or y.sum() in (0, n.sum()):
-            continue
-        i = int((2 * np.cumsum(y) / (np.cumsum(n) + y.sum())).argmax())
-        low = at[i + 1] + 1 if i + 1 < len(at) else 0
-        out[lang] = float(np.clip((at[i] + low) / 2 / BINS, 0.05, 0.95))
-    return out
-
-
-def trained(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", modulus: int = 4, left_out: int = 2, per_class: int = PER_CLASS) -> tuple[TextCNN, list]:
+    at, n, y = (np.asarray(x, np.int64) for x in zip(*sorted(counts, reverse=True), strict=True))
+    if n.sum() < least or y.sum() in (0, n.sum()):
+        return None
+    i = int((2 * np.cumsum(y) / (np.cumsum(n) + y.sum())).argmax())
+    low = at[i + 1] + 1 if i + 1 < len(at) else 0
+    return float(np.clip((at[i] + low) / 2 / BINS, 0.05, 0.95))
+
+
+def trained(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", modulus: int = 4, left_out: int = 2, per_class: int = PER_CLASS, per_class_chars: int = PER_CLASS_CHARS, least_texts: int = LEAST_TEXTS) -> tuple[TextCNN, list]:
     """The model and the ids that it is fitted on: of the sampled ones all but every fifth.
 
-    At most 2 * per_class whole texts, one an id, reach the driver.
+    At most 2 * per_class whole texts, one an id, of 2 * per_class_chars code points together, reach the driver.
     """
-    sample = bounded_labels(docs, labels, label, key, text, modulus, left_out, per_class).where(crc_remainder(F.col(key), 5) != 0)
+    sample = bounded_labels(docs, labels, label, key, text, modulus, left_out, per_class, per_class_chars).where(crc_remainder(F.col(key), 5) != 0)
     rows = sample.select(F.col(key).alias("id"), F.col(text).alias("body"), F.col("__label").alias("y")).toPandas().sort_values(["id", "body"], kind="stable")
-    return TextCNN().fit([words_of(b) for b in rows["body"]], rows["y"].to_numpy(dtype=float)), list(dict.fromkeys(rows["id"].tolist()))
+    return TextCNN().fit([words_of(b) for b in rows["body"]], rows["y"].to_numpy(dtype=float), least_texts=least_texts), list(dict.fromkeys(rows["id"].tolist()))
 
 
-def score_counts(docs: DataFrame, labels: DataFrame, fitted: list, scored: Callable[[DataFrame, list[str]], DataFrame], *, key: str, label: str, lang: str, modulus: int, left_out: int) -> list[tuple]:
-    """(language, bin of the score, texts, texts of label 1) over all labelled texts, but for held-out and fitted ids.
+def thresholds(docs: DataFrame, labels: DataFrame, fitted: list, scored: Callable[[DataFrame, list[str]], DataFrame], *, key: str, label: str, lang: str, modulus: int, left_out: int, least: int) -> DataFrame:
+    """(__lang, lang_threshold): a written row for each language that has one, from all labelled texts but for held-out and fitted ids.
 
     scored: from texts and the columns to keep to those and their score.  Only labelled texts are scored for it, where
-    they lie.  Rows are counted by id before labels are joined, so no id gathers its rows; what is collected is at most
-    BINS + 1 rows a language.
+    they lie.  Rows are counted by id before labels are joined, so no id gathers its rows; a language is BINS + 1 rows at
+    most, and languages stay in tasks, however many a dirty column holds.
     """
     ids = docs.sparkSession.createDataFrame([(i,) for i in fitted], T.StructType([T.StructField(key, docs.schema[key].dataType)]))
     # at most 2 * per_class ids: a proven bound for the broadcast
     known = written(known_labels(labels, label, key, modulus, left_out).join(F.broadcast(ids), key, "left_anti"))
     some = docs.where(F.col(lang).isNotNull()).join(broadcast_if(known.select(key), BROADCAST_ROWS), key, "left_semi")
-    rows = scored(some, [key, lang]).select(key, F.col(lang).alias("__lang"), F.floor(F.col("score") * BINS).alias("__bin"))
+    rows = scored(some, [key, lang]).select(key, F.col(lang).cast("string").alias("__lang"), F.floor(F.col("score") * BINS).alias("__bin"))
     rows = rows.groupBy(key, "__lang", "__bin").agg(F.count("*").alias("__n")).join(known, key)
-    rows = rows.groupBy("__lang", "__bin").agg(F.sum("__n").alias("n"), F.sum(F.col("__n") * F.col("__label")).alias("y"))
-    return [tuple(r) for r in rows.collect()]
+    bins = rows.groupBy("__lang", "__bin").agg(F.sum("__n").alias("n"), F.sum(F.col("__n") * F.col("__label")).alias("y"))
+    # languages that can't have a threshold are left out before their bins come together
+    lines = bins.groupBy("__lang").agg(F.collect_list(F.struct("__bin", "n", "y")).alias("bins"), F.sum("n").alias("n"), F.sum("y").alias("y")).where((F.col("n") >= least) & (F.col("y") > 0) & (F.col("y") < F.col("n")))
+
+    @F.pandas_udf("double")
+    def level(found: pd.Series) -> pd.Series:
+        return found.map(lambda some: calibrated([(r["__bin"], r["n"], r["y"]) for r in some], least))
+
+    return written(lines.select("__lang", level("bins").alias("lang_threshold")).where("lang_threshold IS NOT NULL"))
 
 
-def classify_toxicity(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", lang: str | None = "lang", keep: list[str] | None = None, modulus: int = 4, left_out: int = 2, per_class: int = PER_CLASS, threshold: float = 0.3) -> DataFrame:
+def classify_toxicity(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", lang: str | None = "lang", keep: list[str] | None = None, modulus: int = 4, left_out: int = 2, per_class: int = PER_CLASS, per_class_chars: int = PER_CLASS_CHARS, least_texts: int = LEAST_TEXTS, threshold: float = 0.3, least: int = 30) -> DataFrame:
     """The columns (or ``keep``), then held_out, score, predicted (score >= threshold), lang_threshold and rejected.
 
     score: 0 to 1, higher: label 1 likelier; rejected: score >= the language's calibrated threshold (the default for
-    a null, unknown or rare language).  Learns from labelled ids whose crc32 modulo ``modulus`` is not ``left_out``
+    a null or unknown language, and for one of fewer than ``least`` labelled texts that the model was not fitted on).
+    per_class, per_class_chars: bounds of the sample that the model is fitted on, in texts and in code points;
+    least_texts: how many of its texts hold a word that it is fitted on.  Learns from labelled ids whose crc32 modulo ``modulus`` is not ``left_out``
     alone; thresholds come from all such texts, of any length, whose ids the model was not fitted on, which are scored
     once more for it.  Null and empty texts score as texts of no words.  A null id is not held out.  No labels: no text
     is rejected.  Repeated rows give repeated rows; clashing columns are replaced.
     """
-    model, fitted = trained(docs, labels, key=key, text=text, label=label, modulus=modulus, left_out=left_out, per_class=per_class)
+    model, fitted = trained(docs, labels, key=key, text=text, label=label, modulus=modulus, left_out=left_out, per_class=per_class, per_class_chars=per_class_chars, least_texts=least_texts)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # a fixed size: BUCKETS and DIM
     made = ["held_out", "score", "predicted", "lang_threshold", "rejected"]
     kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in made]
@@ -212,10 +220,10 @@ def classify_toxicity(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id"
     use = [lang] if lang and lang in docs.columns else []
     scored = lambda df, columns: map_texts(df, text, [T.StructField("score", T.DoubleType())], make, keep=columns)
     out = scored(source, [*dict.fromkeys([*kept, key, *use])])
-    level, levels = F.lit(threshold), {}
     if use:
-        levels = calibrated(score_counts(source, labels, fitted, scored, key=key, label=label, lang=lang, modulus=modulus, left_out=left_out))
-    for name, value in sorted(levels.items()):
-        level = F.when(F.col(lang) == name, F.lit(value)).otherwise(level)
-    out = out.withColumns({"held_out": F.coalesce(crc_remainder(F.col(key), modulus) == left_out, F.lit(False)), "predicted": (F.col("score") >= threshold).cast("int"), "lang_threshold": level})
+        levels = thresholds(source, labels, fitted, scored, key=key, label=label, lang=lang, modulus=modulus, left_out=left_out, least=least)
+        out = out.join(broadcast_if(levels, BROADCAST_ROWS), F.col(lang).cast("string") == F.col("__lang"), "left").withColumn("lang_threshold", F.coalesce("lang_threshold", F.lit(threshold)))
+    else:
+        out = out.withColumn("lang_threshold", F.lit(threshold))
+    out = out.withColumns({"held_out": F.coalesce(crc_remainder(F.col(key), modulus) == left_out, F.lit(False)), "predicted": (F.col("score") >= threshold).cast("int")})
     return out.withColumn("rejected", F.col("score") >= F.col("lang_threshold")).select(*[f"`{c}`" for c in kept], *made)

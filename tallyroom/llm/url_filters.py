@@ -5,7 +5,8 @@ and a rule is dropped where a rule on fewer of its tokens is as confident.  An i
 rarest token; a url's tokens look rules up there, and a rule fits where the url has all its tokens.
 
 Tokens that stand on the very same labelled urls are mined as one, since k of them would make 2^k sets that say the
-same; a url with any of them has that one.  Tokens on nearly all labelled urls tell nothing apart and are left out.
+same; a url with any of them has that one.  A token on every labelled url is left out: beside others it changes no count,
+so the rule without it says as much.
 """
 
 from __future__ import annotations
@@ -43,7 +44,10 @@ def stated_rule(host: Column, path: Column, rules: list[tuple[str, str, str]] =
 
 
 def url_tokens(url: Column) -> Column:
-    """Distinct lower-case runs of letters in a url with their place: host label, path segment or query key."""
+    """Distinct lower-case words of a url with their place: host label, path segment or query key.
+
+    A word has a letter, and no three digits in a row: those are identifiers, each of which is on a page or few.
+    """
     host, path = host_and_path(url)
     query = F.regexp_extract(F.coalesce(url, F.lit("")), "\\?([^#]*)", 1)
 
@@ -53,8 +57,8 @@ def url_tokens(url: Column) -> Column:
     return F.array_distinct(F.concat(parts(host, "\\.", "h:"), parts(path, "[/.]", "p:"), parts(F.regexp_replace(query, "=[^&]*", ""), "&", "q:")))
 
 
-def token_groups(tokens: DataFrame, min_support: float, max_share: float) -> DataFrame:
-    """(token, name): tokens on at least min_support and at most max_share of the rows, by name of those on the same rows.
+def token_groups(tokens: DataFrame, min_support: float) -> DataFrame:
+    """(token, name): tokens on at least min_support of the rows but not on all, by name of those on the same rows.
 
     Rows are told apart by a hash of their tokens, which equal rows share, and which all tokens of a row then count.
     At most as many tokens as a row holds over min_support.
@@ -62,7 +66,7 @@ def token_groups(tokens: DataFrame, min_support: float, max_share: float) -> Dat
     total = tokens.count()
     seen = tokens.select(F.explode("tokens").alias("token"), F.xxhash64("tokens").cast("decimal(20,0)").alias("row"))
     seen = seen.groupBy("token").agg(F.count("*").alias("n"), F.sum("row").alias("rows"))
-    seen = seen.where((F.col("n") >= math.ceil(total * min_support)) & (F.col("n") <= total * max_share))
+    seen = seen.where((F.col("n") >= math.ceil(total * min_support)) & (F.col("n") < total))
     return seen.groupBy("n", "rows").agg(F.min("token").alias("name"), F.collect_list("token").alias("tokens")).select(F.explode("tokens").alias("token"), "name")
 
 
@@ -74,20 +78,35 @@ def renamed(sets: DataFrame, key: str, tokens: str, groups: DataFrame) -> DataFr
 def mined_rules(tokens: DataFrame, bad: str = "bad", min_support: float = 0.005, min_confidence: float = 0.5) -> DataFrame:
     """(rule_tokens, n_tokens, confidence, support, rarest) mined from rows (tokens, bad).
 
-    min_support is a share of the labelled rows.  No labelled rows: no rules.
+    min_support is a share of the labelled rows.  No labelled rows: no rules.  A rule is dropped where one on fewer of its
+    tokens is as confident.  That is found size by size: a set's best shorter confidence is the greatest of those of its
+    sets with one token less, and of theirs, so each set meets as many others as it has tokens.
     """
     marked = tokens.select(F.array_distinct(F.concat("tokens", F.when(F.col(bad), F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>")))).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(marked)
-    found = model.associationRules.where(F.array_contains("consequent", BAD)).select(F.sort_array("antecedent").alias("rule_tokens"), "confidence", "support")
-    single = model.freqItemsets.where(F.size("items") == 1).select(F.col("items")[0].alias("token"), "freq")
-    found = found.withColumn("n_tokens", F.size("rule_tokens"))
-    # pruned: a shorter rule on some of the tokens says as much
-    short = found.select(F.col("rule_tokens").alias("s"), F.col("n_tokens").alias("ns"), F.col("confidence").alias("cs"), F.explode("rule_tokens").alias("token"))
-    pairs = found.select("rule_tokens", "n_tokens", "confidence", F.explode("rule_tokens").alias("token")).join(short, "token")
-    said = pairs.where("ns < n_tokens AND cs >= confidence AND size(array_except(s, rule_tokens)) = 0").select("rule_tokens").distinct()
-    found = found.join(said, "rule_tokens", "left_anti")
+    total = marked.count()
+    sets = model.freqItemsets.select(F.sort_array(F.array_except("items", F.array(F.lit(BAD)))).alias("rule_tokens"), F.array_contains("items", BAD).alias("bad"), "freq").where("size(rule_tokens) > 0")
+    # every set with the label is one without it as well
+    sets = sets.groupBy("rule_tokens").agg(F.max(F.when(F.col("bad"), F.col("freq"))).alias("both"), F.max(F.when(~F.col("bad"), F.col("freq"))).alias("freq"))
+    sets = written(sets.select("rule_tokens", F.size("rule_tokens").alias("n_tokens"), "freq", (F.coalesce("both", F.lit(0)) / F.col("freq")).alias("confidence"), (F.col("both") / F.lit(max(total, 1))).alias("support")))
+    most = sets.agg(F.max("n_tokens")).first()[0] or 0
+    found, below = None, None
+    for n in range(1, most + 1):
+        here = sets.where(F.col("n_tokens") == n)
+        if below is None:
+            here = here.withColumn("short", F.lit(-1.0))
+        else:
+            less = here.select("rule_tokens", F.explode(F.transform("rule_tokens", lambda t: F.array_remove(F.col("rule_tokens"), t))).alias("less"))
+            best = less.join(below, "less").groupBy("rule_tokens").agg(F.max("top").alias("short"))
+            here = written(here.join(best, "rule_tokens"))
+        below = here.select(F.col("rule_tokens").alias("less"), F.greatest("short", "confidence").alias("top"))
+        kept = here.where((F.col("confidence") >= min_confidence) & F.col("support").isNotNull() & (F.col("confidence") > F.col("short")))
+        found = kept if found is None else found.unionByName(kept)
+    if found is None:
+        return sets.withColumn("rarest", F.lit("")).select("rule_tokens", "confidence", "support", "n_tokens", "rarest")
+    single = sets.where("n_tokens = 1").select(F.col("rule_tokens")[0].alias("token"), "freq")
     rarest = found.select("rule_tokens", F.explode("rule_tokens").alias("token")).join(single, "token").groupBy("rule_tokens").agg(F.min_by("token", F.struct("freq", "token")).alias("rarest"))
-    return found.join(rarest, "rule_tokens")
+    return found.select("rule_tokens", "confidence", "support", "n_tokens").join(rarest, "rule_tokens")
 
 
 def best_rule(rows: DataFrame, key: str, tokens: str, rules: DataFrame) -> DataFrame:
@@ -99,19 +118,18 @@ def best_rule(rows: DataFrame, key: str, tokens: str, rules: DataFrame) -> DataF
     return best.select(key, "best.confidence", "best.mined")
 
 
-def url_filter(pages: DataFrame, labelled: DataFrame, *, url: str = "url", keep: list[str] | None = None, rules: list[tuple[str, str, str]] = RULES, min_support: float = 0.005, min_confidence: float = 0.5, max_share: float = 0.95, broadcast_sets: int = BROADCAST_SETS) -> DataFrame:
+def url_filter(pages: DataFrame, labelled: DataFrame, *, url: str = "url", keep: list[str] | None = None, rules: list[tuple[str, str, str]] = RULES, min_support: float = 0.005, min_confidence: float = 0.5, broadcast_sets: int = BROADCAST_SETS) -> DataFrame:
     """The columns (or ``keep``), then host, path, rule, mined, confidence and verdict (block or allow).
 
     labelled: (url, bad boolean).  The verdict is that of the longest stated rule that fits; where none does, block if
     a mined rule fits, else allow.  A null url or one without :// has an empty host and path, fits no stated rule and
-    is allowed.  Tokens on more than ``max_share`` of the labelled urls are not mined.  Sets of tokens are judged once
-    each, then joined to all their rows; clashing columns are replaced.
+    is allowed.  Sets of tokens are judged once each, then joined to all their rows; clashing columns are replaced.
     """
     made = ["host", "path", "rule", "mined", "confidence", "verdict"]
     kept = [c for c in (pages.columns if keep is None else keep) if c.lower() not in made]
     learned = labelled.where(F.col("url").isNotNull() & F.col("bad").isNotNull()).select(url_tokens(F.col("url")).alias("tokens"), "bad")
     learned = written(learned)
-    groups = written(token_groups(learned, min_support, max_share))
+    groups = written(token_groups(learned, min_support))
     # equal sets of tokens have equal names: named once each
     names = written(renamed(learned.select(F.col("tokens").alias("__set")).distinct(), "__set", "__set", groups))
     names = broadcast_if(names, broadcast_sets)  # else shuffled, where a common set's partition is split

@@ -548,3 +548,61 @@ def test_jaccard_repeated_rows_and_empty_table(spark):
     assert got == [(1, 1), (2, 1), (2, 1), (3, 3), (3, 3)]
     assert jaccard_join.jaccard_components(docs(spark, rows).limit(0)).count() == 0
 
+
+
+def test_blocks_of_repeated_items_are_bounded(spark):
+    """Items that share a text are one piece; the ids of very many are parted; no block outgrows its bound."""
+    words = " ".join(f"w{i}" for i in range(100))
+    items = [(i, words) for i in range(50)] + [(100 + i, f"x{i} " * 30 + words) for i in range(10)] + [(900 + i, "short one") for i in range(700)]
+    frame = spark.createDataFrame(items, "item_id long, text string")
+    blocks = list(decontamination.item_blocks(frame, "item_id", "text", 13, 100))
+    assert len(blocks) > 10 and max(sum(len(ids) + len(w) for ids, w in b) for b in blocks) <= 400
+    pieces = [(i, tuple(w)) for b in blocks for ids, w in b for i in ids]
+    assert len(pieces) == len(set(pieces)) and {i for i, _ in pieces} == {str(i) for i, _ in items}
+    rows = [(1, words), (2, "a short one b"), (3, "x3 " * 30), (4, None)]
+    got = {r.doc_id: (r.n_hit, len(r.item_ids)) for r in decontamination.find_contamination(docs(spark, rows), frame, block_words=100).collect()}
+    assert got == {1: (100, 60), 2: (2, 700), 3: (30, 1), 4: (0, 0)}
+
+
+def test_rules_on_nearly_shared_tokens(spark):
+    """Tokens that are on nearly all urls are mined like others, and rules are compared with shorter ones alone."""
+    rng = random.Random(3)
+    names = [a + b for a in "abc" for b in "wxyz"]
+    rows = [[n for n in names if rng.random() < 0.94] for _ in range(300)]
+    learn = [("http://q.zz/" + "/".join(t), ("aw" not in t and "bx" in t) or rng.random() < 0.03) for t in rows]
+    frame = spark.createDataFrame(learn, "url string, bad boolean").select(url_filters.url_tokens(F.col("url")).alias("tokens"), "bad")
+    groups = url_filters.token_groups(frame, 0.01)
+    assert {r.token for r in groups.collect()} == {f"p:{n}" for n in names}  # those of the host are on all
+    found = {tuple(r.rule_tokens): (r.confidence, r.n_tokens) for r in url_filters.mined_rules(frame.select(F.expr("filter(tokens, t -> t like 'p:%')").alias("tokens"), "bad"), min_support=0.01, min_confidence=0.05).collect()}
+    sets, want, short = [frozenset(t) for t in rows], {}, {}
+    for k in range(1, len(names) + 1):
+        for some in itertools.combinations(names, k):
+            held = [b for s, (_, b) in zip(sets, learn, strict=True) if s.issuperset(some)]
+            if len(held) < 3:
+                continue
+            short[some] = max([-1.0, *[max(short[x], conf[x]) for x in itertools.combinations(some, k - 1) if x]]) if k > 1 else -1.0
+            conf = locals().get("conf", {})
+            conf[some] = sum(held) / len(held) if sum(held) >= 3 else 0.0
+            if conf[some] >= 0.05 and conf[some] > short[some]:
+                want[tuple("p:" + x for x in some)] = (pytest.approx(conf[some]), k)
+    assert found == want
+
+
+def test_toxicity_with_a_dirty_language_column(spark):
+    rng = random.Random(1)
+    rows = [(i, "vile thing " * 5 if i % 3 == 0 else f"calm day {rng.randrange(9)} " * 5, f"l{i}" if i % 2 else "en") for i in range(400)]
+    texts = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(400)], "doc_id long, toxic int")
+    got = {r.doc_id: r for r in toxicity.classify_toxicity(texts, labels, keep=["doc_id", "lang"], per_class=60, least=20).collect()}
+    assert len(got) == 400 and all(r.lang_threshold == 0.3 for r in got.values() if r.lang != "en")
+    assert {r.rejected for d, r in got.items() if d % 3 == 0} == {True}
+
+
+def test_sample_is_bounded_by_code_points(spark):
+    rows = docs(spark, [(i, "x" * 1000) for i in range(50)] + [(100, "y" * 100_000), (101, None)])
+    marks = spark.createDataFrame([(i, i % 2) for i in [*range(50), 100, 101]], "doc_id long, toxic int")
+    got = bounded_labels(rows, marks, "toxic", "doc_id", "text", 10**9, 0, 100, 5_500).collect()
+    for label in (0, 1):
+        assert sum(len(r.text or "") for r in got if r["__label"] == label) <= 5_500
+    whole = bounded_labels(rows, marks, "toxic", "doc_id", "text", 10**9, 0, 100, 10**7).count()
+    assert whole == 52 and len(got) >= 5
