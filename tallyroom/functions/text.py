@@ -100,7 +100,7 @@ def signed_tokens(text: Column) -> Column:
 
 
 #: Names whose signs would be lost, and what they are called.
-NAMED = (("c\\+\\+", "cpp"), ("c#", "csharp"), ("\\.net", "dotnet"), ("node\\.js", "nodejs"), ("react\\.js", "react"), ("vue\\.js", "vue"))
+NAMED = (("c\\+\\+", "cpp"), ("c#", "csharp"), ("\\.net", "dotnet"), ("node\\.js", "nodejs"), ("react\\.js", "react"), ("vue\\.js", "vue"), ("k8s", "kubernetes"))
 
 
 def feature_tokens(text: Column) -> Column:
@@ -113,7 +113,7 @@ def feature_tokens(text: Column) -> Column:
     for pattern, name in NAMED:
         named = F.regexp_replace(named, f"(?:^|[^\\p{{L}}\\p{{N}}]){pattern}(?=$|[^\\p{{L}}\\p{{N}}])", f" {name} ")
     # few texts have such names: the others are spared the patterns
-    out = F.when(F.contains(low, F.lit("c++")) | F.contains(low, F.lit("c#")) | F.contains(low, F.lit(".net")) | F.contains(low, F.lit(".js")), named).otherwise(low)
+    out = F.when(F.contains(low, F.lit("c++")) | F.contains(low, F.lit("c#")) | F.contains(low, F.lit(".net")) | F.contains(low, F.lit(".js")) | F.contains(low, F.lit("k8s")), named).otherwise(low)
     out = F.regexp_replace(F.translate(out, "–—", "--"), "\\[[^\\]]+\\]", " ")
     words = F.transform(F.split(out, "[^\\p{L}\\p{N}+.#/-]+"), lambda t: F.regexp_replace(t, "^[+./-]+|[+./-]+$", ""))
     return F.filter(words, lambda t: F.length(t).between(2, 48) & t.rlike("\\p{L}") & ~t.rlike("^www\\."))

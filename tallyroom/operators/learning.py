@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyroom.functions.numbers import clamp
 from tallyroom.functions.text import feature_tokens, fnv, let, token_ngrams
+from tallyroom.operators.tables import saved
 
 
 def dedup_corpus(docs: DataFrame, form: Column, key: str, labels: str, weight: str | None = None) -> DataFrame:
@@ -51,11 +52,16 @@ def meta_features(text: Column) -> Column:
     return F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in marks]), lambda x: x.isNotNull())
 
 
-def word_features(docs: DataFrame, text: str, most: int = 1) -> DataFrame:
-    """The columns without the text, then feature: a row for each distinct n-gram of a text's feature tokens."""
-    tokens = feature_tokens(F.col(text))
+def text_features(text: Column, most: int = 3, meta: bool = True) -> Column:
+    """The distinct runs of 1 to ``most`` feature tokens of a text, and the names of what is odd about its form."""
+    tokens = feature_tokens(text)
     grams = token_ngrams(tokens, most) if most > 1 else F.array_distinct(tokens)
-    return docs.select(*[c for c in docs.columns if c != text], F.explode(grams).alias("feature"))
+    return F.concat(grams, meta_features(text)) if meta else grams
+
+
+def word_features(docs: DataFrame, text: str, most: int = 3, meta: bool = True) -> DataFrame:
+    """The columns without the text, then feature: a row for each of ``text_features``."""
+    return docs.select(*[c for c in docs.columns if c != text], F.explode(text_features(F.col(text), most, meta)).alias("feature"))
 
 
 def log_odds(sp: Column, sn: Column, dp: Column, dn: Column, alpha: float = 0.5) -> dict[str, Column]:
@@ -68,13 +74,13 @@ def log_odds(sp: Column, sn: Column, dp: Column, dn: Column, alpha: float = 0.5)
     return {"log_odds": odds, "z": z, "lift": lift, "confidence": clamp(sure)}
 
 
-def lexeme_features(docs: DataFrame, text: str, label: str, *, most: int = 1, least_support: int = 5, least_z: float = 2.0, least_lift: float = 1.5, top: int = 120) -> DataFrame:
+def lexeme_features(docs: DataFrame, text: str, label: str, *, most: int = 3, meta: bool = True, least_support: int = 5, least_z: float = 2.0, least_lift: float = 1.5, top: int = 120) -> DataFrame:
     """(label, feature, sp, sn, dp, dn, log_odds, z, lift, confidence, direction): the strongest ``top`` features of each label.
 
     docs: one row a document, with a column of its label.  Counts are sums by key, so a word that every text has is
     combined before the shuffle; the labels' totals are a row a label.
     """
-    words = word_features(docs.select(label, text), text, most)
+    words = word_features(docs.select(label, text), text, most, meta)
     by = words.groupBy(label, "feature").agg(F.count("*").alias("sp"))
     totals = docs.groupBy(label).agg(F.count("*").alias("dp"))
     all_docs, all_words = totals.agg(F.sum("dp")).scalar(), by.groupBy("feature").agg(F.sum("sp").alias("n"))
@@ -87,18 +93,38 @@ def lexeme_features(docs: DataFrame, text: str, label: str, *, most: int = 1, le
     return rows.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= top).drop("__r")
 
 
-def runtime_signal(docs: DataFrame, features: DataFrame, key: str, text: str, *, most: int = 1, top: int = 24, cap: float = 5.0) -> DataFrame:
+#: Learned features that are sent to the texts; more of them are joined to the texts' features by a shuffle.
+SENT_FEATURES = 20_000
+
+
+def runtime_signal(docs: DataFrame, features: DataFrame, key: str, text: str, *, most: int = 3, meta: bool = True, top: int = 24, cap: float = 5.0, sent: int = SENT_FEATURES) -> DataFrame:
     """(key, n_matched, strength, confidence, adjustment): what learned features (feature, log_odds, confidence) say of a text.
 
-    The ``top`` features by strength times confidence count; strength is their mean weighted by confidence, confidence
-    that at least one of them is right; the adjustment never passes the cap.  Texts without a feature: zeros.
+    The ``top`` features by strength times confidence count, ties by name; strength is their mean weighted by confidence,
+    confidence that at least one of them is right; the adjustment never passes the cap.  Texts without a feature: zeros.
+    Of a feature that stands twice the stronger counts.  Up to ``sent`` features are one row that goes to the texts, of
+    which no word is shuffled; rows of one key are told apart then.
     """
-    present = word_features(docs.select(key, text), text, most)
-    hits = present.join(features.select("feature", "log_odds", F.col("confidence").alias("c")), "feature").withColumn("s", clamp(F.col("log_odds") / 4, -1.0, 1.0))
-    w = Window.partitionBy(key).orderBy(F.round(F.abs(F.col("s") * F.col("c")), 9).desc(), "feature")
-    best = hits.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= top)
-    out = best.groupBy(key).agg(F.count("*").alias("n_matched"), (F.sum(F.col("s") * F.col("c")) / F.sum("c")).alias("strength"), (1 - F.exp(F.sum(F.ln(F.greatest(F.lit(1e-12), 1 - F.col("c")))))).alias("confidence"))
-    out = docs.select(key).join(out, key, "left").fillna(0, ["n_matched"]).fillna(0.0, ["strength", "confidence"])
+    s = clamp(F.col("log_odds") / 4, -1.0, 1.0)
+    one = features.select("feature", s.alias("s"), F.col("confidence").alias("c")).where("feature IS NOT NULL AND s IS NOT NULL AND c IS NOT NULL")
+    one = saved(one.groupBy("feature").agg(F.max_by(F.struct("s", "c"), F.abs(F.col("s") * F.col("c"))).alias("v")).select("feature", "v.*"))
+    entry = lambda s, c, f: F.struct((-F.round(F.abs(s * c), 9)).alias("r"), f.alias("f"), s.alias("s"), c.alias("c"))
+    if one.count() <= sent:
+        table = one.agg(F.map_from_entries(F.collect_list(F.struct("feature", F.struct("s", "c")))).alias("__m"), F.collect_list("feature").alias("__k"))
+        held = F.array_intersect(text_features(F.col(text), most, meta), F.col("__k"))
+        best = F.slice(F.array_sort(F.transform(held, lambda f: entry(F.col("__m")[f]["s"], F.col("__m")[f]["c"], f))), 1, top)
+        # the table is one row, whose size is counted above
+        rows = docs.select(key, text).join(F.broadcast(table)).select(key, best.alias("b"))
+    else:
+        hits = word_features(docs.select(key, text), text, most, meta).join(one, "feature")
+        best = hits.groupBy(key).agg(F.slice(F.array_sort(F.collect_list(entry(F.col("s"), F.col("c"), F.col("feature")))), 1, top).alias("b"))
+        rows = docs.select(key).join(best, key, "left").withColumn("b", F.coalesce("b", F.array().cast(best.schema["b"].dataType)))
+    total = lambda body: F.aggregate("b", F.lit(0.0), lambda a, x: a + body(x))
+    weight = total(lambda x: x["c"])
+    out = rows.select(
+        key, F.size("b").cast("long").alias("n_matched"), F.when(weight > 0, total(lambda x: x["s"] * x["c"]) / weight).otherwise(0.0).alias("strength"),
+        (1 - F.exp(total(lambda x: F.ln(F.greatest(F.lit(1e-12), 1 - x["c"]))))).alias("confidence"),
+    )
     return out.withColumn("adjustment", clamp(F.col("strength") * F.col("confidence") * cap, -cap, cap))
 
 

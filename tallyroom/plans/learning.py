@@ -11,7 +11,7 @@ from tallyroom.plans.registry import query, r6
 from tallyroom.sources.tables import read
 
 _NAMED = "lower(coalesce(text, ''))"
-for _sign, _name in ((r"c\+\+", "cpp"), ("c#", "csharp"), (r"\.net", "dotnet"), (r"node\.js", "nodejs"), (r"react\.js", "react"), (r"vue\.js", "vue")):
+for _sign, _name in ((r"c\+\+", "cpp"), ("c#", "csharp"), (r"\.net", "dotnet"), (r"node\.js", "nodejs"), (r"react\.js", "react"), (r"vue\.js", "vue"), ("k8s", "kubernetes")):
     _NAMED = f"regexp_replace({_NAMED}, '(^|[^\\p{{L}}\\p{{N}}]){_sign}($|[^\\p{{L}}\\p{{N}}])', ' {_name} \\2', 'g')"
 TOKENS = f"list_filter(list_transform(regexp_split_to_array(regexp_replace(translate({_NAMED}, '–—', '--'), '\\[[^\\]]+\\]', ' ', 'g'), '[^\\p{{L}}\\p{{N}}+.#/-]+'), lambda t: regexp_replace(t, '^[+./-]+|[+./-]+$', '', 'g')), lambda t: len(t) BETWEEN 2 AND 48 AND regexp_matches(t, '\\p{{L}}') AND NOT starts_with(t, 'www.'))"
 UNIQUE = "u AS (SELECT md5(text) AS form, min(doc_id) AS doc_id, max(quality) AS quality, any_value(text) AS text FROM documents JOIN labels USING (doc_id) WHERE text IS NOT NULL GROUP BY 1)"
@@ -32,7 +32,7 @@ def _unique(spark, d) -> DataFrame:
 @query(f"WITH {FEATURES} SELECT label, feature, sp, sn, dp, dn, round(log_odds, 6) AS log_odds, round(z, 6) AS z, round(lift, 6) AS lift, round(confidence, 6) AS confidence, CASE WHEN log_odds >= 0 THEN 'POSITIVE' ELSE 'NEGATIVE' END AS direction FROM f WHERE r <= 120")
 def lexeme_log_odds(spark, d) -> DataFrame:
     """The words that set a label's documents apart, of distinct texts."""
-    found = ln.lexeme_features(_unique(spark, d).select("quality", "text"), "text", "quality")
+    found = ln.lexeme_features(_unique(spark, d).select("quality", "text"), "text", "quality", most=1, meta=False)
     return r6(found.withColumnRenamed("quality", "label").select("label", "feature", "sp", "sn", "dp", "dn", "log_odds", "z", "lift", "confidence", "direction"))
 
 
@@ -45,8 +45,8 @@ SELECT doc_id, coalesce(n_matched, 0) AS n_matched, round(coalesce(strength, 0),
 """)
 def runtime_signal(spark, d) -> DataFrame:
     """What the learned words say of every document."""
-    found = ln.lexeme_features(_unique(spark, d).select("quality", "text"), "text", "quality").where("quality = 1")
-    return r6(ln.runtime_signal(read(spark, d, "documents").select("doc_id", "text"), found, "doc_id", "text"))
+    found = ln.lexeme_features(_unique(spark, d).select("quality", "text"), "text", "quality", most=1, meta=False).where("quality = 1")
+    return r6(ln.runtime_signal(read(spark, d, "documents").select("doc_id", "text"), found, "doc_id", "text", most=1, meta=False))
 
 
 @query("SELECT lang, count(*) AS n, count(DISTINCT md5(coalesce(text, ''))) AS n_distinct, round(1 - count(DISTINCT md5(coalesce(text, ''))) / count(*), 6) AS duplicate_rate, count(DISTINCT source) AS n_labels FROM documents GROUP BY 1")
@@ -83,6 +83,25 @@ def form_features(spark, d) -> DataFrame:
     return read(spark, d, "documents").select("doc_id", F.explode(ln.meta_features(F.col("text"))).alias("feature"))
 
 
+#: Features of texts: runs of one to three tokens, and what is odd about the form; over a table t(doc_id, text, ...).
+_META = r"""x AS (SELECT doc_id, text, len(regexp_extract_all(text, '[^\s]')) AS v, list_filter(list_transform(regexp_split_to_array(text, '\r?\n'), lambda x: trim(x)), lambda x: x <> '') AS l, TOKENS AS w FROM BASE),
+r AS (SELECT doc_id, sum(n) >= 8 AND coalesce(sum(n) FILTER (n >= 5), 0) > 0.22::DOUBLE * sum(n) AS again FROM (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(w) AS w FROM x) GROUP BY 1, 2) GROUP BY 1),
+y AS (SELECT x.doc_id, list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]),
+  [CASE WHEN coalesce(len(regexp_extract_all(text, '\p{L}')) / nullif(v, 0), 0) < 0.58::DOUBLE THEN '__meta_low_alpha_ratio__' END, CASE WHEN coalesce(len(regexp_extract_all(text, '[©®\x{FFFD}|\\_=<>]')) / nullif(v, 0), 0) > 0.02::DOUBLE THEN '__meta_weird_symbol_density__' END,
+  CASE WHEN len(regexp_extract_all(text, '\p{L}[0-9]\p{L}|[0-9]\p{L}{2,}|\p{L}{2,}[0-9]')) >= 2 THEN '__meta_leetspeak_or_ocr_substitution__' END, CASE WHEN len(list_filter(l, lambda x: length(x) <= 3)) > 0.18::DOUBLE * len(l) THEN '__meta_tiny_line_burst__' END,
+  CASE WHEN again THEN '__meta_repetition_burst__' END, CASE WHEN length(text) < 300 THEN '__meta_very_short_document__' END, CASE WHEN length(text) BETWEEN 300 AND 699 THEN '__meta_short_document__' END]) AS f FROM x LEFT JOIN r USING (doc_id))""".replace("TOKENS", TOKENS)
+
+
+@query(f"""
+WITH {FEATURES.replace(f"w AS (SELECT DISTINCT doc_id, quality, unnest({TOKENS}) AS feature FROM u)", _META.replace("BASE", "u") + ", w AS (SELECT DISTINCT doc_id, quality, feature FROM (SELECT doc_id, unnest(f) AS feature FROM y) JOIN u USING (doc_id) WHERE feature IS NOT NULL)")}
+SELECT label, feature, sp, sn, dp, dn, round(log_odds, 6) AS log_odds, round(z, 6) AS z, round(lift, 6) AS lift, round(confidence, 6) AS confidence, CASE WHEN log_odds >= 0 THEN 'POSITIVE' ELSE 'NEGATIVE' END AS direction FROM f WHERE r <= 120
+""")
+def phrase_log_odds(spark, d) -> DataFrame:
+    """Runs of one to three words, and marks of form, that set a label's documents apart."""
+    found = ln.lexeme_features(_unique(spark, d).select("quality", "text"), "text", "quality")
+    return r6(found.withColumnRenamed("quality", "label").select("label", "feature", "sp", "sn", "dp", "dn", "log_odds", "z", "lift", "confidence", "direction"))
+
+
 BEFORE, AFTER = "SELECT doc_id AS c, CAST(n_chars % 101 AS DOUBLE) AS s FROM documents WHERE lang <> 'fr'", "SELECT doc_id AS c, CAST((n_chars + CASE WHEN source = 'src3' THEN 5 ELSE 0 END) % 101 AS DOUBLE) AS s FROM documents WHERE lang <> 'de'"
 DRIFT = f"""WITH b AS ({BEFORE}), a AS ({AFTER}), j AS (SELECT abs(a.s - b.s) AS d, a.c IS NULL AS lost, b.c IS NULL AS new FROM b FULL JOIN a ON a.c = b.c)
 SELECT count(d) AS n, sum((coalesce(d, 0) > 1e-9)::INT)::BIGINT AS n_changed, quantile_disc(d, 0.5) AS median, quantile_disc(d, 0.95) AS p95, max(d) AS largest, sum(lost::INT)::BIGINT AS n_lost, sum(new::INT)::BIGINT AS n_new FROM j"""
