@@ -43,8 +43,13 @@ def pagerank(vertices: DataFrame, edges: DataFrame, *, node: str = "id", damping
     return ranks.select(F.col("id").alias(node), "rank")
 
 
-def path_costs(edges: DataFrame, factors: dict[str, float] | None = None) -> DataFrame:
-    """(src, dst, cost, sure) both ways: cost 1 / (weight * confidence * factor of the type), weight and confidence at least 0.1."""
+def path_costs(edges: DataFrame, factors: dict[str, float] | None = None, least: float | None = None, types: list[str] | None = None) -> DataFrame:
+    """(src, dst, cost, sure) both ways: cost 1 / (weight * confidence * factor of the type), weight and confidence at least 0.1.
+
+    least, types: edges of less confidence, or of other types, are no way; a null confidence is less than any.
+    """
+    edges = edges if least is None else edges.where(F.col("confidence") >= least)
+    edges = edges if types is None else edges.where(F.col("type").isin(*types))
     factor = F.lit(1.0)
     for kind, f in (factors or {}).items():
         factor = F.when(F.col("type") == kind, F.lit(f)).otherwise(factor)
@@ -55,21 +60,24 @@ def path_costs(edges: DataFrame, factors: dict[str, float] | None = None) -> Dat
     return both.groupBy("src", "dst").agg(F.min("cost").alias("cost"), F.max_by("sure", -F.col("cost")).alias("sure"))
 
 
-def bounded_paths(sources: DataFrame, costs: DataFrame, most: int = 4) -> DataFrame:
-    """(source, node, cost, hops, path): the cheapest way of at most ``most`` edges to every node within reach.
+def bounded_paths(sources: DataFrame, costs: DataFrame, most: int = 4, exclude: DataFrame | None = None) -> DataFrame:
+    """(source, node, cost, hops, path, sure): the cheapest way of at most ``most`` edges to every node within reach.
 
     Each round relaxes from every way of exactly so many edges and keeps the cheapest of them by node, so the result is
-    the true bounded optimum; of equal costs the smaller path counts.  sources: (source).
+    the true bounded optimum; of equal costs the smaller path counts.  sources: (source).  sure: the product of the edges'
+    confidence and weight.  exclude: nodes (its first column) that no way enters.
     """
-    front = sources.select("source", F.col("source").alias("node"), F.lit(0.0).alias("cost"), F.array("source").alias("path"))
+    if exclude is not None:
+        costs = costs.join(exclude.select(F.col(exclude.columns[0]).alias("dst")).distinct(), "dst", "left_anti")
+    front = sources.select("source", F.col("source").alias("node"), F.lit(0.0).alias("cost"), F.array("source").alias("path"), F.lit(1.0).alias("sure"))
     found = front.withColumn("hops", F.lit(0))
     for hop in range(1, most + 1):
-        steps = front.join(costs.select(F.col("src").alias("node"), F.col("dst"), F.col("cost").alias("c")), "node")
-        front = steps.select("source", F.col("dst").alias("node"), round_half_up(F.col("cost") + F.col("c"), 8).alias("cost"), F.concat("path", F.array("dst")).alias("path"))
-        front = front.groupBy("source", "node").agg(F.min(F.struct("cost", "path")).alias("b")).select("source", "node", "b.cost", "b.path")
+        steps = front.join(costs.select(F.col("src").alias("node"), F.col("dst"), F.col("cost").alias("c"), F.col("sure").alias("u")), "node")
+        front = steps.select("source", F.col("dst").alias("node"), round_half_up(F.col("cost") + F.col("c"), 8).alias("cost"), F.concat("path", F.array("dst")).alias("path"), (F.col("sure") * F.col("u")).alias("sure"))
+        front = front.groupBy("source", "node").agg(F.min(F.struct("cost", "path", "sure")).alias("b")).select("source", "node", "b.cost", "b.path", "b.sure")
         found = found.unionByName(front.withColumn("hops", F.lit(hop)))
-    best = found.groupBy("source", "node").agg(F.min(F.struct("cost", "hops", "path")).alias("b"))
-    return best.where("node <> source").select("source", "node", "b.cost", "b.hops", "b.path")
+    best = found.groupBy("source", "node").agg(F.min(F.struct("cost", "hops", "path", "sure")).alias("b"))
+    return best.where("node <> source").select("source", "node", "b.cost", "b.hops", "b.path", "b.sure")
 
 
 def audit(vertices: DataFrame, edges: DataFrame, node_floor: float = 0.4, edge_floor: float = 0.3) -> DataFrame:

@@ -176,28 +176,44 @@ STRUCTURE_WEIGHTS = {"text_layer": 0.20, "reading_order": 0.22, "sections": 0.15
 LAYOUT = {"overlap": (8.0, 0.35), "clipping": (10.0, 0.30), "z_order": (8.0, 0.20), "nested": (4.0, 0.15)}
 
 
-def structure_score(signals: DataFrame) -> DataFrame:
-    """The columns, then the components, structure_cap and structure of layout signals; null signals are no basis.
+#: Parts of components, and the largest deduction and the scale of what is hidden or doubled.
+SECTIONS, HEADINGS, LISTS = {"section_f1": 0.65, "boundary_f1": 0.35}, {"heading_separation": 0.65, "heading_levels": 0.35}, {"list_glyphs": 0.40, "list_indent": 0.35, "list_hanging": 0.25}
+DEDUCTIONS = {"hidden": (15.0, 0.05), "doubled": (10.0, 0.05)}
+SIGNALS = ["source_tokens", "extracted_tokens", "matched_tokens", "comparable_w", "discordant_w", *SECTIONS, *LAYOUT, "damage", "hidden", "doubled", *HEADINGS, "field_parse", *LISTS]
 
-    Signals: source_tokens, extracted_tokens, matched_tokens, comparable_w, discordant_w, section_f1, boundary_f1,
-    overlap, clipping, z_order, nested, damage, hidden.  Ratios are 0 to 1.
+
+def structure_score(signals: DataFrame, least_order: float = 0.85) -> DataFrame:
+    """The columns, then eight components, structure_cap and structure of layout signals.
+
+    Signals are those in SIGNALS, and order_confidence; ratios are 0 to 1; a signal that is null, or has no column, is no
+    basis.  A component of which a part lacks is null, and the weights of those that remain share its own (layout takes
+    the parts that there are).  Where order_confidence is below ``least_order`` the order is neither a component nor a
+    cap; null counts as sure.  What is hidden or doubled is deducted.  No component: a null structure.
     """
+    lacking = [c for c in [*SIGNALS, "order_confidence"] if c not in signals.columns]
+    rows = signals.withColumns({c: F.lit(None).cast("double") for c in lacking}) if lacking else signals
     recall, precision = F.col("matched_tokens") / F.nullif(F.col("source_tokens"), F.lit(0)), F.col("matched_tokens") / F.nullif(F.col("extracted_tokens"), F.lit(0))
-    discord = F.when(F.col("comparable_w") > 0, F.col("discordant_w") / F.col("comparable_w"))
+    sure = F.coalesce(F.col("order_confidence") >= least_order, F.lit(True))
+    discord = F.when(sure & (F.col("comparable_w") > 0), clamp(F.col("discordant_w") / F.col("comparable_w")))
+    parts = lambda weights: sum(w * clamp(F.col(c)) for c, w in weights.items())
     logs, weights = F.lit(0.0), F.lit(0.0)
     for name, (decay, w) in LAYOUT.items():
-        logs, weights = logs + F.coalesce(-decay * F.col(name) * w, F.lit(0.0)), weights + F.when(F.col(name).isNotNull(), F.lit(w)).otherwise(0.0)
-    out = signals.withColumns(
+        logs, weights = logs + F.coalesce(-decay * clamp(F.col(name)) * w, F.lit(0.0)), weights + F.when(F.col(name).isNotNull(), F.lit(w)).otherwise(0.0)
+    out = rows.withColumns(
         {
             "text_layer": F.when(recall.isNotNull() & precision.isNotNull(), F.when(recall + precision > 0, 2 * recall * precision / (recall + precision)).otherwise(0.0)),
-            "reading_order": clamp(F.exp(-F.log(F.lit(2.0)) * discord / 0.12)),
-            "sections": clamp((F.col("section_f1") + F.col("boundary_f1")) / 2),
+            "reading_order": F.exp(-F.log(F.lit(2.0)) * discord / 0.12),
+            "sections": parts(SECTIONS),
             "layout": F.when(weights > 0, F.exp(logs / weights)),
-            "encoding": clamp(F.exp(-F.greatest(F.lit(0.0), F.col("damage")) / 0.008)),
+            "encoding": F.when(F.col("damage").isNotNull(), F.exp(-F.greatest(F.lit(0.0), F.col("damage")) / 0.008)),
+            "headings": parts(HEADINGS),
+            "fields": clamp(F.col("field_parse")),
+            "lists": parts(LISTS),
         }
     )
     caps = [F.when(recall < 0.40, 25.0), F.when(discord > 0.25, 40.0), F.when(F.col("damage") > 0.03, 45.0), F.when(F.col("hidden") > 0.25, 50.0)]
-    used = {c: w for c, w in STRUCTURE_WEIGHTS.items() if c in ("text_layer", "reading_order", "sections", "layout", "encoding")}
-    fine = F.coalesce(15 * (1 - F.exp(-F.col("hidden") / 0.05)), F.lit(0.0))
-    raw = F.greatest(F.lit(0.0), 100 * renormalised(used) - fine)
-    return out.withColumn("structure_cap", F.array_min(F.array(*caps))).withColumn("structure", F.least(raw, F.coalesce("structure_cap", F.lit(100.0))))
+    fine = sum(F.coalesce(most * (1 - F.exp(-F.col(c) / scale)), F.lit(0.0)) for c, (most, scale) in DEDUCTIONS.items())
+    raw = F.greatest(F.lit(0.0), 100 * renormalised(STRUCTURE_WEIGHTS) - fine)
+    some = F.coalesce(*STRUCTURE_WEIGHTS).isNotNull()
+    scored = out.withColumn("structure_cap", F.array_min(F.array(*caps))).withColumn("structure", F.when(some, F.least(raw, F.coalesce("structure_cap", F.lit(100.0)))))
+    return scored.drop(*lacking)
\ No newline at end of file

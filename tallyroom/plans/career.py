@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyroom.functions import numbers as nu
 from tallyroom.functions import rules as ru
 from tallyroom.operators import career as ca
+from tallyroom.operators import views as vw
 from tallyroom.operators import events as ev
 from tallyroom.operators import intervals as iv
 from tallyroom.operators import ranking as rk
@@ -249,24 +249,23 @@ s AS (SELECT CASE WHEN fingerprint < '8' THEN CASE WHEN last_seen > 170614080000
 def unresolved_errors(spark, d) -> DataFrame:
     from tallyroom.plans import events
 
-    return events.error_lifecycle(spark, d).where("status IN ('open', 'triaged')").agg(F.count("*").alias("n"))
+    return vw.unresolved(events.error_lifecycle(spark, d))
 
 
 @query("SELECT l_suppkey, CAST(floor(100.0::DOUBLE * sum((l_returnflag = 'A')::INT) / count(*) + 0.5) AS BIGINT) AS matched FROM lineitem GROUP BY 1")
 def match_percent(spark, d) -> DataFrame:
-    return read(spark, d, "lineitem").groupBy("l_suppkey").agg(ca.round_up(100 * F.count_if(F.col("l_returnflag") == "A") / F.count("*")).alias("matched"))
+    return vw.match_percent(read(spark, d, "lineitem"), ["l_suppkey"], F.col("l_returnflag") == "A")
 
 
-@query("SELECT tag, count(DISTINCT p_partkey) AS n_claims, md5(string_agg(CAST(p_partkey AS VARCHAR), ',' ORDER BY p_partkey)) AS claims FROM (SELECT DISTINCT p_partkey, unnest(string_split(p_type || ' ' || p_name, ' ')) AS tag FROM part) GROUP BY 1")
+@query("SELECT tag, count(*) AS n_claims, lower(to_hex(CAST(sum(CAST('0x' || substr(md5(CAST(p_partkey AS VARCHAR)), 1, 8) AS BIGINT)) AS BIGINT))) || '-' || lower(to_hex(bit_xor(CAST('0x' || substr(md5(CAST(p_partkey AS VARCHAR)), 9, 8) AS BIGINT)))) AS mark FROM (SELECT DISTINCT p_partkey, unnest(string_split(p_type || ' ' || p_name, ' ')) AS tag FROM part) GROUP BY 1")
 def tag_claims(spark, d) -> DataFrame:
-    """How many claims a tag has, and which."""
-    t = read(spark, d, "part").select("p_partkey", F.explode(F.array_distinct(F.split(F.concat_ws(" ", "p_type", "p_name"), " "))).alias("tag"))
-    return t.groupBy("tag").agg(F.count("*").alias("n_claims"), F.md5(F.array_join(F.array_sort(F.collect_list("p_partkey")).cast("array<string>"), ",")).alias("claims"))
+    """How many claims a tag has, and a mark of which."""
+    return vw.tag_claims(read(spark, d, "part").select("p_partkey", F.split(F.concat_ws(" ", "p_type", "p_name"), " ").alias("tags")), "p_partkey", "tags")
 
 
 @query("SELECT count(DISTINCT lower(p_name)) AS n_names FROM part")
 def canonical_names(spark, d) -> DataFrame:
-    return read(spark, d, "part").select(F.lower("p_name").alias("n")).distinct().agg(F.count("*").alias("n_names"))
+    return vw.distinct_names(read(spark, d, "part"), F.col("p_name"))
 
 
 @query("""
@@ -276,13 +275,10 @@ JOIN (VALUES ('BUILDING', 3), ('HOUSEHOLD', 5)) p(seg, quota) ON p.seg = CASE WH
 """)
 def quota_view(spark, d) -> DataFrame:
     """A customer's subscription, month's use, day's use and plan: four reads joined on the customer."""
-    s = read(spark, d, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.max_by("o_orderstatus", F.struct("o_orderdate", "o_orderkey")).alias("status"))
-    e = read(spark, d, "events")
-    u = e.where("ts >= '2024-01-01' AND ts < '2024-02-01'").groupBy(F.col("user_id").alias("k")).agg(F.count("*").alias("uses"))
-    q = e.where("ts >= '2024-01-05' AND ts < '2024-01-06'").groupBy(F.col("user_id").alias("k")).agg(F.count("*").alias("today"))
-    c = read(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.when(F.col("c_mktsegment") == "BUILDING", 3).otherwise(5).alias("quota"))
-    rows = c.join(s, "k", "left").join(u, "k", "left").join(q, "k", "left").fillna(0, ["uses", "today"]).fillna("none", ["status"])
-    return rows.select(F.col("k").alias("c_custkey"), "status", "uses", "today", F.greatest(F.lit(0), F.col("quota") - F.col("today")).alias("remaining"))
+    s = read(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max_by("o_orderstatus", F.struct("o_orderdate", "o_orderkey")).alias("status"))
+    e = read(spark, d, "events").select(F.col("user_id").alias("c_custkey"), "ts")
+    c = read(spark, d, "customer").select("c_custkey", F.when(F.col("c_mktsegment") == "BUILDING", 3).otherwise(5).alias("quota"))
+    return vw.entitlements(c, "c_custkey", "quota", s, e.where("ts >= '2024-01-01' AND ts < '2024-02-01'"), e.where("ts >= '2024-01-05' AND ts < '2024-01-06'"))
 
 
 @query("""
@@ -292,10 +288,7 @@ SELECT word, coalesce((SELECT arg_min(canonical, id) FROM a WHERE alt = word), (
 def alias_canonical(spark, d) -> DataFrame:
     """The canonical name of a word: by an alias, the first of several, else by the name itself."""
     table = spark.createDataFrame([(1, "ring", "annulus"), (2, "ring", "circle"), (3, "bolt", "gear"), (4, "x", "plate"), (5, "y", "ring")], "id int, alt string, canonical string")
-    w = read(spark, d, "part").select(F.explode(F.split(F.lower("p_name"), " ")).alias("word")).distinct()
-    by_alt = table.groupBy(F.col("alt").alias("word")).agg(F.min_by("canonical", "id").alias("a"))
-    by_name = table.select(F.col("canonical").alias("word"), F.col("canonical").alias("b")).distinct()
-    return w.join(by_alt, "word", "left").join(by_name, "word", "left").select("word", F.coalesce("a", "b").alias("canonical"))
+    return vw.canonical_of(read(spark, d, "part").select(F.explode(F.split(F.lower("p_name"), " ")).alias("word")), "word", table)
 
 
 _AUDIT = f"""m AS (SELECT o_custkey, o_orderkey, {month_sql("o_orderdate")} AS s, {month_sql("o_orderdate")} + o_orderkey % 4 AS e, o_orderkey % 17 = 0 AS bad, o_orderkey % 5 = 0 AS numbers FROM orders), g AS (SELECT * FROM m WHERE NOT bad),
@@ -317,15 +310,13 @@ def timeline_audit(spark, d) -> DataFrame:
     return out.union(count(o.where("NOT numbers"), "NO_NUMBER")).union(count(o.where("bad"), "BAD_DATES"))
 
 
-CHANNELS = [("https://www.board.example/jobs/1", "BOARD"), ("mailto:a@b.example", "MAIL"), ("https://acme.example/careers/7", "OWN"), ("https://social.example/in/x", "SOCIAL"), ("ftp", "OTHER"), (None, "OTHER")]
+CHANNELS = [("^mailto:", "MAIL"), ("^https?://(?:www\\.|m\\.)?th", "BOARD"), ("^https?://[^/]*\\.org/", "SOCIAL"), ("^https?://.*/(?:en|de)/", "OWN")]
 
 
-@query(f"SELECT o_orderkey, channel FROM orders JOIN {made([(i, c) for i, (_, c) in enumerate(CHANNELS)], 'k, channel')} ON o_orderkey % {len(CHANNELS)} = k")
+@query(f"SELECT page_id, CASE {' '.join(f"WHEN regexp_matches(lower(url), '{p}') THEN '{c}'" for p, c in CHANNELS)} ELSE 'OTHER' END AS channel FROM pages")
 def feedback_channels(spark, d) -> DataFrame:
-    """Where an application went to, by its url."""
-    u = F.lower(chosen(F.col("o_orderkey"), [c for c, _ in CHANNELS]))
-    kind = F.when(u.rlike("^mailto:"), "MAIL").when(u.rlike("^https?://(?:www\\.)?board\\."), "BOARD").when(u.rlike("^https?://(?:www\\.)?social\\."), "SOCIAL").when(u.rlike("^https?://.*(?:careers|jobs)"), "OWN").otherwise("OTHER")
-    return read(spark, d, "orders").select("o_orderkey", kind.alias("channel"))
+    """Where a page's answer would go to, by its url."""
+    return read(spark, d, "pages").select("page_id", vw.channel_of(F.col("url"), CHANNELS).alias("channel"))
 
 
 @query("""
@@ -335,5 +326,4 @@ SELECT c_custkey, CASE WHEN NOT evidence THEN 'NO_EVIDENCE' WHEN s IS NULL THEN
 def match_reading(spark, d) -> DataFrame:
     """What a score means, by the evidence there is and what blocks."""
     k, s = F.col("c_custkey"), F.when(ru.valid_score(F.col("c_acctbal") / 100), F.col("c_acctbal") / 100)
-    reading = F.when(k % 3 == 0, "NO_EVIDENCE").when(s.isNull(), "NOT_SCORED").when(k % 4 > 1, "BLOCKED").otherwise(nu.band(s, [(75.0, "STRONG"), (50.0, "MIXED")], "WEAK"))
-    return read(spark, d, "customer").select("c_custkey", reading.alias("reading"))
+    return read(spark, d, "customer").select("c_custkey", vw.reading(s, k % 3 > 0, k % 4 > 1, [(75.0, "STRONG"), (50.0, "MIXED")], "WEAK").alias("reading"))
\ No newline at end of file

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyroom.operators import claims as cl
 from tallyroom.operators import dictionary as di
+from tallyroom.operators import requirements as rq
 from tallyroom.plans.registry import query, r6
 from tallyroom.sources.tables import read
 
@@ -107,3 +108,24 @@ def truth_verdicts(spark, d) -> DataFrame:
     synonyms = spark.createDataFrame(SYNONYMS, "label string, canonical string")
     found = cl.truth_verdicts(rows.where("role = 'assistant'"), rows.where("role = 'user'"), "conv_id", "text", synonyms, GLUE)
     return found.select("conv_id", "n_unknown", F.array_join("unknown", " ").alias("unknown"), "verdict")
+
+
+ASKED = ["reti", "onder", "than", "leon"]
+CUES = rq.Cues(negated=("the",), preferred=("of",), required=("in", "de"), headings=(("REQUIRED", "[a-z ]{1,25}[.]"), ("PREFERRED", "[0-9].*")))
+
+
+@query(r"""
+WITH l AS (SELECT doc_id, generate_subscripts(x, 1) - 1 AS line, unnest(x) AS x FROM (SELECT doc_id, string_split(replace(strip_accents(lower(coalesce(text, ''))), 'ł', 'l'), chr(10)) AS x FROM documents)),
+h AS (SELECT *, CASE WHEN regexp_full_match(trim(x), '[a-z ]{1,25}[.]') THEN 'REQUIRED' WHEN regexp_full_match(trim(x), '[0-9].*') THEN 'PREFERRED' END AS k FROM l),
+s AS (SELECT *, last_value(k IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line ROWS UNBOUNDED PRECEDING) AS section FROM h),
+c AS (SELECT doc_id, line, section, generate_subscripts(cs, 1) AS j, unnest(cs) AS c FROM (SELECT doc_id, line, section, regexp_split_to_array(regexp_replace(x, '([.!?])(\s|$)', '\1' || chr(1), 'g'), '[;•·\x01]') AS cs FROM s WHERE k IS NULL)),
+w AS (SELECT doc_id, line, section, j, generate_subscripts(ws, 1) AS i, unnest(ws) AS w FROM (SELECT *, list_filter(regexp_split_to_array(c, '[^\p{L}\p{N}_]+'), lambda x: x <> '') AS ws FROM c)),
+v AS (SELECT *, max(CASE WHEN w = 'the' THEN i END) OVER b AS neg, max(CASE WHEN w IN ('of', 'in', 'de') THEN i * 2 + (w <> 'of')::INT END) OVER b AS cue, min(CASE WHEN w IN ('of', 'in', 'de') THEN i * 2 + (w <> 'of')::INT END) OVER a AS later FROM w
+  WINDOW b AS (PARTITION BY doc_id, line, j ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), a AS (PARTITION BY doc_id, line, j ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+p AS (SELECT doc_id, line, w AS phrase, section, CASE WHEN neg IS NOT NULL THEN 'NEGATED' WHEN coalesce(cue, later) IS NOT NULL THEN CASE WHEN coalesce(cue, later) % 2 = 1 THEN 'REQUIRED' ELSE 'PREFERRED' END ELSE coalesce(section, 'INFORMATION') END AS polarity FROM v WHERE regexp_replace(w, '(\p{L})[0-9]+$', '\1') IN ('reti', 'onder', 'than', 'leon'))
+SELECT doc_id, regexp_replace(phrase, '[0-9]+$', '') AS phrase, coalesce(section, '-') AS section, polarity, count(*) AS n, CAST(min(line) AS INTEGER) AS line FROM p GROUP BY ALL
+""")
+def requirement_mentions(spark, d) -> DataFrame:
+    """What documents say of some words, by section and polarity."""
+    found = rq.mentions(read(spark, d, "documents").select("doc_id", "text"), "doc_id", "text", ASKED, CUES)
+    return found.groupBy("doc_id", "phrase", F.coalesce("section", F.lit("-")).alias("section"), "polarity").agg(F.count("*").alias("n"), F.min("line").alias("line"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyroom.functions import numbers as nu
 from tallyroom.functions import rules as ru
 from tallyroom.functions import text as tx
+from tallyroom.operators import views as vw
 from tallyroom.plans.graphs import VERTICES, _graph
 from tallyroom.plans.registry import query, r6
 from tallyroom.sources.tables import read
@@ -100,7 +101,7 @@ def analysis_freshness(spark, d) -> DataFrame:
 @query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey = 7")
 def owned_rows(spark, d) -> DataFrame:
     """Rows of one owner; the filter reaches the scan."""
-    return read(spark, d, "orders").where(F.col("o_custkey") == 7).select("o_orderkey", "o_totalprice")
+    return vw.owned_rows(read(spark, d, "orders"), "o_custkey", F.lit(7)).select("o_orderkey", "o_totalprice")
 
 
 @query(f"WITH v AS ({VERTICES}) SELECT id, name FROM v WHERE confidence >= 0.65 AND id % 9 NOT IN (1, 2)")
@@ -108,7 +109,7 @@ def entity_filter(spark, d) -> DataFrame:
     """Vertices that a search may find: sure enough, and neither rejected nor deprecated."""
     v, _ = _graph(spark, d)
     status = F.when(F.col("id") % 9 == 1, "rejected").when(F.col("id") % 9 == 2, "deprecated").otherwise("verified")
-    return v.withColumn("status", status).where((F.col("confidence") >= 0.65) & ~F.col("status").isin("rejected", "deprecated")).select("id", "name")
+    return vw.findable(v.withColumn("status", status), least=0.65).select("id", "name")
 
 
 @query(r"""

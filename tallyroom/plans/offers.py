@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from tallyroom.functions import text as tx
 from tallyroom.operators import offers as of
 from tallyroom.operators import texts as ts
+from tallyroom.operators import views as vw
 from tallyroom.plans.filters import chosen
 from tallyroom.plans.language import _made
 from tallyroom.plans.registry import query
-from tallyroom.sources.tables import read, validate
+from tallyroom.sources.tables import read
 
 OFFERS = [
     ("Cookies\n Welder wanted \n\nYou weld.\nSimilar offers\nCook", "Welder wanted\nYou weld."), ("accept COOKIES now\nBaker", "Baker"), ("similar offers\nx", ""), ("plain", "plain"), (None, ""),
@@ -74,12 +75,17 @@ def profile_entries(spark, d) -> DataFrame:
     return of.profile_entries(lines, "s_suppkey", ["experience"], ["skills"])
 
 
-@query("SELECT q, id FROM (VALUES ('Smith', 1), ('ŁÓDŹ', 2), ('lodz', 2), ('nick', 4)) v(q, id)")
+@query("""
+WITH e AS (SELECT p_partkey AS id, p_name AS name FROM part), a AS (SELECT p_partkey AS id, p_type || ' ' || p_brand AS alias FROM part), q AS (SELECT DISTINCT CASE l_linenumber % 3 WHEN 0 THEN upper(p_name) WHEN 1 THEN replace(lower(p_name), 'o', 'ó') ELSE lower(p_type || ' ' || p_brand) END AS q FROM lineitem JOIN part ON p_partkey = l_partkey),
+f AS (SELECT q, lower(trim(q)) AS l, strip_accents(lower(trim(q))) AS s FROM q), h AS (SELECT q, 1 AS o, min(id) AS id FROM f JOIN e ON lower(name) = l GROUP BY 1 UNION ALL SELECT q, 2, min(id) FROM f JOIN e ON strip_accents(lower(name)) = s GROUP BY 1 UNION ALL SELECT q, 3, min(id) FROM f JOIN a ON strip_accents(lower(alias)) = s GROUP BY 1)
+SELECT q, arg_min(id, o) AS id FROM h GROUP BY 1
+""")
 def entity_by_name(spark, d) -> DataFrame:
-    """Entities by name, by folded name, by alias."""
-    e = spark.createDataFrame([(1, "SMITH"), (2, "Łódź"), (3, "smith x"), (4, "Nicolas"), (5, "smith")], "id int, name string")
-    a = spark.createDataFrame([(3, "smith"), (4, "Nick"), (5, "Níck")], "id int, alias string")
-    return of.by_name(spark.createDataFrame([("Smith",), ("ŁÓDŹ",), ("lodz",), ("nick",), ("none",)], "q string"), e, a, "q")
+    """Parts by name in other letters, with marks, or by type and brand, as lines ask for them."""
+    part = read(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.concat_ws(" ", "p_type", "p_brand").alias("alias"))
+    li = read(spark, d, "lineitem").select(F.col("l_partkey").alias("id"), (F.col("l_linenumber") % 3).alias("k")).distinct().join(part, "id")
+    asked = F.when(F.col("k") == 0, F.upper("name")).when(F.col("k") == 1, F.replace(F.lower("name"), F.lit("o"), F.lit("ó"))).otherwise(F.lower("alias"))
+    return of.by_name(li.select(asked.alias("q")).distinct(), part.select("id", "name"), part.select("id", "alias"), "q")
 
 
 ROLES = [("Senior welder", "METAL"), ("Spawacz gazowy", "METAL"), ("pastry baker / welder", "METAL"), ("Baker", "FOOD"), ("bakery", "OTHER"), (None, "OTHER")]
@@ -114,8 +120,8 @@ def rule_severity(spark, d) -> DataFrame:
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, '{\"id\":' || event_id || ',\"k\":' || json_extract(props, '$.k') || '}' AS doc FROM events")
 def json_fields(spark, d) -> DataFrame:
     """A field of a JSON document, and a document built from columns."""
-    e = read(spark, d, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
-    return e.select("event_id", "k", F.to_json(F.struct(F.col("event_id").alias("id"), "k")).alias("doc"))
+    e = read(spark, d, "events").select("event_id", vw.json_element(F.col("props"), "k", "long").alias("k"))
+    return e.select("event_id", "k", vw.json_document({"id": F.col("event_id"), "k": F.col("k")}).alias("doc"))
 
 
 @query("""
@@ -124,9 +130,8 @@ SELECT o_custkey, 'role' AS source, 0.9::DOUBLE AS depth, count(*) AS n FROM ord
 def flattened_evidence(spark, d) -> DataFrame:
     """A profile's parts as rows of evidence, each with the depth of its kind."""
     o, li, c = read(spark, d, "orders").select("o_custkey", "o_orderkey"), read(spark, d, "lineitem").select("l_orderkey"), read(spark, d, "customer")
-    part = lambda df, source, depth: df.select("o_custkey", F.lit(source).alias("source"), F.lit(depth).alias("depth"))
     skills = c.select(F.col("c_custkey").alias("o_custkey"), F.explode(F.array("c_name", "c_mktsegment")))
-    rows = part(o, "role", 0.9).union(part(li.join(o, F.col("l_orderkey") == F.col("o_orderkey")), "point", 0.7)).union(part(skills, "skill", 0.5))
+    rows = vw.flattened({"role": (o, 0.9), "point": (li.join(o, F.col("l_orderkey") == F.col("o_orderkey")), 0.7), "skill": (skills, 0.5)}, "o_custkey")
     return rows.groupBy("o_custkey", "source", "depth").agg(F.count("*").alias("n"))
 
 
@@ -136,10 +141,8 @@ SELECT o_orderkey, status, priority, CASE WHEN status IS NULL THEN 'status' WHEN
 """)
 def migrated_records(spark, d) -> DataFrame:
     """Records in a newer form: states renamed, defaults filled in; what can't be is set aside with the rule it breaks."""
-    s, k = F.col("o_orderstatus"), F.col("o_orderkey")
-    rows = read(spark, d, "orders").select("o_orderkey", F.when(s == "F", "done").when(s == "O", "open").alias("status"), F.coalesce(F.nullif(k % 10, F.lit(0)), F.lit(5)).alias("priority"))
-    good, bad = validate(rows, {"status": "status IS NOT NULL", "priority": "priority <= 8"})
-    return good.withColumn("quarantined", F.lit("")).union(bad.select("o_orderkey", "status", "priority", F.col("broken_rules")[0]))
+    rows = read(spark, d, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"), F.nullif(F.col("o_orderkey") % 10, F.lit(0)).alias("priority"))
+    return vw.migrated(rows, {"F": "done", "O": "open"}, "status", {"priority": F.lit(5)}, {"status": "status IS NOT NULL", "priority": "priority <= 8"})
 
 
 @query(r"""
@@ -148,10 +151,7 @@ SELECT doc_id, CAST(len(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9._%+-]
 """)
 def text_contacts(spark, d) -> DataFrame:
     """Addresses, phones and lines that a text holds, and whether it lost characters."""
-    t = F.coalesce("text", F.lit(""))
-    count = lambda p: F.regexp_count(t, F.lit(p)).cast("long")
-    blocks = F.size(F.filter(F.split(t, "\n"), lambda x: F.trim(x) != "")).cast("long")
-    return read(spark, d, "documents").select("doc_id", count("[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}").alias("n_emails"), count("\\+?[0-9](?:[ -]?[0-9]){8,14}").alias("n_phones"), blocks.alias("n_blocks"), (F.length(t) < F.col("n_chars")).alias("lost"))
+    return vw.text_contacts(read(spark, d, "documents").select("doc_id", "text", "n_chars"), "text", "n_chars").drop("text", "n_chars")
 
 
 TERMS = [("Łódź - CENTRUM, ul.", "lodz - centrum ul"), ("  Żółty   kot ", "zolty kot"), ("C++/C#", "c c"), (None, None)]
@@ -165,28 +165,26 @@ def normal_terms(spark, d) -> DataFrame:
 @query("SELECT event_id, CAST(row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, event_type, event_id) AS INTEGER) AS place FROM events")
 def calendar_order(spark, d) -> DataFrame:
     """Places of events within their day: by instant, then title, then id."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(F.to_date("ts")).orderBy("ts", "event_type", "event_id")
-    return read(spark, d, "events").select("event_id", F.row_number().over(w).alias("place"))
+    return vw.calendar_places(read(spark, d, "events").select("event_id", "ts", "event_type"), F.to_date("ts"), ["ts", "event_type", "event_id"]).select("event_id", "place")
 
 
 @query("""
-WITH p AS (SELECT p_partkey, lower(p_name) AS name, p_type, p_size FROM part), u AS (SELECT l_partkey AS k, max(l_quantity) AS v FROM lineitem WHERE l_quantity > 45 GROUP BY 1)
-SELECT p_partkey, CASE WHEN p_size > 45 THEN 'PENDING' WHEN v IS NULL THEN 'SAME' ELSE 'UPDATED' END AS state, coalesce(v, p_size) AS size FROM p LEFT JOIN u ON k = p_partkey
+WITH u AS (SELECT l_partkey AS p_partkey, max(l_quantity)::DOUBLE AS v FROM lineitem WHERE l_quantity > 45 GROUP BY 1)
+SELECT coalesce(p.p_partkey, u.p_partkey) AS p_partkey, CASE WHEN p.p_partkey IS NULL THEN 'NEW' WHEN v IS NULL THEN 'SAME' WHEN p_size > 45 THEN 'PENDING' ELSE 'UPDATED' END AS state, CASE WHEN p_size > 45 THEN p_size::DOUBLE ELSE coalesce(v, p_size::DOUBLE) END AS size FROM part p FULL JOIN u ON u.p_partkey = p.p_partkey
 """)
 def proposal_queue(spark, d) -> DataFrame:
-    """Vertices that are updated by id, and those whose change waits to be agreed to."""
-    u = read(spark, d, "lineitem").where("l_quantity > 45").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.max("l_quantity").alias("v"))
-    p = read(spark, d, "part").select("p_partkey", "p_size").join(u, "p_partkey", "left")
-    return p.select("p_partkey", F.when(F.col("p_size") > 45, "PENDING").when(F.col("v").isNull(), "SAME").otherwise("UPDATED").alias("state"), F.coalesce("v", F.col("p_size").cast("double")).alias("size"))
+    """Parts whose size lines change, by id, and those whose change waits to be agreed to."""
+    changes = read(spark, d, "lineitem").where("l_quantity > 45").select(F.col("l_partkey").alias("p_partkey"), F.col("l_quantity").cast("double").alias("size"))
+    parts = read(spark, d, "part").select("p_partkey", F.col("p_size").cast("double").alias("size"))
+    return vw.proposals(parts, changes, "p_partkey", "size", F.col("size") > 45)
 
 
-@query("WITH a AS (SELECT DISTINCT p_type AS canonical, lower(p_name) AS alt FROM part WHERE p_partkey % 5 > 0) SELECT canonical, count(*) AS n, string_agg(alt, '|' ORDER BY alt) AS labels FROM a GROUP BY 1")
+@query("WITH a AS (SELECT *, row_number() OVER (PARTITION BY canonical ORDER BY alt) AS r FROM (SELECT DISTINCT p_type AS canonical, lower(p_name) AS alt FROM part WHERE p_name <> p_type AND NOT contains(p_name, 'ring'))) SELECT canonical, count(*) AS n, string_agg(alt, '|' ORDER BY alt) FILTER (r <= 50) AS labels FROM a GROUP BY 1")
 def skill_synonyms(spark, d) -> DataFrame:
     """A skill's other labels, each once; derived ones are hidden."""
-    a = read(spark, d, "part").where("p_partkey % 5 > 0").select(F.col("p_type").alias("canonical"), F.lower("p_name").alias("alt")).distinct()
-    return a.groupBy("canonical").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("alt")), "|").alias("labels"))
+    derived = F.col("p_name").contains("ring") | (F.col("p_name") == F.col("p_type"))
+    found = vw.skill_labels(read(spark, d, "part").select(F.col("p_type").alias("canonical"), "p_type", "p_name"), "canonical", "p_name", derived)
+    return found.select("canonical", "n", F.array_join("labels", "|").alias("labels"))
 
 
 @query("""
@@ -195,6 +193,6 @@ SELECT l_orderkey, coalesce(string_agg(DISTINCT CAST(rule AS VARCHAR), ',' ORDER
 """)
 def unmet_requirements(spark, d) -> DataFrame:
     """Blocking rules that are not met, and those of which nothing is known."""
-    f = read(spark, d, "lineitem").select("l_orderkey", (F.col("l_partkey") % 6).cast("string").alias("rule"), (F.col("l_returnflag") == "R").alias("b"), (F.col("l_linestatus") == "O").alias("c"))
-    join = lambda c: F.array_join(F.array_sort(F.collect_set(F.when(c, F.col("rule")))), ",")
-    return f.groupBy("l_orderkey").agg(join(F.col("b") & F.col("c")).alias("unmet"), join(F.col("b") & ~F.col("c")).alias("unconfirmed"))
+    f = read(spark, d, "lineitem").select("l_orderkey", (F.col("l_partkey") % 6).cast("string").alias("rule"), "l_returnflag", "l_linestatus")
+    found = vw.blocking_requirements(f, ["l_orderkey"], "rule", F.col("l_returnflag") == "R", F.col("l_linestatus") == "O")
+    return found.select("l_orderkey", F.array_join("unmet", ",").alias("unmet"), F.array_join("unconfirmed", ",").alias("unconfirmed"))
\ No newline at end of file

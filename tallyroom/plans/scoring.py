@@ -159,21 +159,26 @@ def completeness(spark, d) -> DataFrame:
 SIGNALS = """
 SELECT l_suppkey, CAST(sum(l_quantity) AS DOUBLE) AS source_tokens, CAST(sum(CASE WHEN l_returnflag <> 'R' THEN l_quantity ELSE 0 END) AS DOUBLE) AS extracted_tokens, CAST(sum(CASE WHEN l_returnflag = 'A' THEN l_quantity ELSE 0 END) AS DOUBLE) AS matched_tokens,
   CAST(count(*) AS DOUBLE) AS comparable_w, CAST(sum(CASE WHEN l_discount > 0.09 THEN 1 ELSE 0 END) AS DOUBLE) AS discordant_w, avg(CAST(CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END AS DOUBLE)) AS section_f1, 1 - avg(l_tax) AS boundary_f1,
-  avg(l_tax) AS overlap, CASE WHEN max(l_tax) < 0.08 THEN avg(l_tax) / 2 END AS clipping, avg(l_discount) / 5 AS z_order, CAST(NULL AS DOUBLE) AS nested, avg(l_discount) / 20 AS damage, avg(l_tax) / 2 AS hidden FROM lineitem GROUP BY l_suppkey
+  avg(l_tax) AS overlap, CASE WHEN max(l_tax) < 0.08 THEN avg(l_tax) / 2 END AS clipping, avg(l_discount) / 5 AS z_order, CAST(NULL AS DOUBLE) AS nested, avg(l_discount) / 20 AS damage, avg(l_tax) / 2 AS hidden,
+  avg(l_tax) / 4 AS doubled, avg(l_discount) * 8 AS heading_separation, 1 - avg(l_tax) * 2 AS heading_levels, CASE WHEN max(l_quantity) > 49 THEN 1 - avg(l_tax) END AS field_parse, avg(l_discount) * 9 AS list_glyphs, avg(l_tax) * 9 AS list_indent, CASE WHEN min(l_quantity) < 2 THEN 0.5::DOUBLE END AS list_hanging,
+  CASE WHEN l_suppkey % 3 = 0 THEN 0.8::DOUBLE WHEN l_suppkey % 3 = 1 THEN 0.9::DOUBLE END AS order_confidence FROM lineitem GROUP BY l_suppkey
 """
 
 
 @query(f"""
-WITH s AS ({SIGNALS}), q AS (SELECT *, matched_tokens / nullif(source_tokens, 0) AS re, matched_tokens / nullif(extracted_tokens, 0) AS pr, discordant_w / comparable_w AS dis FROM s),
-c AS (SELECT *, CASE WHEN re + pr > 0 THEN 2 * re * pr / (re + pr) ELSE 0 END AS text_layer, exp(-ln(2.0::DOUBLE) * dis / 0.12) AS reading_order, least(1, (section_f1 + boundary_f1) / 2) AS sections,
+WITH s AS ({SIGNALS}), q AS (SELECT *, matched_tokens / nullif(source_tokens, 0) AS re, matched_tokens / nullif(extracted_tokens, 0) AS pr, CASE WHEN coalesce(order_confidence >= 0.85, true) THEN discordant_w / comparable_w END AS dis FROM s),
+c AS (SELECT *, CASE WHEN re + pr > 0 THEN 2 * re * pr / (re + pr) ELSE 0 END AS text_layer, exp(-ln(2.0::DOUBLE) * dis / 0.12) AS reading_order, 0.65::DOUBLE * section_f1 + 0.35::DOUBLE * boundary_f1 AS sections,
   exp((-8.0 * overlap * 0.35 + coalesce(-10.0 * clipping * 0.30, 0) + -8.0 * z_order * 0.20) / (0.35::DOUBLE + CASE WHEN clipping IS NULL THEN 0 ELSE 0.3::DOUBLE END + 0.2::DOUBLE)) AS layout, exp(-damage / 0.008) AS encoding,
-  least(CASE WHEN re < 0.4 THEN 25.0::DOUBLE END, CASE WHEN dis > 0.25 THEN 40.0::DOUBLE END, CASE WHEN damage > 0.03 THEN 45.0::DOUBLE END, CASE WHEN hidden > 0.25 THEN 50.0::DOUBLE END) AS cap FROM q)
-SELECT l_suppkey, round(text_layer, 6) AS text_layer, round(reading_order, 6) AS reading_order, round(sections, 6) AS sections, round(layout, 6) AS layout, round(encoding, 6) AS encoding, cap AS structure_cap,
-  round(least(greatest(0, 100 * (text_layer * 0.2 + reading_order * 0.22 + sections * 0.15 + layout * 0.13 + encoding * 0.12) / 0.82 - 15 * (1 - exp(-hidden / 0.05))), coalesce(cap, 100)), 6) AS structure FROM c
+  0.65::DOUBLE * least(1, heading_separation) + 0.35::DOUBLE * heading_levels AS headings, field_parse AS fields, CASE WHEN list_hanging IS NOT NULL THEN 0.4::DOUBLE * least(1, list_glyphs) + 0.35::DOUBLE * least(1, list_indent) + 0.25::DOUBLE * list_hanging END AS lists,
+  least(CASE WHEN re < 0.4 THEN 25.0::DOUBLE END, CASE WHEN dis > 0.25 THEN 40.0::DOUBLE END, CASE WHEN damage > 0.03 THEN 45.0::DOUBLE END, CASE WHEN hidden > 0.25 THEN 50.0::DOUBLE END) AS cap FROM q),
+w AS (SELECT *, text_layer * 0.2 + coalesce(reading_order * 0.22, 0) + sections * 0.15 + layout * 0.13 + encoding * 0.12 + headings * 0.07 + coalesce(fields * 0.07, 0) + coalesce(lists * 0.04, 0) AS mass,
+  0.67::DOUBLE + CASE WHEN reading_order IS NULL THEN 0 ELSE 0.22::DOUBLE END + CASE WHEN fields IS NULL THEN 0 ELSE 0.07::DOUBLE END + CASE WHEN lists IS NULL THEN 0 ELSE 0.04::DOUBLE END AS part FROM c)
+SELECT l_suppkey, round(text_layer, 6) AS text_layer, round(reading_order, 6) AS reading_order, round(sections, 6) AS sections, round(layout, 6) AS layout, round(encoding, 6) AS encoding, round(headings, 6) AS headings, round(fields, 6) AS fields, round(lists, 6) AS lists, cap AS structure_cap,
+  round(least(greatest(0, 100 * mass / part - 15 * (1 - exp(-hidden / 0.05)) - 10 * (1 - exp(-doubled / 0.05))), coalesce(cap, 100)), 6) AS structure FROM w
 """)
 def structure_score(spark, d) -> DataFrame:
-    signals = spark.sql(SIGNALS.replace("FROM lineitem", "FROM {lineitem}"), lineitem=read(spark, d, "lineitem"))
-    return r6(sc.structure_score(signals).select("l_suppkey", "text_layer", "reading_order", "sections", "layout", "encoding", "structure_cap", "structure"))
+    signals = spark.sql(SIGNALS.replace("FROM lineitem", "FROM {lineitem}").replace("0.5::DOUBLE", "0.5D").replace("0.8::DOUBLE", "0.8D").replace("0.9::DOUBLE", "0.9D"), lineitem=read(spark, d, "lineitem"))
+    return r6(sc.structure_score(signals).select("l_suppkey", "text_layer", "reading_order", "sections", "layout", "encoding", "headings", "fields", "lists", "structure_cap", "structure"))
 
 
 @query("""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyroom.functions import numbers as nm
 from tallyroom.functions import text as tx
-from tallyroom.operators import calibration, events, graph, intervals, learning, matching, ranking, scoring, texts
+from tallyroom.operators import calibration, events, graph, intervals, learning, matching, ranking, scoring, texts, views
 from tallyroom.sources import html, markup, tables
 
 
@@ -271,3 +271,49 @@ def test_tiered_search_compares_every_pair(spark):
     queries = spark.createDataFrame([("red wigdet",), ("larg gear",), ("plian",)], "query string")
     got = {(r["query"], r.id): (round(r.score, 6), r.tier) for r in graph.tiered_search(queries, names, edit_similarity).collect()}
     assert got == {("red wigdet", 1): (0.65, "fuzzy"), ("red wigdet", 3): (0.725, "fuzzy"), ("red wigdet", 4): (1.0, "exact"), ("larg gear", 2): (0.609091, "fuzzy"), ("plian", 3): (0.65, "fuzzy")}
+
+
+def test_structure_of_what_there_is(spark):
+    """Parts that lack are no basis, an unsure order is left out, and nothing at all is null."""
+    rows = spark.createDataFrame([(1, 0.5, None, None), (2, None, 0.9, 0.5), (3, 0.5, 0.9, 0.5), (4, None, None, None)], "k int, damage double, order_confidence double, d double")
+    rows = rows.withColumns({"comparable_w": F.when(F.col("d").isNotNull(), 1.0), "discordant_w": F.col("d")})
+    got = {r.k: (r.encoding, r.reading_order, r.structure) for r in scoring.structure_score(rows).collect()}
+    assert got[1][1] is None and got[1][2] == pytest.approx(0, abs=1e-9) and got[4] == (None, None, None)
+    assert got[2][1] == pytest.approx(2 ** (-0.5 / 0.12)) and got[2][2] == pytest.approx(100 * 2 ** (-0.5 / 0.12))
+    unsure = {r.k: (r.reading_order, r.structure_cap) for r in scoring.structure_score(rows, least_order=0.95).collect()}
+    assert unsure[2] == (None, None) and unsure[3][1] == 45.0
+    assert "list_glyphs" not in scoring.structure_score(rows).columns
+
+
+def test_paths_of_sure_edges(spark):
+    edges = spark.createDataFrame([(1, 2, "a", 0.9, 1.0), (2, 3, "a", 0.9, 0.5), (1, 3, "b", 0.2, 1.0), (3, 4, "c", None, 1.0), (2, 5, "c", 0.8, 1.0)], "src int, dst int, type string, confidence double, weight double")
+    source = spark.createDataFrame([(1,)], "source int")
+    ways = lambda **k: {r.node: (r.path, round(r.sure, 6)) for r in graph.bounded_paths(source, graph.path_costs(edges, **{x: y for x, y in k.items() if x != "exclude"}), 4, k.get("exclude")).collect()}
+    assert ways(least=0.3) == {2: ([1, 2], 0.9), 3: ([1, 2, 3], 0.405), 5: ([1, 2, 5], 0.72)}
+    assert set(ways(least=0.3, types=["c"])) == set() and set(ways(types=["a", "b"])) == {2, 3}
+    assert set(ways(least=0.1, exclude=spark.createDataFrame([(2,)], "x int"))) == {3}
+
+
+def test_views(spark):
+    one = lambda rows, kind: spark.createDataFrame(rows, kind)
+    assert views.owned_rows(one([(1, "a"), (2, None)], "k int, o string"), "o", F.lit(None).cast("string")).count() == 0
+    found = views.findable(one([(1, 0.9, None, "x"), (2, None, None, "x"), (3, 0.9, "rejected", "x"), (4, 0.9, "ok", "y")], "id int, confidence double, status string, type string"), least=0.5, kinds=["x"])
+    assert [r.id for r in found.collect()] == [1]
+    people, none = one([(1, 3), (2, 1)], "k int, quota int"), one([], "k int, status string")
+    uses = one([(1,), (1,), (2,), (2,), (9,)], "k int")
+    assert sorted(map(tuple, views.entitlements(people, "k", "quota", none, uses, uses).collect())) == [(1, "none", 2, 2, 1), (2, "none", 2, 2, 0)]
+    claims = one([(1, ["a", "a", None]), (2, ["a"]), (None, ["a"]), (1, ["b"]), (2, ["b"]), (3, None)], "id int, tags array<string>")
+    tags = {r.tag: (r.n_claims, r["mark"]) for r in views.tag_claims(claims, "id", "tags").collect()}
+    assert tags["a"] == tags["b"] and tags["a"][0] == 2
+    labels = one([("s", f"L{i % 70:02}", None) for i in range(140)] + [("s", "hidden", True), ("s", None, None)], "skill string, label string, derived boolean")
+    (row,) = views.skill_labels(labels, "skill", "label", F.col("derived"), 3).collect()
+    assert (row.n, row.labels) == (70, ["l00", "l01", "l02"])
+    changes = one([(1, 5.0), (1, 7.0), (3, 9.0), (None, 1.0), (2, 8.0)], "id int, v double")
+    got = sorted(map(tuple, views.proposals(one([(1, 1.0), (2, 100.0), (4, 2.0)], "id int, v double"), changes, "id", "v", F.col("v") > 50).collect()))
+    assert got == [(1, "UPDATED", 7.0), (2, "PENDING", 100.0), (3, "NEW", 9.0), (4, "SAME", 2.0)]
+    assert views.distinct_names(one([("A",), ("a",), (None,)], "n string"), F.col("n")).first().n_names == 1
+    assert one_value(spark, views.json_element(F.col("j"), "a.b", "long"), [('{"a": {"b": 7}}',), ('{"a": "x"}',), ("{", ), (None,), ('{"a": {"b": "x"}}',)]) == [7, None, None, None, None]
+
+
+def one_value(spark, column, rows):
+    return [r[0] for r in spark.createDataFrame(rows, "j string").select(column).collect()]

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import itertools
 import random
-from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F

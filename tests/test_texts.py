@@ -14,6 +14,7 @@ from tallyroom.operators import blocks as bl
 from tallyroom.operators import claims as cl
 from tallyroom.operators import dictionary as di
 from tallyroom.operators import profiles as pr
+from tallyroom.operators import requirements as rq
 from tallyroom.operators import resume
 from tallyroom.operators import texts as ts
 
@@ -194,3 +195,16 @@ def test_profile_sections(spark):
     assert row.name == "Anna Nowak" and row.summary is None and "zgod" not in str(row).lower().replace("doświadczenie", "")
     assert row.projects[0].tools == ["stal", "beton"] and row.projects[0].description.endswith("mocny")
     assert got[1].experience == [] and got[2].name is None
+
+
+def test_mentions_and_requirements(spark):
+    offer = "We use SQL.\nRequirements:\nPython, no Java; Go is a plus. Docker\nNice to have\nSQL 3.5 must be known. ŻÓŁW\nDuties\nPython"
+    rows = rq.mentions(texts(spark, offer, None, "", "SQL"), "k", "t", ["sql", "python", "java", "go", "docker", "zolw", "requirements"]).collect()
+    got = [(offer[r.start : r.end], r.line, r.section, r.polarity, r.confidence) for r in sorted(rows, key=lambda r: r.start) if r.k == 0]
+    assert got == [
+        ("SQL", 0, None, "INFORMATION", 0.35), ("Python", 2, "REQUIRED", "REQUIRED", 0.65), ("Java", 2, "REQUIRED", "NEGATED", 0.65), ("Go", 2, "REQUIRED", "PREFERRED", 0.65),
+        ("Docker", 2, "REQUIRED", "REQUIRED", 0.65), ("SQL", 4, "PREFERRED", "REQUIRED", 0.65), ("ŻÓŁW", 4, "PREFERRED", "PREFERRED", 0.65), ("Python", 6, "DUTIES", "INFORMATION", 0.35),
+    ]
+    found = rq.mentions(texts(spark, offer), "k", "t", ["sql", "python", "java", "go"])
+    names = spark.createDataFrame([("python", "Snake"), ("go", "Snake")], "phrase string, name string")
+    assert sorted(map(tuple, rq.extracted_requirements(found, "k", names).collect())) == [(0, "Snake", "REQUIRED", 3, 26, 0.65), (0, "sql", "REQUIRED", 2, offer.index("SQL 3.5"), 0.65)]
