@@ -54,7 +54,7 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir; one of our own only in local mode, an error elsewhere."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        if not spark.conf.get("spark.master", "local").startswith("local"):
+        if not spark.conf.get("spark.master", "").startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         named = f"file://{tempfile.gettempdir()}/tallyroom-checkpoints"
     return named.rstrip("/")
