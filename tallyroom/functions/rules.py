@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyroom.functions.numbers import clamp
@@ -99,6 +99,16 @@ def enough_text(sections: Column) -> Column:
     return (letters >= 10) & (long | (F.size(filled) >= 2))
 
 
+def enough_texts(df: DataFrame, by: list[str], text: str) -> DataFrame:
+    """(by, enough): the same of a key's rows, each a section; null texts are empty.  Only counts come together."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    filled = F.trim(t) != ""
+    out = df.groupBy(*by).agg(
+        F.sum(F.length(F.regexp_replace(t, "[^\\p{L}]", ""))).alias("letters"), F.bool_or(filled & (F.length(F.trim(t)) >= 20) & F.trim(t).contains(" ")).alias("long"), F.count_if(filled).alias("n")
+    )
+    return out.select(*by, ((F.col("letters") >= 10) & (F.col("long") | (F.col("n") >= 2))).alias("enough"))
+
+
 def applicability(enabled: Column, healthy: Column, lacking_required: Column, lacking_optional: Column) -> Column:
     """DISABLED, BLOCKED, INSUFFICIENT, PARTIAL or FULL, the first that holds; lacking: arrays of codes."""
     return F.when(~enabled, "DISABLED").when(~healthy, "BLOCKED").when(F.size(lacking_required) > 0, "INSUFFICIENT").when(F.size(lacking_optional) > 0, "PARTIAL").otherwise("FULL")

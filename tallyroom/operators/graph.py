@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tallyroom.functions.numbers import round_half_up
 from tallyroom.functions.phrases import substituted
 from tallyroom.functions.text import stem_phrase
-from tallyroom.operators.tables import saved
+from tallyroom.operators.tables import saved, stated_list
 
 
 def degrees(vertices: DataFrame, edges: DataFrame, node: str = "id") -> DataFrame:
@@ -116,7 +116,8 @@ def tiered_search(queries: DataFrame, names: DataFrame, similarity: Callable[[Co
     sure = asked.join(terms, ["kind", "t"]).select("query", "id", "s", "tier")
     texts = F.concat(F.array("name"), F.coalesce(F.col("aliases"), F.expr("CAST(array() AS array<string>)")))
     alike = names.select("id", "confidence", F.explode(texts).alias("n")).withColumn("n", F.lower("n"))
-    pairs = alike.crossJoin(F.broadcast(q))
+    # every pair of a stated list and the names; the list is sent where its size is checked, else dealt in blocks
+    pairs = alike.join(stated_list(q))
     like = pairs.withColumn("l", similarity(F.col("q"), F.col("n"))).where(F.col("l") >= least).groupBy("query", "id").agg(F.max(0.75 * F.col("l") + 0.25 * F.col("confidence")).alias("s")).withColumn("tier", F.lit("fuzzy"))
     order = F.array(*[F.lit(t) for t in ("exact", "alias", "jargon", "verbal", "stem", "tag", "fuzzy")])
     ranked = sure.unionByName(like).withColumn("o", F.array_position(order, F.col("tier")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyroom.functions.numbers import clamp, half_life, piecewise, smoothstep
@@ -126,3 +126,19 @@ def recency(observations: DataFrame, by: list[str], age: str, strength: str, wei
     """(owner, recency, n): the best decayed observation of each of ``by``, averaged by weight; future ones don't count."""
     best = observations.where(F.col(age) >= 0).groupBy(owner, *by).agg(F.max(half_life(F.col(age), half) * F.col(strength)).alias("v"), F.max(weight).alias("w"))
     return best.groupBy(owner).agg((100 * F.sum(F.col("v") * F.col("w")) / F.sum("w")).alias("recency"), F.count("*").alias("n"))
+
+
+def recommendations(matches: DataFrame, owner: str, order: list[str], most: int = 8) -> DataFrame:
+    """(owner, place, requirement, urgency, advice): what would raise an alignment, in the order given.
+
+    ADD: a requirement of which no evidence was found, the first ``most`` of an owner, CRITICAL for a core must, HIGH for a
+    must, else MEDIUM; formal ones (kind FORMAL, where there is such a column) have their own score.  MEASURE: one of
+    which nothing can be said, all of them, HIGH for a core must, else MEDIUM.  Places count from 1 by advice.
+    """
+    formal = F.coalesce(F.col("kind") == "FORMAL", F.lit(False)) if "kind" in matches.columns else F.lit(False)
+    advice = F.when((F.col("status") == "NOT_FOUND") & ~formal, "ADD").when(F.col("status") == "UNKNOWN", "MEASURE")
+    core = F.col("priority") == "CORE_MUST"
+    urgency = F.when(advice == "ADD", F.when(core, "CRITICAL").when(F.col("priority") == "MUST", "HIGH").otherwise("MEDIUM")).otherwise(F.when(core, "HIGH").otherwise("MEDIUM"))
+    rows = matches.withColumns({"advice": advice, "urgency": urgency}).where("advice IS NOT NULL")
+    placed = rows.withColumn("place", F.row_number().over(Window.partitionBy(owner, "advice").orderBy(*order)))
+    return placed.where((F.col("advice") == "MEASURE") | (F.col("place") <= most)).select(owner, "place", "requirement", "urgency", "advice")

@@ -1,4 +1,4 @@
-"""Helpers over profiles: imports by section, references, rendering, checks, lookups, keyword maps, evidence rules."""
+"""Helpers over profiles: imports by section, references, rendering, checks, lookups, profiles of rules, evidence rules."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyroom.functions.text import fold
+from tallyroom.operators.tables import stated_list
 
 
 def apply_import(local: DataFrame, incoming: DataFrame, key: list[str], section: str, strategies: dict[str, str]) -> DataFrame:
@@ -57,10 +58,10 @@ def looked_up(queries: DataFrame, places: DataFrame, query: str, ident: str, nam
 
     queries: a stated list, sent to all places.
     """
-    q = F.broadcast(queries.select(query, fold(F.trim(F.col(query))).alias("__q")).where("__q <> ''").distinct())
+    q = stated_list(queries.select(query, fold(F.trim(F.col(query))).alias("__q")).where("__q <> ''").distinct())
     rows = places.select(F.col(ident).cast("string").alias("__id"), fold(F.col(name)).alias("__n"))
     way = F.when(F.col("__q") == F.col("__id"), 1).when(F.col("__q") == F.col("__n"), 2).when(F.startswith("__n", "__q") | F.startswith("__q", "__n"), 3)
-    hits = rows.crossJoin(q).withColumn("__way", way).where("__way IS NOT NULL")
+    hits = rows.join(q).withColumn("__way", way).where("__way IS NOT NULL")
     return hits.groupBy(query).agg(F.min_by("__id", F.struct("__way", "__n", "__id")).alias("place"))
 
 

@@ -198,3 +198,15 @@ def unknown_terms(said: Column, known: Column) -> Column:
     """Members of an array of terms that an array of known ones lacks, folded, sorted."""
     low = lambda a: F.transform(a, lambda t: F.lower(F.trim(t)))
     return F.array_sort(F.array_except(low(said), low(known)))
+
+
+def unknown_counts(said: DataFrame, known: DataFrame, key: str, term: str) -> DataFrame:
+    """(key, n_unknown): distinct terms that a key's rows say and its known rows lack, folded by case and outer spaces; keys that have both.
+
+    Terms are rows throughout: no key's texts come together.
+    """
+    plain = lambda df: df.select(key, F.lower(F.trim(F.col(term))).alias("t")).where(F.col("t").isNotNull()).distinct()
+    a, b = plain(said), plain(known)
+    both = a.select(key).distinct().join(b.select(key).distinct(), key)
+    lost = a.join(b, [key, "t"], "left_anti").groupBy(key).agg(F.count("*").alias("n_unknown"))
+    return both.join(lost, key, "left").select(key, F.coalesce("n_unknown", F.lit(0)).alias("n_unknown"))

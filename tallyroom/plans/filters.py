@@ -61,8 +61,7 @@ SELECT conv_id, length(regexp_replace(array_to_string(f, ''), '[^\p{L}]', '', 'g
 """)
 def text_sufficiency(spark, d) -> DataFrame:
     """Whether a conversation's turns hold enough text to be judged."""
-    s = read(spark, d, "conversations").groupBy("conv_id").agg(F.collect_list(F.coalesce("text", F.lit(""))).alias("s"))
-    return s.select("conv_id", ru.enough_text(F.col("s")).alias("enough"))
+    return ru.enough_texts(read(spark, d, "conversations").select("conv_id", "text"), ["conv_id"], "text")
 
 
 @query("""

@@ -133,9 +133,8 @@ SELECT conv_id, CAST(len(list_filter(said, lambda t: NOT list_contains(known, t)
 """)
 def unknown_terms(spark, d) -> DataFrame:
     """How many words of the answers the questions lack."""
-    words = lambda role: F.flatten(F.collect_list(F.when(F.col("role") == role, F.split("text", " "))))
-    u = read(spark, d, "conversations").where("text IS NOT NULL").groupBy("conv_id").agg(words("assistant").alias("said"), words("user").alias("known")).where("size(said) > 0 AND size(known) > 0")
-    return u.select("conv_id", F.size(ts.unknown_terms(F.col("said"), F.col("known"))).cast("long").alias("n_unknown"))
+    rows = read(spark, d, "conversations").select("conv_id", "role", F.explode(F.split("text", " ")).alias("t"))
+    return ts.unknown_counts(rows.where("role = 'assistant'"), rows.where("role = 'user'"), "conv_id", "t")
 
 
 @query("""

@@ -83,6 +83,22 @@ def alignment_interval(spark, d) -> DataFrame:
     return r6(mt.alignment(_matches(spark, d), "l_suppkey"))
 
 
+@query("""
+WITH m AS (SELECT l_orderkey, l_linenumber AS requirement, CASE l_linenumber % 3 WHEN 0 THEN 'CORE_MUST' WHEN 1 THEN 'MUST' ELSE 'NICE' END AS priority, CASE WHEN l_partkey % 5 = 0 THEN 'FORMAL' ELSE 'SKILL' END AS kind, l_quantity AS weight,
+  CASE WHEN l_returnflag = 'A' THEN 'CONFIRMED' WHEN l_returnflag = 'R' AND l_discount < 0.03 THEN 'PARTIAL' WHEN l_discount < 0.05 THEN 'UNKNOWN' ELSE 'NOT_FOUND' END AS status FROM lineitem),
+a AS (SELECT *, CASE WHEN status = 'UNKNOWN' THEN 'MEASURE' ELSE 'ADD' END AS advice FROM m WHERE status = 'UNKNOWN' OR status = 'NOT_FOUND' AND kind <> 'FORMAL'), p AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, advice ORDER BY weight DESC, requirement) AS place FROM a)
+SELECT l_orderkey, CAST(place AS INTEGER) AS place, requirement, CASE WHEN priority = 'CORE_MUST' THEN CASE advice WHEN 'ADD' THEN 'CRITICAL' ELSE 'HIGH' END WHEN priority = 'MUST' AND advice = 'ADD' THEN 'HIGH' ELSE 'MEDIUM' END AS urgency, advice FROM p WHERE advice = 'MEASURE' OR place <= 2
+""")
+def alignment_advice(spark, d) -> DataFrame:
+    """What would raise orders' alignments, lines as requirements: two to add, and all to measure."""
+    n = F.col("l_linenumber") % 3
+    status = F.when(F.col("l_returnflag") == "A", "CONFIRMED").when((F.col("l_returnflag") == "R") & (F.col("l_discount") < 0.03), "PARTIAL").when(F.col("l_discount") < 0.05, "UNKNOWN").otherwise("NOT_FOUND")
+    rows = read(spark, d, "lineitem").select(
+        "l_orderkey", F.col("l_linenumber").alias("requirement"), F.when(n == 0, "CORE_MUST").when(n == 1, "MUST").otherwise("NICE").alias("priority"), F.when(F.col("l_partkey") % 5 == 0, "FORMAL").otherwise("SKILL").alias("kind"), F.col("l_quantity").alias("weight"), status.alias("status")
+    )
+    return mt.recommendations(rows, "l_orderkey", [F.col("weight").desc(), F.col("requirement")], 2)
+
+
 @query("""
 WITH m AS (SELECT l_orderkey, CASE WHEN l_linestatus = 'O' THEN 'ANY_OF' ELSE 'ALL_OF' END AS op, l_quantity AS w, CASE WHEN l_returnflag = 'A' THEN 1.0::DOUBLE WHEN l_returnflag = 'R' THEN 0.45::DOUBLE ELSE 0 END AS f,
   CASE WHEN l_returnflag = 'A' THEN 'CONFIRMED' WHEN l_returnflag = 'R' THEN 'PARTIAL' WHEN l_discount < 0.05 THEN 'UNKNOWN' ELSE 'NOT_FOUND' END AS s FROM lineitem),

@@ -30,7 +30,7 @@ def csv_records(spark, d) -> DataFrame:
     """A CSV file with quotes, commas, line breaks and records that don't fit, written and read back."""
     k = F.col("c_custkey")
     rows = read(spark, d, "customer").select(F.when(k % 7 == 0, F.concat(F.lit("no"), k.cast("string"))).otherwise(k.cast("string")).alias("c_custkey"), F.concat("c_name", F.lit(', "quoted"\nsecond line')).alias("name"))
-    good, bad = tables.read_records(spark, _file(spark, rows, "csv", header="true", escape='"', quoteAll="true"), T.StructType([T.StructField("c_custkey", T.LongType()), T.StructField("name", T.StringType())]), "csv")
+    good, bad = tables.read_records(spark, _file(spark, rows, "csv", header="true", escape='"', quoteAll="true"), T.StructType([T.StructField("c_custkey", T.LongType()), T.StructField("name", T.StringType())]), "csv", line_breaks=True)
     lost = bad.select(F.regexp_extract("line", "no([0-9]+)", 1).cast("long").alias("c_custkey"), F.lit("bad").alias("kind"), F.lit(None).cast("string").alias("name"))
     return good.select("c_custkey", F.lit("good").alias("kind"), "name").union(lost)
 

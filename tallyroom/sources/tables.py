@@ -14,16 +14,17 @@ def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def read_records(spark: SparkSession, path: str, schema: T.StructType, kind: str = "json") -> tuple[DataFrame, DataFrame]:
+def read_records(spark: SparkSession, path: str, schema: T.StructType, kind: str = "json", line_breaks: bool = False) -> tuple[DataFrame, DataFrame]:
     """(good, quarantine) of a JSON-lines or CSV file: a record that doesn't fit the schema is kept as it stands.
 
     Extra fields of JSON are passed over; an empty file gives no rows of either.  A CSV file's first line names the
-    columns; a quoted field may hold commas, line breaks and doubled quotes.
+    columns; a quoted field may hold commas and doubled quotes, and line breaks if asked: then a file is one task, else
+    its parts are read by many.
     """
     whole = T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())])
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
     if kind == "csv":
-        parsed = saved(spark.read.csv(path, schema=whole, header=True, multiLine=True, escape='"', **options))
+        parsed = saved(spark.read.csv(path, schema=whole, header=True, multiLine=line_breaks, escape='"', **options))
         return parsed.where("_corrupt IS NULL").drop("_corrupt"), parsed.where("_corrupt IS NOT NULL").select(F.col("_corrupt").alias("line"))
     lines = spark.read.text(path).where("trim(value) <> ''")
     rows = lines.select("value", F.from_json("value", whole, options).alias("r"))

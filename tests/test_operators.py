@@ -248,7 +248,7 @@ def test_records_with_bad_lines(spark, tmp_path):
     good, bad = tables.read_records(spark, f"file://{tmp_path}/x.jsonl", schema)
     assert sorted(r.a for r in good.collect()) == [1, 2] and [r[0] for r in bad.collect()] == ["{broken"]
     (tmp_path / "x.csv").write_text('a,b\n1,"x, ""y"""\nno,z\n2,"two\nlines"\n1,a\n')
-    good, bad = tables.read_records(spark, f"file://{tmp_path}/x.csv", schema, "csv")
+    good, bad = tables.read_records(spark, f"file://{tmp_path}/x.csv", schema, "csv", line_breaks=True)
     assert sorted(tuple(r) for r in good.collect()) == [(1, "a"), (1, 'x, "y"'), (2, "two\nlines")] and [r[0] for r in bad.collect()] == ["no,z"]
 
 
