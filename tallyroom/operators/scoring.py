@@ -68,7 +68,7 @@ def score_ledger(components: DataFrame, penalties: DataFrame, caps: DataFrame, k
     return out.withColumn("score", F.least(F.col("raw"), F.coalesce("cap", F.lit(100.0)), F.lit(100.0)))
 
 
-def ledger_violations(ledger: DataFrame, key: str, within: float = 1e-6) -> DataFrame:
+def ledger_violations(ledger: DataFrame, key: str, within: float = 1e-8) -> DataFrame:
     """(key, broken_rule): every equation of a ledger that its row doesn't keep."""
     rules = {
         "RAW": F.abs(F.col("raw") - F.greatest(F.lit(0.0), F.col("contribution") - F.col("penalty"))) > within,

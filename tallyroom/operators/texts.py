@@ -168,9 +168,11 @@ def answer_marks(text: Column) -> Column:
     return F.struct(count("[^ \\t\\n\\r]+").alias("n_words"), count("[0-9]+").alias("n_numbers"), count("\\?").alias("n_questions"), said("i", "me", "my").alias("n_i"), said("we", "us", "our").alias("n_we"), low.rlike("[0-9]+ ?%|result|increas|reduc|sav").alias("has_result"))
 
 
-def sections(docs: DataFrame, key: str, text: str, headers: dict[str, str]) -> DataFrame:
+def sections(docs: DataFrame, key: str, text: str, headers: dict[str, str], ignored: tuple[str, ...] = ()) -> DataFrame:
     """(key, line, section, content): each line under the last header at or before it; headers: name to a pattern on a whole line.
 
+    ignored: names of sections that are left out with all their lines, up to the next header.
+
     Headers part a text's array of lines; each part is a slice of it, so nothing is shuffled or grows line by line.
     """
     name = F.lit(None).cast("string")
@@ -184,7 +186,8 @@ def sections(docs: DataFrame, key: str, text: str, headers: dict[str, str]) -> D
     def part(x: Column, s: Column, end: Column) -> Column:
         return F.transform(F.slice(x, s["line"] + 1, end - s["line"]), lambda t, i: F.struct((s["line"] + i).alias("line"), s["header"].alias("section"), t.alias("content")))
 
-    return docs.select(key, F.explode(let(lines, parted)).alias("r")).select(key, "r.*")
+    kept = lambda rows: F.filter(rows, lambda r: ~F.coalesce(r["section"].isin(*ignored), F.lit(False))) if ignored else rows
+    return docs.select(key, F.explode(kept(let(lines, parted))).alias("r")).select(key, "r.*")
 
 
 def _first_match(x: Column, patterns: dict[str, str], otherwise: Column) -> Column:

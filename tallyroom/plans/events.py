@@ -50,10 +50,12 @@ def error_lifecycle(spark, d) -> DataFrame:
 
 
 @query("""
-SELECT user_id, strftime(ts, '%Y-%m-%d') AS period, count(*) AS used, least(count(*), 3) AS accepted, greatest(0, count(*) - 3) AS denied FROM events GROUP BY 1, 2
+SELECT user_id, strftime(ts + INTERVAL (user_id % 31) DAY, '%Y-%m') AS period, count(*) AS used, least(count(*), 40) AS accepted, greatest(0, count(*) - 40) AS denied FROM events GROUP BY 1, 2
 """)
 def usage_monthly_quota(spark, d) -> DataFrame:
-    return ev.quota_use(read(spark, d, "events"), ["user_id"], F.date_format("ts", "yyyy-MM-dd"), ["ts", "event_id"], 3)
+    """Users' months, which begin on other days, so that the events meet two of them."""
+    month = F.date_format(F.col("ts") + F.make_dt_interval(days=(F.col("user_id") % 31).cast("int")), "yyyy-MM")
+    return ev.quota_use(read(spark, d, "events"), ["user_id"], month, ["ts", "event_id"], 40)
 
 
 @query("""

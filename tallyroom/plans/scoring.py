@@ -73,13 +73,13 @@ def score_ledger(spark, d) -> DataFrame:
 
 
 @query(f"""
-WITH x AS (SELECT l_orderkey, cap, raw, CASE WHEN raw > 38 THEN raw + 3 ELSE least(raw, coalesce(cap, 100), 100) END AS score FROM ({LEDGER}))
-SELECT l_orderkey, 'CAP' AS broken_rule FROM x WHERE cap IS NOT NULL AND score > cap + 1e-6 UNION ALL SELECT l_orderkey, 'RANGE' FROM x WHERE score > 100 + 1e-6 OR score < -1e-6
-UNION ALL SELECT l_orderkey, 'SCORE' FROM x WHERE abs(score - least(raw, coalesce(cap, 100), 100)) > 1e-6
+WITH x AS (SELECT l_orderkey, cap, raw, CASE WHEN raw > 38 THEN raw + 3 WHEN l_orderkey % 10 = 0 THEN least(raw, coalesce(cap, 100), 100) + 1e-7 ELSE least(raw, coalesce(cap, 100), 100) END AS score FROM ({LEDGER}))
+SELECT l_orderkey, 'CAP' AS broken_rule FROM x WHERE cap IS NOT NULL AND score > cap + 1e-8 UNION ALL SELECT l_orderkey, 'RANGE' FROM x WHERE score > 100 + 1e-8 OR score < -1e-8
+UNION ALL SELECT l_orderkey, 'SCORE' FROM x WHERE abs(score - least(raw, coalesce(cap, 100), 100)) > 1e-8
 """)
 def ledger_violations(spark, d) -> DataFrame:
     """What the rules find in a ledger whose high scores were changed by hand."""
-    changed = _ledger(spark, d).withColumn("score", F.when(F.col("raw") > 38, F.col("raw") + 3).otherwise(F.col("score")))
+    changed = _ledger(spark, d).withColumn("score", F.when(F.col("raw") > 38, F.col("raw") + 3).when(F.col("l_orderkey") % 10 == 0, F.col("score") + 1e-7).otherwise(F.col("score")))
     return sc.ledger_violations(changed, "l_orderkey")
 
 

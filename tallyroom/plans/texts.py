@@ -20,11 +20,16 @@ def _count(pattern: str, text: str = "t") -> str:
 
 
 @query(f"""
-WITH x AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), c AS (SELECT doc_id, {_count("[\\p{L}\\p{N}]")} AS lexical, {_count("\\x{FFFD}")} + {_count("|".join(ts.BROKEN))} + 0.1::DOUBLE * {_count("[\\x{E000}-\\x{F8FF}]")} AS m FROM x)
+WITH x AS (SELECT doc_id, CASE doc_id % 4 WHEN 1 THEN replace(t, 'the', 't' || chr(57345) || 'e') WHEN 2 THEN replace(t, '. ', ' ' || chr(57346) || ' ') WHEN 3 THEN replace(t, 'on', chr(65533)) ELSE t END AS t FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)),
+p AS (SELECT *, regexp_replace(t, '[^\\p{{L}}\\p{{N}}\\x{{E000}}-\\x{{F8FF}}]', ' ', 'g') AS u FROM x),
+c AS (SELECT doc_id, {_count("[\\p{L}\\p{N}]")} AS lexical, {_count("\\x{FFFD}")} + {_count("|".join(ts.BROKEN))} + 0.1::DOUBLE * {_count("[\\x{E000}-\\x{F8FF}]")} + 0.7::DOUBLE * ({_count("[\\x{E000}-\\x{F8FF}]", "u")} - {_count("[\\x{E000}-\\x{F8FF}]", "regexp_replace(u, '[\\p{L}\\p{N}][\\x{E000}-\\x{F8FF}]|[\\x{E000}-\\x{F8FF}][\\p{L}\\p{N}]', '', 'g')")}) AS m FROM p)
 SELECT doc_id, CAST(lexical AS BIGINT) AS lexical, round(CAST(m AS DOUBLE), 6) AS damage_mass, round(m / greatest(1, lexical), 6) AS damage, round(exp(-(m / greatest(1, lexical)) / 0.008), 6) AS encoding FROM c
 """)
 def doc_encoding_quality(spark, d) -> DataFrame:
-    return r6(ts.encoding_damage(read(spark, d, "documents").select("doc_id", "text"), "text").drop("text"))
+    """Damage of documents, of which three in four are damaged in one way each: signs within words, signs alone, lost letters."""
+    t, k = F.coalesce("text", F.lit("")), F.col("doc_id") % 4
+    hurt = F.when(k == 1, F.replace(t, F.lit("the"), F.lit("t\ue001e"))).when(k == 2, F.replace(t, F.lit(". "), F.lit(" \ue002 "))).when(k == 3, F.replace(t, F.lit("on"), F.lit("\ufffd"))).otherwise(t)
+    return r6(ts.encoding_damage(read(spark, d, "documents").select("doc_id", hurt.alias("text")), "text").drop("text"))
 
 
 HEADINGS, CONTACT, OTHERS = ["(?i)licen[sc]e", "(?i)copyright", "(?i)all rights"], "[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+", ["[{}<>]", "#{2}", "[0-9]{6}"]
@@ -194,10 +199,10 @@ def html_job_cascade(spark, d) -> DataFrame:
 
 
 @query(f"""
-WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS x, unnest(range(len(string_split(coalesce(text, ''), chr(10)))))::INTEGER AS line FROM documents), h AS (SELECT *, CASE WHEN regexp_matches(lower(trim(x)), '^[a-z ]{{1,25}}[.]$') THEN 'short' WHEN regexp_matches(lower(trim(x)), '^[0-9]') THEN 'numbered' END AS k FROM l)
-SELECT doc_id, coalesce(section, 'none') AS section, count(*) AS n FROM (SELECT doc_id, last_value(k IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line ROWS UNBOUNDED PRECEDING) AS section FROM h) GROUP BY 1, 2
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS x, unnest(range(len(string_split(coalesce(text, ''), chr(10)))))::INTEGER AS line FROM documents), h AS (SELECT *, CASE WHEN regexp_matches(lower(trim(x)), '^[a-z ]{{1,25}}[.]$') THEN 'short' WHEN regexp_matches(lower(trim(x)), '^[0-9]') THEN 'numbered' WHEN regexp_matches(lower(trim(x)), '^(?:licen|copyright|permission)') THEN 'legal' END AS k FROM l)
+SELECT doc_id, coalesce(section, 'none') AS section, count(*) AS n FROM (SELECT doc_id, last_value(k IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line ROWS UNBOUNDED PRECEDING) AS section FROM h) WHERE section IS DISTINCT FROM 'legal' GROUP BY 1, 2
 """)
 def section_lines(spark, d) -> DataFrame:
-    """Lines under the last short or numbered line."""
-    found = ts.sections(read(spark, d, "documents").select("doc_id", "text"), "doc_id", "text", {"short": "^[a-z ]{1,25}[.]$", "numbered": "^[0-9]"})
+    """Lines under the last short or numbered line; what stands under licences is left out."""
+    found = ts.sections(read(spark, d, "documents").select("doc_id", "text"), "doc_id", "text", {"short": "^[a-z ]{1,25}[.]$", "numbered": "^[0-9]", "legal": "^(?:licen|copyright|permission)"}, ("legal",))
     return found.groupBy("doc_id", F.coalesce("section", F.lit("none")).alias("section")).agg(F.count("*").alias("n"))
