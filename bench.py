@@ -14,6 +14,7 @@ HEADLINE = [
     "kanon_token_corpus", "event_error_rollup", "rate_limit_fixed_window", "calendar_union", "interval_union_days", "interval_overlaps", "activity_gaps", "confidence_from_evidence", "score_ledger",
     "penalty_budget_double", "requirement_match", "alignment_interval", "formal_any_all", "half_life_recency", "lexeme_log_odds", "runtime_signal", "drift_report", "budgeted_lines", "round_robin_sample",
     "bounded_paths", "pagerank_fixed", "doc_encoding_quality", "html_job_cascade", "pii_scrub", "structure_score", "section_lines", "order_discordance", "telemetry_score", "role_relevance", "keyword_map",
+    "phrase_log_odds", "dictionary_words", "dynamic_phrases", "truth_verdicts", "requirement_mentions", "text_blocks", "source_agreement", "unwrapped_columns", "profile_jobs", "bounded_queue",
 ]
 
 

@@ -244,3 +244,35 @@ RANGES = [
 @query(_made("orders", "o_orderkey", RANGES, "first, last"))
 def month_ranges(spark, d) -> DataFrame:
     return read(spark, d, "orders").select("o_orderkey", ph.month_range(chosen(F.col("o_orderkey"), [r for r, _, _ in RANGES])).alias("r")).select("o_orderkey", "r.*")
+
+
+@query(r"""
+SELECT conv_id, turn, trim(regexp_replace(regexp_replace(replace(strip_accents(lower(coalesce(text, ''))), 'ł', 'l'), '[^a-z0-9 -]', ' ', 'g'), ' +', ' ', 'g')) AS term FROM conversations
+""")
+def normal_turns(spark, d) -> DataFrame:
+    """Every turn in the form of a search term."""
+    return read(spark, d, "conversations").select("conv_id", "turn", tx.normal_term(F.coalesce("text", F.lit(""))).alias("term"))
+
+
+@query(r"""
+WITH t AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(lower(coalesce(text, '')), '[,;:!?()\[\]{}"''«»„”…‘’‚‛′“‟″]', ' ', 'g'), '[.](\s|$)', ' \1', 'g'), '[.](\s|$)', ' \1', 'g') AS t FROM documents),
+w AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(t, '\s+'), lambda x: regexp_replace(x, '^[-/]+|[-/]+$', '', 'g')), lambda x: length(x) > 1 AND regexp_matches(x, '[a-ząćęłńóśźż0-9]') AND x NOT IN ('the', 'und')) AS w FROM t)
+SELECT doc_id, CAST(len(w) AS INTEGER) AS n, md5(array_to_string(w, ' ')) AS words FROM w
+""")
+def words_of_documents(spark, d) -> DataFrame:
+    """Words of documents without signs and function words."""
+    words = ph.sentence_words(F.col("text"), ["the", "und"])
+    return read(spark, d, "documents").select("doc_id", words.alias("w")).select("doc_id", F.size("w").alias("n"), F.md5(F.array_join("w", " ")).alias("words"))
+
+
+@query("""
+WITH o AS (SELECT o_orderkey, CAST(year(o_orderdate) * 12 + month(o_orderdate) - 1 AS INTEGER) AS m, CAST(o_orderkey % 40 AS INTEGER) AS n FROM orders)
+SELECT o_orderkey, CASE o_orderkey % 5 WHEN 2 THEN m // 12 * 12 WHEN 4 THEN CASE WHEN n = 0 THEN m END ELSE m END AS first, CASE o_orderkey % 5 WHEN 0 THEN m WHEN 2 THEN (m + n) // 12 * 12 WHEN 4 THEN CASE WHEN n = 0 THEN m END ELSE m + n END AS last FROM o
+""")
+def order_ranges(spark, d) -> DataFrame:
+    """Ranges of months that are written in five ways, from each order's date: alone, with points, as years, with slashes, and turned round."""
+    at, k = F.to_date("o_orderdate"), F.col("o_orderkey")
+    end = F.add_months(at, (k % 40).cast("int"))
+    say = lambda form, a, mark, b: F.concat(F.date_format(a, form), F.lit(mark), F.date_format(b, form))
+    text = F.when(k % 5 == 0, F.date_format(at, "yyyy-MM")).when(k % 5 == 1, say("MM.yyyy", at, " - ", end)).when(k % 5 == 2, say("yyyy", at, "–", end)).when(k % 5 == 3, say("yyyy-MM", at, " / ", end)).otherwise(say("MM.yyyy", end, " — ", at))
+    return read(spark, d, "orders").select("o_orderkey", ph.month_range(text).alias("r")).select("o_orderkey", "r.*")
