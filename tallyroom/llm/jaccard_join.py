@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyroom.llm.common import discard, field, longs, map_texts, without, written
+from tallyroom.llm.common import broadcast_if, discard, field, longs, map_texts, without, written
 from tallyroom.llm.components import HUBS, connected_components, with_key_values
 
 #: Of the first order: as many shingles lead as a prefix needs, times this; the commonest of them then stay behind it.
@@ -64,9 +64,27 @@ def shingler(size: int) -> Callable[[str | None], np.ndarray]:
     return shingles
 
 
-def set_key(tokens: np.ndarray) -> int:
-    """A 64-bit name of a set."""
-    return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True)
+def set_key(tokens: np.ndarray, bits: int = 64) -> tuple[int, int]:
+    """A name of a set, of ``bits`` bits, and 64 bits more by which sets of one name are told apart."""
+    whole = hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
+    return int.from_bytes(whole[:8], "little", signed=True) >> (64 - bits), int.from_bytes(whole[8:], "little", signed=True)
+
+
+def clashes(rows: DataFrame) -> DataFrame | None:
+    """(node, __clash) of the names that stand for more than one set among rows (node, check); None for none.
+
+    Counted before they are joined; of n sets about n * n / 2 ** 65 names clash, so the list is short.
+    """
+    found = written(rows.groupBy("node").agg(F.min("check").alias("a"), F.max("check").alias("b")).where("a <> b").select("node", F.lit(True).alias("__clash")))
+    return None if found.isEmpty() else found
+
+
+def told_apart(rows: DataFrame, clash: DataFrame | None) -> DataFrame:
+    """The rows without check; where a name clashes, it becomes one of both hashes."""
+    if clash is None:
+        return rows.drop("check")
+    named = rows.join(broadcast_if(clash, BROADCAST_ROWS), "node", "left")
+    return named.withColumn("node", F.when(F.col("__clash"), F.xxhash64("node", "check")).otherwise(F.col("node"))).drop("check", "__clash")
 
 
 def prefix_length(n: np.ndarray | int, percent: int):
@@ -180,18 +198,21 @@ def large_links(sets: DataFrame, percent: int, block_sets: int) -> DataFrame:
 
 
 def jaccard_components(
-    docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = 4, percent: int = 85, lead: float = LEAD, block_sets: int = BLOCK_SETS, block_shingles: int = BLOCK_SHINGLES, broadcast_rows: int = BROADCAST_ROWS
+    docs: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = 4, percent: int = 85, lead: float = LEAD, block_sets: int = BLOCK_SETS, block_shingles: int = BLOCK_SHINGLES, broadcast_rows: int = BROADCAST_ROWS, bits: int = 64
 ) -> DataFrame:
     """(key, n_shingles, component_id) for each row; component_id: the smallest key reachable by links, itself included.
 
     Words: runs without ASCII white space, A-Z lower-cased; a set holds the distinct shingles of ``size`` words, or the
     whole sequence where there are fewer.  Rows link when 100 * intersection >= percent * union.  Null and empty texts
     have no shingles, link with nothing and keep their own key.  Rows with equal sets are one set (so repeated rows
-    share a component); null keys are passed over by the smallest key unless there is no other.  Shingles and sets are
-    told apart by 64-bit hashes.  An empty table gives no rows.
+    share a component); null keys are passed over by the smallest key unless there is no other.  Shingles are
+    told apart by 64-bit hashes, sets by 128 bits: by a name of ``bits`` bits, and sets of one name by 64 more.  An empty
+    table gives no rows.
     """
-    sets_of = _make_sets(size, percent, -(-int(lead * (100 - percent) * 1000) // 1000))
-    table = written(map_texts(docs.select(key, text), text, [field("n", "long"), field("node", "long"), longs("lead")], sets_of, keep=[key]))
+    sets_of = _make_sets(size, percent, -(-int(lead * (100 - percent) * 1000) // 1000), bits)
+    table = written(map_texts(docs.select(key, text), text, [field("n", "long"), field("node", "long"), field("check", "long"), longs("lead")], sets_of, keep=[key]))
+    clash = clashes(table.where("n > 0"))
+    table = told_apart(table, clash)
     sets = table.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first(F.size("lead")).alias("n_lead"), F.first("lead").alias("lead"))
     clusters = prefix_clusters(sets, percent)
     rows = table.where("n > 0").select(F.col(key).alias("__key"), "node", "n")
@@ -204,7 +225,8 @@ def jaccard_components(
         held = F.broadcast(held)
     texts = docs.select(F.col(key).alias("__id"), F.col(text).alias("__text"))
     texts = texts.join(held, texts["__id"].eqNullSafe(held["__key"]), "left_semi")
-    whole = map_texts(texts, "__text", [field("n", "long"), field("node", "long"), longs("tokens")], _make_sets(size, percent, 100), keep=[])
+    whole = map_texts(texts, "__text", [field("n", "long"), field("node", "long"), field("check", "long"), longs("tokens")], _make_sets(size, percent, 100, bits), keep=[])
+    whole = told_apart(whole, clash)
     members = whole.join(holders.select("node", "cluster", "blocks", "n_cluster"), "node").groupBy("node", "cluster", "blocks", "n_cluster").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
     members = written(members)
     edges = _cluster_links(members, percent, block_sets, block_shingles)
@@ -253,8 +275,8 @@ def _cluster_links(members: DataFrame, percent: int, block_sets: int, block_shin
         left = still
 
 
-def _make_sets(size: int, percent: int, lead: int) -> Callable[[], Callable[[list], list[tuple]]]:
-    """Tasks' functions from texts to (n, node, tokens that lead); lead: how many of 100 do."""
+def _make_sets(size: int, percent: int, lead: int, bits: int = 64) -> Callable[[], Callable[[list], list[tuple]]]:
+    """Tasks' functions from texts to (n, node, check, tokens that lead); lead: how many of 100 do."""
 
     def make() -> Callable[[list], list[tuple]]:
         shingles = shingler(size)
@@ -269,7 +291,7 @@ def _make_sets(size: int, percent: int, lead: int) -> Callable[[], Callable[[lis
                     short = prefix_length(len(s), percent) - int(front.sum())
                     # what follows the leading tokens comes by value alone: it is known to be next without counts
                     chosen = s[front] if short <= 0 else np.concatenate([s[front], s[~front][:short]])
-                out.append((len(s), set_key(s) if len(s) else None, chosen.view(np.int64)))
+                out.append((len(s), *(set_key(s, bits) if len(s) else (None, None)), chosen.view(np.int64)))
             return out
 
         return sets

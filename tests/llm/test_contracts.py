@@ -606,3 +606,12 @@ def test_sample_is_bounded_by_code_points(spark):
         assert sum(len(r.text or "") for r in got if r["__label"] == label) <= 5_500
     whole = bounded_labels(rows, marks, "toxic", "doc_id", "text", 10**9, 0, 100, 10**7).count()
     assert whole == 52 and len(got) >= 5
+
+
+@pytest.mark.parametrize("sent", [10**6, 0])
+def test_jaccard_sets_whose_names_clash(spark, sent):
+    """With names of three bits nearly all sets share theirs, and the second hash tells them apart."""
+    rng = random.Random(30)
+    rows = near_copies(rng, 6, 10) + [(900, None), (901, "")]
+    found = jaccard_join.jaccard_components(docs(spark, rows), bits=3, broadcast_rows=sent)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found.collect()} == brute_components(rows)
