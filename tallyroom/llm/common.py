@@ -18,7 +18,7 @@ SPACE = "[\\x20\\x09-\\x0D]+"
 PLAIN_BYTES = re.compile(rb"[0-9a-z\x80-\xff]+")
 _TO_SPACE = bytes(b if PLAIN_BYTES.fullmatch(bytes([b])) else 32 for b in range(256))
 #: Rows of an Arrow batch that are Python objects at the same time, and bytes of a batch (one row at least).
-SLICE, BATCH_BYTES = 256, 16 << 20
+SLICE, BATCH_BYTES = 128, 8 << 20
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

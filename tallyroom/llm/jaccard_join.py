@@ -33,7 +33,7 @@ BLOCK_SETS, BLOCK_SHINGLES = 2_000, 1_500_000
 #: Rows that may be sent to all executors (8 bytes each); beyond, the same join is shuffled.
 BROADCAST_ROWS = 1_000_000
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
-_WORDS_KEPT = 400_000
+_WORDS_KEPT = 100_000
 
 
 def mixed(h: np.ndarray, salt: int = 0) -> np.ndarray:

@@ -10,10 +10,10 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,8 +29,10 @@ PER_CLASS, PER_CLASS_CHARS = 1_200, 20_000_000
 LEAST_TEXTS, STEPS, PASSES = 2, 6_000, 4
 #: Steps of the scores by which labelled texts are counted for the thresholds.
 BINS = 1_000
+#: Code points of the texts whose words a task holds at the same time; a longer text is alone.
+PART_CHARS = 500_000
 #: Words whose filter values a task keeps; beyond, it begins anew.
-WORDS_KEPT = 100_000
+WORDS_KEPT = 50_000
 #: Labelled ids (8 bytes each) that may be sent to all executors; beyond, they are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 _WORD = re.compile(r"\w+")
@@ -40,6 +42,19 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
+def in_parts(texts: list[str | None], most: int = PART_CHARS) -> Iterator[list[str | None]]:
+    """The texts in order, so many at a time as hold ``most`` code points together, one at least: their words are objects."""
+    part, held = [], 0
+    for text in texts:
+        if part and held + len(text or "") > most:
+            yield part
+            part, held = [], 0
+        part.append(text)
+        held += len(text or "")
+    if part:
+        yield part
+
+
 def buckets(word: str) -> list[int]:
     """1 + len(STARTS) hash buckets; beginnings longer than the word stand for the word."""
     return [zlib.crc32(word.encode("utf-8", "surrogatepass")) % BUCKETS, *[zlib.crc32(b"^%d" % n + word[:n].encode("utf-8", "surrogatepass")) % BUCKETS for n in STARTS]]
@@ -189,11 +204,12 @@ def thresholds(docs: DataFrame, labels: DataFrame, fitted: list, scored: Callabl
     # languages that can't have a threshold are left out before their bins come together
     lines = bins.groupBy("__lang").agg(F.collect_list(F.struct("__bin", "n", "y")).alias("bins"), F.sum("n").alias("n"), F.sum("y").alias("y")).where((F.col("n") >= least) & (F.col("y") > 0) & (F.col("y") < F.col("n")))
 
-    @F.pandas_udf("double")
-    def level(found: pd.Series) -> pd.Series:
-        return found.map(lambda some: calibrated([(r["__bin"], r["n"], r["y"]) for r in some], least))
+    def level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = [calibrated([(r["__bin"], r["n"], r["y"]) for r in some], least) for some in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.float64())], names=["__lang", "lang_threshold"])
 
-    return written(lines.select("__lang", level("bins").alias("lang_threshold")).where("lang_threshold IS NOT NULL"))
+    return written(lines.select("__lang", "bins").mapInArrow(level, "__lang string, lang_threshold double").where("lang_threshold IS NOT NULL"))
 
 
 def classify_toxicity(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", lang: str | None = "lang", keep: list[str] | None = None, modulus: int = 4, left_out: int = 2, per_class: int = PER_CLASS, per_class_chars: int = PER_CLASS_CHARS, least_texts: int = LEAST_TEXTS, threshold: float = 0.3, least: int = 30) -> DataFrame:
@@ -214,7 +230,7 @@ def classify_toxicity(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id"
 
     def make() -> Callable[[list], list[tuple]]:
         score = sent.value.scorer()
-        return lambda texts: [(s,) for s in score(texts)]
+        return lambda texts: [(s,) for part in in_parts(texts) for s in score(part)]
 
     source = without(docs, [n for n in made if n not in (key, text)])
     use = [lang] if lang and lang in docs.columns else []
