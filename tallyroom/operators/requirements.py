@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tallyroom.operators.dictionary import automaton_of, folded, hits
+from tallyroom.operators.dictionary import JOINED, automaton_of, folded, hits
 
 #: Of the parser's confidence: where a section or a word of the clause says what is meant, and where nothing does.
 TOLD, UNTOLD = 0.65, 0.35
@@ -33,13 +33,14 @@ def _pattern(words: tuple[str, ...]) -> re.Pattern:
     return re.compile(rf"(?<!\w)(?:{'|'.join(map(re.escape, words)) or '(?!)'})(?!\w)")
 
 
-def mentions(docs: DataFrame, key: str, text: str, phrases: list[str], cues: Cues = Cues()) -> DataFrame:  # noqa: B008
+def mentions(docs: DataFrame, key: str, text: str, phrases: list[str], cues: Cues = Cues(), joined: str = JOINED) -> DataFrame:  # noqa: B008
     """(key, phrase, start, end, line, section, polarity, confidence): every place of the phrases, and what it is there.
 
     section: of the last heading at or above the line, null before the first.  A clause ends at . ! ? before white space,
     at ; bullets and line ends.  polarity: NEGATED if a negation stands before the phrase in its clause; else REQUIRED or
     PREFERRED by a word of the clause, the one that stands nearest before the phrase, or else the first behind it; else by
     the section; else INFORMATION.  Places are code points of the text as it stands.  Headings hold no mention.
+    joined: signs that belong to a word beside letters and digits: by default C is not mentioned in C++ or C#.
     """
     kinds = [docs.schema[key].dataType, T.StringType(), T.LongType(), T.LongType(), T.IntegerType(), T.StringType(), T.StringType(), T.DoubleType()]
     schema = T.StructType([T.StructField(n, k) for n, k in zip([key, "phrase", "start", "end", "line", "section", "polarity", "confidence"], kinds, strict=True)])
@@ -64,7 +65,7 @@ def mentions(docs: DataFrame, key: str, text: str, phrases: list[str], cues: Cue
         for batch in batches:
             out = []
             for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = sorted(hits(t, automaton), key=lambda h: h[1:]) if t else []
+                found = sorted(hits(t, automaton, joined), key=lambda h: h[1:]) if t else []
                 if not found:
                     continue
                 ends = [0, *[m.end() for m in _END.finditer(t)], len(t) + 1]
