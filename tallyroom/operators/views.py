@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,16 +60,44 @@ def match_percent(df: DataFrame, by: list[str], matched: Column) -> DataFrame:
 
 
 def tag_claims(claims: DataFrame, ident: str, tags: str) -> DataFrame:
-    """(tag, n_claims, mark): how many claims carry a tag, each once, and a mark of which they are.
+    """(tag, n_claims, mark, claims): how many claims a tag has, each once, and two marks of which they are.
 
-    mark: the sum and the exclusive or of the ids' hashes, in hexadecimal: equal for equal sets of ids, in any order, so
-    no tag's ids are gathered.  Null tags and ids are left out.
+    mark: the sum and the exclusive or of the ids' hashes, in hexadecimal, equal for equal sets of ids in any order.
+    claims: MD5 of the ids in order, comma-joined.  A tag's sorted ids stream through one task, as MD5 has to read them
+    so; none are gathered.  Null tags and ids are left out.
     """
-    pairs = claims.select(ident, F.explode(F.array_distinct(tags)).alias("tag")).where(F.col(ident).isNotNull() & F.col("tag").isNotNull()).distinct()
-    mark = F.md5(F.concat_ws(":", F.col(ident).cast("string")))
-    part = lambda at: F.conv(F.substring(mark, at, 8), 16, 10).cast("long")
-    rows = pairs.select("tag", part(1).alias("a"), part(9).alias("b"))
-    return rows.groupBy("tag").agg(F.count("*").alias("n_claims"), F.concat_ws("-", F.lower(F.hex(F.sum("a"))), F.lower(F.hex(F.bit_xor("b")))).alias("mark"))
+    pairs = claims.select(F.col(ident).alias("__id"), F.explode(F.array_distinct(tags)).alias("tag")).where(F.col("__id").isNotNull() & F.col("tag").isNotNull()).distinct()
+    rows = pairs.select("tag", F.col("__id").cast("string").alias("id"), "__id").repartition("tag").sortWithinPartitions("tag", "__id").select("tag", "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, n, total, mixed, whole = None, 0, 0, 0, hashlib.md5()
+        done: list[tuple] = []
+
+        def closed() -> tuple:
+            return now, n, f"{total:x}-{mixed:x}", whole.hexdigest()
+
+        for batch in batches:
+            for tag, one in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if tag != now:
+                    if n:
+                        done.append(closed())
+                    now, n, total, mixed, whole = tag, 0, 0, 0, hashlib.md5()
+                told = one.encode()
+                mark = hashlib.md5(told).hexdigest()
+                whole.update(b"," + told if n else told)
+                n, total, mixed = n + 1, total + int(mark[:8], 16), mixed ^ int(mark[8:16], 16)
+            if done:
+                yield _claims(done)
+                done = []
+        if n:
+            yield _claims([closed()])
+
+    return rows.mapInArrow(run, "tag string, n_claims long, mark string, claims string")
+
+
+def _claims(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.string(), pa.int64(), pa.string(), pa.string()]
+    return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["tag", "n_claims", "mark", "claims"])
 
 
 def distinct_names(df: DataFrame, name: Column) -> DataFrame:
@@ -163,12 +195,14 @@ def proposals(entities: DataFrame, changes: DataFrame, key: str, value: str, gua
     return both.select(key, state.alias("state"), F.when(state == "PENDING", F.col(value)).otherwise(F.coalesce("__new", value)).alias(value))
 
 
-def skill_labels(labels: DataFrame, skill: str, label: str, derived: Column, most: int = 50) -> DataFrame:
-    """(skill, n, labels): how many other labels a skill has, each once, derived ones hidden, and the first ``most`` by name.
+def skill_labels(labels: DataFrame, skill: str, label: str, derived: Column, most: int | None = None) -> DataFrame:
+    """(skill, n, labels): how many other labels a skill has, each once, derived ones hidden, and which, by name.
 
-    A null ``derived`` hides nothing.  Labels are numbered within a skill, so that one with very many gathers no more
-    than it shows.
+    A null ``derived`` hides nothing.  most: of the labels only so many are shown; they are numbered within a skill then,
+    so that one with very many gathers no more than it shows.
     """
     one = labels.where(~F.coalesce(derived, F.lit(False))).select(skill, F.lower(label).alias("__l")).where("__l IS NOT NULL").distinct()
-    ranked = one.withColumn("__r", F.row_number().over(Window.partitionBy(skill).orderBy("__l")))
-    return ranked.groupBy(skill).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.when(F.col("__r") <= most, F.col("__l")))).alias("labels"))
+    if most is not None:
+        one = one.withColumn("__r", F.row_number().over(Window.partitionBy(skill).orderBy("__l")))
+    shown = F.col("__l") if most is None else F.when(F.col("__r") <= most, F.col("__l"))
+    return one.groupBy(skill).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(shown)).alias("labels"))
