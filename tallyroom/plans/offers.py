@@ -179,10 +179,10 @@ def proposal_queue(spark, d) -> DataFrame:
     return vw.proposals(parts, changes, "p_partkey", "size", F.col("size") > 45)
 
 
-@query("WITH a AS (SELECT *, row_number() OVER (PARTITION BY canonical ORDER BY alt) AS r FROM (SELECT DISTINCT p_type AS canonical, lower(p_name) AS alt FROM part WHERE p_name <> p_type AND NOT contains(p_name, 'ring'))) SELECT canonical, count(*) AS n, string_agg(alt, '|' ORDER BY alt) FILTER (r <= 50) AS labels FROM a GROUP BY 1")
+@query("WITH a AS (SELECT DISTINCT p_type AS canonical, lower(p_name) AS alt FROM part WHERE lower(p_name) <> lower(p_type)) SELECT canonical, count(*) AS n, string_agg(alt, '|' ORDER BY alt) AS labels FROM a GROUP BY 1")
 def skill_synonyms(spark, d) -> DataFrame:
-    """A skill's other labels, each once; derived ones are hidden."""
-    derived = F.col("p_name").contains("ring") | (F.col("p_name") == F.col("p_type"))
+    """A skill's other labels, each once, all of them; its own name in any case of letters is none."""
+    derived = F.lower("p_name") == F.lower("p_type")
     found = vw.skill_labels(read(spark, d, "part").select(F.col("p_type").alias("canonical"), "p_type", "p_name"), "canonical", "p_name", derived)
     return found.select("canonical", "n", F.array_join("labels", "|").alias("labels"))
 
