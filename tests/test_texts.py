@@ -9,10 +9,12 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from tallyroom.functions import features as ft
 from tallyroom.functions import phrases as ph
 from tallyroom.operators import blocks as bl
 from tallyroom.operators import claims as cl
 from tallyroom.operators import dictionary as di
+from tallyroom.operators import learning as ln
 from tallyroom.operators import profiles as pr
 from tallyroom.operators import requirements as rq
 from tallyroom.operators import resume
@@ -208,3 +210,17 @@ def test_mentions_and_requirements(spark):
     found = rq.mentions(texts(spark, offer), "k", "t", ["sql", "python", "java", "go"])
     names = spark.createDataFrame([("python", "Snake"), ("go", "Snake")], "phrase string, name string")
     assert sorted(map(tuple, rq.extracted_requirements(found, "k", names).collect())) == [(0, "Snake", "REQUIRED", 3, 26, 0.65), (0, "sql", "REQUIRED", 2, offer.index("SQL 3.5"), 0.65)]
+
+
+def test_features_in_tasks_are_those_of_columns(spark):
+    odd = [None, "", "C++ c# c### .NET,node.js k8s_k8s [gone c++] x", "www.a.b --a/b-- 12 a1b 1ab ab1 ²ab1 aⅧ1 ½x1b ł1ó", "a\n\r\nbb\n  \nccc\nlong line", "to be " * 9, "ÀÉ–Ż — ©®|\\_=<>\ufffd x_y", "İstanbul ΣΑΣ \u00a0 x\x0by", "l1t " * 400, "a" * 49 + " " + "b" * 48, "[ open ++ [] a"]
+    random.seed(5)
+    odd += ["".join(random.choices("ab1_ .+#[]\n²ż-/c", k=random.randrange(400))) for _ in range(60)]
+    rows = texts(spark, *odd).select("k", "t", ln.text_features(F.col("t")).alias("f"), ln.meta_features(F.col("t")).alias("m")).collect()
+    known = ft.Tokens()
+    for r in rows:
+        assert sorted(ft.features(r.t, known)) == sorted(r.f), r.t
+        assert ft.marks(r.t, ft.tokens(r.t, known)) == r.m, r.t
+    assert sorted(map(tuple, ln.form_rows(texts(spark, *odd), "k", "t").collect())) == sorted((r.k, x) for r in rows for x in r.m)
+    counted = ln.feature_counts(texts(spark, *odd).withColumn("l", F.col("k") % 2), "t", "l").groupBy("l", "feature").agg(F.sum("n")).collect()
+    assert sorted(map(tuple, counted)) == sorted((k, f, sum(f in r.f for r in rows if r.k % 2 == k)) for k in (0, 1) for f in {f for r in rows if r.k % 2 == k for f in r.f})
