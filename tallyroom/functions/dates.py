@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tallyroom.functions.text import let
+
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 NOW_WORDS = ("present", "now", "today", "current")
 
@@ -15,17 +17,19 @@ def parse_month(text: Column, now: Column | None = None, names: tuple = MONTHS)
     names: the first letters of the months.  Years outside 1900 to 2100 and months outside 1 to 12 are null; a word
     for the present is ``now``.
     """
-    t = F.lower(F.trim(text))
+    iso, dotted, word, year = "^([0-9]{4})[-./]([0-9]{1,2})(?:[-./][0-9]{1,2})?$", "^([0-9]{1,2})[-./]([0-9]{4})$", "^([a-z]+)[.,]? +([0-9]{4})$", "^([0-9]{4})$"
 
-    def part(pattern: str, k: int) -> Column:
-        return F.nullif(F.regexp_extract(t, pattern, k), F.lit("")).cast("int")
+    def of(t: Column) -> Column:
+        def part(pattern: str, k: int) -> Column:
+            return F.nullif(F.regexp_extract(t, pattern, k), F.lit("")).cast("int")
 
-    iso, dotted, word, year = "^([0-9]{4})[-./]([0-9]{1,2})(?:[-./][0-9]{1,2})?$", "^([0-9]{1,2})[-./]([0-9]{4})$", "^([a-z]+)[.,]? +([0-9]{4})$", "^([0-9]{4})$"
-    named = F.array_position(F.array(*[F.lit(n) for n in names]), F.substring(F.regexp_extract(t, word, 1), 1, 3)).cast("int")
-    y = F.coalesce(part(iso, 1), part(dotted, 2), part(word, 2), part(year, 1))
-    m = F.coalesce(part(iso, 2), part(dotted, 1), F.when(part(word, 2).isNotNull(), named), F.when(part(year, 1).isNotNull(), 1))
-    found = F.when(y.between(1900, 2100) & m.between(1, 12), y * 12 + m - 1)
-    return found if now is None else F.when(t.isin(*NOW_WORDS), now).otherwise(found)
+        named = F.array_position(F.array(*[F.lit(n) for n in names]), F.substring(F.regexp_extract(t, word, 1), 1, 3)).cast("int")
+        y = F.coalesce(part(iso, 1), part(dotted, 2), part(word, 2), part(year, 1))
+        m = F.coalesce(part(iso, 2), part(dotted, 1), F.when(part(word, 2).isNotNull(), named), F.when(part(year, 1).isNotNull(), 1))
+        found = let(F.struct(y.alias("y"), m.alias("m")), lambda p: F.when(p["y"].between(1900, 2100) & p["m"].between(1, 12), p["y"] * 12 + p["m"] - 1))
+        return found if now is None else F.when(t.isin(*NOW_WORDS), now).otherwise(found)
+
+    return let(F.lower(F.trim(text)), of)
 
 
 def day_in_zone(instant: Column, zone: str) -> Column:

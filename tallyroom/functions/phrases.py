@@ -259,10 +259,14 @@ def month_range(text: Column, now: Column | None = None) -> Column:
 
     A range that is turned round, or that could be parted in two ways, is null.
     """
-    alone = parse_month(text, now)
-    spots = F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text))), lambda i: F.substring(text, i, 1).isin("-", "–", "—", "/"))
-    pairs = F.transform(spots, lambda i: F.struct(parse_month(F.substring(text, F.lit(1), i - 1), now).alias("first"), parse_month(F.substring(text, i + 1, F.length(text)), now).alias("last")))
-    good = F.filter(pairs, lambda p: p["first"].isNotNull() & p["last"].isNotNull())
-    parted = let(good, lambda g: F.when(F.size(g) == 1, F.get(g, F.lit(0))))
-    out = F.when(alone.isNotNull(), F.struct(alone.alias("first"), alone.alias("last"))).otherwise(parted)
+
+    def of(t: Column) -> Column:
+        spots = F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(t))), lambda i: F.substring(t, i, 1).isin("-", "–", "—", "/"))
+        pairs = F.transform(spots, lambda i: F.struct(parse_month(F.substring(t, F.lit(1), i - 1), now).alias("first"), parse_month(F.substring(t, i + 1, F.length(t)), now).alias("last")))
+        good = F.filter(pairs, lambda p: p["first"].isNotNull() & p["last"].isNotNull())
+        parted = let(good, lambda g: F.when(F.size(g) == 1, F.get(g, F.lit(0))))
+        return let(parse_month(t, now), lambda alone: F.when(alone.isNotNull(), F.struct(alone.alias("first"), alone.alias("last"))).otherwise(parted))
+
+    # a text is made once, not once a character
+    out = let(text, of)
     return let(out, lambda r: F.when(r["last"] >= r["first"], r))

@@ -241,3 +241,10 @@ def test_words_of_profiles_are_compiled_once():
             assert reader._has(line, words) == any(re.search(rf"(?<!\w){re.escape(w)}(?!\w)", di.folded(line)[0]) for w in words)
     before = resume._any_of.cache_info().misses
     assert not reader._has("nobody", reader.words.roles) and resume._any_of.cache_info().misses == before
+
+
+def test_a_range_reads_its_text_once(spark):
+    assert str(ph.month_range(F.upper(F.col("t")))).count("upper(") == 1
+    rows = texts(spark, "07.2019 - 09.2020", "2020 / 2018", "Jan 2019 — Mar 2019", "1-2-3", None, "2019-13", "2019")
+    got = [r.r and tuple(r.r) for r in rows.orderBy("k").select(ph.month_range(F.col("t")).alias("r")).collect()]
+    assert got == [(24234, 24248), None, (24228, 24230), None, None, None, (24228, 24228)]
