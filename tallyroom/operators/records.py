@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyroom.functions.text import let, token_runs
+from tallyroom.operators.tables import stated_list
 
 
 def reconcile(local: DataFrame, cloud: DataFrame, key: str, signature: str) -> DataFrame:
@@ -78,14 +79,17 @@ def index_search(queries: DataFrame, index: DataFrame, ident: str) -> DataFrame:
     return exact.unionByName(by_word).unionByName(near).groupBy("query", ident).agg(F.sum("s").alias("score"))
 
 
-def role_scores(words: DataFrame, signals: DataFrame, key: str, word: str, least: float = 4.0, top: int = 3) -> DataFrame:
+def role_scores(words: DataFrame, signals: DataFrame, key: str, word: str, least: float = 4.0, top: int = 3, parts: int | None = None) -> DataFrame:
     """(key, role, score, rank): signals (role, signal, variants, weight, stems) count where all their stems occur.
 
     A signal counts weight * min(stems, 4); of one role's signals in one group of variants the best counts; roles under
-    ``least`` are left out.
+    ``least`` are left out.  Words that no signal asks for are left at once, and the others dealt by their key, to
+    ``parts`` tasks, once for all that follows.
     """
-    needed = signals.select("role", "signal", "variants", "weight", F.size(F.array_distinct("stems")).alias("k"), F.explode(F.array_distinct("stems")).alias(word))
-    hits = words.select(key, word).distinct().join(needed, word).groupBy(key, "role", "signal", "variants", "weight", "k").agg(F.count("*").alias("n")).where("n = k")
+    needed = stated_list(signals.select("role", "signal", "variants", "weight", F.size(F.array_distinct("stems")).alias("k"), F.explode(F.array_distinct("stems")).alias(word)))
+    asked = words.select(key, word).join(needed.select(word), word, "left_semi")
+    dealt = asked.repartition(parts, key) if parts else asked.repartition(key)
+    hits = dealt.distinct().join(needed, word).groupBy(key, "role", "signal", "variants", "weight", "k").agg(F.count("*").alias("n")).where("n = k")
     best = hits.groupBy(key, "role", "variants").agg(F.max(F.col("weight") * F.least("k", F.lit(4))).alias("s")).groupBy(key, "role").agg(F.sum("s").alias("score")).where(F.col("score") >= least)
     return best.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "role"))).where(F.col("rank") <= top)
 

@@ -10,6 +10,7 @@ from tallyroom.functions import rules as ru
 from tallyroom.functions.text import let, plain_tokens, token_runs
 from tallyroom.operators import events as ev
 from tallyroom.operators import records as rc
+from tallyroom.operators.tables import parts_for
 from tallyroom.plans.registry import micros, month, month_sql, query, r6
 from tallyroom.sources.tables import read
 
@@ -117,7 +118,7 @@ SELECT l_orderkey, role, score, CAST(row_number() OVER (PARTITION BY l_orderkey
 def role_scores(spark, d) -> DataFrame:
     li, p = read(spark, d, "lineitem").select("l_orderkey", "l_partkey"), read(spark, d, "part").select("p_partkey", "p_name")
     words = li.join(p, F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", F.explode(F.split(F.lower("p_name"), " ")).alias("w"))
-    return rc.role_scores(words, spark.createDataFrame(SIGNALS, "role string, signal string, variants string, weight double, stems array<string>"), "l_orderkey", "w")
+    return rc.role_scores(words, spark.createDataFrame(SIGNALS, "role string, signal string, variants string, weight double, stems array<string>"), "l_orderkey", "w", parts=parts_for(li))
 
 
 @query("""
