@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tallyroom.functions.text import let, token_runs
 from tallyroom.operators.tables import stated_list
 
+#: Phrases that a task looks up; rows of a batch that are Python values at a time.
+PHRASES, SLICE = 200_000, 64
+
 
 def reconcile(local: DataFrame, cloud: DataFrame, key: str, signature: str) -> DataFrame:
     """(key, decision): PUSH what is only here, PULL what is only there, SAME or CONFLICT by signature; null is empty."""
@@ -45,11 +53,54 @@ def lemmas(tokens: DataFrame, lexicon: DataFrame, token: str = "token") -> DataF
     return tokens.join(lexicon.select(F.col("form").alias("__f"), "lemma"), F.col(token) == F.col("__f"), "left").withColumn("lemma", F.coalesce("lemma", token)).drop("__f")
 
 
+def _longest_runs(rows: DataFrame, told: list[tuple], kind: T.DataType, most: int) -> DataFrame:
+    """(key, phrase, n, start, canonical) of rows (key, tokens joined by spaces): the longest run that is told, the leftmost of equals."""
+    key = rows.columns[0]
+    kinds = [rows.schema[key].dataType, T.StringType(), T.IntegerType(), T.IntegerType(), kind]
+    schema = T.StructType([T.StructField(n, k) for n, k in zip([key, "phrase", "n", "start", "canonical"], kinds, strict=True)])
+    by_length: dict[int, dict] = {}
+    for p, canonical in told:
+        words = tuple(p.split(" "))
+        by_length.setdefault(len(words), {})[words] = p, canonical
+    lengths = sorted((n for n in by_length if n <= most), reverse=True)
+
+    def longest(words: list[str]) -> tuple | None:
+        for n in lengths:
+            of = by_length[n]
+            runs = lambda n=n: zip(*[words[k:] for k in range(n)], strict=False)
+            # most texts hold no run of the greater lengths, which keys() tells without a loop
+            if not of.keys().isdisjoint(runs()):
+                start, words_of = next((i, r) for i, r in enumerate(runs(), 1) if r in of)
+                return of[words_of][0], n, start, of[words_of][1]
+        return None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, found = [], []
+            for low in range(0, batch.num_rows, SLICE):
+                for i, t in enumerate(batch.column(1).slice(low, SLICE).to_pylist(), low):
+                    if t is not None and (best := longest(t.split(" "))):
+                        at.append(i)
+                        found.append(best)
+            columns = list(zip(*found, strict=True)) or [[] for _ in kinds[1:]]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *[pa.array(v, to_arrow_type(k)) for v, k in zip(columns, kinds[1:], strict=True)]], names=schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
 def longest_phrase(docs: DataFrame, key: str, tokens: Column, phrases: DataFrame, most: int = 5) -> DataFrame:
-    """(key, phrase, canonical, start): the longest run of tokens that is a phrase (phrase, canonical), the leftmost of equals."""
-    grams = let(tokens, lambda w: F.concat(*[token_runs(w, n) for n in range(1, most + 1)]))
-    rows = docs.select(key, F.explode(grams).alias("g")).select(key, "g.*")
-    hits = rows.join(phrases.select("phrase", "canonical"), "phrase")
+    """(key, phrase, canonical, start): the longest run of tokens that is a phrase (phrase, canonical), the leftmost of equals.
+
+    Tokens hold no spaces.  Up to ``PHRASES`` phrases are looked up in the tasks, each text's runs from the longest down to
+    the first that is found; with more of them, runs are joined with the table.
+    """
+    told = phrases.where("phrase IS NOT NULL").groupBy("phrase").agg(F.min(F.struct("canonical")).alias("c")).select("phrase", "c.canonical")
+    few = told.limit(PHRASES + 1).collect()
+    if len(few) <= PHRASES:
+        hits = _longest_runs(docs.select(key, let(tokens, lambda w: F.when(F.size(w) > 0, F.array_join(w, " "))).alias("w")), [tuple(r) for r in few], phrases.schema["canonical"].dataType, most)
+    else:
+        grams = let(tokens, lambda w: F.concat(*[token_runs(w, n) for n in range(1, most + 1)]))
+        hits = docs.select(key, F.explode(grams).alias("g")).select(key, "g.*").join(told, "phrase")
     best = hits.groupBy(key).agg(F.min(F.struct((-F.col("n")).alias("m"), "start", "phrase", "canonical")).alias("b"))
     return best.select(key, "b.phrase", "b.canonical", "b.start")
 

@@ -6,6 +6,9 @@ import contextlib
 import io
 import re
 
+from pyspark.sql import functions as F
+
+from tallyroom.functions.text import plain_tokens
 from tallyroom.operators import records as rc
 from tallyroom.operators.tables import parts_for
 from tallyroom.plans import career
@@ -40,3 +43,15 @@ def test_points_are_dealt_in_parts(spark):
     # lines and orders; no step behind them deals anew
     assert len(re.findall("Exchange hashpartitioning.*REPARTITION_BY_NUM", plan(ranked))) == 2
     assert not re.search("Exchange hashpartitioning.*ENSURE", plan(ranked))
+
+
+def test_longest_phrase_in_tasks_and_by_join(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "a b c d"), (1, "b c d e"), (2, "d"), (3, "x y"), (4, ""), (5, None), (None, "c d a b")], "k long, t string")
+    phrases = spark.createDataFrame([("c d", "2"), ("a b", "1"), ("b c d e", "9"), ("b c d e", "8"), ("d", None), ("d", "z"), (None, "n"), ("a b c d e f", "6")], "phrase string, canonical string")
+    want = {(1, "b c d e", "8", 1), (2, "d", None, 1), (None, "c d", "2", 1)}
+    for most in (200_000, 0):
+        monkeypatch.setattr(rc, "PHRASES", most)
+        found = rc.longest_phrase(docs, "k", plain_tokens(F.col("t")), phrases)
+        assert {tuple(r) for r in found.collect()} == want
+        # looked up, runs are no rows
+        assert ("Generate explode" in plan(found)) == (most == 0)
