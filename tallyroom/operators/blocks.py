@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import pandas as pd
 import pyarrow as pa
@@ -13,7 +15,6 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from tallyroom.functions.text import fold, let
-from tallyroom.operators.texts import order_discordance
 
 #: Signs that no text holds, between which blocks are told while they are one string.
 _CUT, _NAME = "\u0001", "\u0002"
@@ -66,39 +67,48 @@ def text_blocks(docs: DataFrame, key: str, text: str, headings: dict[str, str],
     return docs.select(key, F.posexplode(blocks).alias("block", "p")).select(key, "block", "p.section", "p.content")
 
 
-def located_blocks(blocks: DataFrame, texts: DataFrame, key: str, block: str, content: str, text: str, least: int = 3) -> DataFrame:
-    """(key, block, place): the first place of each block in the text of its key, in signs of the searched form; null where it isn't there.
-
-    Both are searched lower-cased, trimmed, with runs of white space as one space; blocks of fewer than ``least`` signs
-    are left out.  The blocks of a text are sought together: an automaton of them reads it once.
-    """
+def _placed(blocks: DataFrame, texts: DataFrame, key: str, block: str, content: str, text: str, weight: Column, least: int = 3) -> DataFrame:
+    """(key, blocks): a row a text, with struct(block, place, w) of each of its key's blocks, found as ``located_blocks`` has it."""
     plain = lambda c: F.trim(F.regexp_replace(F.lower(F.coalesce(F.col(c), F.lit(""))), "\\s+", " "))
-    sought = blocks.select(key, block, plain(content).alias("c")).where(F.length("c") >= least)
+    sought = blocks.select(key, F.col(block).alias("block"), plain(content).alias("c"), weight.cast("double").alias("w"))
     # a document's blocks together are no longer than the document
-    packed = sought.groupBy(key).agg(F.collect_list(F.struct(F.col(block).alias("b"), "c")).alias("blocks"))
+    packed = sought.groupBy(key).agg(F.collect_list(F.struct("block", "c", "w")).alias("blocks"))
     rows = packed.join(texts.select(key, plain(text).alias("t")), key, "left").select(key, "blocks", F.coalesce("t", F.lit("")).alias("t"))
-    kinds = [rows.schema[key].dataType, blocks.schema[block].dataType, T.LongType()]
-    schema = T.StructType([T.StructField(n, k) for n, k in zip([key, block, "place"], kinds, strict=True)])
+    placed = T.StructType([T.StructField("block", blocks.schema[block].dataType), T.StructField("place", T.LongType()), T.StructField("w", T.DoubleType())])
+    schema = T.StructType([T.StructField(key, rows.schema[key].dataType), T.StructField("blocks", T.ArrayType(placed))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ahocorasick
 
         for batch in batches:
-            out = []
-            for k, some, t in zip(*[batch.column(n).to_pylist() for n in range(3)], strict=True):
+            at, out = [], []
+            for i, (some, t) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                some = [b for b in some if len(b["c"]) >= least]
+                if not some:
+                    continue
                 automaton, places = ahocorasick.Automaton(), {}
                 for b in some:
                     automaton.add_word(b["c"], b["c"])
                 automaton.make_automaton()
                 for end, c in automaton.iter(t):
                     places.setdefault(c, end - len(c) + 1)
-                out += [(k, b["b"], places.get(b["c"])) for b in some]
-            columns = list(zip(*out, strict=True)) or [[] for _ in kinds]
-            yield pa.RecordBatch.from_arrays([pa.array(v, to_arrow_type(x)) for v, x in zip(columns, kinds, strict=True)], names=schema.names)
+                at.append(i)
+                out.append([(b["block"], places.get(b["c"]), b["w"]) for b in some])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(out, to_arrow_type(schema["blocks"].dataType))], names=schema.names)
 
     return rows.mapInArrow(run, schema)
 
 
+def located_blocks(blocks: DataFrame, texts: DataFrame, key: str, block: str, content: str, text: str, least: int = 3) -> DataFrame:
+    """(key, block, place): the first place of each block in the text of its key, in signs of the searched form; null where it isn't there.
+
+    Both are searched lower-cased, trimmed, with runs of white space as one space; blocks of fewer than ``least`` signs
+    are left out.  The blocks of a text are sought together: an automaton of them reads it once.
+    """
+    placed = _placed(blocks, texts, key, block, content, text, F.lit(1.0), least)
+    return placed.select(key, F.explode("blocks").alias("b")).select(key, F.col("b.block").alias(block), "b.place")
+
+
 @F.pandas_udf(T.LongType())
 def longest_run(places: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """The length of the longest run of an array's members that rises, with others between."""
@@ -113,18 +123,53 @@ def longest_run(places: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield pd.Series(out)
 
 
+def turned_pairs(rows: list[tuple]) -> tuple[float, float]:
+    """Of rows (first, second, weight): the weight of all pairs that differ in both orders, and of those that the two put the other way round.
+
+    As ``texts.order_discordance`` counts them, for the rows of one document: a pair weighs as its lighter row; pairs are
+    counted once a distinct weight, against the places before in order.
+    """
+    every = turned = below = 0.0
+    for layer in sorted({w for _, _, w in rows}):
+        before, comparable, discordant = [], 0, 0
+        for _, same in groupby(sorted(r[:2] for r in rows if r[2] >= layer), key=itemgetter(0)):
+            places = [place for _, place in same]
+            for place in places:
+                through = bisect_right(before, place)
+                comparable += bisect_left(before, place) + len(before) - through
+                discordant += len(before) - through
+            for place in places:
+                insort(before, place)
+        every, turned, below = every + (layer - below) * comparable, turned + (layer - below) * discordant, layer
+    return every, turned
+
+
+@F.pandas_udf(T.DoubleType())
+def block_discordance(blocks: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Of an array of struct(block, place, w) of found blocks: the share of the weight of pairs that stand the other way round; null without a pair."""
+    for batch in blocks:
+        out = []
+        for row in batch:
+            every, turned = turned_pairs([(b["block"], b["place"], b["w"]) for b in row])
+            out.append(turned / every if every > 0 else None)
+        yield pd.Series(out, dtype="Float64")
+
+
 def source_agreement(blocks: DataFrame, texts: DataFrame, key: str, block: str, content: str, text: str, importance: Column) -> DataFrame:
     """(key, n_blocks, n_located, coverage, in_order, discordance): how much of its blocks a text keeps, and in which order.
 
     coverage: the share of importance of the blocks that are found.  in_order: how many found blocks a longest rising run
     of places holds.  discordance: the weight of pairs that stand the other way round; a pair weighs as its less
-    important block, 0.1 at least; null without a pair.
+    important block, 0.1 at least; null without a pair.  Blocks are made and sought once; what follows reads a document's
+    places, no texts.
     """
-    placed = located_blocks(blocks, texts, key, block, content, text).join(blocks.select(key, block, importance.cast("double").alias("w")), [key, block])
-    found = F.col("place").isNotNull()
-    sums = placed.groupBy(key).agg(
-        F.count("*").alias("n_blocks"), F.count_if(found).alias("n_located"), (F.coalesce(F.sum(F.when(found, F.col("w"))), F.lit(0.0)) / F.sum("w")).alias("coverage"),
-        F.transform(F.array_sort(F.collect_list(F.when(found, F.struct(block, "place")))), lambda x: x["place"]).alias("places"),
+    placed = _placed(blocks, texts, key, block, content, text, importance).where(F.col(key).isNotNull())
+    # texts of one key, if there are several, are told as one
+    rows = placed.groupBy(key).agg(F.flatten(F.collect_list("blocks")).alias("blocks"))
+    found = F.array_sort(F.filter("blocks", lambda b: b["place"].isNotNull()))
+    weighed = F.transform("found", lambda b: F.struct(b["block"].alias("block"), b["place"].alias("place"), F.greatest(b["w"], F.lit(0.1)).alias("w")))
+    weight = lambda c: F.aggregate(c, F.lit(0.0), lambda n, b: n + F.coalesce(b["w"], F.lit(0.0)))
+    return rows.withColumn("found", found).select(
+        key, F.size("blocks").cast("long").alias("n_blocks"), F.size("found").cast("long").alias("n_located"), (weight("found") / F.nullif(weight("blocks"), F.lit(0.0))).alias("coverage"),
+        longest_run(F.transform("found", lambda b: b["place"])).alias("in_order"), block_discordance(weighed).alias("discordance"),
     )
-    order = order_discordance(placed.where(found).withColumn("w", F.greatest("w", F.lit(0.1))), [key], block, "place", "w").select(key, "discordance")
-    return sums.join(order, key, "left").select(key, "n_blocks", "n_located", "coverage", longest_run("places").alias("in_order"), "discordance")

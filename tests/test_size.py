@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import contextlib
 import io
+import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from tallyroom.functions.text import plain_tokens
+from tallyroom.operators import blocks as bl
 from tallyroom.operators import dictionary as di
 from tallyroom.operators import records as rc
+from tallyroom.operators import texts as ts
 from tallyroom.operators.tables import parts_for
 from tallyroom.plans import career
 
@@ -79,3 +83,22 @@ def test_folded_texts_of_many_lines_keep_their_places():
         low, found = di.folded(text)
         assert (low, found or list(range(len(text)))) == ("".join(signs), places)
     assert di.folded("one\ntwo")[1] is None
+
+
+def test_source_agreement_seeks_blocks_once(spark):
+    rng = random.Random(4)
+    texts = {k: [f"w{rng.randrange(12)}x" for _ in range(rng.randrange(1, 25))] for k in range(30)}
+    blocks = spark.createDataFrame([(k, i % 9, w, rng.choice([0.0, 0.5, 1.0, 2.5])) for k, ws in texts.items() for i, w in enumerate(ws)] + [(99, 0, "ab", 1.0), (98, 1, "lost", None), (None, 0, "w1x", 1.0)], "k long, b int, c string, w double")
+    rows = [(k, " ".join(rng.sample(ws, len(ws)) + ["end"])) for k, ws in texts.items()]
+    others = spark.createDataFrame(rows + rows[:3], "k long, t string")  # three texts stand twice
+    found = bl.source_agreement(blocks, others, "k", "b", "c", "t", F.col("w"))
+    assert plan(found).count("MapInArrow") == 1
+    told = [(r.k, b.block, b.place, b.w) for r in bl._placed(blocks, others, "k", "b", "c", "t", F.col("w")).collect() for b in r.blocks if r.k is not None]
+    placed = spark.createDataFrame([(k, b, p, max(w, 0.1)) for k, b, p, w in told if p is not None], "k long, b int, place long, w double")
+    known = {r.k: r.discordance for r in ts.order_discordance(placed, ["k"], "b", "place", "w").collect()}
+    got = {r.k: r for r in found.collect()}
+    assert got.keys() == {*texts, 98} and (got[98].n_located, got[98].coverage, got[98].discordance) == (0, None, None)
+    for k, r in got.items():
+        mine = [x for x in told if x[0] == k]
+        assert (r.n_blocks, r.n_located) == (len(mine), sum(x[2] is not None for x in mine))
+        assert r.discordance == (pytest.approx(known[k]) if k in known else None)
