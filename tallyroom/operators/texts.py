@@ -57,28 +57,44 @@ def number_context(number: Column, window: Column) -> Column:
 
     Words are bounded by what is no letter, digit or underscore of ASCII.
     """
-    low = F.lower(F.trim(F.regexp_replace(window, "\\s+", " ")))
     # a boundary lies between a word character and another, so its side depends on the sign next to it
     b = "(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
-    said = lambda words: low.rlike(f"{b}(?:{words}){b}")
-    begun = lambda words: low.rlike(f"{b}(?:{words})")
+    # every listed word begins with a word character
+    before = "(?<![A-Za-z0-9_])"
+
+    def told(low: Column, year: Column) -> Column:
+        said = lambda words: low.rlike(f"{before}(?:{words}){b}")
+        begun = lambda words: low.rlike(f"{before}(?:{words})")
+        flags = F.struct(year.alias("year"), begun(ACHIEVED).alias("impact"), said(PAID).alias("money"), begun(COUNTED).alias("counted"))
+
+        def by_rules(x: Column) -> Column:
+            year, impact, money, counted = x["year"], x["impact"], x["money"], x["counted"]
+            rules = [
+                (year & (low.rlike(f"(?:^|{before})(?:{DATED}){b}") | low.rlike("[-–—/]\\s*(?:19|20)[0-9]{2}")), "DATE_OR_YEAR", 0.98), (said(LASTING) & ~impact, "DURATION", 0.93), (said(VERSIONED) & ~impact, "VERSION_OR_MODEL", 0.9),
+                (impact & (money | low.rlike("%|procent")), "IMPACT_METRIC", 0.97), (impact & counted, "IMPACT_METRIC", 0.88), (counted, "SCALE_METRIC", 0.86), (money & low.rlike(f"{before}(?:99|24|7)\\s*(?:zł|zl){b}") & ~impact, "PRICE_OR_NAME_FRAGMENT", 0.82),
+                (money, "SCALE_METRIC", 0.78), (year, "DATE_OR_YEAR", 0.82),
+            ]
+            out = unknown
+            for c, name, sure in reversed(rules):
+                out = F.when(c, F.struct(F.lit(name).alias("context"), F.lit(sure).alias("confidence"))).otherwise(out)
+            return out
+
+        # most numbers are no years and have none of the words beside them
+        some = low.rlike(f"{before}(?:(?:{LASTING}|{VERSIONED}|{PAID}){b}|{ACHIEVED}|{COUNTED})")
+        return F.when(year | some, let(flags, by_rules)).otherwise(unknown)
+
+    unknown = F.struct(F.lit("UNKNOWN_NUMBER").alias("context"), F.lit(0.45).alias("confidence"))
     year = F.regexp_replace(F.regexp_replace(number, "\\s", ""), ",", ".").rlike("^(?:19|20)[0-9]{2}$")
-    impact, money = begun(ACHIEVED), said(PAID)
-    rules = [
-        (year & (low.rlike(f"(?:^|{b})(?:{DATED}){b}") | low.rlike("[-–—/]\\s*(?:19|20)[0-9]{2}")), "DATE_OR_YEAR", 0.98), (said(LASTING) & ~impact, "DURATION", 0.93), (said(VERSIONED) & ~impact, "VERSION_OR_MODEL", 0.9),
-        (impact & (money | low.rlike("%|procent")), "IMPACT_METRIC", 0.97), (impact & begun(COUNTED), "IMPACT_METRIC", 0.88), (begun(COUNTED), "SCALE_METRIC", 0.86), (money & low.rlike(f"{b}(?:99|24|7)\\s*(?:zł|zl){b}") & ~impact, "PRICE_OR_NAME_FRAGMENT", 0.82),
-        (money, "SCALE_METRIC", 0.78), (year, "DATE_OR_YEAR", 0.82),
-    ]
-    out = F.struct(F.lit("UNKNOWN_NUMBER").alias("context"), F.lit(0.45).alias("confidence"))
-    for c, name, sure in reversed(rules):
-        out = F.when(c, F.struct(F.lit(name).alias("context"), F.lit(sure).alias("confidence"))).otherwise(out)
+    given = F.struct(F.lower(F.trim(F.regexp_replace(window, "\\s+", " "))).alias("low"), year.alias("year"))
     weight = lambda x: F.coalesce(*[F.when(x["context"] == n, F.lit(w)) for n, w in NUMBER_WEIGHTS.items()], F.lit(0.0))
-    return let(out, lambda x: F.struct(x["context"].alias("context"), x["confidence"].alias("confidence"), weight(x).alias("weight")))
+    return let(let(given, lambda g: told(g["low"], g["year"])), lambda x: F.struct(x["context"].alias("context"), x["confidence"].alias("confidence"), weight(x).alias("weight")))
 
 
 def numbers_in_context(docs: DataFrame, key: str, text: str, around: int = 30) -> DataFrame:
     """(key, context, n, confidence, weight): the numbers of each text by context, with the sums of their confidences and weights."""
-    found = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(f"([^0-9\n]{{0,{around}}}[0-9][0-9.,:]*[^0-9\n]{{0,{around}}})"), 1)
+    # surroundings end with the line, so lines without a number are passed over; what leads up to a number is not tried in part
+    lines = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: x.rlike("[0-9]"))
+    found = F.flatten(F.transform(lines, lambda x: F.regexp_extract_all(x, F.lit(f"([^0-9\n]{{0,{around}}}+[0-9][0-9.,:]*[^0-9\n]{{0,{around}}})"), 1)))
     rows = docs.select(key, F.explode(found).alias("w")).select(key, number_context(F.regexp_extract("w", "([0-9][0-9.,:]*)", 1), F.col("w")).alias("c")).select(key, "c.*")
     return rows.groupBy(key, "context").agg(F.count("*").alias("n"), F.sum("confidence").alias("confidence"), F.sum("weight").alias("weight"))
 

@@ -102,3 +102,28 @@ def test_source_agreement_seeks_blocks_once(spark):
         mine = [x for x in told if x[0] == k]
         assert (r.n_blocks, r.n_located) == (len(mine), sum(x[2] is not None for x in mine))
         assert r.discordance == (pytest.approx(known[k]) if k in known else None)
+
+
+def test_numbers_are_read_once_with_their_surroundings(spark):
+    rng = random.Random(5)
+    signs = ["2019", "12", "1,5", "7", "od", "saved", "users", "mln", "zł", "%", "lat", "windows", "kraj", "_od", "łod", "x" * 29, "x" * 31, " ", "\n", "\r\n", "-", "99 zł", "v."]
+    lines = [*("".join(rng.choice(signs) + rng.choice(["", " "]) for _ in range(rng.randrange(20))) for _ in range(600)), None, "", "no number\nsaved"]
+    docs = spark.createDataFrame(list(enumerate(lines)), "k long, t string")
+    found = ts.numbers_in_context(docs, "k", "t")
+    # a number's surroundings are brought to one form once, not once a rule
+    assert found._jdf.queryExecution().optimizedPlan().toString().count(r"\s+, ") == 1
+    windows = [(k, w) for k, t in enumerate(lines) for w in re.findall(r"[^0-9\n]{0,30}[0-9][0-9.,:]*[^0-9\n]{0,30}", t or "")]
+    assert sum(r.n for r in found.collect()) == len(windows) > 500
+    edge = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
+    want = {}
+    for k, w in windows:
+        low, number = re.sub(r"[ \t\n\x0b\f\r]+", " ", w).strip(" ").lower(), re.search("[0-9][0-9.,:]*", w)[0]
+        said = lambda words, end=edge, low=low: re.search(f"{edge}(?:{words}){end}", low) is not None
+        year, impact, money, counted = re.fullmatch("(?:19|20)[0-9]{2}", number.replace(",", ".")) is not None, said(ts.ACHIEVED, ""), said(ts.PAID), said(ts.COUNTED, "")
+        rules = [
+            (year and (said(ts.DATED) or re.search(r"[-–—/]\s*(?:19|20)[0-9]{2}", low)), "DATE_OR_YEAR"), (said(ts.LASTING) and not impact, "DURATION"), (said(ts.VERSIONED) and not impact, "VERSION_OR_MODEL"),
+            (impact and (money or re.search("%|procent", low) or counted), "IMPACT_METRIC"), (counted, "SCALE_METRIC"), (money and said(r"(?:99|24|7)\s*(?:zł|zl)") and not impact, "PRICE_OR_NAME_FRAGMENT"), (money, "SCALE_METRIC"), (year, "DATE_OR_YEAR"), (True, "UNKNOWN_NUMBER"),
+        ]
+        context = next(name for holds, name in rules if holds)
+        want[k, context] = want.get((k, context), 0) + 1
+    assert {(r.k, r.context): r.n for r in found.collect()} == want and len({c for _, c in want}) == 7
